@@ -54,13 +54,12 @@ def exact_groups(
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
-    """The rows of ``docs``, all columns, without copies; one row stays of rows that repeat an id and text."""
-    dropped = exact_groups(docs, id_col, text_col, keep=keep).where("not kept").select(F.col("doc_id").alias(id_col))
-    once = Window_first(docs, id_col, text_col)
-    return once.join(dropped.distinct(), id_col, "left_anti").select(*docs.columns)
+    """The rows of ``docs``, all columns, without copies: of equal texts the row with the kept id.
 
-
-def Window_first(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows that repeat both id and text (by hash and length) once."""
-    mark = docs.withColumn("_h", F.md5(F.coalesce(F.col(text_col), F.lit(""))))
-    return mark.dropDuplicates([id_col, "_h"]).drop("_h")
+    Rows that share both the kept id and the text all stay (an id names one document). Rows without an id
+    stay only where no copy has one.
+    """
+    groups = exact_groups(docs, id_col, text_col, keep=keep)
+    dropped = groups.where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_h")).distinct()
+    own = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    return docs.join(dropped, F.col(id_col).eqNullSafe(F.col("_id")) & (own == F.col("_h")), "left_anti")

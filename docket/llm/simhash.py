@@ -248,3 +248,10 @@ def near_duplicates(docs: DataFrame, distance: int = 3, shingle: int = 3, id_col
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
     of = written(named.select("fp", "component").join(ids, "component").select("fp", "component_id"), "components")
     return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_copies(docs: DataFrame, distance: int = 3, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, but of each group of near-duplicates only that of the smallest id."""
+    groups = near_duplicates(docs, distance, shingle, id_col, text_col)
+    dropped = groups.where("not doc_id <=> component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    return docs.join(dropped, id_col, "left_anti").select(*docs.columns)
