@@ -130,7 +130,7 @@ def plan(fps: DataFrame, distance: int, most_parts: int = 4) -> list[tuple[list[
             rows, line = 1.0, [0.0]
             for t in range(distance + 1):
                 keys = float(len(list(combinations(range(len(part)), t)))) if t <= 3 else float("inf")
-                rows = keys * n
+                rows = keys * max(n, 1)
                 met = pairs * dist[: t + 1].sum() / max(dist[0], 1e-12)
                 line.append(rows + 0.05 * met)
             cost.append(line)  # line[t + 1] is the cost of threshold t
