@@ -1,6 +1,477 @@
-"""All registered queries with the SQL that checks them."""
+"""Registered queries: the operators on the star-schema tables, each with the SQL that checks it."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docket.functions import columns as C
+from docket.operators import align, orders, scoring
+from docket.sources import mail
+from docket.streaming import windows as streams
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+CLASSES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def b(n: int, key: str) -> str:
+    """DuckDB form of columns.bucket."""
+    return f"(('0x' || substr(md5({key}), 1, 8))::BIGINT % {n})"
+
+
+def ratio(a: str, c: str) -> str:
+    return f"coalesce(({a})::DOUBLE / nullif({c}, 0), 0.0)"
+
+
+# --- gold and predicted line items -------------------------------------------------------------------------------------
+KEY = "concat_ws('|', '{}', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
+
+
+def lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items as gold and hashed predictions with nulls and mistakes on both sides."""
+    x = t(spark, sf, "lineitem")
+    h = lambda tag: C.bucket(100, F.lit(tag), F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"))
+    x = x.select("l_orderkey", "l_partkey", "l_linestatus", F.col("l_quantity").cast("long").alias("q"), F.col("l_returnflag").alias("u"), h("q").alias("hq"), h("u").alias("hu"), h("p").alias("hp"))
+    return x.select(
+        "l_orderkey", "l_linestatus", "l_partkey",
+        F.when(F.col("hq") >= 8, F.col("q")).alias("gold_quantity"),
+        F.when(F.col("hq") >= 15, F.col("q")).when(F.col("hq").between(4, 11), F.col("q") + 1).alias("pred_quantity"),
+        F.when(F.col("hu") >= 10, F.col("u")).alias("gold_unit"),
+        F.when(F.col("hu") >= 20, F.concat(F.lit(" "), F.lower("u"))).when(F.col("hu") >= 5, F.lit("X")).alias("pred_unit"),
+        F.col("l_partkey").alias("gold_product"),
+        F.when(F.col("hp") >= 12, F.col("l_partkey")).when(F.col("hp") >= 6, F.col("l_partkey") + 1).alias("pred_product"),
+    )
+
+
+LINES = f"""
+x as (select *, l_quantity::BIGINT q, l_returnflag u, {b(100, KEY.format('q'))} hq, {b(100, KEY.format('u'))} hu, {b(100, KEY.format('p'))} hp from lineitem),
+lines as (select l_orderkey, l_linestatus, l_partkey,
+  case when hq >= 8 then q end gold_quantity, case when hq >= 15 then q when hq between 4 and 11 then q + 1 end pred_quantity,
+  case when hu >= 10 then u end gold_unit, case when hu >= 20 then ' ' || lower(u) when hu >= 5 then 'X' end pred_unit,
+  l_partkey gold_product, case when hp >= 12 then l_partkey when hp >= 6 then l_partkey + 1 end pred_product from x)"""
+_SLOT = "select l_orderkey, l_linestatus, '{0}' field, gold_{0}::VARCHAR g, pred_{0}::VARCHAR p from lines"
+SLOTS = LINES + f""",
+slots as ({' union all '.join(_SLOT.format(f) for f in ('quantity', 'unit', 'product'))}),
+o as (select *, (g is not null and p is not null and lower(trim(g)) = lower(trim(p)))::BIGINT correct, coalesce(g = p, false)::BIGINT strict_correct,
+  (g is not null and p is not null and lower(trim(g)) <> lower(trim(p)))::BIGINT wrong, (g is null and p is not null)::BIGINT hallucination,
+  (g is not null and p is null)::BIGINT miss, (g is null and p is null)::BIGINT null_agree from slots)"""
+_SUMS = ", ".join(f"sum({n})::BIGINT {n}" for n in scoring.OUTCOMES)
+_METRICS = f"""{ratio('correct', 'correct + wrong + hallucination')} "precision", {ratio('correct', 'correct + wrong + miss')} recall,
+  {ratio('2 * correct', '2 * correct + 2 * wrong + hallucination + miss')} f1, {ratio('2 * strict_correct', '2 * correct + 2 * wrong + hallucination + miss')} strict_f1,
+  {ratio('hallucination', 'hallucination + null_agree')} hallucination_rate"""
+
+
+def outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    return scoring.slot_outcomes(lines(spark, sf), ["quantity", "unit", "product"], ["l_orderkey", "l_linestatus"])
+
+
+@query(f"with {SLOTS}, s as (select {_SUMS} from o) select *, {_METRICS} from s")
+def eval_headline(spark, sf):
+    return scoring.slot_metrics(outcomes(spark, sf))
+
+
+@query(f"with {SLOTS}, s as (select field, {_SUMS} from o group by field) select *, {_METRICS} from s")
+def eval_fields(spark, sf):
+    return scoring.slot_metrics(outcomes(spark, sf), ["field"])
+
+
+@query(f"with {SLOTS} select field, sum(correct)::BIGINT correct, sum(wrong)::BIGINT wrong, sum(miss)::BIGINT miss, sum(hallucination)::BIGINT hallucination, {ratio('2 * sum(correct)', '2 * sum(correct) + 2 * sum(wrong) + sum(miss) + sum(hallucination)')} f1 from o group by grouping sets ((field), ())")
+def eval_micro_macro_grouping(spark, sf):
+    return scoring.micro_by_field(outcomes(spark, sf))
+
+
+@query(f"with {SLOTS}, s as (select l_linestatus, field, {_SUMS} from o where field <> 'unit' group by 1, 2) select l_linestatus as slice, field, {ratio('correct', 'correct + wrong + miss')} recall from s")
+def trap_recall(spark, sf):
+    cut = scoring.sliced(outcomes(spark, sf).where("field <> 'unit'"), {"O": F.col("l_linestatus") == "O", "F": F.col("l_linestatus") == "F"})
+    return scoring.slot_metrics(cut, ["slice", "field"]).select("slice", "field", "recall")
+
+
+@query(f"""with {LINES}, g as (select l_orderkey, gold_quantity q, gold_unit u, row_number() over (partition by l_orderkey, gold_quantity, gold_unit order by l_partkey) nth, gold_product a from lines where gold_quantity is not null),
+ p as (select l_orderkey, pred_quantity q, case when pred_unit is not null then upper(trim(pred_unit)) end u, row_number() over (partition by l_orderkey, pred_quantity, case when pred_unit is not null then upper(trim(pred_unit)) end order by pred_product nulls first) nth, pred_product b from lines where pred_quantity is not null)
+ select count(*) matched, sum((g.a is not distinct from p.b)::BIGINT)::BIGINT product_same from g join p on g.l_orderkey = p.l_orderkey and g.q = p.q and g.u is not distinct from p.u and g.nth = p.nth""")
+def item_semantics(spark, sf):
+    x = lines(spark, sf)
+    g = x.select("l_orderkey", F.col("gold_quantity").alias("q"), F.col("gold_unit").alias("u"), F.col("l_partkey").alias("at"), F.col("gold_product").alias("item"))
+    p = x.select("l_orderkey", F.col("pred_quantity").alias("q"), F.upper(F.trim("pred_unit")).alias("u"), F.col("pred_product").alias("at"), F.col("pred_product").alias("item"))
+    m = scoring.item_semantics(g, p, "l_orderkey", "q", "u", "at", "item")
+    return m.agg(F.count("*").alias("matched"), F.sum(F.col("product_same").cast("long")).alias("product_same"))
+
+
+@query()
+def item_alignment(spark, sf):
+    x = lines(spark, sf)
+    item = lambda s: F.struct(F.col(f"{s}_product").cast("string").alias("product"), F.col(f"{s}_quantity").cast("string").alias("quantity"), F.upper(F.trim(f"{s}_unit")).alias("unit"), F.lit(None).cast("string").alias("price"))
+    both = x.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item("gold"))).alias("g"), F.array_sort(F.collect_list(item("pred"))).alias("p"))
+    return both.select("l_orderkey", F.size("g").alias("gold_items"), F.size("p").alias("pred_items"), F.size(align.aligned("g", "p")).alias("aligned"))
+
+
+@query(f"""with {SLOTS}, r as (select l_orderkey, sum(correct)::BIGINT tp, sum(wrong + hallucination)::BIGINT fp, sum(wrong + miss)::BIGINT fn from o group by 1),
+ d as (select rep, tp, fp, fn, {b(1000000, "concat_ws('|', 7, rep, l_orderkey)")} / 1e6 u from r, (select unnest(range(20)) rep)),
+ w as (select *, (u >= 0.36787944117144233)::BIGINT + (u >= 0.7357588823428847)::BIGINT + (u >= 0.9196986029286058)::BIGINT + (u >= 0.9810118431238462)::BIGINT + (u >= 0.9963401531726563)::BIGINT + (u >= 0.9994058151824183)::BIGINT n from d),
+ f as (select rep, 2 * sum(n * tp)::DOUBLE / nullif(2 * sum(n * tp) + sum(n * fp) + sum(n * fn), 0) f1 from w group by rep)
+ select round(quantile_cont(f1, 0.025), 9) low, round(quantile_cont(f1, 0.975), 9) high, count(*) replicates from f""")
+def bootstrap_ci(spark, sf):
+    r = outcomes(spark, sf).groupBy("l_orderkey").agg(F.sum("correct").alias("tp"), F.sum(F.col("wrong") + F.col("hallucination")).alias("fp"), F.sum(F.col("wrong") + F.col("miss")).alias("fn"))
+    return scoring.bootstrap(r, "l_orderkey", "tp", "fp", "fn", 20, 7)
+
+
+# --- classification ----------------------------------------------------------------------------------------------------
+_PRED = f"""p as (select o_orderkey, o_custkey, o_orderpriority gold, {b(100, "concat_ws('|', 'class', o_orderkey)")} h from orders),
+pred as (select *, case when h < 3 then null when h < 6 then 'nonsense' when h < 20 then '3-MEDIUM' else gold end guess from p),
+conf as (select gold, case when guess in ({', '.join(repr(c) for c in CLASSES)}) then guess else 'invalid' end pred, count(*) n from pred group by 1, 2)"""
+
+
+def predictions(spark, sf):
+    o = t(spark, sf, "orders").select("o_orderkey", "o_custkey", F.col("o_orderpriority").alias("gold"), C.bucket(100, F.lit("class"), F.col("o_orderkey")).alias("h"))
+    return o.withColumn("guess", F.when(F.col("h") < 3, None).when(F.col("h") < 6, "nonsense").when(F.col("h") < 20, "3-MEDIUM").otherwise(F.col("gold")))
+
+
+@query(f"with {_PRED} select * from conf")
+def classification_confusion(spark, sf):
+    return scoring.confusion(predictions(spark, sf), "gold", "guess", CLASSES)
+
+
+_CLASS = f"""c as (select unnest([{', '.join(repr(c) for c in CLASSES)}]) label),
+m as (select label, coalesce(sum(n) filter (gold = label), 0)::BIGINT support, coalesce(sum(n) filter (gold = label and pred = label), 0)::BIGINT tp, coalesce(sum(n) filter (pred = label), 0)::BIGINT predicted from c, conf group by label),
+pc as (select label, support, {ratio('tp', 'predicted')} "precision", {ratio('tp', 'support')} recall, {ratio('2 * tp', 'predicted + support')} f1 from m)"""
+
+
+@query(f"with {_PRED}, {_CLASS} select * from pc")
+def classification_metrics(spark, sf):
+    return scoring.class_metrics(classification_confusion(spark, sf), CLASSES)
+
+
+@query(f"with {_PRED}, {_CLASS} select sum(n)::BIGINT n, {ratio('sum(n) filter (gold = pred)', 'sum(n)')} accuracy, (sum(n) filter (pred = 'invalid'))::BIGINT invalid, (select round(sum(f1) / 5, 12) from pc) macro_f1 from conf")
+def classification_summary(spark, sf):
+    return scoring.accuracy_and_macro(classification_confusion(spark, sf), CLASSES)
+
+
+_ROUTE = "case {0} when '1-URGENT' then 'extract' when '2-HIGH' then 'extract' when '3-MEDIUM' then 'cancel' when '4-NOT SPECIFIED' then 'inquiry' when '5-LOW' then 'discard' end"
+
+
+@query(f"with {_PRED}, r as (select {_ROUTE.format('gold')} g, {_ROUTE.format('guess')} p from pred) select g as gold_route, coalesce(p, 'invalid') as pred_route, count(*) n from r group by 1, 2")
+def route_confusion(spark, sf):
+    names = F.create_map(*(F.lit(x) for pair in zip(CLASSES, orders.ROUTES) for x in pair))
+    x = predictions(spark, sf).select(orders.route_of(names[F.col("gold")]).alias("gold_route"), F.coalesce(orders.route_of(names[F.col("guess")]), F.lit("invalid")).alias("pred_route"))
+    return x.groupBy("gold_route", "pred_route").agg(F.count("*").alias("n"))
+
+
+@query(f"""with {_PRED}, s as (select *, unnest(list_filter([case when gold = '1-URGENT' then 'urgent' end, case when h % 2 = 0 then 'even' end, case when o_custkey < 100 then 'small' end], lambda x: x is not null)) slice from pred)
+ select slice, count(*) n, {ratio('sum((gold = guess)::BIGINT)', 'count(*)')} accuracy from s group by slice""")
+def slice_table(spark, sf):
+    s = scoring.sliced(predictions(spark, sf), {"urgent": F.col("gold") == "1-URGENT", "even": F.col("h") % 2 == 0, "small": F.col("o_custkey") < 100})
+    return s.groupBy("slice").agg(F.count("*").alias("n"), C.ratio(F.sum((F.col("gold") == F.col("guess")).cast("long")), F.count("*")).alias("accuracy"))
+
+
+# --- calibration -------------------------------------------------------------------------------------------------------
+_CONF = f"cf as (select least(greatest((l_discount * 10)::DOUBLE, 0.0), 1.0) c, {b(100, KEY.format('cal'))} < least(greatest(l_discount * 10, 0.0), 1.0) * 90 ok from lineitem)"
+
+
+def confidences(spark, sf):
+    x = t(spark, sf, "lineitem")
+    c = F.least(F.greatest(F.col("l_discount") * 10, F.lit(0.0)), F.lit(1.0))
+    h = C.bucket(100, F.lit("cal"), F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"))
+    return x.select(c.alias("c"), (h < c * 90).alias("ok"))
+
+
+_BINS = f"""bins as (select least(trunc(c * 10)::INT, 9) bin, count(*) n, round(avg(c), 9) confidence, {ratio('sum(ok::BIGINT)', 'count(*)')} accuracy from cf group by 1)"""
+
+
+@query(f"with {_CONF}, {_BINS} select *, round(abs(confidence - accuracy), 8) gap from bins")
+def ece_bins(spark, sf):
+    return scoring.calibration_bins(confidences(spark, sf), "c", "ok")
+
+
+@query(f"with {_CONF}, {_BINS} select sum(n)::BIGINT n, round(sum(n * round(abs(confidence - accuracy), 8)) / sum(n), 6) ece from bins")
+def ece_total(spark, sf):
+    return scoring.expected_calibration_error(ece_bins(spark, sf))
+
+
+@query(f"with {_CONF} select c, round(case when c <= 0.2 then 0.1 when c <= 0.6 then 0.1 + (c - 0.2) * 1.0 when c <= 0.9 then 0.5 + (c - 0.6) * (0.4 / 0.3) else 0.9 end, 9) calibrated, count(*) n from cf group by 1, 2")
+def piecewise_calibrate(spark, sf):
+    y = scoring.interpolate(F.col("c"), [(0.2, 0.1), (0.6, 0.5), (0.9, 0.9)])
+    return confidences(spark, sf).groupBy("c", F.round(y, 9).alias("calibrated")).agg(F.count("*").alias("n"))
+
+
+@query()
+def isotonic_apply(spark, sf):
+    x = confidences(spark, sf)
+    return x.groupBy("c").agg(F.count("*").alias("n")).withColumn("calibrated", scoring.interpolate(F.col("c"), scoring.isotonic_knots(x, "c", "ok")))
+
+
+@query("select l_orderkey, round(exp(avg(ln(greatest(1 - l_discount, 1e-12)))), 9) confidence from lineitem group by 1")
+def geo_mean_confidence(spark, sf):
+    x = t(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(1 - F.col("l_discount")).alias("p"))
+    return x.select("l_orderkey", F.round(scoring.geometric_mean(F.col("p")), 9).alias("confidence"))
+
+
+# --- resolution --------------------------------------------------------------------------------------------------------
+@query("with d as (select lower(p_name) term, max(p_partkey) target from part group by 1) select p.p_partkey, d.target from part p join d on lower(p.p_name) = d.term")
+def resolve_exact(spark, sf):
+    p = t(spark, sf, "part")
+    d = p.groupBy(C.norm_text(F.col("p_name")).alias("term")).agg(F.max("p_partkey").alias("target"))
+    return p.join(d, C.norm_text(F.col("p_name")) == F.col("term")).select("p_partkey", "target")
+
+
+@query()
+def resolve_fuzzy_top1(spark, sf):
+    p = t(spark, sf, "part").select("p_name", "p_partkey")
+    h = C.bucket(5, F.lit("typo"), F.col("p_name"))
+    typed = F.when(h == 0, F.col("p_name")).when(h == 1, F.concat(F.substring("p_name", 2, 100), F.lit("s"))).when(h == 2, F.concat_ws(" ", F.reverse(F.split("p_name", " ")))).when(h == 3, F.concat(F.col("p_name"), F.lit(" x"))).otherwise(F.lit("nothing like it at all"))
+    return align.resolve(p.select(typed.alias("m")), "m", p, "p_name", "p_partkey")
+
+
+@query("select regexp_extract(url, '^https?://(?:www\\.|blog\\.|m\\.)?([^/:?#]+)', 1) domain, count(*) n from pages group by 1")
+def domain_resolve(spark, sf):
+    return t(spark, sf, "pages").groupBy(F.regexp_extract("url", r"^https?://(?:www\.|blog\.|m\.)?([^/:?#]+)", 1).alias("domain")).agg(F.count("*").alias("n"))
+
+
+# --- rules and orders --------------------------------------------------------------------------------------------------
+_RULE = f"""rl as (select l.l_orderkey, l.l_quantity::BIGINT q, p.p_partkey sku, (p.p_size // 10 + 1)::BIGINT moq, p.p_size::BIGINT most, (p.p_retailprice * 100)::BIGINT cents, p.p_brand <> 'Brand#1' active,
+  case when {b(10, KEY.format('m'))} = 0 then null else l.l_quantity::BIGINT end quantity, case when l.l_returnflag = 'N' then null else l.l_returnflag end unit
+  from lineitem l left join part p on p.p_partkey = case when {b(10, KEY.format('s'))} = 0 then -1 else l.l_partkey end),
+v as (select *, list_filter([case when sku is null then 'unknown_product' end, case when sku is not null and not active then 'inactive_product' end,
+  case when sku is not null and unit is not null and unit <> 'A' then 'unit_mismatch' end, case when sku is not null and (unit is null or unit = 'A') and quantity < moq then 'below_moq' end,
+  case when sku is not null and (unit is null or unit = 'A') and quantity > most then 'above_max' end], lambda x: x is not null) kinds from rl)"""
+
+
+def rule_lines(spark, sf):
+    h = lambda tag: C.bucket(10, F.lit(tag), F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"))
+    li = t(spark, sf, "lineitem").withColumn("wanted", F.when(h("s") == 0, F.lit(-1)).otherwise(F.col("l_partkey")))
+    q = F.col("l_quantity").cast("long")
+    x = li.select("l_orderkey", "wanted", F.when(h("m") != 0, q).alias("quantity"), F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("unit"))
+    p = t(spark, sf, "part").select(F.col("p_partkey").alias("sku"), (F.floor(F.col("p_size") / 10) + 1).cast("long").alias("moq"), F.col("p_size").cast("long").alias("most"), F.round(F.col("p_retailprice") * 100).cast("long").alias("price_cents"), (F.col("p_brand") != "Brand#1").alias("active"))
+    return x.join(p, x.wanted == p.sku, "left")
+
+
+def rule_kinds(spark, sf):
+    x = rule_lines(spark, sf)
+    selling = F.when(F.col("sku").isNotNull(), F.lit("A"))
+    return x.withColumn("kinds", orders.violations(F.col("quantity"), F.lit(None).cast("long"), F.col("unit"), selling, F.col("moq"), F.col("most"), F.col("price_cents"), F.col("active")))
+
+
+@query(f"with {_RULE} select unnest(kinds) kind, count(*) n from v group by 1")
+def order_violations(spark, sf):
+    return rule_kinds(spark, sf).select(F.explode("kinds").alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query(f"""with {_RULE}, r as (select l_orderkey, sum(len(kinds))::BIGINT nv, (count(*) filter (quantity is null))::BIGINT na from v group by 1)
+ select case when nv > 0 then 'violation' when na > 0 then 'ask' else 'touchless' end route, count(*) n from r group by 1""")
+def order_route(spark, sf):
+    r = rule_kinds(spark, sf).groupBy("l_orderkey").agg(F.sum(F.size("kinds").cast("long")).alias("nv"), F.count_if(F.col("quantity").isNull()).alias("na"))
+    return r.groupBy(orders.route_order(F.col("nv"), F.col("na")).alias("route")).agg(F.count("*").alias("n"))
+
+
+@query(f"""with {_RULE}, i as (select *, case when sku is null then 'unresolved' when quantity is null then 'missing' when quantity < moq then 'below_moq' when quantity > most then 'above_max' end issue from rl)
+ select l_orderkey, count(*) n_lines, count(*) filter (issue = 'unresolved') unresolved, count(*) filter (issue is not null and issue <> 'unresolved') issues,
+ coalesce(sum(case when sku is not null and quantity is not null then quantity * cents else 0 end), 0)::BIGINT total_cents, bool_or(issue is not null) blocked from i group by 1""")
+def erp_build(spark, sf):
+    return orders.build_orders(rule_lines(spark, sf), "l_orderkey")
+
+
+@query(f"""with q as (select o_orderkey id, {b(4, "concat_ws('|', 'v', o_orderkey)")} v, {b(3, "concat_ws('|', 'a', o_orderkey)")} a, (o_totalprice / 200000)::DOUBLE c from orders)
+ select id, (10 * v + 4 * a + (c between 0.8 and 0.95)::BIGINT)::BIGINT priority from q order by priority desc, id limit 25""")
+def review_queue_topk(spark, sf):
+    o = t(spark, sf, "orders")
+    band = orders.in_band(F.col("o_totalprice") / 200000).cast("long")
+    x = o.select(F.col("o_orderkey").alias("id"), orders.priority(C.bucket(4, F.lit("v"), F.col("o_orderkey")), C.bucket(3, F.lit("a"), F.col("o_orderkey")), band).alias("priority"))
+    return orders.queue(x, limit=25)
+
+
+@query(f"""with h as (select *, {b(5, "concat_ws('|', 'mr', o_orderkey)")} b from orders)
+ select o_orderkey, len(list_filter([case when b = 0 then 'po' end, case when b = 1 then 'date' end, case when b = 2 then 'line_items' end], lambda x: x is not null))::INT missing from h""")
+def missing_required(spark, sf):
+    h = C.bucket(5, F.lit("mr"), F.col("o_orderkey"))
+    items = F.when(h == 2, F.array().cast("array<struct<quantity:bigint>>")).otherwise(F.array(F.struct(F.lit(0).cast("bigint").alias("quantity"))))
+    head = {"po": F.when(h != 0, F.col("o_orderkey").cast("string")).otherwise(F.lit("")), "date": F.when(h != 1, F.col("o_orderdate").cast("string"))}
+    return t(spark, sf, "orders").select("o_orderkey", F.size(C.missing_fields(head, items, ["quantity"])).alias("missing"))
+
+
+@query()
+def apply_edits(spark, sf):
+    o = t(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(F.col("l_partkey").cast("string").alias("product"), F.col("l_quantity").cast("long").cast("string").alias("quantity")))).alias("lines"))
+    last = F.size("lines").cast("string")
+    edits = F.create_map(F.lit("line_items.0.quantity"), F.lit("7"), F.concat(F.lit("line_items."), last, F.lit(".product")), F.lit("added"), F.lit("line_items.1"), F.lit("delete"))
+    return o.select("l_orderkey", F.size("lines").alias("before"), F.to_json(orders.apply_line_edits(F.col("lines"), edits, ["product", "quantity"])).alias("after"))
+
+
+# --- review log, metering, limits --------------------------------------------------------------------------------------
+_LOG = "lg as (select *, case event_type when 'error' then 'rejected' when 'purchase' then 'approved' else 'edited' end action, case when event_type in ('error', 'purchase') then null when event_id % 3 = 0 then '' else 'e' || event_id end edits from events)"
+
+
+@query(f"""with {_LOG}, s as (select *, case when action = 'edited' and coalesce(edits, '') = '' then 'approved' else action end status from lg),
+ l as (select user_id, arg_max(status, (ts, event_id)) status, arg_max(edits, (ts, event_id)) filter (status = 'edited') le, max((ts, event_id)) filter (status = 'edited') ea, max((ts, event_id)) filter (status = 'rejected') ra, count(*) decisions from s group by 1)
+ select user_id, status, case when ea is not null and (ra is null or ea > ra) then le end edits, decisions from l""")
+def review_latest_state(spark, sf):
+    e = t(spark, sf, "events")
+    action = F.when(F.col("event_type") == "error", "rejected").when(F.col("event_type") == "purchase", "approved").otherwise("edited")
+    edits = F.when(F.col("event_type").isin("error", "purchase"), None).when(F.col("event_id") % 3 == 0, "").otherwise(F.concat(F.lit("e"), F.col("event_id").cast("string")))
+    return orders.latest_decision(e.withColumn("action", action).withColumn("edits", edits), "user_id", "ts", "event_id")
+
+
+@query("select user_id, event_id, lag(event_id) over (partition by user_id order by ts, event_id) amends, (row_number() over (partition by user_id order by ts, event_id))::INT revision from events where event_type = 'purchase'")
+def amendment_chain(spark, sf):
+    e = t(spark, sf, "events").where("event_type = 'purchase'")
+    return orders.amendment_chain(e, "user_id", "event_id", "ts", "event_id").select("user_id", "event_id", "amends", "revision")
+
+
+@query("select user_id org_id, strftime(ts, '%Y-%m') period, count(*) events, sum(cast(json_extract(props, '$.k') as bigint))::BIGINT tokens from events group by 1, 2")
+def usage_by_period(spark, sf):
+    return orders.usage(t(spark, sf, "events"), "user_id", "ts", tokens=F.get_json_object("props", "$.k").cast("bigint"))
+
+
+@query(f"""with u as (select user_id org_id, strftime(ts, '%Y-%m') period, count(*) events from events group by 1, 2)
+ select u.org_id, u.period, u.events, c.quota, coalesce(u.events < c.quota, true) allowed from u left join (select c_custkey org_id, {b(100, "concat_ws('|', 'quota', c_custkey)")} quota from customer where c_custkey % 2 = 0) c using (org_id)""")
+def quota_status(spark, sf):
+    org = t(spark, sf, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("org_id"), C.bucket(100, F.lit("quota"), F.col("c_custkey")).alias("quota"))
+    return orders.quota_status(orders.usage(t(spark, sf, "events"), "user_id", "ts"), org)
+
+
+@query("""with w as (select event_id, user_id, cast(floor(epoch(ts)) as bigint) sec, count(*) over (partition by user_id, cast(floor(epoch(ts)) as bigint) // 86400 order by ts, event_id rows unbounded preceding) used from events)
+ select event_id, used, used <= 3 allowed, case when used > 3 then (86400 - sec % 86400) end retry_after from w""")
+def rate_limit_decisions(spark, sf):
+    return orders.rate_limited(t(spark, sf, "events"), "user_id", "ts", "event_id", 86400, 3).select("event_id", "used", "allowed", "retry_after")
+
+
+@query("select user_id, (cast(floor(epoch(ts)) as bigint) // 86400) * 86400 window_start, count(*) used from events group by 1, 2")
+def stream_rate_limit(spark, sf):
+    return streams.drain(streams.window_counts(streams.event_stream(spark, sf), "user_id", "1 day"), "complete")
+
+
+@query("select user_id org_id, strftime(ts, '%Y-%m') period, count(*) events from events group by 1, 2")
+def stream_usage(spark, sf):
+    return streams.drain(streams.usage_counts(streams.event_stream(spark, sf), "user_id"), "complete")
+
+
+@query("""select event_type, count(*) calls, count(*) filter (event_id % 4 = 0) cached, round(coalesce(quantile_cont(value, 0.5) filter (event_id % 4 <> 0), 0.0), 9) p50, round(coalesce(quantile_cont(value, 0.95) filter (event_id % 4 <> 0), 0.0), 9) p95 from events group by 1""")
+def latency_percentiles(spark, sf):
+    fresh = F.when(F.col("event_id") % 4 != 0, F.col("value"))
+    q = lambda p: F.round(F.coalesce(F.percentile(fresh, F.lit(p)), F.lit(0.0)), 9)
+    return t(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("calls"), F.count_if(F.col("event_id") % 4 == 0).alias("cached"), q(0.5).alias("p50"), q(0.95).alias("p95"))
+
+
+# --- text --------------------------------------------------------------------------------------------------------------
+@query("select conv_id, turn, trim(text, ' \t\n') body from conversations")
+def clean_body(spark, sf):
+    quoted = F.concat("text", F.lit("\n\nOn Mon, A wrote:\n> "), F.replace("text", F.lit("\n"), F.lit("\n> ")), F.lit("\n-- \nJ. Doe\nSent from my phone"))
+    return t(spark, sf, "conversations").select("conv_id", "turn", C.clean_body(quoted).alias("body"))
+
+
+@query("select event_id, cast(json_extract(props, '$.k') as bigint) k from events")
+def json_repair(spark, sf):
+    reply = F.concat(F.lit("Sure:\n```json\n"), F.col("props"), F.lit("\n```\nDone."))
+    return t(spark, sf, "events").select("event_id", F.get_json_object(C.repair_json(reply), "$.k").cast("bigint").alias("k"))
+
+
+@query("select doc_id, lang || '' as label from documents")
+def label_normalize(spark, sf):
+    return t(spark, sf, "documents").select("doc_id", C.normalize_label(F.concat(F.lit(" `'"), F.upper("lang"), F.lit(".'` "))).alias("label"))
+
+
+@query("select doc_id, sha256(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) sha from documents")
+def text_sha(spark, sf):
+    return t(spark, sf, "documents").select("doc_id", F.sha2(C.norm_text(F.col("text")), 256).alias("sha"))
+
+
+@query(f"""with p as (select c.conv_id, c.turn, lower(trim(regexp_replace(c.text, '\\s+', ' ', 'g'))) g, lower(trim(regexp_replace(coalesce(n.text, ''), '\\s+', ' ', 'g'))) p from conversations c left join conversations n on n.conv_id = c.conv_id and n.turn = c.turn + 1),
+ w as (select conv_id, turn, unnest(string_split(g, ' ')) w, 0 s from p union all select conv_id, turn, unnest(string_split(p, ' ')) w, 1 s from p),
+ k as (select conv_id, turn, w, count(*) filter (s = 0) g, count(*) filter (s = 1) p from w where w <> '' group by all)
+ select conv_id || '/' || turn record, sum(least(g, p))::BIGINT overlap, sum(g)::BIGINT gold_tokens, sum(p)::BIGINT pred_tokens from k group by conv_id, turn""")
+def token_f1(spark, sf):
+    c = t(spark, sf, "conversations").select("conv_id", "turn", "text")
+    nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next"))
+    x = c.join(nxt, ["conv_id", "turn"], "left").select(F.concat_ws("/", "conv_id", "turn").alias("record"), "text", "next")
+    return scoring.token_overlap(x, "record", "text", "next")
+
+
+# --- corpus ------------------------------------------------------------------------------------------------------------
+_SPLIT = f"case when {b(100, "concat_ws('|', 1, doc_id)")} < 70 then 'train' when {b(100, "concat_ws('|', 1, doc_id)")} < 80 then 'val' else 'test' end"
+
+
+def split_documents(spark, sf):
+    return t(spark, sf, "documents").withColumn("split", orders.split_of(F.col("doc_id"), 1, {"train": 70, "val": 10, "test": 20}))
+
+
+@query(f"with d as (select *, {_SPLIT} split from documents) select doc_id from d where split = 'test' and exists (select 1 from d x where x.split <> 'test' and x.text = d.text and x.lang = d.lang)")
+def dup_cross_split(spark, sf):
+    d = split_documents(spark, sf)
+    return orders.leaked(d.where("split = 'test'"), d.where("split <> 'test'"), ["lang", "text"]).select("doc_id")
+
+
+@query("select lang, count(*) n, count(*) - count(distinct text) repeats from documents group by 1")
+def dup_within_class(spark, sf):
+    sizes = t(spark, sf, "documents").groupBy("lang", F.md5("text").alias("h")).agg(F.count("*").alias("n"))
+    return sizes.groupBy("lang").agg(F.sum("n").alias("n"), F.sum(F.col("n") - 1).alias("repeats"))
+
+
+@query(f"with d as (select doc_id, {_SPLIT} split from documents) select split, count(*) n, sum(('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT)::BIGINT digest from d group by 1")
+def manifest_counts(spark, sf):
+    from docket.sources.files import manifest
+
+    return manifest(split_documents(spark, sf).withColumnRenamed("doc_id", "id"), "split")
+
+
+@query("""with w as (select lang, count(*) w from documents group by 1), e as (select lang, w * 100 num, (select sum(w) from w) a from w),
+ f as (select lang, (num // a)::BIGINT base, num % a rest from e), r as (select *, row_number() over (order by rest desc, lang) k, 100 - sum(base) over () lft from f)
+ select lang, (base + (k <= lft)::BIGINT)::BIGINT share from r""")
+def apportion(spark, sf):
+    return orders.apportion(t(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("w")), "lang", "w", 100)
+
+
+@query("""with o as (select conv_id, row_number() over (order by md5(concat_ws('|', 5, conv_id)), conv_id) n from (select distinct conv_id from conversations))
+ select conv_id, size from o, (select unnest([5, 20, 50]) size) where n <= size""")
+def nested_prefixes(spark, sf):
+    return orders.nested_prefixes(t(spark, sf, "conversations").select("conv_id").distinct(), "conv_id", 5, [5, 20, 50])
+
+
+@query("""with s as (select doc_id, unnest(list_filter([case when lang = 'de' then 'german' end, case when n_chars > 5000 then 'long' end, case when source = 'src0' then 'src0' end], lambda x: x is not null)) stratum from documents),
+ r as (select *, row_number() over (partition by stratum order by md5(concat_ws('|', 9, doc_id)), doc_id) n from s) select stratum, doc_id from r where n <= 10""")
+def stratified_sample(spark, sf):
+    strata = {"german": F.col("lang") == "de", "long": F.col("n_chars") > 5000, "src0": F.col("source") == "src0"}
+    return orders.stratified_sample(t(spark, sf, "documents"), strata, 10, "doc_id", 9)
+
+
+@query("select d.doc_id, case when l.toxic is null then 'pending' when l.toxic = 1 then 'yes' else 'no' end verdict from documents d left join labels l using (doc_id)")
+def verdict_state(spark, sf):
+    d, lab = t(spark, sf, "documents").select("doc_id"), t(spark, sf, "labels").select("doc_id", "toxic")
+    return d.join(lab, "doc_id", "left").select("doc_id", F.when(F.col("toxic").isNull(), "pending").when(F.col("toxic") == 1, "yes").otherwise("no").alias("verdict"))
+
+
+@query(f"""with {SLOTS}, b as (select field source, {ratio('2 * sum(correct)', '2 * sum(correct) + 2 * sum(wrong) + sum(miss) + sum(hallucination)')} baseline from o where l_linestatus = 'O' group by 1),
+ c as (select field source, {ratio('2 * sum(correct)', '2 * sum(correct) + 2 * sum(wrong) + sum(miss) + sum(hallucination)')} candidate from o where l_linestatus = 'F' group by 1)
+ select source, baseline, candidate, round(candidate - baseline, 9) delta, candidate < baseline - 0.001 regressed from b join c using (source)""")
+def regression_gate(spark, sf):
+    part = lambda s: scoring.slot_metrics(outcomes(spark, sf).where(F.col("l_linestatus") == s), ["field"]).withColumnRenamed("field", "source")
+    return scoring.regression_gate(part("O"), part("F"), tolerance=0.001)
+
+
+@query("""select p_partkey, list_filter([case when p_size < 1 then 'size' end, case when not regexp_matches(p_brand, '^Brand#[0-9]+$') then 'brand' end, case when p_name in (select p_name from part group by 1 having count(*) > 1) then 'duplicate_name' end], lambda x: x is not null)[1] problem from part""")
+def constraint_report(spark, sf):
+    p = t(spark, sf, "part")
+    twice = p.groupBy("p_name").agg((F.count("*") > 1).alias("twice"))
+    problems = F.array_compact(F.array(F.when(F.col("p_size") < 1, "size"), F.when(~F.col("p_brand").rlike(r"^Brand#\d+$"), "brand"), F.when(F.col("twice"), "duplicate_name")))
+    return p.join(twice, "p_name").select("p_partkey", F.get(problems, 0).alias("problem"))
+
+
+@query("select event_id, 'Event ' || event_id as subject, 'user' || user_id || '@example.org' as sender, 'value ' || event_id as body, false as is_reply from events")
+def mail_standardize(spark, sf):
+    e = t(spark, sf, "events")
+    raw = F.concat(F.lit("From: user"), F.col("user_id").cast("string"), F.lit("@example.org\nSubject: Event "), F.col("event_id").cast("string"), F.lit("\nContent-Type: text/html\n\n<p>value <b>"), F.col("event_id").cast("string"), F.lit("</b></p><script>x</script>\n"))
+    return mail.standardized(e.select("event_id", raw.alias("raw"))).select("event_id", "m.subject", "m.sender", "body", "is_reply")
