@@ -17,7 +17,8 @@ import numpy as np
 RUN = re.compile(r"\s\s|<\|")
 PLAIN = re.compile(r" ?\S+").fullmatch
 NEWLINE = 198
-MOST_PIECES = 1_500_000
+PUNCTUATION = ".,;:!?%*&#$|\"()"
+MOST_PIECES = 1_000_000
 
 
 def default_vocabulary() -> str:
@@ -39,6 +40,22 @@ class PieceEncoder:
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
     def learn(self, pieces: set[str]) -> None:
+        """Punctuation that ends a piece after a letter or digit is cut off by the vocabulary's own rule, so it is looked up apart."""
+        ends = []
+        for piece in pieces:
+            bare = piece.rstrip(PUNCTUATION)
+            if bare != piece and bare[-1:].isalnum():
+                ends.append((piece, bare, piece[len(bare) :]))
+        parts = pieces.difference(e[0] for e in ends)
+        for _, bare, tail in ends:
+            parts.add(bare)
+            parts.add(tail)
+        self.look_up(parts.difference(self.known))
+        known = self.known
+        for piece, bare, tail in ends:
+            known[piece] = known[bare] + known[tail]
+
+    def look_up(self, pieces: set[str]) -> None:
         plain = [p for p in pieces if PLAIN(p)]
         if plain:
             ids = self.whole(["\n".join(plain)])[0]
@@ -64,7 +81,7 @@ class PieceEncoder:
             cut.append(pieces)
             if pieces:
                 new.update(pieces)
-        new.difference_update(self.known)
+        new = new.difference(self.known)  # looks each up; difference_update would walk the whole table
         if new:
             self.learn(new)
         get = self.known.__getitem__
