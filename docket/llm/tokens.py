@@ -77,7 +77,7 @@ class PieceEncoder:
             if RUN.search(text):
                 cut.append(None)
                 continue
-            pieces = text.replace("\n", " \n").replace(" ", "\0 ").replace("\0 \n", "\0\n").split("\0") if "\0" not in text else None
+            pieces = text.replace("\n", "\0\n").replace(" ", "\0 ").split("\0") if "\0" not in text else None
             cut.append(pieces)
             if pieces:
                 new.update(pieces)
