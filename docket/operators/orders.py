@@ -92,11 +92,11 @@ def amendment_chain(sent: DataFrame, item: str, order_id: str, time: str, tie: s
 def apply_line_edits(lines: Column, edits: Column, fields: list[str]) -> Column:
     """Array of line structs after a map of edits 'line_items.<i>.<field>' -> text; '' clears a field, 'line_items.<i>' -> 'delete' removes a line.
 
-    A path one past the last line appends. Quantities are numbers only where the text is digits.
+    A path one past the last line appends, and so may the next; a path further out has no effect.
     """
     keys = F.coalesce(F.map_keys(edits), F.array().cast("array<string>"))
-    top = F.array_max(F.transform(F.filter(keys, lambda k: k.rlike(r"^line_items\.\d+\.")), lambda k: F.split(k, r"\.")[1].cast("int")))
-    n = F.greatest(F.size(lines), F.coalesce(F.least(top + 1, F.size(lines) + 1), F.lit(0)))
+    places = F.array_sort(F.array_distinct(F.transform(F.filter(keys, lambda k: k.rlike(r"^line_items\.\d+\.")), lambda k: F.split(k, r"\.")[1].cast("int"))))
+    n = F.aggregate(places, F.size(lines), lambda n, i: F.when(i == n, n + 1).otherwise(n))
 
     def value(i: Column, f: str) -> Column:
         path = F.concat(F.lit("line_items."), i.cast("string"), F.lit(f".{f}"))

@@ -26,7 +26,7 @@ def pin(lines: DataFrame, column: str = "value") -> tuple[str, int]:
 
 def whole_messages(spark: SparkSession, folder: str, glob: str = "*.eml") -> DataFrame:
     """(path, raw) of each message file; order by path where order matters."""
-    return spark.read.option("wholetext", True).option("pathGlobFilter", glob).text(folder).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
+    return spark.read.option("pathGlobFilter", glob).text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
 
 
 def strict(c: Column, schema: str) -> Column:

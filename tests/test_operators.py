@@ -1,0 +1,123 @@
+"""Operators that SQL cannot check, against brute force or by hand."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from docket.functions import columns as C
+from docket.operators import align, orders, scoring
+from docket.sources import files, mail
+from docket.streaming import windows
+
+
+def test_assignment_is_the_best():
+    rng = random.Random(1)
+    for _ in range(80):
+        n, m = rng.randint(1, 5), rng.randint(1, 5)
+        w = [[rng.choice([0, 0, 1, 2, 3]) for _ in range(m)] for _ in range(n)]
+        pairs = align.assign(w)
+        assert sum(w[i][j] for i, j in pairs) == align.brute_assign(w)
+        assert len({i for i, _ in pairs}) == len({j for _, j in pairs}) == len(pairs) and all(w[i][j] > 0 for i, j in pairs)
+    assert align.assign([[3, 3], [3, 3]]) == [(0, 0), (1, 1)]
+    assert align.assign([]) == [] and len(align.assign([[1.0] * 12 for _ in range(10)])) == 10
+
+
+def lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for k, y in enumerate(b, 1):
+            before, row[k] = row[k], before + 1 if x == y else max(row[k], row[k - 1])
+    return row[-1]
+
+
+def test_indel_ratio():
+    rng = random.Random(2)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abcd ") for _ in range(rng.randint(0, 12))) for _ in range(2))
+        assert align.indel_ratio(a, b) == pytest.approx(100.0 if not a and not b else 200 * lcs(a, b) / (len(a) + len(b)))
+
+
+def test_resolve(spark):
+    d = spark.createDataFrame([("cold plate", 1), ("Cold  Plate", 4), ("hot anvil", 2), ("steel ring", 3)], "name string, id long")
+    m = spark.createDataFrame([("COLD plate",), ("plate cold",), ("hot anvl",), ("zzz",), (None,), ("",)], "m string")
+    got = {r.mention: (r.target, r.method) for r in align.resolve(m, "m", d, "name", "id").collect()}
+    assert got == {"COLD plate": (4, "exact"), "plate cold": (4, "fuzzy"), "hot anvl": (2, "fuzzy"), "zzz": (None, "none"), "": (None, "none"), None: (None, "none")}
+
+
+def test_text_columns(spark):
+    row = lambda c: spark.range(1).select(c.alias("v")).first().v
+    assert row(C.norm_text(F.lit("  A  b\n\tC "))) == "a b c"
+    assert row(C.normalize_label(F.lit(' "New_Order." '))) == "new_order" and row(C.normalize_label(F.lit(" '' "))) is None
+    assert row(C.repair_json(F.lit('Sure: ```json\n{"a": 1}\n``` ok'))) == '{"a": 1}' and row(C.repair_json(F.lit('x {"a":{}} y'))) == '{"a":{}}' and row(C.repair_json(F.lit(" none "))) == "none"
+    assert row(C.clean_body(F.lit("Hi\n\n\n\nthere\n> q\n\nOn Mon, A wrote:\n> old\n"))) == "Hi\n\nthere"
+    assert row(C.clean_body(F.lit("Body\n-- \nme"))) == "Body" and row(C.clean_body(F.lit(""))) == ""
+    assert row(C.slug(F.lit("Ab C--d!"))) == "ab-c-d" and row(F.lit("PO-12").rlike(row(C.po_pattern(F.lit("PO-##")))))
+    assert [tuple(x) for x in row(C.note_tags(F.lit("see quirk: typo, and protocol:")))] == [("quirk:", "typo"), ("protocol:", None)]
+    assert row(C.is_inquiry(F.lit("Do you have any left?"))) and not row(C.is_inquiry(F.lit("Please send ten.")))
+    assert row(C.ratio(F.lit(1), F.lit(0))) == 0.0
+
+
+def test_line_edits(spark):
+    df = spark.createDataFrame([([("a", "1"), ("b", "2")],)], "lines array<struct<product:string,quantity:string>>")
+    edits = lambda d: F.create_map(*(F.lit(x) for kv in d.items() for x in kv)) if d else F.lit(None).cast("map<string,string>")
+    run = lambda d: [tuple(x) for x in df.select(orders.apply_line_edits(F.col("lines"), edits(d), ["product", "quantity"]).alias("v")).first().v]
+    assert run({}) == [("a", "1"), ("b", "2")]
+    assert run({"line_items.0.quantity": "9", "line_items.2.product": "c"}) == [("a", "9"), ("b", "2"), ("c", None)]
+    assert run({"line_items.1": "delete", "line_items.9": "delete"}) == [("a", "1")]
+    assert run({"line_items.0.product": ""}) == [(None, "1"), ("b", "2")]
+
+
+def test_interpolation_and_isotonic(spark):
+    pairs = spark.createDataFrame([(0.1, 0), (0.2, 0), (0.4, 1), (0.6, 0), (0.9, 1), (0.9, 1)], "c double, ok int")
+    knots = scoring.isotonic_knots(pairs, "c", "ok")
+    ys = [r.v for r in spark.createDataFrame([(x / 20,) for x in range(21)], "x double").orderBy("x").select(scoring.interpolate(F.col("x"), knots).alias("v")).collect()]
+    assert ys == sorted(ys) and ys[0] == 0.0 and ys[-1] == 1.0
+
+
+def test_review_state(spark):
+    log = spark.createDataFrame([("i", 1, "edited", "e1"), ("i", 2, "approved", None), ("j", 1, "edited", "e"), ("j", 2, "rejected", None), ("k", 1, "edited", "")], "item string, at long, action string, edits string")
+    got = {r["item"]: (r.status, r.edits) for r in orders.latest_decision(log.withColumn("id", F.col("at")), "item", "at", "id").collect()}
+    assert got == {"i": ("approved", "e1"), "j": ("rejected", None), "k": ("approved", None)}
+
+
+def test_sources(spark, tmp_path):
+    df = spark.createDataFrame([(1, "é"), (2, None)], "id long, body string")
+    files.canonical_jsonl(df, str(tmp_path / "x"))
+    digest, n = files.pin(spark.read.text(str(tmp_path / "x")))
+    assert n == 2 and files.pinned_jsonl(spark, str(tmp_path / "x"), df.schema, digest, 2).count() == 2
+    with pytest.raises(ValueError):
+        files.pinned_jsonl(spark, str(tmp_path / "x"), df.schema, "0", 2)
+    raw = spark.createDataFrame([(1, '{"a":1}'), (2, "nope"), (3, '{"a":1,"b":2}'), (4, ""), (1, '{"a":2}')], "id long, payload string")
+    good, bad = files.checked_predictions(raw, spark.createDataFrame([(1,), (2,), (3,), (4,), (9,)], "id long"), "a int")
+    assert good.count() == 2
+    assert {(r.id, r.problem) for r in bad.collect()} == {(2, "unparsed"), (3, "unparsed"), (4, "blank"), (1, "duplicate"), (9, "missing")}
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "a.eml").write_text("From: a@b.c\nSubject: Re: x\n\nShort\n")
+    (tmp_path / "m" / "b.txt").write_text("no")
+    got = mail.standardized(files.whole_messages(spark, str(tmp_path / "m"))).collect()
+    assert len(got) == 1 and got[0].body == "Short" and got[0].is_reply and got[0].asks == ["short_reply"]
+
+
+def test_stream_equals_batch(spark):
+    sf = "/root/testdata/sf0.001"
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    batch = {(r.user_id, r.window_start): r.used for r in events.groupBy("user_id", (F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600) * 3600).alias("window_start")).agg(F.count("*").alias("used")).collect()}
+    out = windows.drain(windows.window_counts(windows.event_stream(spark, sf), "user_id", "1 hour"), "complete")
+    assert {(r.user_id, r.window_start): r.used for r in out.collect()} == batch
+    once = windows.drain(windows.once_per_message(windows.event_stream(spark, sf), "event_id"), "append")
+    assert once.count() == events.select("event_id").distinct().count()
+
+
+def test_sampling_and_messages(spark):
+    df = spark.range(500).withColumnRenamed("id", "doc_id")
+    sets = orders.nested_prefixes(df, "doc_id", 3, [5, 50]).groupBy("size").agg(F.collect_set("doc_id").alias("s")).collect()
+    s = {r["size"]: set(r.s) for r in sets}
+    assert len(s[5]) == 5 and len(s[50]) == 50 and s[5] < s[50]
+    parts = df.select(orders.split_of(F.col("doc_id"), 1, {"a": 70, "b": 30}).alias("p")).groupBy("p").count().collect()
+    assert sum(r["count"] for r in parts) == 500 and {r.p for r in parts} == {"a", "b"}
+    m = spark.range(1).select(orders.sft_messages("sys", F.lit("S"), F.lit("B"), F.lit("{}")).alias("m")).first().m
+    assert [(x.role, x.content) for x in m] == [("system", "sys"), ("user", "Subject: S\n\nB"), ("assistant", "{}")]
+    table = scoring.sliced(df, {"even": F.col("doc_id") % 2 == 0, "small": F.col("doc_id") < 10}).groupBy("slice").count().collect()
+    assert {r["slice"]: r["count"] for r in table} == {"even": 250, "small": 10}
