@@ -148,6 +148,6 @@ def contaminated(
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that hold no test item."""
+    """The rows of ``docs`` that hold no test item; rows without an id stay."""
     hits = contaminated(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias(id_col)).distinct()
     return docs.join(hits, id_col, "left_anti").select(*docs.columns)

@@ -204,6 +204,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, m
 
 
 def drop_poor(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the classifier does not reject."""
+    """The rows of ``docs`` that the classifier does not reject; rows without an id stay."""
     poor = quality_scores(docs, labels, threshold, id_col=id_col, text_col=text_col).where("predicted = 0").select(F.col("doc_id").alias(id_col))
     return docs.join(poor.distinct(), id_col, "left_anti").select(*docs.columns)

@@ -251,7 +251,7 @@ def near_duplicates(docs: DataFrame, distance: int = 3, shingle: int = 3, id_col
 
 
 def drop_near_copies(docs: DataFrame, distance: int = 3, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, but of each group of near-duplicates only that of the smallest id."""
+    """The rows of ``docs``, all columns, but of each group of near-duplicates only that of the smallest id; rows without an id stay."""
     groups = near_duplicates(docs, distance, shingle, id_col, text_col)
     dropped = groups.where("not doc_id <=> component_id").select(F.col("doc_id").alias(id_col)).distinct()
     return docs.join(dropped, id_col, "left_anti").select(*docs.columns)
