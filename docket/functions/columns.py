@@ -22,18 +22,20 @@ def norm_text(c: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")))
 
 
+WHITE = " \t\n\r\f\x0b"
+
+
 def normalize_label(c: Column) -> Column:
     """A classifier's label: outer space, quotes and backticks, then one full stop go; empty is null."""
-    bare = F.regexp_replace(F.regexp_replace(F.trim(c), "^[\"'`]+|[\"'`]+$", ""), r"\.$", "")
-    return F.nullif(F.lower(F.trim(bare)), F.lit(""))
+    bare = F.btrim(F.btrim(F.btrim(c, F.lit(WHITE)), F.lit("`\"'")), F.lit(WHITE))
+    return F.nullif(F.lower(F.btrim(F.regexp_replace(bare, r"\.\z", ""), F.lit(WHITE))), F.lit(""))
 
 
 def repair_json(c: Column) -> Column:
-    """The object inside a reply: fences unwrapped, then first brace to last brace; without braces as it is."""
+    """The object inside a reply: fence unwrapped, then first brace to last brace; null without an object."""
     fenced = F.regexp_extract(c, r"(?is)```(?:json)?\s*(.*?)```", 1)
-    body = F.when(fenced == "", c).otherwise(fenced)
-    sliced = F.regexp_extract(body, r"(?s)(\{.*\})", 1)
-    return F.when(sliced == "", F.trim(body)).otherwise(sliced)
+    body = F.when(c.rlike(r"(?is)```(?:json)?\s*.*?```"), fenced).otherwise(c)
+    return F.nullif(F.regexp_extract(body, r"(?s)(\{.*\})", 1), F.lit(""))
 
 
 def cut_at_first(c: Column, *patterns: str) -> Column:
@@ -43,8 +45,9 @@ def cut_at_first(c: Column, *patterns: str) -> Column:
     return F.when(first.isNull(), c).otherwise(c.substr(F.lit(1), first - 1))
 
 
-QUOTE_MARKERS = (r"(?md)^On .*wrote:$", r"(?md)^-+ ?Original Message ?-+$", r"(?md)^From: .*$")
-SIGNATURE_MARKERS = (r"(?md)^-- ?$", r"(?md)^Sent from my .*$")
+# Where quoted history and signatures begin.
+QUOTE_MARKERS = (r"(?md)^On .*wrote:$", r"(?mdi)^-+\s*Original Message\s*-+$", r"(?md)^_{5,}$", r"(?md)^From:.*$")
+SIGNATURE_MARKERS = (r"(?md)^-- $", r"(?mdi)^Sent from my \w+", r"(?mdi)^Get Outlook for \w+")
 
 
 def strip_quoted(c: Column) -> Column:
@@ -63,14 +66,23 @@ def is_reply(subject: Column) -> Column:
 
 
 def slug(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "^-|-$", "")
+    """Runs of characters that a file name should not hold become one dash."""
+    return F.regexp_replace(c, "[^A-Za-z0-9._-]+", "-")
 
 
-INQUIRY = r"(?i)\b(?:do you (?:have|stock|sell)|how much|what(?:'s| is) the price|can you (?:quote|supply)|in stock|lead time)\b"
+# Questions about products or stock inside an order's text.
+INQUIRY = (
+    r"\bdo you (?:stock|have|carry|supply|sell)\b",
+    r"\bdo you offer\b",
+    r"\bis there a\b",
+    r"\bare there any\b",
+    r"\bwhat(?:'s| is) the (?:price|cost|lead time|moq)\b",
+    r"\bcan you (?:source|get|supply)\b",
+)
 
 
 def is_inquiry(c: Column) -> Column:
-    return c.rlike(INQUIRY)
+    return c.rlike("(?i)" + "|".join(INQUIRY))
 
 
 def po_pattern(template: Column) -> Column:

@@ -18,24 +18,30 @@ def route_of(label: Column) -> Column:
     return out
 
 
-def violations(quantity: Column, price: Column, unit: Column, selling_unit: Column, moq: Column, most: Column, list_price: Column, active: Column) -> Column:
-    """Kinds of violation of a line. Quantity and price are judged only where the unit is none or the selling unit."""
+def violations(quantity: Column, price: Column, unit_text: Column, unit: Column, selling_unit: Column, moq: Column, most: Column, list_price: Column, active: Column) -> Column:
+    """Kinds of violation of a line. ``unit`` is what the stated ``unit_text`` resolves to; ``selling_unit`` is null for an
+    unknown product. Quantity and price are judged only where no unit is stated or it is the selling unit."""
     known = selling_unit.isNotNull()
-    fits = unit.isNull() | (unit == selling_unit)
+    fits = known & (unit_text.isNull() | F.coalesce(unit == selling_unit, F.lit(False)))
     return F.array_compact(
         F.array(
-            F.when(~known, "unknown_product"),
-            F.when(known & ~active, "inactive_product"),
-            F.when(known & ~fits, "unit_mismatch"),
-            F.when(known & fits & (quantity < moq), "below_moq"),
-            F.when(known & fits & (quantity > most), "above_max"),
-            F.when(known & fits & price.isNotNull() & (price != list_price), "price_mismatch"),
+            F.when(~known, "unresolvable_product"),
+            F.when(known & ~active, "discontinued"),
+            F.when(known & unit_text.isNotNull() & unit.isNull(), "unresolvable_unit"),
+            F.when(known & unit_text.isNotNull() & (unit != selling_unit), "unit_mismatch"),
+            F.when(fits & (quantity < moq), "below_moq").when(fits & (quantity > most), "above_max"),
+            F.when(fits & (price != list_price), "price_mismatch"),
         )
     )
 
 
+def asks(quantities: Column, address: Column, sites: Column) -> Column:
+    """What to ask the sender: a quantity if any line has none, the site if no address is given and there are several."""
+    return F.array_compact(F.array(F.when(F.exists(quantities, lambda q: q.isNull()), "quantity"), F.when(address.isNull() & (sites > 1), "delivery_site")))
+
+
 def route_order(n_violations: Column, n_asks: Column) -> Column:
-    return F.when(n_violations > 0, "violation").when(n_asks > 0, "ask").otherwise("touchless")
+    return F.when(n_violations > 0, "exception").when(n_asks > 0, "clarification").otherwise("touchless")
 
 
 def build_orders(lines: DataFrame, order: str) -> DataFrame:

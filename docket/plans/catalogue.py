@@ -244,27 +244,31 @@ def domain_resolve(spark, sf):
 
 
 # --- rules and orders --------------------------------------------------------------------------------------------------
-_RULE = f"""rl as (select l.l_orderkey, l.l_quantity::BIGINT q, p.p_partkey sku, (p.p_size // 10 + 1)::BIGINT moq, p.p_size::BIGINT most, (p.p_retailprice * 100)::BIGINT cents, p.p_brand <> 'Brand#1' active,
-  case when {b(10, KEY.format('m'))} = 0 then null else l.l_quantity::BIGINT end quantity, case when l.l_returnflag = 'N' then null else l.l_returnflag end unit
+_RULE = f"""rl as (select l.l_orderkey, p.p_partkey sku, (p.p_size // 10 + 1)::BIGINT moq, p.p_size::BIGINT most, round(p.p_retailprice * 100)::BIGINT cents, p.p_brand <> 'Brand#1' active,
+  case when {b(10, KEY.format('m'))} = 0 then null else l.l_quantity::BIGINT end quantity, case when l.l_returnflag = 'N' then null else l.l_returnflag end ut,
+  case when l.l_returnflag = 'A' then 'A' when l.l_returnflag = 'R' and l.l_linestatus = 'O' then 'R' end unit, case {b(10, KEY.format('c'))} when 0 then round(p.p_retailprice * 100)::BIGINT + 1 when 1 then round(p.p_retailprice * 100)::BIGINT end price
   from lineitem l left join part p on p.p_partkey = case when {b(10, KEY.format('s'))} = 0 then -1 else l.l_partkey end),
-v as (select *, list_filter([case when sku is null then 'unknown_product' end, case when sku is not null and not active then 'inactive_product' end,
-  case when sku is not null and unit is not null and unit <> 'A' then 'unit_mismatch' end, case when sku is not null and (unit is null or unit = 'A') and quantity < moq then 'below_moq' end,
-  case when sku is not null and (unit is null or unit = 'A') and quantity > most then 'above_max' end], lambda x: x is not null) kinds from rl)"""
+f as (select *, sku is not null and (ut is null or coalesce(unit = 'A', false)) fits from rl),
+v as (select *, list_filter([case when sku is null then 'unresolvable_product' end, case when sku is not null and not active then 'discontinued' end,
+  case when sku is not null and ut is not null and unit is null then 'unresolvable_unit' end, case when sku is not null and ut is not null and unit <> 'A' then 'unit_mismatch' end,
+  case when fits and quantity < moq then 'below_moq' when fits and quantity > most then 'above_max' end, case when fits and price <> cents then 'price_mismatch' end], lambda x: x is not null) kinds from f)"""
 
 
 def rule_lines(spark, sf):
     h = lambda tag: C.bucket(10, F.lit(tag), F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"))
     li = t(spark, sf, "lineitem").withColumn("wanted", F.when(h("s") == 0, F.lit(-1)).otherwise(F.col("l_partkey")))
-    q = F.col("l_quantity").cast("long")
-    x = li.select("l_orderkey", "wanted", F.when(h("m") != 0, q).alias("quantity"), F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("unit"))
+    q, flag = F.col("l_quantity").cast("long"), F.col("l_returnflag")
+    unit = F.when(flag == "A", "A").when((flag == "R") & (F.col("l_linestatus") == "O"), "R")
+    x = li.select("l_orderkey", "wanted", F.when(h("m") != 0, q).alias("quantity"), F.when(flag != "N", flag).alias("unit_text"), unit.alias("unit"), h("c").alias("hc"))
     p = t(spark, sf, "part").select(F.col("p_partkey").alias("sku"), (F.floor(F.col("p_size") / 10) + 1).cast("long").alias("moq"), F.col("p_size").cast("long").alias("most"), F.round(F.col("p_retailprice") * 100).cast("long").alias("price_cents"), (F.col("p_brand") != "Brand#1").alias("active"))
-    return x.join(p, x.wanted == p.sku, "left")
+    stated = F.when(F.col("hc") == 0, F.col("price_cents") + 1).when(F.col("hc") == 1, F.col("price_cents"))
+    return x.join(p, x.wanted == p.sku, "left").withColumn("price", stated)
 
 
 def rule_kinds(spark, sf):
-    x = rule_lines(spark, sf)
-    selling = F.when(F.col("sku").isNotNull(), F.lit("A"))
-    return x.withColumn("kinds", orders.violations(F.col("quantity"), F.lit(None).cast("long"), F.col("unit"), selling, F.col("moq"), F.col("most"), F.col("price_cents"), F.col("active")))
+    c = F.col
+    selling = F.when(c("sku").isNotNull(), F.lit("A"))
+    return rule_lines(spark, sf).withColumn("kinds", orders.violations(c("quantity"), c("price"), c("unit_text"), c("unit"), selling, c("moq"), c("most"), c("price_cents"), c("active")))
 
 
 @query(f"with {_RULE} select unnest(kinds) kind, count(*) n from v group by 1")
@@ -273,7 +277,7 @@ def order_violations(spark, sf):
 
 
 @query(f"""with {_RULE}, r as (select l_orderkey, sum(len(kinds))::BIGINT nv, (count(*) filter (quantity is null))::BIGINT na from v group by 1)
- select case when nv > 0 then 'violation' when na > 0 then 'ask' else 'touchless' end route, count(*) n from r group by 1""")
+ select case when nv > 0 then 'exception' when na > 0 then 'clarification' else 'touchless' end route, count(*) n from r group by 1""")
 def order_route(spark, sf):
     r = rule_kinds(spark, sf).groupBy("l_orderkey").agg(F.sum(F.size("kinds").cast("long")).alias("nv"), F.count_if(F.col("quantity").isNull()).alias("na"))
     return r.groupBy(orders.route_order(F.col("nv"), F.col("na")).alias("route")).agg(F.count("*").alias("n"))
