@@ -103,3 +103,30 @@ def missing_fields(headers: dict[str, Column], lines: Column, required: list[str
     none = F.when(F.coalesce(F.size(lines), F.lit(0)) < 1, F.lit("line_items"))
     per = F.flatten(F.transform(F.coalesce(lines, F.array()), lambda x, i: F.array(*(F.when(F.coalesce(x[f].cast("string"), F.lit("")) == "", F.concat(F.lit("line_items."), i.cast("string"), F.lit(f".{f}"))) for f in required))))
     return F.array_compact(F.concat(F.array(*head, none), per))
+
+
+def masked(text: Column, surfaces: Column, mark: str = "\ufffd") -> Column:
+    """The text with every surface replaced, longest first."""
+    ordered = F.array_sort(F.array_distinct(surfaces), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
+    return F.aggregate(ordered, text, lambda rest, s: F.replace(rest, s, F.lit(mark)))
+
+
+def contained(text: Column, surfaces: Column) -> Column:
+    """Whether every surface occurs, a short one outside of the longer surfaces that hold it."""
+    return F.forall(surfaces, lambda s: F.instr(masked(text, F.filter(surfaces, lambda x: (x != s) & x.contains(s))), s) > 0)
+
+
+def transposed(text: Column, at: Column) -> Column:
+    """The characters at ``at`` (from 1) and after it exchanged; a place without a next one changes nothing."""
+    swapped = F.concat(F.substring(text, F.lit(1), at - 1), F.substring(text, at + 1, F.lit(1)), F.substring(text, at, F.lit(1)), F.substring(text, at + 2, F.length(text)))
+    return F.when((at >= 1) & (at < F.length(text)), swapped).otherwise(text)
+
+
+def price_text(cents: Column) -> Column:
+    return F.format_string("$%d.%02d", F.floor(cents / 100).cast("long"), F.pmod(cents, F.lit(100)).cast("long"))
+
+
+def local_time(c: Column, zone: str, year: int | None = None) -> Column:
+    """UTC time of 'YYYY-MM-DD HH:MM' in ``zone``; null if it is not such a text, no real time, or of another year."""
+    at = F.when(c.rlike(r"^\d{4}-\d\d-\d\d \d\d:\d\d$"), F.try_to_timestamp(c, F.lit("yyyy-MM-dd HH:mm")))
+    return F.to_utc_timestamp(at if year is None else F.when(F.year(at) == year, at), zone)

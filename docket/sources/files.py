@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from docket.functions.columns import local_time
+
 
 def pinned_jsonl(spark: SparkSession, path: str, schema: StructType, digest: str, rows: int | None = None) -> DataFrame:
     """Records of a JSONL file set whose pin (see ``pin``) must be ``digest``; a wrong pin or row count raises ValueError."""
@@ -55,3 +57,27 @@ def canonical_jsonl(df: DataFrame, path: str) -> None:
 def manifest(df: DataFrame, split: str) -> DataFrame:
     """Rows and an order-free digest of ids per split."""
     return df.groupBy(split).agg(F.count("*").alias("n"), F.sum(F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 8), 16, 10).cast("bigint")).alias("digest"))
+
+
+def authored_blocks(files: DataFrame, column: str, header: str, zone: str, year: int, classes: list[str], gold_classes: list[str]) -> DataFrame:
+    """Records of hand-written block files, one file a row: a ``### <id>`` line, From, Sent, Class and Subject lines, a blank line, the body and
+    perhaps a ```gold fence.
+
+    ``header`` is the pattern of an id. Returns id, sender, sent_at, email_class, subject, body, gold and error (null for a sound block).
+    """
+    starts = F.split(F.col(column), r"(?m)^(?=### )")
+    block = F.col("block")
+    name = lambda n: F.trim(F.regexp_extract(block, rf"(?m)^{n}:[ \t]*(.*)$", 1))
+    head = rf"^### ({header})[ \t]*\nFrom:.*\nSent:.*\nClass:.*\nSubject:.*\n[ \t]*\n"
+    x = files.select(F.explode(starts).alias("block")).where(F.trim("block") != "")
+    x = x.select("block", F.regexp_extract(block, rf"^### ({header})[ \t]*(?:\n|\z)", 1).alias("id"), F.lower(name("From")).alias("sender"), name("Sent").alias("sent"), name("Class").alias("email_class"), name("Subject").alias("subject"), F.regexp_replace(block, head, "").alias("rest"))
+    rest, cls = F.col("rest"), F.col("email_class")
+    x = x.withColumn("body", F.btrim(F.regexp_replace(rest, r"(?s)(?:^|\n)```gold[ \t]*\n.*\z", ""), F.lit(" \t\n")))
+    x = x.withColumn("gold", F.nullif(F.regexp_extract(rest, r"(?s)(?:^|\n)```gold[ \t]*\n(.*?)\n?```[ \t]*(?:\n|\z)", 1), F.lit("")))
+    x = x.withColumn("sent_at", local_time(F.col("sent"), zone, year))
+    error = (
+        F.when(F.col("id") == "", "header").when(~block.rlike(head), "truncated").when(~cls.isin(classes), "class").when(F.col("sent_at").isNull(), "sent")
+        .when(rest.rlike(r"(?:^|\n)```gold[ \t]*\n") & F.col("gold").isNull(), "open fence").when(rest.rlike(r"(?s)```gold.*\n```[ \t]*\n\s*\S"), "text after the fence")
+        .when(F.col("body") == "", "empty body").when(cls.isin(gold_classes) & F.col("gold").isNull(), "gold missing").when(~cls.isin(gold_classes) & F.col("gold").isNotNull(), "gold not allowed")
+    )
+    return x.select("id", "sender", "sent_at", "email_class", "subject", "body", "gold", error.alias("error"))

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from docket.plans import catalogue
+from docket.plans import catalogue, desk  # noqa: F401  (registers its queries in the catalogue)
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
