@@ -118,3 +118,21 @@ def resolve(mentions: DataFrame, mention: str, dictionary: DataFrame, term: str,
     hit = exact.where("target is not null").select("mention", "target", F.lit(100.0).alias("score"), F.lit("exact").alias("method"))
     none = rest.join(fuzzy, "mention", "left_anti").select("mention", F.lit(None).cast(terms.schema["target"].dataType).alias("target"), F.lit(0.0).alias("score"), F.lit("none").alias("method"))
     return hit.unionByName(fuzzy).unionByName(none)
+
+
+def resolve_keyed(mentions: DataFrame, mention: str, keys: DataFrame) -> DataFrame:
+    """Each row with the target whose key its mention is: by code (upper case) or by normalised term, whichever entry comes first.
+
+    ``keys``: (kind, term, target, place), kind "code" or "term". One equi-join over both kinds instead of a join on "or".
+    """
+    wanted = mentions.select(F.col(mention).alias("mention")).distinct()
+    code, term = F.upper(F.trim("mention")), norm_text(F.col("mention"))
+    asked = wanted.select("mention", F.explode(F.array(F.struct(F.lit("code").alias("kind"), code.alias("term")), F.struct(F.lit("term").alias("kind"), term.alias("term")))).alias("k")).select("mention", "k.*")
+    found = asked.join(keys, ["kind", "term"]).groupBy("mention").agg(F.min_by("target", "place").alias("target"))
+    return mentions.join(found, F.col(mention) == F.col("mention"), "left").drop("mention") if mention != "mention" else mentions.join(found, "mention", "left")
+
+
+def resolve_sender(messages: DataFrame, sender: str, customers: DataFrame, domains: str, customer: str) -> DataFrame:
+    """Each message with the customer one of whose domains its sender's address has, null if none."""
+    owners = customers.select(F.explode(domains).alias("domain"), F.col(customer))
+    return messages.withColumn("domain", F.substring_index(F.lower(F.trim(sender)), "@", -1)).join(owners, "domain", "left")

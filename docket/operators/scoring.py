@@ -97,18 +97,46 @@ def sliced(df: DataFrame, slices: dict[str, Column]) -> DataFrame:
     return df.withColumn("slice", F.explode(names))
 
 
-def bootstrap(records: DataFrame, key: str, tp: str, fp: str, fn: str, replicates: int, seed: int) -> DataFrame:
-    """Percentile interval of micro-F1 over resampled records (Poisson weights, so no row needs another's number).
+def resampled(records: DataFrame, key: str, replicates: int, seed: int) -> DataFrame:
+    """Each record with every replicate's number (rep) and the times that it is in that resample (w).
 
-    Each record draws a weight for each replicate from its hash: the number of times it is in the resample. Sums of weighted
-    counts merge map-side; the records are never numbered, sorted or collected.
+    The weight is Poisson and comes from the record's hash, so records are never numbered, sorted or collected.
     """
     u = bucket(1_000_000, F.lit(seed), F.col("rep"), F.col(key)) / F.lit(1e6)
     cdf = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]  # of Poisson(1)
-    weight = sum((u >= c).cast("long") for c in cdf)
-    drawn = records.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("w", weight)
-    f1 = drawn.groupBy("rep").agg(F.sum(F.col("w") * F.col(tp)).alias("tp"), F.sum(F.col("w") * F.col(fp)).alias("fp"), F.sum(F.col("w") * F.col(fn)).alias("fn")).select(ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"))
-    return f1.agg(F.round(F.percentile("f1", 0.025), 9).alias("low"), F.round(F.percentile("f1", 0.975), 9).alias("high"), F.count("*").alias("replicates"))
+    return records.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("w", sum((u >= c).cast("long") for c in cdf))
+
+
+def interval(values: DataFrame, *columns: str) -> DataFrame:
+    """2.5 and 97.5 per cent percentiles (linear between values) of each column, and the number of replicates."""
+    ends = [F.round(F.percentile(c, q), 9).alias(f"{c}_{n}" if len(columns) > 1 else n) for c in columns for n, q in (("low", 0.025), ("high", 0.975))]
+    return values.agg(*ends, F.count("*").alias("replicates"))
+
+
+def bootstrap(records: DataFrame, key: str, tp: str, fp: str, fn: str, replicates: int, seed: int) -> DataFrame:
+    """Percentile interval of micro-F1 over resampled records; sums of weighted counts merge map-side."""
+    drawn = resampled(records, key, replicates, seed)
+    sums = drawn.groupBy("rep").agg(*(F.sum(F.col("w") * F.col(c)).alias(n) for c, n in ((tp, "tp"), (fp, "fp"), (fn, "fn"))))
+    return interval(sums.select(ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1")), "f1")
+
+
+def bootstrap_classes(records: DataFrame, key: str, gold: str, pred: str, replicates: int, seed: int) -> DataFrame:
+    """Percentile intervals of accuracy and macro-F1; a class without gold rows in a replicate is no part of its macro-F1."""
+    cells = resampled(records, key, replicates, seed).groupBy("rep", F.col(gold).alias("gold"), F.col(pred).alias("pred")).agg(F.sum("w").alias("n"))
+    n, same = F.col("n"), F.col("gold").eqNullSafe(F.col("pred"))
+    each = cells.select("rep", "n", same.alias("same"), "gold", F.explode(F.array_distinct(F.array("gold", "pred"))).alias("label"))
+    of = lambda p: F.coalesce(F.sum(F.when(p, n)), F.lit(0))
+    per = each.groupBy("rep", "label").agg(of(F.col("same")).alias("tp"), of(F.col("gold") == F.col("label")).alias("support"), F.sum("n").alias("either"))
+    f1 = ratio(2 * F.col("tp"), F.col("either") + F.col("tp"))  # gold and predicted counts add up to either + tp
+    macro = per.where("support > 0").groupBy("rep").agg(F.avg(f1).alias("macro_f1"), ratio(F.sum("tp"), F.sum("support")).alias("accuracy"))
+    return interval(macro, "accuracy", "macro_f1")
+
+
+def order_missed(table: DataFrame, orders: list[str], extracted: list[str]) -> DataFrame:
+    """From a confusion table: gold rows of the order classes, and how many of them are predicted outside ``extracted``."""
+    n = F.col("n")
+    s = table.where(F.col("gold").isin(*orders)).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("order_rows"), F.coalesce(F.sum(F.when(~F.col("pred").isin(*extracted), n)), F.lit(0)).alias("missed"))
+    return s.withColumn("missed_rate", ratio(F.col("missed"), F.col("order_rows")))
 
 
 def calibration_bins(df: DataFrame, confidence: str, correct: str, bins: int = 10) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docket.functions import columns as C
-from docket.operators import orders, review
-from docket.plans.catalogue import _LOG, _RULE, _SPLIT, LINES, b, query, ratio, rule_kinds, rule_lines, split_documents, t
+from docket.operators import align, orders, review, scoring
+from docket.plans.catalogue import _LOG, _PRED, _RULE, _SPLIT, CLASSES, LINES, b, classification_confusion, predictions, query, ratio, rule_kinds, rule_lines, split_documents, t
 from docket.sources import files, mail
 from docket.streaming import windows as streams
 
@@ -353,3 +353,51 @@ def sft_composition(spark, sf):
 @query("select lang, '| ' || lang || ' | ' || count(*) || ' |' line from documents group by 1")
 def report_markdown(spark, sf):
     return t(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("n")).select("lang", review.markdown_rows(F.col("lang"), F.col("n")).alias("line"))
+
+
+# --- resolution and resampling -----------------------------------------------------------------------------------------
+@query("""with m as (select p_partkey, case p_partkey % 3 when 0 then ' sku-' || p_partkey || ' ' when 1 then '  ' || upper(p_name) else 'no such part' end mention from part),
+ k as (select 'SKU-' || p_partkey term, p_partkey target, 'code' kind from part union all select lower(p_name), p_partkey, 'term' from part)
+ select p_partkey, (select min(target) from k where (kind = 'code' and term = upper(trim(mention))) or (kind = 'term' and term = lower(trim(mention)))) target from m""")
+def code_resolve(spark, sf):
+    p, k = t(spark, sf, "part"), F.col("p_partkey")
+    mention = F.when(k % 3 == 0, F.concat(F.lit(" sku-"), k.cast("string"), F.lit(" "))).when(k % 3 == 1, F.concat(F.lit("  "), F.upper("p_name"))).otherwise("no such part")
+    pairs = F.array(F.struct(F.lit("code").alias("kind"), F.concat(F.lit("SKU-"), k.cast("string")).alias("term")), F.struct(F.lit("term").alias("kind"), C.norm_text(F.col("p_name")).alias("term")))
+    keys = p.select(k.alias("target"), k.alias("place"), F.explode(pairs).alias("e")).select("e.kind", "e.term", "target", "place")
+    return align.resolve_keyed(p.select(k, mention.alias("text")), "text", keys).select("p_partkey", "target")
+
+
+@query("select case l_returnflag when 'A' then 'each' when 'R' then 'roll' end unit, count(*) n from lineitem group by 1")
+def unit_resolve(spark, sf):
+    units = spark.createDataFrame([("each", ["ea", "each"]), ("roll", ["rolls"])], "unit string, aliases array<string>")
+    terms = units.select("unit", F.explode(F.array_distinct(F.concat(F.array("unit"), "aliases"))).alias("term"))
+    said = F.when(F.col("l_returnflag") == "A", " EA").when(F.col("l_returnflag") == "R", "Rolls").otherwise("bag")
+    x = t(spark, sf, "lineitem").select(C.norm_text(said).alias("term"))
+    return x.join(terms, "term", "left").groupBy("unit").agg(F.count("*").alias("n"))
+
+
+@query("select e.event_id, case when e.user_id % 2 = 0 then c.c_custkey end customer from events e left join customer c on c.c_custkey = e.user_id")
+def sender_resolve(spark, sf):
+    domain = lambda a, c: F.concat(F.lit(a), c.cast("string"), F.lit(".example"))
+    k, u = F.col("c_custkey"), F.col("user_id")
+    customers = t(spark, sf, "customer").select(k.alias("customer"), F.array(domain("shop", k), domain("cust", k)).alias("domains"))
+    sender = F.concat(F.lit(" Buyer@"), F.when(u % 2 == 0, domain("CUST", u)).otherwise("elsewhere.example"))
+    return align.resolve_sender(t(spark, sf, "events").select("event_id", sender.alias("sender")), "sender", customers, "domains", "customer").select("event_id", "customer")
+
+
+_WEIGHT = " + ".join(f"(u >= {c})::BIGINT" for c in ("0.36787944117144233", "0.7357588823428847", "0.9196986029286058", "0.9810118431238462", "0.9963401531726563", "0.9994058151824183"))
+
+
+@query(f"""with {_PRED}, v as (select o_orderkey, gold, case when guess in ({', '.join(repr(c) for c in CLASSES)}) then guess else 'invalid' end pred from pred),
+ d as (select rep, gold, pred, {b(1000000, "concat_ws('|', 3, rep, o_orderkey)")} / 1e6 u from v, (select unnest(range(20)) rep)), w as (select rep, gold, pred, sum({_WEIGHT}) n from d group by all),
+ g as (select rep, gold label, sum(n) support, sum(n) filter (gold = pred) tp from w group by all), pr as (select rep, pred label, sum(n) predicted from w group by all),
+ f as (select rep, avg(2 * coalesce(tp, 0)::DOUBLE / (support + coalesce(predicted, 0))) macro_f1, sum(tp)::DOUBLE / sum(support) accuracy from g left join pr using (rep, label) where support > 0 group by 1)
+ select round(quantile_cont(accuracy, 0.025), 9) accuracy_low, round(quantile_cont(accuracy, 0.975), 9) accuracy_high, round(quantile_cont(macro_f1, 0.025), 9) macro_f1_low, round(quantile_cont(macro_f1, 0.975), 9) macro_f1_high, count(*) replicates from f""")
+def bootstrap_classes(spark, sf):
+    x = predictions(spark, sf).withColumn("pred", F.when(F.col("guess").isin(*CLASSES), F.col("guess")).otherwise("invalid"))
+    return scoring.bootstrap_classes(x, "o_orderkey", "gold", "pred", 20, 3)
+
+
+@query(f"with {_PRED}, s as (select sum(n)::BIGINT order_rows, coalesce(sum(n) filter (pred not in ('1-URGENT', '2-HIGH')), 0)::BIGINT missed from conf where gold = '1-URGENT') select *, {ratio('missed', 'order_rows')} missed_rate from s")
+def order_missed(spark, sf):
+    return scoring.order_missed(classification_confusion(spark, sf), ["1-URGENT"], ["1-URGENT", "2-HIGH"])
