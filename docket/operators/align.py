@@ -97,13 +97,15 @@ def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([indel_ratio(x or "", y or "") for x, y in zip(a, b)])
 
 
-def resolve(mentions: DataFrame, mention: str, dictionary: DataFrame, term: str, target: str, floor: float = 80.0) -> DataFrame:
+def resolve(mentions: DataFrame, mention: str, dictionary: DataFrame, term: str, target: str, floor: float = 80.0, alias: str | None = None) -> DataFrame:
     """Dictionary resolution: exact by normalised term (the last target wins), else the best token-sorted ratio of at least ``floor``.
 
     Only distinct mentions without an exact match are compared, and only with terms of a length for which the ratio
-    can reach ``floor``: f to 1/f times the mention's, f = floor / (200 - floor). Returns mention, target, score, method.
+    can reach ``floor``: f to 1/f times the mention's, f = floor / (200 - floor). Returns mention, target, score and
+    method: name_exact, alias_exact (the column ``alias`` marks a term as no name), fuzzy or unresolved.
     """
-    terms = dictionary.select(norm_text(F.col(term)).alias("term"), F.col(target).alias("target")).groupBy("term").agg(F.max("target").alias("target"))
+    is_name = F.lit(True) if alias is None else ~F.coalesce(F.col(alias), F.lit(False))
+    terms = dictionary.select(norm_text(F.col(term)).alias("term"), F.col(target).alias("target"), is_name.alias("is_name")).groupBy("term").agg(F.max("target").alias("target"), F.max_by("is_name", F.struct("target", "is_name")).alias("is_name"))
     wanted = mentions.select(F.col(mention).alias("mention"), norm_text(F.col(mention)).alias("norm")).distinct()
     exact = wanted.join(terms, F.col("norm") == F.col("term"), "left")
     rest = exact.where("target is null").select("mention", token_sort(F.col("mention")).alias("a"))
@@ -115,8 +117,8 @@ def resolve(mentions: DataFrame, mention: str, dictionary: DataFrame, term: str,
     scored = spread.join(lengths, "size").withColumn("score", _ratio("a", "b")).where(F.col("score") >= floor)
     top = scored.groupBy("mention").agg(F.max_by(F.struct("target", "score"), F.struct(F.col("score"), -F.col("target").cast("double"))).alias("t"))
     fuzzy = top.select("mention", F.col("t.target").alias("target"), F.col("t.score").alias("score"), F.lit("fuzzy").alias("method"))
-    hit = exact.where("target is not null").select("mention", "target", F.lit(100.0).alias("score"), F.lit("exact").alias("method"))
-    none = rest.join(fuzzy, "mention", "left_anti").select("mention", F.lit(None).cast(terms.schema["target"].dataType).alias("target"), F.lit(0.0).alias("score"), F.lit("none").alias("method"))
+    hit = exact.where("target is not null").select("mention", "target", F.lit(100.0).alias("score"), F.when(F.col("is_name"), "name_exact").otherwise("alias_exact").alias("method"))
+    none = rest.join(fuzzy, "mention", "left_anti").select("mention", F.lit(None).cast(terms.schema["target"].dataType).alias("target"), F.lit(0.0).alias("score"), F.lit("unresolved").alias("method"))
     return hit.unionByName(fuzzy).unionByName(none)
 
 

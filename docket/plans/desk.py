@@ -401,3 +401,12 @@ def bootstrap_classes(spark, sf):
 @query(f"with {_PRED}, s as (select sum(n)::BIGINT order_rows, coalesce(sum(n) filter (pred not in ('1-URGENT', '2-HIGH')), 0)::BIGINT missed from conf where gold = '1-URGENT') select *, {ratio('missed', 'order_rows')} missed_rate from s")
 def order_missed(spark, sf):
     return scoring.order_missed(classification_confusion(spark, sf), ["1-URGENT"], ["1-URGENT", "2-HIGH"])
+
+
+@query("with m as (select p_partkey, case when p_partkey % 2 = 0 then 'name_exact' else 'alias_exact' end \"method\" from part) select \"method\", count(*) n from m group by 1")
+def resolve_method_counts(spark, sf):
+    p, k = t(spark, sf, "part"), F.col("p_partkey")
+    entry = lambda name, is_alias: F.struct(F.concat(F.lit(name), k.cast("string")).alias("term"), F.lit(is_alias).alias("alias"))
+    terms = p.select(k.alias("target"), F.explode(F.array(entry("part ", False), entry("item ", True))).alias("e")).select("e.term", "e.alias", "target")
+    said = p.select(F.concat(F.when(k % 2 == 0, "PART  ").otherwise(" Item "), k.cast("string")).alias("m"))
+    return align.resolve(said, "m", terms, "term", "target", alias="alias").groupBy("method").agg(F.count("*").alias("n"))

@@ -43,7 +43,10 @@ def test_resolve(spark):
     d = spark.createDataFrame([("cold plate", 1), ("Cold  Plate", 4), ("hot anvil", 2), ("steel ring", 3)], "name string, id long")
     m = spark.createDataFrame([("COLD plate",), ("plate cold",), ("hot anvl",), ("zzz",), (None,), ("",)], "m string")
     got = {r.mention: (r.target, r.method) for r in align.resolve(m, "m", d, "name", "id").collect()}
-    assert got == {"COLD plate": (4, "exact"), "plate cold": (4, "fuzzy"), "hot anvl": (2, "fuzzy"), "zzz": (None, "none"), "": (None, "none"), None: (None, "none")}
+    assert got == {"COLD plate": (4, "name_exact"), "plate cold": (4, "fuzzy"), "hot anvl": (2, "fuzzy"), "zzz": (None, "unresolved"), "": (None, "unresolved"), None: (None, "unresolved")}
+    d = spark.createDataFrame([("cold plate", 1, False), ("chiller", 1, True), ("chiller", 0, False)], "name string, id long, alias boolean")
+    m = spark.createDataFrame([("Cold plate",), ("CHILLER",)], "m string")
+    assert {r.mention: (r.target, r.method) for r in align.resolve(m, "m", d, "name", "id", alias="alias").collect()} == {"Cold plate": (1, "name_exact"), "CHILLER": (1, "alias_exact")}
 
 
 def test_text_columns(spark):
