@@ -56,10 +56,10 @@ def prefix(data: np.ndarray) -> np.ndarray:
     return s
 
 
-def anchors(raw: bytes, length: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Hash, place, first and last window start of each picked k-gram."""
-    for begin in range(0, len(raw) - length + 1, PIECE):
-        data = np.frombuffer(raw, np.uint8, min(PIECE + length - 1, len(raw) - begin), begin)
+def anchors(raw: bytes, length: int, k: int, piece: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Hash, place, first and last window start of each picked k-gram; one that is picked on both sides of a piece's border comes once for each."""
+    for begin in range(0, len(raw) - length + 1, piece):
+        data = np.frombuffer(raw, np.uint8, min(piece + length - 1, len(raw) - begin), begin)
         n, w = len(data) - k + 1, length - k + 1
         s = prefix(data)
         h = (s[k:] - s[:-k]) * powers(n)[1]
@@ -210,7 +210,7 @@ def _batch(schema: pa.Schema, *cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
 
-def repeated_spans(rows: DataFrame, length: int, k: int, most: int, chunk: int) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(rows: DataFrame, length: int, k: int, most: int, chunk: int, piece: int) -> tuple[DataFrame, DataFrame]:
     """For rows (doc_id, text): (t, copies, rep) per distinct text, and the byte spans (t, a, b) that recur."""
     rows = rows.withColumn("t", F.unhex(F.md5("text")))
     kinds = written(rows.groupBy("t").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep")), "texts")
@@ -220,7 +220,7 @@ def repeated_spans(rows: DataFrame, length: int, k: int, most: int, chunk: int)
         for batch in batches:
             parts = []
             for t, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for hashes, *rest in anchors(text.as_py().encode(), length, k):
+                for hashes, *rest in anchors(text.as_py().encode(), length, k, piece):
                     parts.append(([t] * len(hashes), hashes, *rest))
             if parts:
                 cols = list(zip(*parts))
@@ -230,7 +230,8 @@ def repeated_spans(rows: DataFrame, length: int, k: int, most: int, chunk: int)
     all_anchors = written(long_enough.select("t", "text").mapInArrow(picked, "t binary, anchor long, place int, first int, last int"), "anchors")
     key = F.xxhash64("t", "place")
     twice = all_anchors.groupBy("anchor").agg(F.min(key).alias("x"), F.max(key).alias("y")).where("x <> y").select("anchor")
-    places = all_anchors.join(twice, "anchor", "left_semi").groupBy("anchor", "t", "place").agg(F.first("first").alias("first"), F.first("last").alias("last"))
+    # Window starts that pick one place adjoin, so the ranges of a place from both sides of a piece's border are one range.
+    places = all_anchors.join(twice, "anchor", "left_semi").groupBy("anchor", "t", "place").agg(F.min("first").alias("first"), F.max("last").alias("last"))
     places = written(places, "places")
     load = places.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > most).select("anchor", F.lit(True).alias("hot"))
     places = places.join(load, "anchor", "left")
@@ -306,7 +307,7 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, k: int = 128, most: int = MOST, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, k: int = 128, most: int = MOST, chunk: int = CHUNK, piece: int = PIECE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, spans (array of start, end) and kept (binary: the bytes that stay).
 
     A byte goes if a string of ``length`` bytes that covers it also starts anywhere else in the corpus, the same text
@@ -314,7 +315,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, k: int = 128, most: int =
     equal texts of at least ``length`` bytes go whole, repeated rows too. An empty table gives an empty result.
     """
     rows = texts(docs, id_col, text_col)
-    kinds, spans = repeated_spans(rows, length, k, most, chunk)
+    kinds, spans = repeated_spans(rows, length, k, most, chunk, piece)
     merged = spans.groupBy("t").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     fate = written(kinds.select("t", "copies").join(merged, "t", "left").where("copies > 1 or spans is not null"), "fate")
     joined = rows.withColumn("t", F.unhex(F.md5("text"))).join(fate, "t", "left").select("doc_id", "text", "copies", "spans")

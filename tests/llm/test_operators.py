@@ -260,6 +260,16 @@ def test_remove_repeats(spark, odd_rows, options):
     assert got == brute_repeats(rows, 24)
 
 
+@pytest.mark.parametrize("options", [{}, {"most": 1}])
+def test_remove_repeats_across_borders_of_pieces(spark, options):
+    rng = random.Random(9)
+    made = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    shared = [made(rng.randint(24, 40)) for _ in range(12)]
+    rows = [(i, "".join(x for s in rng.sample(shared, 6) for x in (made(rng.randint(3, 30)), s))) for i in range(12)]
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in substrings.remove_repeats(frame(spark, rows), length=24, k=8, piece=37, **options).collect())
+    assert got == brute_repeats(rows, 24)
+
+
 def test_colliding_hashes_remove_nothing(monkeypatch):
     """With a hash that calls everything equal, the byte comparison still decides."""
     monkeypatch.setattr(substrings.Occurrences, "_same", lambda self, x, y, n: np.ones(len(x), bool))
