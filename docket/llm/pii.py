@@ -5,6 +5,8 @@ and replaced by a keyed permutation within their format, a Feistel network whose
 the other half. Equal values get equal pseudonyms in every document, whatever separators stand
 between their digits, different values different ones, and whoever has the key can invert them.
 
+A run of digits that is no card as a whole is searched for cards between its separators.
+
 Kinds: email (letters and digits of name and domain, not the last label), phone (digits after the country code), card (valid
 by Luhn: payload permuted, check digit recomputed; other runs of digits stay), ssn, ip (32 bits), date (day number
 within 1900-01-01 .. 2099-08-05, in ISO or day-month-year form), secret (runs of 32 to 64 hex digits).
@@ -24,8 +26,8 @@ IP = r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)"
 DATE = r"(?<![\d\-/.])(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?![\-/.]?\d)"
 SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
 PHONE = r"\+\d{8,15}(?!\d)|\+\d{1,3}[ \-.]?\(?\d{2,4}\)?(?:[ \-.]?\d{2,4}){2,4}(?!\d)|(?<![\d+])\(\d{3}\) ?\d{3}[ \-.]\d{4}(?!\d)|(?<![\d\-.])\d{3}[\-.]\d{3}[\-.]\d{4}(?![\d\-])"
-NUMBER = r"(?<!\d)(?:\d[ \-]?){12,18}\d(?!\d)"
-CANDIDATE = "|".join(f"(?:{x})" for x in (EMAIL, SECRET, IP, DATE, SSN, PHONE, NUMBER))
+NUMBER = r"(?<!\d)\d(?:[ \-]?\d){12,999}(?!\d)"  # between the others; longer runs are cut at a separator
+CANDIDATE = "|".join(f"(?:{x})" for x in (EMAIL, SECRET, IP, DATE, SSN, PHONE))
 ROUNDS, DATE_BASE = 6, 270
 KINDS = ("email", "secret", "ip", "date", "ssn", "phone", "card")
 
@@ -103,10 +105,42 @@ def kind_of(m: Column) -> Column:
         .when(m.rlike(r"^(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})$"), F.when(in_range, "date"))
         .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), F.when(~m.rlike(r"^(?:000|666|9..)|-00-|-0000$"), "ssn"))
         .when(m.startswith("+") | m.startswith("(") | m.rlike(r"^\d{3}[\-.]\d{3}[\-.]\d{4}$"), "phone")
-        .when(luhn_valid(digits), "card")
     )
 
 
+def _cards(run: Column) -> Column:
+    """A run of digits as an array of (kind, value) that make it up: cards, and what is none with a null kind.
+
+    The run itself if it is valid, else its valid sub-runs of 13 to 19 digits from separator to separator that do not
+    overlap: first those that are written as cards are (4-4-4-4, 4-6-5 or without separators), then from the left, long before short.
+    """
+    part = lambda kind, value: F.struct(F.lit(kind).cast("string").alias("kind"), value.alias("value"))
+    size = lambda groups: F.length(F.array_join(groups, "")).cast("int")
+    valid = lambda digits: F.when(F.length(digits).between(13, 19), luhn_valid(digits)).otherwise(False)
+    groups = F.split(run, "[ -]")
+
+    def spans(i: Column) -> Column:
+        start = size(F.slice(groups, F.lit(1), i)) + i
+
+        def span(j: Column) -> Column:
+            some = F.slice(groups, i + 1, j - i + 1)
+            shape = F.array_join(F.transform(some, lambda g: F.length(g).cast("string")), "-")
+            rank = F.when((i == j) | shape.isin("4-4-4-4", "4-6-5"), 0).otherwise(1)
+            return F.struct(rank.alias("rank"), start.alias("a"), (-size(some) - (j - i)).alias("less"), F.array_join(some, "").alias("digits"))
+
+        return F.filter(F.transform(F.sequence(i, F.least(i + 18, F.size(groups) - 1)), span), lambda s: valid(s["digits"]))
+
+    found = F.array_sort(F.flatten(F.transform(F.sequence(F.lit(0), F.size(groups) - 1), spans)))
+    found = F.transform(found, lambda s: F.struct(s["a"].alias("a"), (s["a"] - s["less"]).alias("b")))
+    none = F.array().cast("array<struct<a:int,b:int>>")
+    chosen = F.array_sort(F.aggregate(found, none, lambda out, s: F.when(F.exists(out, lambda o: (o["a"] < s["b"]) & (s["a"] < o["b"])), out).otherwise(F.concat(out, F.array(s)))))
+    begun = F.struct(F.array().cast("array<struct<kind:string,value:string>>").alias("out"), F.lit(0).alias("at"))
+    cut = lambda a, b: run.substr(a + 1, b - a)
+    step = lambda s, c: F.struct(F.concat(s["out"], F.array(part(None, cut(s["at"], c["a"])), part("card", cut(c["a"], c["b"])))).alias("out"), c["b"].alias("at"))
+    inside = F.aggregate(chosen, begun, step, lambda s: F.concat(s["out"], F.array(part(None, cut(s["at"], F.length(run))))))
+    return F.when(valid(F.regexp_replace(run, "[^0-9]", "")), F.array(part("card", run))).otherwise(inside)
+
+
 def pseudonym(m: Column, kind: Column, key: str) -> Column:
     """The replacement of a validated candidate."""
     digits = F.regexp_replace(m, "[^0-9]", "")
@@ -146,17 +180,19 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     independent: no shuffle, repeated rows give equal rows, other columns are ignored.
     """
     rows = texts(docs, id_col, text_col)
-    some = F.col("text").rlike(r"[0-9]{3}|@|\d\.\d")
-    matches = F.when(some, F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    with_kind = F.transform("m", lambda m: F.struct(kind_of(m).alias("kind"), m.alias("value")))
-    done = F.transform("f", lambda f: F.struct(f["kind"].alias("kind"), f["value"].alias("value"), pseudonym(f["value"], f["kind"], key).alias("pseudonym")))
-    gaps = F.split("text", CANDIDATE, -1)
-    rebuilt = F.array_join(F.zip_with(gaps, F.concat(F.transform("r", lambda r: r["pseudonym"]), F.array(F.lit(""))), lambda g, p: F.concat(g, F.coalesce(p, F.lit("")))), "")
+    plain = lambda x: F.struct(F.lit(None).cast("string").alias("kind"), x.alias("value"))
+    between = lambda text, pattern: F.split(text, pattern, -1)
+    matches = lambda text, pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    ended = lambda found: F.concat(found, F.array(F.lit("")))
+    gap = lambda g: F.flatten(F.zip_with(between(g, NUMBER), ended(matches(g, NUMBER)), lambda x, run: F.concat(F.array(plain(x)), F.when(run == "", F.array(plain(run))).otherwise(_cards(run)))))
+    other = lambda m: F.struct(F.when(m != "", kind_of(m)).alias("kind"), m.alias("value"))
+    parts = F.flatten(F.zip_with(between("text", CANDIDATE), ended(matches("text", CANDIDATE)), lambda g, m: F.concat(gap(g), F.array(other(m)))))
+    done = F.transform("f", lambda f: F.struct(f["kind"].alias("kind"), f["value"].alias("value"), F.when(f["kind"].isNotNull(), pseudonym(f["value"], f["kind"], key)).otherwise(f["value"]).alias("pseudonym")))
     found = F.filter("r", lambda r: r["kind"].isNotNull())
-    rows = rows.withColumn("m", matches).withColumn("f", with_kind).withColumn("r", done)
+    rows = rows.withColumn("f", parts).withColumn("r", done)
     return rows.select(
         "doc_id",
-        F.when(F.size("m") == 0, F.col("text")).otherwise(rebuilt).alias("text"),
+        F.array_join(F.transform("r", lambda r: r["pseudonym"]), "").alias("text"),
         F.size(found).cast("long").alias("n_found"),
         found.alias("found"),
     )
