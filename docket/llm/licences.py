@@ -41,7 +41,6 @@ TEMPLATES = {
 }
 # Statements that sound like licences and are none.
 DECOYS = ["A driver license is required at the gate.", "The committee debated a new copyright law and the rights of authors.", "She asked permission to leave the room before noon.", "The warranty on the engine covers all parts for two years.", "You may use the back door when the front is closed.", "He studied at MIT and later moved to Apache county.", "Open source software changed the industry in many ways.", "Please read the terms and conditions of the hotel.", "The public domain of the village includes a park and a mill.", "Fishing licenses are sold under the bridge.", "General rights of the public are described in the next version.", "The free foundation can distribute food to any person without charge.", "mit der und die das version", "licensed plumber released into the wild"]
-CUES = ("licen", "copyright", "rights", "permission", "permitted", "warrant", "redistribut", "public domain", "spdx", "creative commons", "cc by", "cc0", "proprietary", "mit", "apache", "gnu", "bsd", "mozilla", "eclipse", "reproduced", "©")
 WORD = re.compile(r"[a-z0-9]+")
 UNKNOWN = "unknown"
 END = re.compile(r"[.!?:;\"”)]\s*$")
@@ -82,12 +81,19 @@ class LicenceModel:
     def __init__(self, seed: int = 5, variants: int = 40, accept: float = 0.5, similar: float = 0.5):
         self.classes, self.accept, self.similar = [*TEMPLATES, UNKNOWN], accept, similar
         self.shapes = {k: [set(pairs(words(t))) for t in v] for k, v in TEMPLATES.items()}
+        self.templates_of: dict[tuple[str, str], list[int]] = {}
+        flat = [s for v in self.shapes.values() for s in v]
+        for t, s in enumerate(flat):
+            for pair in s:
+                self.templates_of.setdefault(pair, []).append(t)
+        self.sizes, self.known = [len(s) for s in flat], frozenset(self.templates_of)
         rng = random.Random(seed)
         data = [self._example(rng, k, t) for k, v in TEMPLATES.items() for t in v for _ in range(variants)]
         data += [(self._noise(rng, t), UNKNOWN) for t in DECOYS for _ in range(variants)] + [(self._prose(rng, rng.randint(1, 60)), UNKNOWN) for _ in range(variants * 12)]
         rng.shuffle(data)
         kept = [d for d in data if d[0]]
         test, train = kept[: len(kept) // 5], kept[len(kept) // 5 :]
+        self.held_out = test
         counts = Counter(g for x, _ in train for g in set(grams(x)))
         self.number = {g: k for k, g in enumerate(sorted((g for g, c in counts.items() if c >= 3), key=str))}
         self.weights, self.bias = self._fit(train)
@@ -136,6 +142,15 @@ class LicenceModel:
                 b -= rate * g / np.sqrt(b2)
         return w, b
 
+    def may_confirm(self, found: list[str]) -> bool:
+        """Whether words are similar enough to any family's template; classify() calls all others unknown."""
+        own = self.known.intersection(zip(found, found[1:]))
+        if not own:
+            return False
+        shared = Counter(t for pair in own for t in self.templates_of[pair])
+        least = self.similar * len(set(zip(found, found[1:])))
+        return any(n >= self.similar * self.sizes[t] or n >= least for t, n in shared.items())
+
     def classify(self, paragraph: str) -> tuple[str, float, float]:
         """(family or "unknown", calibrated probability, similarity to the family's nearest template)."""
         found = words(paragraph)
@@ -159,12 +174,10 @@ def find_licences(text: str, model: LicenceModel) -> list[tuple[int, int, int, s
     low = text.lower()
     if len(low) != len(text):
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    if not any(c in low for c in CUES):
-        return []  # no family has a template without one of these
     out = []
     for k, (start, end) in enumerate(paragraphs(text)):
         part = low[start:end]
-        if any(c in part for c in CUES):
+        if model.may_confirm(WORD.findall(part)):
             family, p, similarity = model.classify(part)
             if family != UNKNOWN:
                 out.append((k, start, end, family, p, similarity))

@@ -344,6 +344,18 @@ def test_licences(spark, odd_rows):
     assert all(got[i].n_found == 0 for i, _ in odd_rows)
 
 
+def test_licences_skip_no_paragraph_that_would_be_confirmed():
+    model = licences.default_model()
+    for family, text in {"CC-BY-SA": "Content is available under CC-BY-SA-3.0.", "Public-domain": "This is free and unencumbered software released into the public\ndomain."}.items():
+        assert [f[3] for f in licences.find_licences(text, model)] == [family]
+    for words, _ in model.held_out:
+        text = " ".join(words)
+        found = [f[3] for f in licences.find_licences(text, model)]
+        assert found == [f for f in [model.classify(text)[0]] if f != licences.UNKNOWN]
+    for text in ("GPL-3.0-or-later", "MPL-2.0", "AGPL-3.0-only", "LGPL-2.1-only", "EPL-2.0"):
+        assert [f[3] for f in licences.find_licences(text, model)] == [f for f in [model.classify(text)[0]] if f != licences.UNKNOWN]
+
+
 def test_main_text_on_held_out_pages(spark):
     pages = mainpage.labelled_pages(150, seed=77)
     model = mainpage.default_model()
