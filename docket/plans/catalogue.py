@@ -356,12 +356,12 @@ def rate_limit_decisions(spark, sf):
 
 @query("select user_id, (cast(floor(epoch(ts)) as bigint) // 86400) * 86400 window_start, count(*) used from events group by 1, 2")
 def stream_rate_limit(spark, sf):
-    return streams.drain(streams.window_counts(streams.event_stream(spark, sf), "user_id", "1 day"), "complete")
+    return streams.drain(streams.window_counts(streams.event_stream(spark, sf), "user_id", "1 day"), "update", ["user_id", "window_start"])
 
 
 @query("select user_id org_id, strftime(ts, '%Y-%m') period, count(*) events from events group by 1, 2")
 def stream_usage(spark, sf):
-    return streams.drain(streams.usage_counts(streams.event_stream(spark, sf), "user_id"), "complete")
+    return streams.drain(streams.usage_counts(streams.event_stream(spark, sf), "user_id"), "update", ["org_id", "period"])
 
 
 @query("""select event_type, count(*) calls, count(*) filter (event_id % 4 = 0) cached, round(coalesce(quantile_cont(value, 0.5) filter (event_id % 4 <> 0), 0.0), 9) p50, round(coalesce(quantile_cont(value, 0.95) filter (event_id % 4 <> 0), 0.0), 9) p95 from events group by 1""")

@@ -138,7 +138,7 @@ def stream_review_state(spark, sf):
     e = streams.event_stream(spark, sf)
     action = F.when(F.col("event_type") == "error", "rejected").when(F.col("event_type") == "purchase", "approved").otherwise("edited")
     edits = F.when(F.col("event_type").isin("error", "purchase"), None).when(F.col("event_id") % 3 == 0, "").otherwise(F.concat(F.lit("e"), F.col("event_id").cast("string")))
-    return streams.drain(orders.latest_decision(e.withColumn("action", action).withColumn("edits", edits), "user_id", "at", "event_id"), "complete")
+    return streams.drain(orders.latest_decision(e.withColumn("action", action).withColumn("edits", edits), "user_id", "at", "event_id"), "update", ["user_id"])
 
 
 @query("select user_id, cast(floor(epoch(ts)) as bigint) // 60 * 60 window_start, count(*) used, count(*) > 1 over_limit from events group by 1, 2")

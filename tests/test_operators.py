@@ -114,6 +114,18 @@ def test_stream_equals_batch(spark):
     assert once.count() == events.select("event_id").distinct().count()
 
 
+def test_streams_are_drained_into_the_shared_folder(spark, tmp_path):
+    for k, values in enumerate(([1, 1, 2], [2, 3])):
+        spark.createDataFrame([(v, 10 * k + v) for v in values], "key long, v long").coalesce(1).write.parquet(str(tmp_path / f"in/part{k}"))
+    stream = spark.readStream.schema("key long, v long").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    counts = stream.groupBy("key").agg(F.count("*").alias("n"))
+    for mode in ("update", "complete"):
+        out = windows.drain(counts, mode, ["key"])
+        assert sorted(map(tuple, out.collect())) == [(1, 2), (2, 2), (3, 1)]
+        assert out.inputFiles() and all(f.startswith("file:") for f in out.inputFiles())
+    assert sorted(r.v for r in windows.drain(stream, "append").collect()) == [1, 1, 2, 12, 13]
+
+
 def test_sampling_and_messages(spark):
     df = spark.range(500).withColumnRenamed("id", "doc_id")
     sets = orders.nested_prefixes(df, "doc_id", 3, [5, 50]).groupBy("size").agg(F.collect_set("doc_id").alias("s")).collect()
