@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docket.llm.common import texts
+from docket.llm.common import texts, written
 
 WORD = re.compile(r"\w+")
 ITEMS_PER_SCAN = 20_000  # bounds what a task holds: about 10 MB of signatures, 40 MB of words
@@ -122,23 +122,24 @@ def contaminated(
 
     Containment counts distinct word shingles (lower case, runs of letters and digits) of the item. An item
     of fewer words than ``shingle`` is one shingle; an item without words, or null, matches nothing. A null
-    text is empty and matches nothing. Rows of a repeated doc_id give a pair each; a repeated item
-    gives one pair per item_id (its last row). Items are read in blocks of ``items_per_scan``.
+    text is empty and matches nothing. Rows of a repeated doc_id give a pair each; so do
+    different texts of one item_id, equal rows of an item give one pair. An item whose id is null or no number has a null item_id. Items are read in blocks of ``items_per_scan``.
     """
     spark = docs.sparkSession
     rows, out = texts(docs, id_col, text_col), None
-    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t")).where("i is not null")
+    items = benchmark.select(F.col(item_col).try_cast("long").alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t")).distinct()
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("containment", pa.float64())])
-    count = items.count()
+    items = written(items, "items") if items_per_scan < (count := items.count()) else items
     blocks = -(-count // items_per_scan)
     for k in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k) if blocks > 1 else items
+        block = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k) if blocks > 1 else items
         index = spark.sparkContext.broadcast([(r.i, r.t) for r in block.orderBy("i", "t").toLocalIterator()])
 
         def search(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            found = Index(index.value, threshold, shingle)
+            ids = [i for i, _ in index.value]  # items are numbered, so that neither a null nor a repeated id hides one
+            found = Index([(k, t) for k, (_, t) in enumerate(index.value)], threshold, shingle)
             for batch in batches:
-                pairs = [(d, i, c) for d, t in zip(batch.column(0).to_pylist(), batch.column(1)) for i, c in found.search(t.as_py())]
+                pairs = [(d, ids[k], c) for d, t in zip(batch.column(0).to_pylist(), batch.column(1)) for k, c in found.search(t.as_py())]
                 if pairs:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*pairs), schema)], schema=schema)
 

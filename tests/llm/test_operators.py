@@ -234,6 +234,16 @@ def test_contaminated(spark, odd_rows):
     assert 50 not in {r.doc_id for r in decontaminate.drop_contaminated(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
 
 
+@pytest.mark.parametrize("scan", [1, 20_000])
+def test_contaminated_by_items_of_null_and_repeated_ids(spark, scan):
+    a, b, c, d = ("one two three four five six", "red green blue black white grey", "north south east west up down", "spring summer autumn winter day night")
+    items = spark.createDataFrame([("0", a), ("0", b), (None, c), ("q7", d), ("0", a)], "item_id string, text string")
+    docs = frame(spark, [(k, f"so {t} then") for k, t in enumerate((a, b, c, d, "no item at all is in here"))])
+    got = sorted((r.doc_id, r.item_id, r.containment) for r in decontaminate.contaminated(docs, items, items_per_scan=scan).collect())
+    assert got == [(0, 0, 1.0), (1, 0, 1.0), (2, None, 1.0), (3, None, 1.0)]
+    assert [r.doc_id for r in decontaminate.drop_contaminated(docs, items, items_per_scan=scan).collect()] == [4]
+
+
 def brute_repeats(rows, length):
     seen = Counter(raw[s : s + length] for _, t in rows for raw in [(t or "").encode()] for s in range(len(raw) - length + 1))
     out = Counter()
