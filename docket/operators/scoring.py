@@ -5,8 +5,14 @@ All operators are lazy and work on counts that merge (integers first, ratios las
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from docket.functions.columns import bucket, norm_text, ratio
 
@@ -115,14 +121,21 @@ def interval(values: DataFrame, *columns: str) -> DataFrame:
 
 def bootstrap(records: DataFrame, key: str, tp: str, fp: str, fn: str, replicates: int, seed: int) -> DataFrame:
     """Percentile interval of micro-F1 over resampled records; sums of weighted counts merge map-side."""
-    drawn = resampled(records, key, replicates, seed)
+    return _f1_interval(resampled(records, key, replicates, seed), tp, fp, fn)
+
+
+def _f1_interval(drawn: DataFrame, tp: str, fp: str, fn: str) -> DataFrame:
     sums = drawn.groupBy("rep").agg(*(F.sum(F.col("w") * F.col(c)).alias(n) for c, n in ((tp, "tp"), (fp, "fp"), (fn, "fn"))))
     return interval(sums.select(ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1")), "f1")
 
 
 def bootstrap_classes(records: DataFrame, key: str, gold: str, pred: str, replicates: int, seed: int) -> DataFrame:
     """Percentile intervals of accuracy and macro-F1; a class without gold rows in a replicate is no part of its macro-F1."""
-    cells = resampled(records, key, replicates, seed).groupBy("rep", F.col(gold).alias("gold"), F.col(pred).alias("pred")).agg(F.sum("w").alias("n"))
+    return _class_intervals(resampled(records, key, replicates, seed), gold, pred)
+
+
+def _class_intervals(drawn: DataFrame, gold: str, pred: str) -> DataFrame:
+    cells = drawn.groupBy("rep", F.col(gold).alias("gold"), F.col(pred).alias("pred")).agg(F.sum("w").alias("n"))
     n, same = F.col("n"), F.col("gold").eqNullSafe(F.col("pred"))
     each = cells.select("rep", "n", same.alias("same"), "gold", F.explode(F.array_distinct(F.array("gold", "pred"))).alias("label"))
     of = lambda p: F.coalesce(F.sum(F.when(p, n)), F.lit(0))
@@ -132,6 +145,34 @@ def bootstrap_classes(records: DataFrame, key: str, gold: str, pred: str, replic
     return interval(macro, "accuracy", "macro_f1")
 
 
+def redrawn(cells: DataFrame, columns: list[str], replicates: int, seed: int) -> DataFrame:
+    """Each row of (columns, n) with every replicate's number (rep) and how many of its n records are in that resample (w).
+
+    The sum of n records' Poisson weights is Poisson with mean n, so equal records are drawn together: the cost is
+    distinct rows times replicates, however many records there are. Draws come from the seed and the row's own values.
+    """
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                name = hashlib.sha256(repr((seed, *(row[c] for c in columns))).encode()).digest()
+                w = np.random.default_rng(np.frombuffer(name, np.uint32)).poisson(row["n"], replicates)
+                yield pa.RecordBatch.from_arrays([*(pa.array([row[c]] * replicates, batch.schema.field(c).type) for c in columns), pa.array(np.arange(replicates)), pa.array(w)], names=[*columns, "rep", "w"])
+
+    cells = cells.select(*columns, "n")
+    return cells.mapInArrow(draw, StructType([*cells.schema.fields[:-1], StructField("rep", LongType()), StructField("w", LongType())]))
+
+
+def bootstrap_counts(records: DataFrame, tp: str, fp: str, fn: str, replicates: int = 1000, seed: int = 7) -> DataFrame:
+    """bootstrap() with the reference's number of replicates; records of equal counts are drawn together."""
+    return _f1_interval(redrawn(records.groupBy(tp, fp, fn).agg(F.count("*").alias("n")), [tp, fp, fn], replicates, seed), tp, fp, fn)
+
+
+def bootstrap_confusion(records: DataFrame, gold: str, pred: str, replicates: int = 1000, seed: int = 3) -> DataFrame:
+    """bootstrap_classes() with the reference's number of replicates; records of equal classes are drawn together."""
+    return _class_intervals(redrawn(records.groupBy(gold, pred).agg(F.count("*").alias("n")), [gold, pred], replicates, seed), gold, pred)
+
+
 def order_missed(table: DataFrame, orders: list[str], extracted: list[str]) -> DataFrame:
     """From a confusion table: gold rows of the order classes, and how many of them are predicted outside ``extracted``."""
     n = F.col("n")

@@ -128,8 +128,16 @@ def item_alignment(spark, sf):
  f as (select rep, 2 * sum(n * tp)::DOUBLE / nullif(2 * sum(n * tp) + sum(n * fp) + sum(n * fn), 0) f1 from w group by rep)
  select round(quantile_cont(f1, 0.025), 9) low, round(quantile_cont(f1, 0.975), 9) high, count(*) replicates from f""")
 def bootstrap_ci(spark, sf):
-    r = outcomes(spark, sf).groupBy("l_orderkey").agg(F.sum("correct").alias("tp"), F.sum(F.col("wrong") + F.col("hallucination")).alias("fp"), F.sum(F.col("wrong") + F.col("miss")).alias("fn"))
-    return scoring.bootstrap(r, "l_orderkey", "tp", "fp", "fn", 20, 7)
+    return scoring.bootstrap(order_counts(spark, sf), "l_orderkey", "tp", "fp", "fn", 20, 7)
+
+
+def order_counts(spark, sf):
+    return outcomes(spark, sf).groupBy("l_orderkey").agg(F.sum("correct").alias("tp"), F.sum(F.col("wrong") + F.col("hallucination")).alias("fp"), F.sum(F.col("wrong") + F.col("miss")).alias("fn"))
+
+
+@query()
+def bootstrap_ci_1000(spark, sf):
+    return scoring.bootstrap_counts(order_counts(spark, sf), "tp", "fp", "fn")
 
 
 # --- classification ----------------------------------------------------------------------------------------------------

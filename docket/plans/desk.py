@@ -394,8 +394,16 @@ _WEIGHT = " + ".join(f"(u >= {c})::BIGINT" for c in ("0.36787944117144233", "0.7
  f as (select rep, avg(2 * coalesce(tp, 0)::DOUBLE / (support + coalesce(predicted, 0))) macro_f1, sum(tp)::DOUBLE / sum(support) accuracy from g left join pr using (rep, label) where support > 0 group by 1)
  select round(quantile_cont(accuracy, 0.025), 9) accuracy_low, round(quantile_cont(accuracy, 0.975), 9) accuracy_high, round(quantile_cont(macro_f1, 0.025), 9) macro_f1_low, round(quantile_cont(macro_f1, 0.975), 9) macro_f1_high, count(*) replicates from f""")
 def bootstrap_classes(spark, sf):
-    x = predictions(spark, sf).withColumn("pred", F.when(F.col("guess").isin(*CLASSES), F.col("guess")).otherwise("invalid"))
-    return scoring.bootstrap_classes(x, "o_orderkey", "gold", "pred", 20, 3)
+    return scoring.bootstrap_classes(valid_predictions(spark, sf), "o_orderkey", "gold", "pred", 20, 3)
+
+
+def valid_predictions(spark, sf):
+    return predictions(spark, sf).withColumn("pred", F.when(F.col("guess").isin(*CLASSES), F.col("guess")).otherwise("invalid"))
+
+
+@query()
+def bootstrap_classes_1000(spark, sf):
+    return scoring.bootstrap_confusion(valid_predictions(spark, sf), "gold", "pred")
 
 
 @query(f"with {_PRED}, s as (select sum(n)::BIGINT order_rows, coalesce(sum(n) filter (pred not in ('1-URGENT', '2-HIGH')), 0)::BIGINT missed from conf where gold = '1-URGENT') select *, {ratio('missed', 'order_rows')} missed_rate from s")

@@ -114,6 +114,23 @@ def test_stream_equals_batch(spark):
     assert once.count() == events.select("event_id").distinct().count()
 
 
+def test_bootstrap_of_a_thousand_replicates(spark):
+    import numpy as np
+
+    rows = [(i, i % 3, int(i % 7 == 0), int(i % 5 == 0)) for i in range(600)]
+    one = scoring.bootstrap_counts(spark.createDataFrame(rows, "id long, tp long, fp long, fn long"), "tp", "fp", "fn").first()
+    again = scoring.bootstrap_counts(spark.createDataFrame(rows[::-1], "id long, tp long, fp long, fn long").repartition(5), "tp", "fp", "fn").first()
+    x, rng = np.array(rows)[:, 1:], np.random.default_rng(1)
+    f1 = [2 * tp / (2 * tp + fp + fn) for tp, fp, fn in (x[rng.integers(0, 600, 600)].sum(0) for _ in range(4000))]
+    assert one == again and one.replicates == 1000
+    assert np.allclose([one.low, one.high], np.quantile(f1, [0.025, 0.975]), atol=0.003)
+    pairs = [(i, "ab"[i % 2], "ab"[i % 2] if i % 10 else "a") for i in range(600)] + [(k, "c", None) for k in range(5)]
+    c = scoring.bootstrap_confusion(spark.createDataFrame(pairs, "id long, gold string, pred string"), "gold", "pred").first()
+    right, rng = np.array([g == p for _, g, p in pairs]), np.random.default_rng(2)
+    accuracy = [right[rng.integers(0, len(right), len(right))].mean() for _ in range(4000)]
+    assert c.replicates == 1000 and np.allclose([c.accuracy_low, c.accuracy_high], np.quantile(accuracy, [0.025, 0.975]), atol=0.004)
+
+
 def test_streams_are_drained_into_the_shared_folder(spark, tmp_path):
     for k, values in enumerate(([1, 1, 2], [2, 3])):
         spark.createDataFrame([(v, 10 * k + v) for v in values], "key long, v long").coalesce(1).write.parquet(str(tmp_path / f"in/part{k}"))
