@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -43,3 +45,22 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def slices(batch: pa.RecordBatch, most_rows: int = 500, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Views of a batch that are small enough to become Python objects; Spark itself bounds a batch at 64 MB."""
+    step = max(1, min(most_rows, batch.num_rows * most_bytes // max(batch.nbytes, 1)))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
+def digest(text: Column) -> Column:
+    """What tells rows of one id apart where decisions are joined back to rows: SHA-256 of the text, null as empty."""
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
+def without(docs: DataFrame, dropped: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs``, all columns, whose id and text are not in ``dropped`` (doc_id, h). Null ids are compared too."""
+    names = [f"dropped_{uuid.uuid4().hex}" for _ in range(2)]  # clash with no column
+    out = written(dropped.select(F.col("doc_id").alias(names[0]), F.col("h").alias(names[1])).distinct(), "dropped")
+    return docs.join(out, F.col(id_col).cast("long").eqNullSafe(F.col(names[0])) & (digest(F.col(text_col)) == F.col(names[1])), "left_anti")

@@ -1,19 +1,21 @@
 """Benchmark decontamination by size-partitioned MinHash containment search.
 
-Test items are partitioned by their number of distinct word shingles, and every partition has its own
-signature length: the items' k smallest shingle hashes (a bottom-k MinHash) with
-k = floor((1 - threshold) * n) + 1. A document that holds at least ``threshold`` of an item's n shingles
-must hold one of any k of them, whatever the document's length, so the search loses nothing where a
-fixed-length signature of a long document would. Documents are scanned once where they lie: word hashes
-become shingle hashes, the signature index gives candidates, and candidates are verified by
-exact shingle containment on the words themselves.
-
-The index holds only signatures of the test items. It goes to the tasks in blocks of a bounded
-number of items; a larger benchmark takes more scans, never a larger broadcast.
+Test items are partitioned by their number n of distinct word shingles, from one power of two to the next. A partition has
+one signature length k for its items, their k smallest shingle hashes (a bottom-k MinHash), and two bounds that it is searched by. A
+document that holds ``threshold`` of an item's shingles lacks at most m = floor((1 - threshold) * n) of them, so it holds
+k - m of the signature at least; k is m + SPARE for the partition's largest item, and items that fewer hashes point to are no
+candidates. A document with fewer shingles than the partition's smallest item needs is not held against
+the partition at all. None of this depends on the document's length, so nothing is lost where a fixed-length signature of a
+long document would lose it. Documents are scanned once where they lie; candidates are verified by exact shingle
+containment on the words themselves.
+
+The index holds only test items. It goes to the tasks in blocks of a bounded number of items and bytes; a
+larger benchmark takes more scans, never a larger broadcast.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -25,20 +27,24 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docket.llm.common import texts, written
+from docket.llm.common import texts, without, written
 
 WORD = re.compile(r"\w+")
-ITEMS_PER_SCAN = 20_000  # bounds what a task holds: about 10 MB of signatures, 40 MB of words
+ITEMS_PER_SCAN = 20_000
+BYTES_PER_SCAN = 16 << 20  # of item texts, on average over the blocks
+SPARE = 3
 SALT = np.uint64(0x9E3779B97F4A7C15)
 
 
 class WordHashes(dict):
-    """64-bit hash of each word; emptied when it holds a million."""
+    """64-bit hash of each word; emptied when it holds 200,000, and after each task, since workers outlive stages."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
+        value = xxhash.xxh64_intdigest(word)
+        if len(word) <= 64:
+            if len(self) > 200_000:
+                self.clear()
+            self[word] = value
         return value
 
 
@@ -64,43 +70,60 @@ def hashed_words(found: list[str]) -> np.ndarray:
     return np.fromiter(map(HASHES.__getitem__, found), np.uint64, len(found))
 
 
+class Partition:
+    """Items whose number of distinct shingles lies between two powers of two."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray]], threshold: float):
+        sizes = [len(h) for _, h in items]
+        lacks = lambda n: floor((1 - threshold) * n + 1e-9)
+        self.k = lacks(max(sizes)) + SPARE
+        self.least = min(sizes) - lacks(min(sizes))  # shingles that a document needs for any of the items
+        self.needs, keys = {}, defaultdict(list)
+        for (i, hashes), n in zip(items, sizes):
+            self.needs[i] = max(1, min(self.k, n) - lacks(n))
+            for h in hashes[: self.k].tolist():
+                keys[h].append(i)
+        self.order, self.items = np.array(sorted(keys), np.uint64), dict(keys)
+
+    def candidates(self, own: np.ndarray) -> list[int]:
+        hits: dict[int, int] = defaultdict(int)
+        for h in own[np.isin(own, self.order)].tolist():
+            for i in self.items[h]:
+                hits[i] += 1
+        return [i for i, n in hits.items() if n >= self.needs[i]]
+
+
 class Index:
-    """Bottom-k signatures of items, by size partition and shingle length."""
+    """Size partitions of items, by shingle length (``shingle``, or less for items of fewer words)."""
 
     def __init__(self, items: list[tuple[int, str]], threshold: float, shingle: int):
         self.threshold, self.items = threshold, {}
-        keys: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        self.partitions: dict[tuple[int, int], int] = defaultdict(int)
+        sizes: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
         for item_id, text in items:
             found = words(text)
             if not found:
                 continue  # an item without words cannot be found in anything
             n = min(shingle, len(found))  # an item of fewer words is one shingle
-            distinct = {tuple(found[k : k + n]) for k in range(len(found) - n + 1)}
+            self.items[item_id] = (n, {tuple(found[k : k + n]) for k in range(len(found) - n + 1)})
             hashes = np.unique(shingle_hashes(hashed_words(found), n))
-            self.partitions[n, len(hashes).bit_length()] += 1
-            self.items[item_id] = (n, distinct)
-            for h in hashes[: floor((1 - threshold) * len(hashes) + 1e-9) + 1].tolist():
-                keys[n][h].append(item_id)
-        self.keys = {n: (np.array(sorted(k), np.uint64), dict(k)) for n, k in keys.items()}
+            sizes[n][len(hashes).bit_length()].append((item_id, hashes))
+        self.partitions = {n: [Partition(p, threshold) for _, p in sorted(s.items())] for n, s in sizes.items()}
+        self.any = {n: np.unique(np.concatenate([p.order for p in parts])) for n, parts in self.partitions.items()}
 
     def search(self, text: str) -> list[tuple[int, float]]:
-        found = words(text)
-        if not found:
-            return []
-        hashed, hits = hashed_words(found), defaultdict(int)
-        for n, (order, items) in self.keys.items():
-            own = shingle_hashes(hashed, n)
+        found, out = words(text), []
+        hashed = hashed_words(found)
+        for n, parts in self.partitions.items():
+            own, order = shingle_hashes(hashed, n), self.any[n]
             if not len(own):
                 continue
-            at = np.minimum(np.searchsorted(order, own), len(order) - 1)
-            for h in set(own[order[at] == own].tolist()):
-                for item_id in items[h]:
-                    hits[item_id] = n
-        out = []
-        for n in set(hits.values()):
-            grams = {tuple(g) for g in zip(*(found[k:] for k in range(n)))}
-            for item_id in (i for i, m in hits.items() if m == n):
+            met = own[order[np.minimum(np.searchsorted(order, own), len(order) - 1)] == own]
+            if not len(met):
+                continue
+            met = np.unique(met)
+            near = [i for p in parts if len(own) >= p.least for i in p.candidates(met)]
+            grams = set(zip(*(found[k:] for k in range(n)))) if near else ()
+            for item_id in near:
                 share = len(self.items[item_id][1] & grams) / len(self.items[item_id][1])
                 if share >= self.threshold - 1e-9:
                     out.append((item_id, share))
@@ -117,20 +140,28 @@ def contaminated(
     item_col: str = "item_id",
     item_text: str = "text",
     items_per_scan: int = ITEMS_PER_SCAN,
+    bytes_per_scan: int = BYTES_PER_SCAN,
 ) -> DataFrame:
     """(doc_id, item_id, containment) of every document and test item of which it holds ``threshold`` or more.
 
     Containment counts distinct word shingles (lower case, runs of letters and digits) of the item. An item
     of fewer words than ``shingle`` is one shingle; an item without words, or null, matches nothing. A null
-    text is empty and matches nothing. Rows of a repeated doc_id give a pair each; so do
-    different texts of one item_id, equal rows of an item give one pair. An item whose id is null or no number has a null item_id. Items are read in blocks of ``items_per_scan``.
+    text is empty and matches nothing; whole texts are searched, however long. Rows of a repeated doc_id give a pair each; so do
+    different texts of one item_id, equal rows of an item give one pair. An item whose id is null or no number has a null item_id.
+    Other columns are ignored. Items are read in blocks of ``items_per_scan`` items and ``bytes_per_scan`` bytes on average.
     """
+    options = dict(threshold=threshold, shingle=shingle, id_col=id_col, text_col=text_col, item_col=item_col, item_text=item_text, items_per_scan=items_per_scan, bytes_per_scan=bytes_per_scan)
+    return _hits(docs, benchmark, **options).select("doc_id", "item_id", "containment")
+
+
+def _hits(docs: DataFrame, benchmark: DataFrame, threshold: float, shingle: int, id_col: str, text_col: str, item_col: str, item_text: str, items_per_scan: int, bytes_per_scan: int) -> DataFrame:
+    """contaminated() with h, the digest of the document's text."""
     spark = docs.sparkSession
     rows, out = texts(docs, id_col, text_col), None
-    items = benchmark.select(F.col(item_col).try_cast("long").alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t")).distinct()
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("containment", pa.float64())])
-    items = written(items, "items") if items_per_scan < (count := items.count()) else items
-    blocks = -(-count // items_per_scan)
+    items = written(benchmark.select(F.col(item_col).try_cast("long").alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t")).distinct(), "items")
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("b")).first()
+    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("containment", pa.float64()), ("h", pa.string())])
+    blocks = max(-(-size.n // items_per_scan), -(-size.b // bytes_per_scan))
     for k in range(blocks):
         block = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k) if blocks > 1 else items
         index = spark.sparkContext.broadcast([(r.i, r.t) for r in block.orderBy("i", "t").toLocalIterator()])
@@ -139,16 +170,29 @@ def contaminated(
             ids = [i for i, _ in index.value]  # items are numbered, so that neither a null nor a repeated id hides one
             found = Index([(k, t) for k, (_, t) in enumerate(index.value)], threshold, shingle)
             for batch in batches:
-                pairs = [(d, ids[k], c) for d, t in zip(batch.column(0).to_pylist(), batch.column(1)) for k, c in found.search(t.as_py())]
+                pairs = []
+                for d, t in zip(batch.column(0), batch.column(1)):
+                    text = t.as_py()
+                    if hits := found.search(text):
+                        h = hashlib.sha256(text.encode()).hexdigest()
+                        pairs += [(d.as_py(), ids[k], c, h) for k, c in hits]
                 if pairs:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*pairs), schema)], schema=schema)
+            HASHES.clear()
 
-        found = rows.mapInArrow(search, "doc_id long, item_id long, containment double")
-        out = found if out is None else out.union(found)
-    return out if out is not None else spark.createDataFrame([], "doc_id long, item_id long, containment double")
+        hits = rows.mapInArrow(search, "doc_id long, item_id long, containment double, h string")
+        out = hits if out is None else out.union(hits)
+    return out if out is not None else spark.createDataFrame([], "doc_id long, item_id long, containment double, h string")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that hold no test item; rows without an id stay."""
-    hits = contaminated(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(hits, id_col, "left_anti").select(*docs.columns)
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text",
+    item_col: str = "item_id", item_text: str = "text", items_per_scan: int = ITEMS_PER_SCAN, bytes_per_scan: int = BYTES_PER_SCAN,
+) -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no test item.
+
+    A row goes by its id and its text, so of rows that share an id only those that hold an item go; rows without an id
+    are searched like any other. Null and empty texts stay; repeated rows share their fate.
+    """
+    hits = _hits(docs, benchmark, threshold, shingle, id_col, text_col, item_col, item_text, items_per_scan, bytes_per_scan)
+    return without(docs, hits, id_col, text_col)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docket.llm.common import texts, written
+from docket.llm.common import digest, texts, without, written
 
 FEATURES = (
     "log_chars", "word_length", "long_words", "unique_words", "top_word", "top_pair", "repeated_words", "symbols", "marks",
@@ -64,16 +64,18 @@ def features(text: str) -> list[float]:
     ]
 
 
-def feature_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, x): the features of every row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("x", pa.list_(pa.float64()))])
+def feature_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_digest: bool = False) -> DataFrame:
+    """(doc_id, x): the features of every row; also h, the digest of its text, on request."""
+    rows = texts(docs, id_col, text_col)
+    rows = rows.select("doc_id", "text", digest(F.col("text")).alias("h")) if with_digest else rows
+    schema = pa.schema([("doc_id", pa.int64()), ("x", pa.list_(pa.float64())), *[("h", pa.string())] * with_digest])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [features(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, schema.field(1).type)], schema=schema)
+            x = [features(t.as_py()) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, schema.field(1).type), *batch.columns[2:]], schema=schema)
 
-    return texts(docs, id_col, text_col).mapInArrow(of, "doc_id long, x array<double>")
+    return rows.mapInArrow(of, "doc_id long, x array<double>" + ", h string" * with_digest)
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -190,20 +192,29 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, m
     text is empty and scored like an empty one. Without any usable label, or with one class only, every
     score is the labelled rate (0.5 if there is none). A null id counts as held out. Repeated rows are scored each.
     """
-    table = written(feature_table(docs, id_col, text_col), "features")
+    scored = _scored(written(feature_table(docs, id_col, text_col), "features"), labels, most_rows)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def _scored(table: DataFrame, labels: DataFrame, most_rows: int) -> DataFrame:
+    """The rows of a feature table with their score in place of the features."""
     model = train(table, labels, most_rows)
-    schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
+    digests = "h" in table.columns
+    schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), *[("h", pa.string())] * digests])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x)), *batch.columns[2:]], schema=schema)
+
+    return table.mapInArrow(score, "doc_id long, score double" + ", h string" * digests)
 
-    scored = table.mapInArrow(score, "doc_id long, score double")
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
+def drop_poor(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that the classifier does not reject.
 
-def drop_poor(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the classifier does not reject; rows without an id stay."""
-    poor = quality_scores(docs, labels, threshold, id_col=id_col, text_col=text_col).where("predicted = 0").select(F.col("doc_id").alias(id_col))
-    return docs.join(poor.distinct(), id_col, "left_anti").select(*docs.columns)
+    A row goes by its id and its text, so of rows that share an id each is judged by its own text; rows without an id
+    are judged like any other, null and empty texts by the score of an empty text. Repeated rows share their fate.
+    """
+    table = written(feature_table(docs, id_col, text_col, True), "features")
+    return without(docs, _scored(table, labels, most_rows).where(F.col("score") < threshold), id_col, text_col)

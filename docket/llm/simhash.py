@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docket.llm.common import texts, written
+from docket.llm.common import digest, texts, without, written
 from docket.llm.components import components
 
 CHUNK = 2048  # members of a signature that one task compares with as many others
@@ -51,16 +51,18 @@ def fingerprint(text: str, shingle: int = 3) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint of each row as a signed long."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", with_digest: bool = False) -> DataFrame:
+    """(doc_id, fp): the fingerprint of each row as a signed long; also h, the digest of its text, on request."""
+    rows = texts(docs, id_col, text_col)
+    rows = rows.select("doc_id", "text", digest(F.col("text")).alias("h")) if with_digest else rows
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), *[("h", pa.string())] * with_digest])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), *batch.columns[2:]], schema=schema)
 
-    return texts(docs, id_col, text_col).mapInArrow(of, "doc_id long, fp long")
+    return rows.mapInArrow(of, "doc_id long, fp long" + ", h string" * with_digest)
 
 
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -242,16 +244,25 @@ def near_duplicates(docs: DataFrame, distance: int = 3, shingle: int = 3, id_col
     unless all its ids are null. An empty table gives an empty result.
     """
     prints = written(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
+    return prints.join(grouped(prints, distance), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def grouped(prints: DataFrame, distance: int) -> DataFrame:
+    """(fp, component_id) of each distinct fingerprint of (doc_id, fp)."""
     least = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     groups = components(links(least.select("fp"), distance))
     named = least.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = written(named.select("fp", "component").join(ids, "component").select("fp", "component_id"), "components")
-    return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return written(named.select("fp", "component").join(ids, "component").select("fp", "component_id"), "components")
 
 
 def drop_near_copies(docs: DataFrame, distance: int = 3, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, but of each group of near-duplicates only that of the smallest id; rows without an id stay."""
-    groups = near_duplicates(docs, distance, shingle, id_col, text_col)
-    dropped = groups.where("not doc_id <=> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(dropped, id_col, "left_anti").select(*docs.columns)
+    """The rows of ``docs``, all columns, but of each group of near-duplicates only those of the smallest id.
+
+    A row goes by its id and its text, so of rows that share an id a text without near copies stays. Rows without an id
+    stay only where no near copy has one. Null and empty texts, and all others without a word, are one group.
+    Repeated rows of the smallest id all stay.
+    """
+    prints = written(fingerprints(docs, shingle, id_col, text_col, True), "fingerprints")
+    dropped = prints.join(grouped(prints, distance), "fp").where("not doc_id <=> component_id")
+    return without(docs, dropped, id_col, text_col)

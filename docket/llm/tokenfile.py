@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docket.llm.common import shared_dir, texts
+from docket.llm.common import shared_dir, slices, texts
 from docket.llm.rangecode import BLOCK_IDS, decode_blocks, encode_blocks
 from docket.llm.tokens import default_vocabulary, encoder
 
@@ -43,8 +43,7 @@ def write_token_files(docs: DataFrame, path: str | None = None, vocabulary: str
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((part, chunk, doc_ids, sizes, blocks), CHUNK)], schema=CHUNK)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
+            for some in slices(batch):
                 for doc_id, ids in zip(some.column(0).to_pylist(), encoder(words).encode(some.column(1).to_pylist())):
                     doc_ids.append(doc_id)
                     sizes.append(len(ids) // 4 + 1)

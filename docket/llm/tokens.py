@@ -2,7 +2,7 @@
 
 The byte-level vocabulary splits text before every single space or newline that stands between two
 other characters, so the ids of a text are the ids of its pieces in order. Each worker keeps
-the ids of pieces that it has seen (a bounded table). Texts with runs of white space or a special
+the ids of pieces that it has seen (a table bounded by entries and by their length). Texts with runs of white space or a special
 token's string go to the library whole.
 """
 
@@ -18,7 +18,8 @@ RUN = re.compile(r"\s\s|<\|")
 PLAIN = re.compile(r" ?\S+").fullmatch
 NEWLINE = 198
 PUNCTUATION = ".,;:!?%*&#$|\"()"
-MOST_PIECES = 1_000_000
+MOST_PIECES = 1_000_000  # of at most LONGEST characters each: some 250 MB; longer ones are not kept
+LONGEST = 64
 
 
 def default_vocabulary() -> str:
@@ -86,7 +87,10 @@ class PieceEncoder:
             self.learn(new)
         get = self.known.__getitem__
         whole = iter(self.whole([t for t, c in zip(texts, cut) if c is None]))
-        return [next(whole) if c is None else b"".join(map(get, c)) for c in cut]
+        out = [next(whole) if c is None else b"".join(map(get, c)) for c in cut]
+        for piece in [p for p in new if len(p) > LONGEST]:
+            del self.known[piece]
+        return out
 
 
 @lru_cache(1)
