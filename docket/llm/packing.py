@@ -1,27 +1,28 @@
 """Packing of token sequences into fixed windows by best-fit decreasing.
 
-Documents are tokenised where they lie. Overlong documents are first cut into full windows; what is
-left of each is one piece. Pieces of one length are interchangeable, so best-fit decreasing runs
-on the histogram of lengths (at most ``window`` numbers, whatever the input), with a segment tree
-indexed by remaining capacity that finds the tightest open window. Its plan is a short list of
-rank ranges; each piece then looks up its place by its rank among the pieces of its length.
-Ranks come from per-task counts and a running sum over tasks, so no rows are sorted or gathered.
+Documents are tokenised and packed by the task that reads them, CHUNK_IDS ids at a time, so memory is bounded and nothing is
+shuffled or gathered. Overlong documents are first cut into full windows; what is left of each is one
+piece. Pieces of one length are interchangeable, so best-fit decreasing runs on a chunk's histogram of lengths, with
+a segment tree indexed by remaining capacity that finds the tightest open window. The pieces of windows that it
+leaves less than 99 % full go on to the next chunk; only a task's last chunk ends with them. Tasks number their windows from 0, and a
+running sum over tasks (one number each) makes the numbers those of all.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docket.llm.common import texts, written
+from docket.llm.common import slices, texts, written
 from docket.llm.tokens import default_vocabulary, encoder
 
-PIECE = "doc_id long, start long, length int, ids binary, doc_tokens long, part int, turn long"
-RULE = "length int, first long, past long, sequence_id long, per int, offset long"
+PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long, part int, turn long, offset long"
+CHUNK_IDS = 4 << 20
 
 
 class OpenWindows:
@@ -93,27 +94,62 @@ def best_fit_rules(counts: dict[int, int], window: int) -> list[tuple]:
     return rules
 
 
-def cut_pieces(docs: DataFrame, window: int, vocabulary: str | None, end_id: int) -> DataFrame:
-    """Tokenise and cut: full windows first, then what is left. ``turn`` counts equal lengths within a task."""
+class Packer:
+    """Packs the pieces of one task, a bounded number of ids at a time; windows that are not nearly full wait for more pieces."""
+
+    def __init__(self, window: int, part: int):
+        self.window, self.part = window, part
+        self.rows: list[tuple] = []  # doc_id, start, length, ids, doc_tokens
+        self.held = self.next = 0
+
+    def add(self, doc_id: int | None, ids: bytes) -> None:
+        n = len(ids) // 4
+        for start in range(0, n, self.window):
+            length = min(self.window, n - start)
+            self.rows.append((doc_id, start, length, ids[4 * start : 4 * (start + length)], n))
+            self.held += length
+
+    def placed(self, last: bool) -> Iterator[tuple]:
+        """Rows with part, window of the part and offset. What stands in a window less than 99 % full stays for the next call, unless it is the last."""
+        by_length: dict[int, list[int]] = {}
+        for k, row in enumerate(self.rows):
+            by_length.setdefault(row[2], []).append(k)
+        windows: dict[int, list[tuple[int, int]]] = {}
+        for length, first, past, sequence, per, offset in best_fit_rules({n: len(x) for n, x in by_length.items()}, self.window):
+            for r, k in enumerate(by_length[length][first:past]):
+                windows.setdefault(sequence + r // per, []).append((k, offset + r % per * length))
+        waiting = []
+        for pieces in windows.values():
+            if not last and 100 * sum(self.rows[k][2] for k, _ in pieces) < 99 * self.window:
+                waiting += [self.rows[k] for k, _ in pieces]
+                continue
+            for k, offset in pieces:
+                yield (*self.rows[k], self.part, self.next, offset)
+            self.next += 1
+        self.rows, self.held = waiting, sum(r[2] for r in waiting)
+
+
+def pieces_in_place(docs: DataFrame, window: int, vocabulary: str | None, end_id: int, chunk_ids: int) -> DataFrame:
+    """Tokenise, cut and pack, all in the task that reads a document."""
     path = vocabulary or default_vocabulary()
     end = end_id.to_bytes(4, "little")
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int32()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("part", pa.int32()), ("turn", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("part", pa.int32()), ("turn", pa.int64()), ("offset", pa.int64())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, turns = TaskContext.get().partitionId(), {}
+        packer = Packer(window, TaskContext.get().partitionId())
+
+        def full(last: bool) -> Iterator[pa.RecordBatch]:
+            rows = packer.placed(last)
+            while some := list(islice(rows, 5000)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some), schema)], schema=schema)
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
-                rows = []
+            for some in slices(batch):
                 for doc_id, ids in zip(some.column(0).to_pylist(), encoder(path).encode(some.column(1).to_pylist())):
-                    ids += end
-                    n = len(ids) // 4
-                    for start in range(0, n, window):
-                        length = min(window, n - start)
-                        turn = turns.get(length, 0)
-                        turns[length] = turn + 1
-                        rows.append((doc_id, start, length, ids[4 * start : 4 * (start + length)], n, part, turn))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                    packer.add(doc_id, ids + end)
+                if packer.held >= chunk_ids:
+                    yield from full(False)
+        yield from full(True)
 
     return docs.mapInArrow(cut, PIECE)
 
@@ -123,6 +159,7 @@ def pack(
     window: int = 1024,
     vocabulary: str | None = None,
     end_id: int = 0,
+    chunk_ids: int = CHUNK_IDS,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -131,28 +168,15 @@ def pack(
 
     A document is the ids of its whole text and then ``end_id``; a null or empty text is the end id
     alone. Each id lies in exactly one piece. Sequence ids run from 0 without gaps, offsets
-    within a sequence too. Repeated rows are packed each; an empty table gives no pieces.
+    within a sequence too. Repeated rows are packed each, rows without an id too; other columns are ignored; an empty
+    table gives no pieces.
     """
-    spark = docs.sparkSession
-    pieces = written(cut_pieces(texts(docs, id_col, text_col), window, vocabulary, end_id), "pieces")
-    each = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = written(each.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "bases", 1)
-    counts = {r.length: r.n for r in each.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most window rows
-    rules = best_fit_rules(counts, window)
-    plan = spark.createDataFrame(rules, RULE)
-    placed = (
-        pieces.join(bases, ["part", "length"])
-        .withColumn("rank", F.col("base") + F.col("turn"))
-        .join(plan, (pieces.length == plan.length) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("past")))
-        .drop(plan.length)
-    )
-    nth = F.col("rank") - F.col("first")
-    return placed.select(
-        "doc_id", "start", F.col("length").cast("long").alias("length"), "ids", "doc_tokens",
-        (F.col("sequence_id") + F.floor(nth / F.col("per"))).alias("sequence_id"),
-        (F.col("offset") + nth % F.col("per") * F.col("length")).alias("offset"),
-    )
+    pieces = written(pieces_in_place(texts(docs, id_col, text_col), window, vocabulary, end_id, chunk_ids), "pieces")
+    sizes = pieces.groupBy("part").agg((F.max("turn") + 1).alias("n"))  # one row per task
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = written(sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "bases")
+    placed = pieces.join(bases, "part")
+    return placed.select("doc_id", "start", "length", "ids", "doc_tokens", (F.col("base") + F.col("turn")).alias("sequence_id"), "offset")
 
 
 def with_padding(pieces: DataFrame, window: int = 1024) -> DataFrame:
