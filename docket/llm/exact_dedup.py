@@ -2,11 +2,11 @@
 
 Plan: (1) a thin shuffle of (hash, id) finds hashes that occur twice or more and writes them to the
 shared folder; (2) only rows with such a hash are grouped by hash *and* text, so bytes decide who
-is a copy of whom and two texts with one hash never merge; map-side aggregation collapses the
-copies of a hot text before the shuffle; (3) the groups join back to the thin rows. Text is
+is a copy of whom and two texts with one hash never merge; (3) the groups join back to the thin rows. Text is
 shuffled only in (2), and not at all where the written table is small enough to be broadcast,
-which the planner decides from its size on disk. Skewed hashes are split by AQE, since both
-exchanges of each join are plain.
+which the planner decides from its size on disk. The join of (2) is by hash and a salt, so a hot text is spread over
+SALTS tasks, each of which collapses its copies before the shuffle of the grouping. The join of (3) has plain
+exchanges on both sides, which AQE splits.
 """
 
 from __future__ import annotations
@@ -16,7 +16,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docket.llm.common import texts, written
+from docket.llm.common import texts, without, written
+
+SALTS = 16
 
 
 def exact_groups(
@@ -36,8 +38,9 @@ def exact_groups(
     pick = {"min": F.min, "max": F.max}[keep]
     rows = texts(docs, id_col, text_col).withColumn("h", content_hash(F.col("text")))
     repeated = written(rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "hashes")
+    salted = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     groups = (
-        rows.join(repeated, "h", "left_semi")
+        rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["h", "salt"], "left_semi")
         .groupBy("h", "text")
         .agg(pick("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
         .select("h", F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size")
@@ -60,6 +63,4 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     stay only where no copy has one.
     """
     groups = exact_groups(docs, id_col, text_col, keep=keep)
-    dropped = groups.where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_h")).distinct()
-    own = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    return docs.join(dropped, F.col(id_col).eqNullSafe(F.col("_id")) & (own == F.col("_h")), "left_anti")
+    return without(docs, groups.where("not kept").select("doc_id", F.col("text_sha256").alias("h")), id_col, text_col)
