@@ -7,27 +7,34 @@ whose comparisons take logarithmic time: prefix polynomial hashes and binary sea
 and the next byte decides. Windows recur where the extensions to the right and to the left of an anchor together span ``length``;
 all extensions that count are compared byte by byte afterwards, so a hash collision cannot remove anything.
 
-Copies of a whole text take part once, and are removed whole. An anchor with more than ``most`` occurrences does not go
-to one task: its windows are grouped by two independent 61-bit hashes in a shuffle of their own, with the same result.
+Copies of a whole text, compared byte by byte, take part once, and are removed whole.
+
+No task gets more than ``most`` different stretches of bytes around an anchor. Where an anchor has more occurrences, equal stretches are
+collapsed by grouping on their bytes, map-side first (all that share one recur as a whole), and if more than
+``most`` different ones are left, their windows are parted by the place of the anchor within, WAYS at a time, and
+by the bytes that all windows of a part have in common; then the same again. A part ends as windows of one place and one content,
+so however common a passage is, its inner parts collapse and only the parts that its ends run through go on.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docket.llm.common import texts, written
+from docket.llm.common import slices, texts, written
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 PIECE = 1 << 19  # bytes whose anchors are picked at a time; places within fit 20 bits
 CHUNK = 3 << 20  # bytes of windows that a task sorts at a time
-MOST = 20_000
+MOST = 20_000  # stretches of one anchor that a task sorts: some 13 MB
+WAYS = 8
+SALTS = 16
 
 
 @lru_cache(1)
@@ -191,53 +198,99 @@ class Occurrences:
         return who[good], low[good], high[good]
 
 
-def _window_hashes(segment: bytes, count: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent hashes of each window of a segment, modulo 2^61 - 1."""
-    out = []
-    for base in (0x1234567890ABCDF, 0x0FEDCBA98765431):
-        m, h, top = (1 << 61) - 1, 0, pow(base, length - 1, (1 << 61) - 1)
-        for c in segment[:length]:
-            h = (h * base + c + 1) % m
-        row = [h]
-        for k in range(1, count):
-            h = ((h - (segment[k - 1] + 1) * top) * base + segment[k + length - 1] + 1) % m
-            row.append(h)
-        out.append(np.array(row, np.int64))
-    return out[0], out[1]
+def text_anchors(raw: bytes, length: int, k: int, piece: int) -> list[np.ndarray]:
+    """anchors() of a whole text; the ranges of a k-gram from both sides of a piece's border adjoin and become one."""
+    parts = list(anchors(raw, length, k, piece))
+    if not parts:
+        return []
+    hashes, place, first, last = (np.concatenate(c) for c in zip(*parts))
+    start = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+    return [hashes[start], place[start], first[start], last[np.append(start[1:], len(place)) - 1]]
 
 
 def _batch(schema: pa.Schema, *cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
 
-def repeated_spans(rows: DataFrame, length: int, k: int, most: int, chunk: int, piece: int) -> tuple[DataFrame, DataFrame]:
-    """For rows (doc_id, text): (t, copies, rep) per distinct text, and the byte spans (t, a, b) that recur."""
-    rows = rows.withColumn("t", F.unhex(F.md5("text")))
-    kinds = written(rows.groupBy("t").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep")), "texts")
+def _semi(rows: DataFrame, keys: DataFrame, on: list[str], spread: Column) -> DataFrame:
+    """Semi-join in which the rows of one key are spread over SALTS tasks."""
+    salt = F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")
+    return rows.withColumn("salt", salt).join(keys.select(*on, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")), [*on, "salt"], "left_semi").drop("salt")
+
+
+def identified(rows: DataFrame, content_hash: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with t, equal only for texts of equal bytes, and (t, copies, rep, rows_of_an_id) per distinct text.
+
+    t is a hash; texts that share one are told apart by grouping on the bytes, and those that differ get a number after it.
+    """
+    each = lambda r: r.groupBy("t", "doc_id").agg(F.count("*").alias("n"))
+    kinds_of = lambda r: written(each(r).groupBy("t").agg(F.sum("n").alias("copies"), F.min("doc_id").alias("rep"), F.max("n").alias("rows_of_an_id")), "texts")
+    rows = rows.withColumn("t", content_hash(F.col("text")))
+    kinds = kinds_of(rows)
+    same = written(_semi(rows, kinds.where("copies > 1"), ["t"], F.col("doc_id")).groupBy("t", "text").agg(F.count("*").alias("n")), "same")
+    clash = same.groupBy("t").agg(F.count("*").alias("n")).where("n > 1").select("t")
+    if not clash.isEmpty():
+        number = F.row_number().over(Window.partitionBy("t").orderBy("text"))
+        apart = written(same.join(clash, "t", "left_semi").select("t", "text", number.alias("number")), "apart")
+        rows = rows.join(apart, ["t", "text"], "left").select("doc_id", "text", F.when(F.col("number").isNull(), F.col("t")).otherwise(F.concat("t", F.encode(F.format_string("/%d", "number"), "UTF-8"))).alias("t"))
+        kinds = kinds_of(rows)
+    return rows, kinds
+
+
+def parted(hot: DataFrame, length: int, k: int, most: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """For stretches of anchors with many occurrences: spans of those that recur as a whole, and groups of at most ``most`` to be sorted.
+
+    A row is a range of windows: key, t, first (start of the bytes in the text), lo and least (greatest and least place of the
+    anchor within a window), bytes. Windows of one key have anchors at places a .. b, and so bytes in common.
+    """
+    level, spans, groups, width = hot.withColumns({"a": F.lit(0), "b": F.lit(length - k)}), [], [], length - k + 1
+    what = ["key", "lo", "least", "bytes"]
+    while True:
+        level = written(level, "level")
+        kinds = written(level.groupBy(*what).agg(F.count("*").alias("n"), F.min(F.struct("t", "first")).alias("of"), F.min("a").alias("a"), F.min("b").alias("b")), "kinds")
+        all_of_it = _semi(level, kinds.where("n > 1"), what, F.xxhash64("t", "first"))
+        spans.append(all_of_it.select("t", F.col("first").alias("a"), (F.col("first") + F.col("lo") - F.col("least") + length).alias("b")))
+        sizes = written(kinds.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "sizes")
+        rest = kinds.join(sizes, "key").select("key", "of.t", "of.first", "lo", "least", "bytes", "a", "b", "m")
+        fits = F.lit(width == 1) | (F.col("m") <= most)  # of one place and one content: only texts of equal hashes differ
+        groups.append(rest.where(fits).select(F.col("key").alias("anchor"), "t", (F.col("first") + F.col("lo")).alias("place"), "first", (F.col("first") + F.col("lo") - F.col("least")).alias("last"), "bytes"))
+        if width == 1 or sizes.where(F.col("m") > most).isEmpty():
+            return spans, groups
+        width = -(-width // WAYS)
+        part = F.explode(F.transform(F.sequence(F.lit(0), F.lit(WAYS - 1)), lambda i: F.struct((F.col("a") + i * width).alias("a"), F.least(F.col("a") + (i + 1) * width - 1, F.col("b")).alias("b"))))
+        cut = rest.where(~fits).select("*", part.alias("p")).withColumns({"hi": F.least("lo", "p.b"), "low": F.greatest("least", "p.a")}).where("low <= hi and p.a <= p.b")
+        common = F.substring(F.col("bytes"), F.col("lo") - F.col("p.a") + 1, F.col("p.a") - F.col("p.b") + length)
+        level = cut.select(
+            F.xxhash64("key", "p.a", "p.b", common).alias("key"), "t", (F.col("first") + F.col("lo") - F.col("hi")).cast("int").alias("first"),
+            F.col("hi").alias("lo"), F.col("low").alias("least"), F.substring(F.col("bytes"), F.col("lo") - F.col("hi") + 1, F.col("hi") - F.col("low") + length).alias("bytes"), "p.a", "p.b",
+        )
+
+
+def repeated_spans(rows: DataFrame, kinds: DataFrame, length: int, k: int, most: int, chunk: int, piece: int) -> DataFrame:
+    """For rows (doc_id, text, t) and their distinct texts: the byte spans (t, a, b) that recur."""
     pick = pa.schema([("t", pa.binary()), ("anchor", pa.int64()), ("place", pa.int32()), ("first", pa.int32()), ("last", pa.int32())])
 
     def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = []
-            for t, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for hashes, *rest in anchors(text.as_py().encode(), length, k, piece):
-                    parts.append(([t] * len(hashes), hashes, *rest))
-            if parts:
-                cols = list(zip(*parts))
-                yield _batch(pick, [t for x in cols[0] for t in x], *(np.concatenate(c) for c in cols[1:]))
-
-    long_enough = rows.where(F.octet_length("text") >= length)
+            for some in slices(batch):
+                parts = []
+                for t, text in zip(some.column(0).to_pylist(), some.column(1)):
+                    if found := text_anchors(text.as_py().encode(), length, k, piece):
+                        parts.append(([t] * len(found[0]), *found))
+                if parts:
+                    cols = list(zip(*parts))
+                    yield _batch(pick, [t for x in cols[0] for t in x], *(np.concatenate(c) for c in cols[1:]))
+
+    long_enough = rows.where(F.octet_length("text") >= length)  # copies of a text have the same anchors at the same places
     all_anchors = written(long_enough.select("t", "text").mapInArrow(picked, "t binary, anchor long, place int, first int, last int"), "anchors")
-    key = F.xxhash64("t", "place")
-    twice = all_anchors.groupBy("anchor").agg(F.min(key).alias("x"), F.max(key).alias("y")).where("x <> y").select("anchor")
-    # Window starts that pick one place adjoin, so the ranges of a place from both sides of a piece's border are one range.
-    places = all_anchors.join(twice, "anchor", "left_semi").groupBy("anchor", "t", "place").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    places = written(places, "places")
-    load = places.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > most).select("anchor", F.lit(True).alias("hot"))
-    places = places.join(load, "anchor", "left")
-    per_text = places.groupBy("t").agg(F.collect_list(F.struct("anchor", "place", "first", "last", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("spots"))
-    per_text = per_text.join(kinds.select("t", "rep"), "t")
-    joined = rows.join(per_text, "t").where(F.col("doc_id").eqNullSafe(F.col("rep")))
+    where = F.xxhash64("t", "place")
+    twice = all_anchors.groupBy("anchor").agg(F.count("*").alias("n"), F.min(where).alias("x"), F.max(where).alias("y")).where("x <> y")
+    twice = written(twice.select("anchor", (F.col("n") > most).alias("hot")), "twice")
+    per_text = all_anchors.join(twice, "anchor").groupBy("t").agg(F.collect_set(F.struct("anchor", "place", "first", "last", "hot")).alias("spots"))
+    one = per_text.join(kinds.where("rows_of_an_id = 1").select(F.col("t").alias("u"), "rep"), F.col("t") == F.col("u")).select("u", "rep", "spots")
+    joined = long_enough.join(one, (F.col("t") == F.col("u")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("t", "text", "spots")
+    if not (again := kinds.where("rows_of_an_id > 1")).isEmpty():
+        joined = joined.union(_semi(long_enough, again, ["t"], F.spark_partition_id()).select("t", "text").distinct().join(per_text, "t").select("t", "text", "spots"))
     seg = pa.schema([("anchor", pa.int64()), ("t", pa.binary()), ("place", pa.int32()), ("first", pa.int32()), ("last", pa.int32()), ("hot", pa.bool_()), ("bytes", pa.binary())])
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,21 +333,15 @@ def repeated_spans(rows: DataFrame, length: int, k: int, most: int, chunk: int,
         if held[0]:
             yield from settle(len(held[0]))
 
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("t", pa.binary()), ("a", pa.int32())])
-        for batch in batches:
-            for t, first, last, data in zip(*(c.to_pylist() for c in batch.columns)):
-                n = last - first + 1
-                yield _batch(out, *_window_hashes(data, n, length), [t] * n, range(first, last + 1))
-
     # Rows of an anchor come together, and in slices small enough that a task holds little more than one chunk.
-    cold = windows.where("not hot").select("anchor", "t", "place", "first", "last", "bytes").repartition("anchor").sortWithinPartitions("anchor")
-    spans = cold.mapInArrow(compare, "t binary, a int, b int")
-    if not load.isEmpty():
-        hot = written(windows.where("hot").select("t", "first", "last", "bytes").mapInArrow(hashes, "x long, y long, t binary, a int"), "hot")
-        again = hot.groupBy("x", "y").agg(F.count("*").alias("n")).where("n > 1").select("x", "y")
-        spans = spans.union(hot.join(again, ["x", "y"], "left_semi").select("t", "a", (F.col("a") + length).cast("int").alias("b")))
-    return kinds, spans
+    cold, spans = windows.where("not hot").select("anchor", "t", "place", "first", "last", "bytes"), None
+    if not twice.where("hot").isEmpty():
+        hot = windows.where("hot").select(F.col("anchor").alias("key"), "t", "first", (F.col("place") - F.col("first")).alias("lo"), (F.col("place") - F.col("last")).alias("least"), "bytes")
+        whole, groups = parted(hot, length, k, most)
+        spans = reduce(DataFrame.union, whole)
+        cold = reduce(DataFrame.union, groups, cold)
+    found = cold.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "t binary, a int, b int")
+    return found if spans is None else found.union(spans)
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -307,25 +354,29 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, k: int = 128, most: int = MOST, chunk: int = CHUNK, piece: int = PIECE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, length: int = 400, k: int = 128, most: int = MOST, chunk: int = CHUNK, piece: int = PIECE, id_col: str = "doc_id", text_col: str = "text",
+    content_hash: Callable[[Column], Column] = lambda text: F.unhex(F.md5(text)),
+) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, spans (array of start, end) and kept (binary: the bytes that stay).
 
     A byte goes if a string of ``length`` bytes that covers it also starts anywhere else in the corpus, the same text
     included; strings are judged on the input and never cross texts. Texts are UTF-8 bytes; a null text is empty. All rows of
-    equal texts of at least ``length`` bytes go whole, repeated rows too. An empty table gives an empty result.
+    equal texts of at least ``length`` bytes go whole, repeated rows too. Rows without an id take part like any other; other
+    columns are ignored. An empty table gives an empty result. No hash decides alone: ``content_hash`` may collide.
     """
-    rows = texts(docs, id_col, text_col)
-    kinds, spans = repeated_spans(rows, length, k, most, chunk, piece)
+    rows, kinds = identified(texts(docs, id_col, text_col), content_hash)
+    spans = repeated_spans(rows, kinds, length, k, most, chunk, piece)
     merged = spans.groupBy("t").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     fate = written(kinds.select("t", "copies").join(merged, "t", "left").where("copies > 1 or spans is not null"), "fate")
-    joined = rows.withColumn("t", F.unhex(F.md5("text"))).join(fate, "t", "left").select("doc_id", "text", "copies", "spans")
+    joined = rows.join(fate, "t", "left").select("doc_id", "text", "copies", "spans")
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", pa.list_(span)), ("kept", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for some in (s for batch in batches for s in slices(batch)):
             out = []
-            for doc_id, text, copies, found in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc_id, text, copies, found in zip(*(c.to_pylist() for c in some.columns)):
                 raw = text.encode()
                 runs = [(0, len(raw))] if (copies or 1) > 1 and len(raw) >= length else merge([(s["a"], s["b"]) for s in found or ()])
                 edges = [0, *(x for r in runs for x in r), len(raw)]

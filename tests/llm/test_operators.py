@@ -439,3 +439,45 @@ def test_null_ids(spark):
     assert pii.pseudonymise(docs, "k").count() == 3
     assert quality.quality_scores(docs, labels).where("doc_id is null and held_out").count() == 2
     assert tokenfile.read_token_files(spark, tokenfile.write_token_files(docs)).count() == 3
+
+
+@pytest.mark.parametrize("options", [{}, {"most": 20}, {"most": 2}])
+def test_remove_repeats_of_common_passages_and_hashes_that_collide(spark, options):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    made = lambda n: "".join(rng.choice("abcdefg ") for _ in range(n))
+    passage, line, other = made(90), made(30), made(60)
+    rows = [(i, made(rng.randint(0, 40)) + passage[rng.randint(0, 8) :] + made(rng.randint(0, 30))) for i in range(60)]
+    rows += [(100 + i, made(10) + line * rng.randint(1, 6) + made(5)) for i in range(40)] + [(200 + i, other) for i in range(30)] + [(300, other)] * 25 + [(None, other), (None, line)]
+    collide = lambda text: F.encode(F.concat(F.lit("h"), F.octet_length(text) % 3), "UTF-8")
+    for more in ({}, {"content_hash": collide}):
+        got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in substrings.remove_repeats(frame(spark, rows), length=24, k=8, **options, **more).collect())
+        assert got == brute_repeats(rows, 24)
+
+
+def test_parted_anchors_do_not_grow_with_the_square(spark, monkeypatch):
+    """A passage in all documents: the levels of parting hold a few rows a document, however many windows run through its ends."""
+    written, sizes = substrings.written, []
+    monkeypatch.setattr(substrings, "written", lambda df, name, *a: (sizes.append((name, (out := written(df, name, *a)).count())), out)[1])
+    rng = random.Random(4)
+    made = lambda n: "".join(rng.choice("abcdefg ") for _ in range(n))
+    passage = made(900)
+    rows = [(i, made(300) + passage + made(300)) for i in range(80)]
+    got = substrings.remove_repeats(frame(spark, rows), length=400, k=128, most=10).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == brute_repeats(rows, 400)
+    assert max(n for name, n in sizes if name in ("level", "kinds")) < 80 * 60
+
+
+def test_drops_are_by_id_and_text(spark):
+    words = " ".join(f"w{k}" for k in range(200))
+    rows = [(1, words), (2, words), (2, "some quite different text of its own"), (None, words), (None, "no other has this"), (None, None)]
+    docs = frame(spark, rows).withColumnRenamed("h", "_id").withColumnRenamed("t", "_h")
+    left = lambda out: sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    want = sorted([rows[0], rows[2], rows[4], rows[5]], key=str)
+    assert left(simhash.drop_near_copies(docs)) == want
+    assert left(exact_dedup.drop_exact_copies(docs, keep="min")) == want
+    items = spark.createDataFrame([(1, "quite different text of its own")], "item_id long, text string")
+    assert left(decontaminate.drop_contaminated(docs, items)) == sorted([r for r in rows if r != rows[2]], key=str)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert left(quality.drop_poor(docs, labels)) == sorted(rows, key=str)
