@@ -7,9 +7,10 @@ between their digits, different values different ones, and whoever has the key c
 
 A run of digits that is no card as a whole is searched for cards between its separators.
 
-Kinds: email (letters and digits of name and domain, not the last label), phone (digits after the country code), card (valid
-by Luhn: payload permuted, check digit recomputed; other runs of digits stay), ssn, ip (32 bits), date (day number
-within 1900-01-01 .. 2099-08-05, in ISO or day-month-year form), secret (runs of 32 to 64 hex digits).
+Kinds: email (ASCII letters and digits of name and domain, not the last label), phone (digits after the country code), card (valid
+by Luhn: payload permuted, check digit recomputed; other runs of digits stay), ssn, ip (32 bits), date (day number, in ISO or
+day-month-year form; those of 1900-01-01 .. 2099-08-05 among themselves, all others of the years 1 to 9999 among themselves),
+secret (runs of 32 to 64 hex digits).
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from docket.llm.common import texts
 
 # What each kind looks like. The first alternative that matches at a place is taken.
-EMAIL = r"[\p{L}\p{N}._%+\-]{1,64}@(?:[A-Za-z0-9\-]{1,63}\.){1,5}[A-Za-z]{2,24}"
+EMAIL = r"[\p{L}\p{N}._%+\-]{1,64}@(?:[\p{L}\p{N}\-]{1,63}\.){1,127}\p{L}{2,63}"  # as many labels as a name can have
 SECRET = r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])"
 IP = r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)"
 DATE = r"(?<![\d\-/.])(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?![\-/.]?\d)"
@@ -28,7 +29,9 @@ SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
 PHONE = r"\+\d{8,15}(?!\d)|\+\d{1,3}[ \-.]?\(?\d{2,4}\)?(?:[ \-.]?\d{2,4}){2,4}(?!\d)|(?<![\d+])\(\d{3}\) ?\d{3}[ \-.]\d{4}(?!\d)|(?<![\d\-.])\d{3}[\-.]\d{3}[\-.]\d{4}(?![\d\-])"
 NUMBER = r"(?<!\d)\d(?:[ \-]?\d){12,999}(?!\d)"  # between the others; longer runs are cut at a separator
 CANDIDATE = "|".join(f"(?:{x})" for x in (EMAIL, SECRET, IP, DATE, SSN, PHONE))
-ROUNDS, DATE_BASE = 6, 270
+ROUNDS = 6
+DATE_BASE, OTHER_BASE = 270, 1892  # 270 ** 2 days from 1900-01-01; 1892 ** 2 is the least square that all other days fit in
+FIRST_DAY, OTHER_DAYS = 693_595, 3_579_159  # from 0001-01-01 to 1900-01-01; days of the years 1 to 9999 without those
 KINDS = ("email", "secret", "ip", "date", "ssn", "phone", "card")
 
 
@@ -36,25 +39,27 @@ def _sha(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", *parts), 256)
 
 
-def _shifted(text: Column, digest: Column) -> Column:
-    """Each letter or digit moved within its own alphabet by four hex digits of the digest; the rest stays."""
+def _shifted(text: Column, digest: Column, hexadecimal: bool) -> Column:
+    """Each letter or digit moved within its own alphabet, or as a hex digit, by four hex digits of the digest; the rest stays."""
 
     def one(c: Column, i: Column) -> Column:
         by = F.conv(F.substring(F.sha2(F.concat(digest, (F.floor(i / 15)).cast("string")), 256), 1, 64).substr((i % 15 * 4 + 1).cast("int"), F.lit(4)), 16, 10).cast("int")
+        if hexadecimal:
+            return F.lower(F.conv(((F.conv(c, 16, 10).cast("int") + by) % 16).cast("string"), 10, 16))
         moved = lambda base, n: F.chr((F.ascii(c) - base + by) % n + base)
         return F.when(c.between("0", "9"), moved(48, 10)).when(c.between("a", "z"), moved(97, 26)).when(c.between("A", "Z"), moved(65, 26)).otherwise(c)
 
     return F.array_join(F.transform(F.split(text, ""), one), "")
 
 
-def permute_text(text: Column, kind: str, key: str) -> Column:
-    """Feistel network over the characters of a text: same length, same kind of character at each place."""
+def permute_text(text: Column, kind: str, key: str, hexadecimal: bool = False) -> Column:
+    """Feistel network over the characters of a text: same length, same kind of character at each place (or all lower hex digits)."""
     half = F.floor(F.length(text) / 2).cast("int")
     start = F.struct(text.substr(F.lit(1), half).alias("a"), text.substr(half + 1, F.length(text)).alias("b"))
 
     def step(s: Column, r: Column) -> Column:
         digest = _sha(F.lit(key), F.lit(kind), r.cast("string"), s["b"])
-        return F.struct(s["b"].alias("a"), F.when(s["a"] == "", "").otherwise(_shifted(s["a"], digest)).alias("b"))
+        return F.struct(s["b"].alias("a"), F.when(s["a"] == "", "").otherwise(_shifted(s["a"], digest, hexadecimal)).alias("b"))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step, lambda s: F.concat(s["a"], s["b"]))
 
@@ -97,12 +102,11 @@ def kind_of(m: Column) -> Column:
     digits = F.regexp_replace(m, "[^0-9]", "")
     octets = F.forall(F.split(m, r"\."), lambda o: o.cast("int") <= 255)
     day = F.coalesce(F.try_to_date(m, "yyyy-MM-dd"), F.try_to_date(F.replace(m, F.lit("/"), F.lit(".")), "dd.MM.yyyy"))
-    in_range = day.between("1900-01-01", "2099-08-05")
     return (
         F.when(m.contains("@"), "email")
         .when(m.rlike(f"^(?:{SECRET})$"), "secret")
         .when(m.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), F.when(octets, "ip"))
-        .when(m.rlike(r"^(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})$"), F.when(in_range, "date"))
+        .when(m.rlike(r"^(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})$"), F.when(day >= F.lit("0001-01-01").cast("date"), "date"))
         .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), F.when(~m.rlike(r"^(?:000|666|9..)|-00-|-0000$"), "ssn"))
         .when(m.startswith("+") | m.startswith("(") | m.rlike(r"^\d{3}[\-.]\d{3}[\-.]\d{4}$"), "phone")
     )
@@ -144,22 +148,28 @@ def _cards(run: Column) -> Column:
 def pseudonym(m: Column, kind: Column, key: str) -> Column:
     """The replacement of a validated candidate."""
     digits = F.regexp_replace(m, "[^0-9]", "")
-    last = F.regexp_extract(m, r"\.[A-Za-z]+$", 0)
+    last = F.regexp_extract(m, r"\.\p{L}+$", 0)
     body = m.substr(F.lit(1), F.length(m) - F.length(last))
     email = F.concat(permute_text(body, "email", key), last)
     octet = lambda k: F.split(m, r"\.")[k].cast("long")
     number = ((octet(0) * 256 + octet(1)) * 256 + octet(2)) * 256 + octet(3)
     ip_array = F.transform(F.array(permute_number(number, "ip", key, 65536)), lambda n: F.concat_ws(".", F.floor(n / 16777216), F.floor(n / 65536) % 256, F.floor(n / 256) % 256, n % 256))
     iso = m.contains("-")
-    sep = F.substring(m, 3, 1)
     day = F.when(iso, F.try_to_date(m, "yyyy-MM-dd")).otherwise(F.try_to_date(F.replace(m, F.lit("/"), F.lit(".")), "dd.MM.yyyy"))
-    moved = F.date_add(F.lit("1900-01-01").cast("date"), permute_number(F.datediff(day, F.lit("1900-01-01")).cast("long"), "date", key, DATE_BASE).cast("int"))
-    date = F.transform(F.array(moved), lambda d: F.when(iso, F.date_format(d, "yyyy-MM-dd")).otherwise(F.concat(F.date_format(d, "dd"), sep, F.date_format(d, "MM"), sep, F.date_format(d, "yyyy"))))[0]
+    number_of_day = F.datediff(day, F.lit("0001-01-01")).cast("long")
+    usual = lambda n: n.between(FIRST_DAY, FIRST_DAY + DATE_BASE**2 - 1)
+    near = permute_number(number_of_day - FIRST_DAY, "date", key, DATE_BASE) + FIRST_DAY
+    place = F.when(number_of_day < FIRST_DAY, number_of_day).otherwise(number_of_day - DATE_BASE**2)
+    # Cycle walking: what falls out of the days is permuted again. One value in 7,000 does, so never 12 times in a row.
+    walk = lambda n, k: F.when((k > 1) & (n < OTHER_DAYS), n).otherwise(permute_number(n, "other date", key, OTHER_BASE))
+    far = F.aggregate(F.sequence(F.lit(1), F.lit(12)), place, walk, lambda n: F.when(n < FIRST_DAY, n).otherwise(n + DATE_BASE**2))
+    moved = F.date_add(F.lit("0001-01-01").cast("date"), F.when(usual(number_of_day), near).otherwise(far).cast("int"))
+    date = F.transform(F.array(moved), lambda d: F.when(iso, F.date_format(d, "yyyy-MM-dd")).otherwise(F.concat(F.date_format(d, "dd"), F.substring(m, 3, 1), F.date_format(d, "MM"), F.substring(m, 6, 1), F.date_format(d, "yyyy"))))[0]
     code = F.regexp_extract(m, r"^\+\d{1,3}(?=[ \-.(])", 0)
     local = m.substr(F.length(code) + 1, F.length(m))
     phone = F.concat(code, _put_back(local, permute_text(F.regexp_replace(local, "[^0-9]", ""), "phone", key)))
     payload = F.transform(F.array(permute_text(digits.substr(F.lit(1), F.length(digits) - 1), "card", key)), lambda p: F.concat(p, ((10 - _luhn_sum(p) % 10) % 10).cast("string")))[0]
-    secret = F.transform(F.array(_sha(F.lit(key), F.lit("secret"), F.lower(m))), lambda d: F.when(m == F.upper(m), F.upper(d)).otherwise(d).substr(F.lit(1), F.length(m)))[0]
+    secret = F.transform(F.array(permute_text(F.lower(m), "secret", key, True)), lambda d: F.when(m == F.upper(m), F.upper(d)).otherwise(d))[0]
     return (
         F.when(kind == "email", email)
         .when(kind == "secret", secret)
@@ -177,7 +187,7 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
 
     A null text is empty and stays so. A candidate that does not validate stays as it is and is not in ``found``. Text outside of
     values is unchanged byte for byte. Equal values have equal pseudonyms in all rows under one key. Rows are
-    independent: no shuffle, repeated rows give equal rows, other columns are ignored.
+    independent: no shuffle, repeated rows and rows without an id are treated like any other, other columns are ignored.
     """
     rows = texts(docs, id_col, text_col)
     plain = lambda x: F.struct(F.lit(None).cast("string").alias("kind"), x.alias("value"))
