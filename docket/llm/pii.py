@@ -115,8 +115,9 @@ def kind_of(m: Column) -> Column:
 def _cards(run: Column) -> Column:
     """A run of digits as an array of (kind, value) that make it up: cards, and what is none with a null kind.
 
-    The run itself if it is valid, else its valid sub-runs of 13 to 19 digits from separator to separator that do not
-    overlap: first those that are written as cards are (4-4-4-4, 4-6-5 or without separators), then from the left, long before short.
+    The run itself if it is valid and of even groups (the last may be shorter), else its valid sub-runs of 13 to 19 digits from
+    separator to separator that do not overlap: first those that are written as cards are (4-4-4-4, 4-6-5 or without separators), then
+    from the left, long before short. A valid run of uneven groups goes whole if it holds no sub-run that is written as cards are.
     """
     part = lambda kind, value: F.struct(F.lit(kind).cast("string").alias("kind"), value.alias("value"))
     size = lambda groups: F.length(F.array_join(groups, "")).cast("int")
@@ -135,6 +136,9 @@ def _cards(run: Column) -> Column:
         return F.filter(F.transform(F.sequence(i, F.least(i + 18, F.size(groups) - 1)), span), lambda s: valid(s["digits"]))
 
     found = F.array_sort(F.flatten(F.transform(F.sequence(F.lit(0), F.size(groups) - 1), spans)))
+    sizes = F.transform(groups, F.length)
+    even = F.forall(F.slice(sizes, 1, F.greatest(F.size(sizes) - 1, F.lit(1))), lambda n: n == sizes[0]) & (F.element_at(sizes, -1) <= sizes[0])
+    whole = valid(F.regexp_replace(run, "[^0-9]", "")) & (even | ~F.exists(found, lambda s: s["rank"] == 0))
     found = F.transform(found, lambda s: F.struct(s["a"].alias("a"), (s["a"] - s["less"]).alias("b")))
     none = F.array().cast("array<struct<a:int,b:int>>")
     chosen = F.array_sort(F.aggregate(found, none, lambda out, s: F.when(F.exists(out, lambda o: (o["a"] < s["b"]) & (s["a"] < o["b"])), out).otherwise(F.concat(out, F.array(s)))))
@@ -142,7 +146,7 @@ def _cards(run: Column) -> Column:
     cut = lambda a, b: run.substr(a + 1, b - a)
     step = lambda s, c: F.struct(F.concat(s["out"], F.array(part(None, cut(s["at"], c["a"])), part("card", cut(c["a"], c["b"])))).alias("out"), c["b"].alias("at"))
     inside = F.aggregate(chosen, begun, step, lambda s: F.concat(s["out"], F.array(part(None, cut(s["at"], F.length(run))))))
-    return F.when(valid(F.regexp_replace(run, "[^0-9]", "")), F.array(part("card", run))).otherwise(inside)
+    return F.when(whole, F.array(part("card", run))).otherwise(inside)
 
 
 def pseudonym(m: Column, kind: Column, key: str) -> Column:

@@ -105,14 +105,15 @@ def cards(run):
     """Spans of the cards in a run of digits."""
     groups = [(g.start(), g.end()) for g in regex.finditer(r"\d+", run)]
     plain = lambda a, b: regex.sub(r"\D", "", run[a:b])
-    if 13 <= len(plain(0, len(run))) <= 19 and luhn(plain(0, len(run))) == 0:
-        return [(0, len(run))]
-    found = []
+    found, sizes = [], [b - a for a, b in groups]
     for i, (a, _) in enumerate(groups):
         for j, (_, b) in enumerate(groups[i : i + 19], i):
             if 13 <= len(plain(a, b)) <= 19 and luhn(plain(a, b)) == 0:
                 shape = [y - x for x, y in groups[i : j + 1]]
                 found.append((not (i == j or shape in ([4] * 4, [4, 6, 5])), a, a - b, b))
+    even = set(sizes[:-1]) <= {sizes[0]} and sizes[-1] <= sizes[0]
+    if 13 <= len(plain(0, len(run))) <= 19 and luhn(plain(0, len(run))) == 0 and (even or all(f[0] for f in found)):
+        return [(0, len(run))]
     chosen = []
     for _, a, _, b in sorted(found):
         if all(b <= x or y <= a for x, y in chosen):
