@@ -1,10 +1,10 @@
 """Adaptive context-mixing range coder for token ids, many blocks at a time.
 
-A block is coded from nothing: its model starts empty and its bytes depend on no other block. For
-each id, three models are mixed into one distribution over what comes next: the id that last
-followed the same two ids (order 2), the id that last followed the same id (order 1), and adaptive
-counts of the ids seen in the block so far (order 0), with a share for an id not seen yet, whose
-16 bits follow plain. The shares adapt to how often each model was right at its confidence.
+A block is coded from nothing: its model starts empty and its bytes depend on no other block. Three models give each
+a probability to every id seen in the block so far: counts of the block (order 0), of what followed the same id
+(order 1) and of what followed the same two ids (order 2). Order 0 also has a share for an id not seen yet, whose 16 bits
+follow plain. The three are mixed into one distribution, by which the id is coded in one step. The weights adapt, apart for each
+standing of orders 1 and 2, by how much of the probability of the ids that came was due to each model.
 All blocks of a batch advance together, one id at a time: each step is a few numpy operations over
 the blocks, so the coder's loop is as long as one block and not as the text.
 
@@ -20,113 +20,121 @@ import zlib
 import numpy as np
 
 U = np.uint64
-MAGIC = b"IDR1"
+MAGIC = b"IDR2"
 HEAD = struct.Struct("<4sIIII")
 BLOCK_IDS = 4096
-MASK48, TOP, BOTTOM = U((1 << 48) - 1), U(1 << 32), U(1 << 16)
+TOP, BOTTOM = U(1 << 48), U(1 << 32)
 GROUPS = 64  # ids of a block in groups of 64, for two-level counts
-HASH1, HASH2 = 12, 13
-CAP = 1 << 14
+HASH1, SLOTS1 = 12, 3  # contexts of order 1, and how many ids each remembers
+HASH2, SLOTS2 = 13, 2
+SCALE = 1 << 24  # of the mixed distribution
+GAIN = 15  # counts of order 0 add up to 4096 * 15, less than a 16-bit number holds
+EMPTY = -1
 
 
 class Model:
-    """The mixed model of every block in a batch: lane i is block i."""
+    """The mixed model of every block in a batch: lane i is block i. Ids go by their place in order of first use."""
 
     def __init__(self, lanes: int):
         self.n = np.arange(lanes)
         self.last1, self.last2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.guess1 = np.full((lanes, 1 << HASH1), -1, np.int32)
-        self.guess2 = np.full((lanes, 1 << HASH2), -1, np.int32)
-        self.sure1 = np.zeros((lanes, 1 << HASH1), np.uint8)
-        self.sure2 = np.zeros((lanes, 1 << HASH2), np.uint8)
-        self.won2 = np.full((lanes, 4), 0.4)
-        self.won1 = np.full((lanes, 4), 0.3)
+        self.follow = [(np.full((lanes, 1 << bits, slots), EMPTY, np.int16), np.zeros((lanes, 1 << bits, slots), np.uint8)) for bits, slots in ((HASH1, SLOTS1), (HASH2, SLOTS2))]
+        self.weights = np.tile(np.array([0.7, 0.15, 0.15]), (lanes, 16, 1))
         self.new = np.full(lanes, 0.9)
-        self.ids = np.zeros((lanes, GROUPS * 64), np.uint16)  # in order of first use
+        self.ids = np.zeros((lanes, GROUPS * 64), np.uint16)
         self.count = np.zeros((lanes, GROUPS * 64), np.uint16)
         self.group = np.zeros((lanes, GROUPS), np.int64)
         self.total = np.zeros(lanes, np.int64)
         self.seen = np.zeros(lanes, np.int64)
 
-    def shares(self):
-        """Of 65536: where the parts for order 2, order 1 and known ids end; and both guesses."""
+    def mix(self) -> None:
+        """The distribution of the next id, in whole numbers: order 0's multiplier, the orders' slots with theirs, the share of new ids."""
         n = self.n
-        self.at1 = (self.last1 * 0x9E3B & 0xFFFFF) >> (20 - HASH1)
-        self.at2 = ((self.last1 * 0x1F35 + self.last2 * 0xA2D5) & 0xFFFFFF) >> (24 - HASH2)
-        g1, g2 = self.guess1[n, self.at1], self.guess2[n, self.at2]
-        self.s1, self.s2 = self.sure1[n, self.at1], self.sure2[n, self.at2]
-        p2 = np.where(g2 >= 0, self.won2[n, self.s2], 0)
-        p1 = np.where((g1 >= 0) & (g1 != g2), self.won1[n, self.s1], 0) * (1 - p2)
-        known = np.where(self.total > 0, 1 - self.new, 0) * (1 - p2 - p1)
-        a = np.where(g2 >= 0, np.maximum((p2 * 65000).astype(np.int64), 16), 0)
-        b = np.where((g1 >= 0) & (g1 != g2), np.maximum((p1 * 65000).astype(np.int64), 16), 0)
-        c = np.where(self.total > 0, np.maximum((known * 65000).astype(np.int64), 16), 0)
-        return a, a + b, np.minimum(a + b + c, 65536 - 16), g1, g2
+        at = ((self.last1 * 0x9E3B & 0xFFFFF) >> (20 - HASH1), ((self.last1 * 0x1F35 + self.last2 * 0xA2D5) & 0xFFFFFF) >> (24 - HASH2))
+        self.at = at
+        self.place = np.concatenate([p[n, a] for (p, _), a in zip(self.follow, at)], 1).astype(np.int64)
+        counts = np.concatenate([c[n, a] for (_, c), a in zip(self.follow, at)], 1).astype(np.int64)
+        self.sums = np.stack([counts[:, :SLOTS1].sum(1), counts[:, SLOTS1:].sum(1)], 1)
+        self.set = np.minimum(self.sums[:, 1] // 3, 3) * 4 + np.minimum(self.sums[:, 0] // 3, 3)
+        w = self.weights[n, self.set]
+        w[:, 1:] *= self.sums > 0
+        self.w = w = w / w.sum(1, keepdims=True)
+        scale = np.where(self.sums > 0, w[:, 1:] * SCALE / np.maximum(self.sums, 1), 0).astype(np.int64)
+        self.slots = counts * np.repeat(scale, (SLOTS1, SLOTS2), 1)
+        self.base = np.maximum((w[:, 0] * (1 - self.new) * SCALE / np.maximum(self.total, 1)).astype(np.int64), 1)
+        self.fresh = np.maximum((w[:, 0] * self.new * SCALE).astype(np.int64), 1)
+        self.known = self.base * self.total + self.slots.sum(1)
+        self.whole = self.known + self.fresh
 
     def find(self, place):
-        """Counts below ``place`` in order of first use, and its own."""
+        """Where the share of ``place`` starts, and its size."""
         group, n = place >> 6, self.n
         below = np.where(np.arange(GROUPS) < group[:, None], self.group, 0).sum(1)
-        own = self.count.reshape(-1, GROUPS, 64)[n, group].astype(np.int64)
-        below += np.where(np.arange(64) < (place & 63)[:, None], own, 0).sum(1)
-        return below, own[n, place & 63]
-
-    def at(self, value):
-        """The place whose counts cover ``value``."""
+        counts = self.count.reshape(-1, GROUPS, 64)[n, group].astype(np.int64)
+        below += np.where(np.arange(64) < (place & 63)[:, None], counts, 0).sum(1)
+        valid = self.place != EMPTY
+        start = below * self.base + np.where(valid & (self.place < place[:, None]), self.slots, 0).sum(1)
+        return start, counts[n, place & 63] * self.base + np.where(self.place == place[:, None], self.slots, 0).sum(1)
+
+    def at_value(self, value):
+        """The place whose share covers ``value``."""
         n = self.n
-        sums = self.group.cumsum(1)
+        shares = self.group * self.base[:, None]
+        for p, share in zip(self.place.T, self.slots.T):
+            shares[n, np.maximum(p, 0) >> 6] += share  # an empty slot has no share
+        sums = shares.cumsum(1)
         group = np.minimum((sums <= value[:, None]).sum(1), GROUPS - 1)
-        rest = value - sums[n, group] + self.group[n, group]
-        own = self.count.reshape(-1, GROUPS, 64)[n, group].astype(np.int64).cumsum(1)
-        return (group << 6) + np.minimum((own <= rest[:, None]).sum(1), 63)
-
-    def learn(self, token, place, kind, live):
-        """Take in the id that came; kind: 0 order 2 was right, 1 order 1, 2 known, 3 new."""
-        n = self.n
-        g1, g2 = self.guess1[n, self.at1], self.guess2[n, self.at2]
-        for won, sure, s, at, g, guess, limit in ((self.won2, self.sure2, self.s2, self.at2, g2, self.guess2, 3), (self.won1, self.sure1, self.s1, self.at1, g1, self.guess1, 3)):
-            right = g == token
-            tried = live & (g >= 0)
-            won[n, s] += np.where(tried, (np.clip(right, 0.02, 0.98) - won[n, s]) * 0.03, 0)
-            fresh = np.where(right, np.minimum(s + 1, limit), np.where(s > 1, s - 1, 0)).astype(np.uint8)
-            replace = live & ~right & (s <= 1)
-            guess[n, at] = np.where(replace, token, g)
-            sure[n, at] = np.where(live, fresh, s)
-        missed = live & (kind >= 2)
-        self.new += np.where(missed, (np.clip(kind == 3, 0.02, 0.98) - self.new) * 0.02, 0)
-        isnew = live & (kind == 3)
-        self.ids[n, place] = np.where(isnew, token, self.ids[n, place])
-        self.seen += isnew
-        add = np.where(missed, 24, 0)
-        self.count[n, place] += add.astype(np.uint16)
-        self.group[n, place >> 6] += add
-        self.total += add
-        if (full := self.total > CAP * 3).any():
-            rows = np.flatnonzero(full)
-            self.count[rows] = (self.count[rows] + 1) >> 1
-            self.group[rows] = self.count[rows].reshape(-1, GROUPS, 64).sum(2, dtype=np.int64)
-            self.total[rows] = self.group[rows].sum(1)
+        rest = value - sums[n, group] + shares[n, group]
+        own = self.count.reshape(-1, GROUPS, 64)[n, group].astype(np.int64) * self.base[:, None]
+        for p, share in zip(self.place.T, self.slots.T):
+            own[n, np.maximum(p, 0) & 63] += np.where(p >> 6 == group, share, 0)
+        return (group << 6) + np.minimum((own.cumsum(1) <= rest[:, None]).sum(1), 63)
+
+    def learn(self, token, place, new, live):
+        """Take in the id that came."""
+        n, hit = self.n, (self.place == place[:, None]) & ~new[:, None]
+        due = np.zeros((len(n), 3))
+        due[:, 0] = np.where(new, self.fresh, self.base * self.count[n, place])
+        due[:, 1] = np.where(hit[:, :SLOTS1], self.slots[:, :SLOTS1], 0).sum(1)
+        due[:, 2] = np.where(hit[:, SLOTS1:], self.slots[:, SLOTS1:], 0).sum(1)
+        due /= np.maximum(due.sum(1, keepdims=True), 1)
+        old = self.weights[n, self.set]
+        tried = live[:, None] & np.concatenate([np.ones((len(n), 1), bool), self.sums > 0], 1)
+        self.weights[n, self.set] = np.where(tried, np.clip(old + 0.06 * (due - old), 0.004, 1), old)
+        self.new += np.where(live, (np.clip(new, 0.002, 0.98) - self.new) * 0.02, 0)
+        for (places, counts), at, own in zip(self.follow, self.at, (hit[:, :SLOTS1], hit[:, SLOTS1:])):
+            c, had = counts[n, at], own.any(1)
+            slot = np.where(had, own.argmax(1), c.argmin(1))
+            now = c[n, slot].astype(np.int64)
+            take = ~had & (now <= 2)
+            value = np.where(had, np.minimum(now + 3, 255), np.where(take, 3, now - 2))
+            counts[n, at, slot] = np.where(live, value, now)
+            places[n, at, slot] = np.where(live & take, place, places[n, at, slot])
+        self.ids[n, place] = np.where(live & new, token, self.ids[n, place])
+        self.seen += live & new
+        self.count[n, place] += (live * GAIN).astype(np.uint16)
+        self.group[n, place >> 6] += live * GAIN
+        self.total += live * GAIN
         self.last2 = np.where(live, self.last1, self.last2)
         self.last1 = np.where(live, token, self.last1)
 
 
 class Coder:
-    """Carryless range coder of 48 bits that moves 16-bit words."""
+    """Carryless range coder of 64 bits, modulo 2^64, that moves 16-bit words."""
 
     def __init__(self, lanes: int):
-        self.low, self.range, self.n = np.zeros(lanes, U), np.full(lanes, MASK48, U), np.arange(lanes)
+        self.low, self.range, self.n = np.zeros(lanes, U), np.full(lanes, ~U(0)), np.arange(lanes)
 
     def settle(self, live, move):
         while True:
-            settled = ((self.low ^ (self.low + self.range)) & MASK48) < TOP
-            settled &= (self.low + self.range) <= MASK48
+            settled = (self.low ^ (self.low + self.range)) < TOP
             small = live & ~settled & (self.range < BOTTOM)
             go = live & (settled | small)
             if not go.any():
                 return
-            self.range = np.where(small, BOTTOM - (self.low & U(0xFFFF)), self.range)
+            self.range = np.where(small, (U(0) - self.low) & (BOTTOM - U(1)), self.range)
             move(go)
-            self.low = np.where(go, (self.low << U(16)) & MASK48, self.low)
+            self.low = np.where(go, self.low << U(16), self.low)
             self.range = np.where(go, self.range << U(16), self.range)
 
     def narrow(self, start, size, total, live):
@@ -143,7 +151,7 @@ class Encoder(Coder):
     def _move(self, go):
         if self.used.max() + 4 >= self.out.shape[1]:
             self.out = np.concatenate([self.out, np.zeros_like(self.out)], 1)
-        self.out[self.n, self.used] = (self.low >> U(32)).astype(np.uint16)
+        self.out[self.n, self.used] = (self.low >> U(48)).astype(np.uint16)
         self.used += go
 
     def put(self, start, size, total, live):
@@ -151,9 +159,9 @@ class Encoder(Coder):
         self.settle(live, self._move)
 
     def finish(self) -> list[bytes]:
-        for _ in range(3):
+        for _ in range(4):
             self._move(np.ones(len(self.n), bool))
-            self.low = (self.low << U(16)) & MASK48
+            self.low = self.low << U(16)
         return [row[:n].astype("<u2").tobytes() for row, n in zip(self.out, self.used)]
 
 
@@ -164,11 +172,11 @@ class Decoder(Coder):
         self.words = np.zeros((len(payloads), width), U)
         for row, data in zip(self.words, payloads):
             row[: len(data) // 2] = np.frombuffer(data, "<u2")
-        self.code = (self.words[:, 0] << U(32)) | (self.words[:, 1] << U(16)) | self.words[:, 2]
-        self.at = np.full(len(payloads), 3)
+        self.code = (self.words[:, 0] << U(48)) | (self.words[:, 1] << U(32)) | (self.words[:, 2] << U(16)) | self.words[:, 3]
+        self.at = np.full(len(payloads), 4)
 
     def _move(self, go):
-        self.code = np.where(go, ((self.code << U(16)) & MASK48) | self.words[self.n, np.minimum(self.at, self.words.shape[1] - 1)], self.code)
+        self.code = np.where(go, (self.code << U(16)) | self.words[self.n, np.minimum(self.at, self.words.shape[1] - 1)], self.code)
         self.at += go
 
     def value(self, total):
@@ -197,21 +205,17 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     for row, spot, ids in zip(tokens, places, blocks):
         row[: len(ids)] = ids
         spot[: len(ids)] = _places(ids)
-    model, coder, whole = Model(lanes), Encoder(lanes, sizes.max() + 16), np.full(lanes, 65536)
+    model, coder, plain = Model(lanes), Encoder(lanes, sizes.max() + 16), np.full(lanes, 65536)
     for step in range(sizes.max()):
-        live, token, place = step < sizes, tokens[:, step], places[:, step]
-        a, b, c, g1, g2 = model.shares()
-        kind = np.where(token == g2, 0, np.where(token == g1, 1, np.where(place < model.seen, 2, 3)))
-        start = np.choose(kind, (np.zeros_like(a), a, b, c))
-        end = np.choose(kind, (a, b, c, whole))
-        coder.put(start, end - start, whole, live)
-        known, new = live & (kind == 2), live & (kind == 3)
-        if known.any():
-            below, own = model.find(np.where(known, place, 0))
-            coder.put(below, np.maximum(own, 1), np.maximum(model.total, 1), known)
-        if new.any():
-            coder.put(token, np.ones_like(token), whole, new)
-        model.learn(token, place, kind, live)
+        live, token = step < sizes, tokens[:, step]
+        new = places[:, step] >= model.seen
+        place = np.where(new, np.minimum(model.seen, GROUPS * 64 - 1), places[:, step])
+        model.mix()
+        start, size = model.find(place)
+        coder.put(np.where(new, model.known, start), np.where(new, model.fresh, size), model.whole, live)
+        if (plainly := live & new).any():
+            coder.put(token, np.ones_like(token), plain, plainly)
+        model.learn(token, place, new, live)
     packed = []
     for ids, data in zip(blocks, coder.finish()):
         raw = np.asarray(ids, "<u4").tobytes()
@@ -234,30 +238,23 @@ def decode_blocks(packed: list[bytes]) -> list[np.ndarray]:
         heads.append(head)
         payloads.append(data)
     lanes, sizes = len(packed), np.array([h[1] for h in heads])
-    model, coder, whole = Model(lanes), Decoder(payloads), np.full(lanes, 65536)
+    model, coder, plain = Model(lanes), Decoder(payloads), np.full(lanes, 65536)
     tokens = np.zeros((lanes, max(sizes.max(), 1)), np.int64)
     for step in range(sizes.max()):
         live = step < sizes
-        a, b, c, g1, g2 = model.shares()
-        value = coder.value(whole)
-        kind = np.where(value < a, 0, np.where(value < b, 1, np.where(value < c, 2, 3)))
-        start = np.choose(kind, (np.zeros_like(a), a, b, c))
-        coder.get(start, np.choose(kind, (a, b, c, whole)) - start, whole, live)
-        token = np.where(kind == 0, g2, g1).astype(np.int64)
-        place = np.minimum(model.seen, GROUPS * 64 - 1)
-        known, new = live & (kind == 2), live & (kind == 3)
-        if known.any():
-            total = np.maximum(model.total, 1)
-            place = np.where(known, model.at(coder.value(total)), place)
-            below, own = model.find(np.where(known, place, 0))
-            coder.get(below, np.maximum(own, 1), total, known)
-            token = np.where(known, model.ids[model.n, place], token)
-        if new.any():
-            plain = coder.value(whole)
-            coder.get(plain, np.ones_like(plain), whole, new)
-            token = np.where(new, plain, token)
+        model.mix()
+        value = coder.value(model.whole)
+        new = value >= model.known
+        place = np.where(new, np.minimum(model.seen, GROUPS * 64 - 1), model.at_value(np.where(new, 0, value)))
+        start, size = model.find(place)
+        coder.get(np.where(new, model.known, start), np.where(new, model.fresh, size), model.whole, live)
+        token = model.ids[model.n, place].astype(np.int64)
+        if (plainly := live & new).any():
+            read = coder.value(plain)
+            coder.get(read, np.ones_like(read), plain, plainly)
+            token = np.where(plainly, read, token)
         tokens[:, step] = token
-        model.learn(token, place, kind, live)
+        model.learn(token, place, new, live)
     out = [row[:n].astype(np.uint32) for row, n in zip(tokens, sizes)]
     for k, (ids, head) in enumerate(zip(out, heads)):
         if zlib.crc32(ids.astype("<u4").tobytes()) != head[2]:

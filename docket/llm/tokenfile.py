@@ -25,11 +25,12 @@ CHUNK = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("doc_ids", pa.l
 CHUNK_BLOCKS = 1024
 
 
-def write_token_files(docs: DataFrame, path: str | None = None, vocabulary: str | None = None, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> str:
+def write_token_files(docs: DataFrame, path: str | None = None, vocabulary: str | None = None, end_id: int = 0, chunk_blocks: int = CHUNK_BLOCKS, id_col: str = "doc_id", text_col: str = "text") -> str:
     """Encode every document and write the files; returns their path.
 
     A null or empty text is the end id alone; null ids come first; rows that repeat an id follow
-    each other, texts ascending. An empty table writes an empty file set.
+    each other, texts ascending. An empty table writes an empty file set. A chunk holds ``chunk_blocks`` blocks, or more where a
+    document is longer; other columns are ignored.
     """
     words = vocabulary or default_vocabulary()
     end = end_id.to_bytes(4, "little")
@@ -49,7 +50,7 @@ def write_token_files(docs: DataFrame, path: str | None = None, vocabulary: str
                     sizes.append(len(ids) // 4 + 1)
                     data.append(ids + end)
                     held += sizes[-1]
-                    if held >= CHUNK_BLOCKS * BLOCK_IDS:
+                    if held >= chunk_blocks * BLOCK_IDS:
                         yield row()
                         chunk, doc_ids, sizes, data, held = chunk + 1, [], [], [], 0
         if doc_ids:

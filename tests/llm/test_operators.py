@@ -481,3 +481,36 @@ def test_drops_are_by_id_and_text(spark):
     assert left(decontaminate.drop_contaminated(docs, items)) == sorted([r for r in rows if r != rows[2]], key=str)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert left(quality.drop_poor(docs, labels)) == sorted(rows, key=str)
+
+
+def test_token_files_across_chunks(spark):
+    rng = random.Random(7)
+    rows = [(i, " ".join(rng.choice(["one", "two", "three", "4", "fünf"]) for _ in range(rng.randint(0, 3000)))) for i in range(40)] + [(100, "long " * 9000)]
+    path = tokenfile.write_token_files(frame(spark, rows), chunk_blocks=1)
+    assert spark.read.parquet(path).where("chunk > 1").count() > 0
+    at = 0
+    for r, (i, t) in zip(sorted(tokenfile.read_token_files(spark, path).collect(), key=lambda r: r.start), rows, strict=True):
+        ids = brute_ids(t)
+        assert (r.doc_id, r.start, r.n_tokens, bytes(r.ids)) == (i, at, len(ids), np.array(ids, "<u4").tobytes())
+        at += len(ids)
+
+
+def test_mixed_distribution_is_one():
+    """The shares of all ids seen and of a new one adjoin and fill the whole."""
+    rng = np.random.default_rng(5)
+    model = rangecode.Model(3)
+    for _ in range(300):
+        token = rng.integers(0, 40, 3)
+        model.mix()
+        at = np.zeros(3, np.int64)
+        place = np.full(3, -1)
+        for p in range(int(model.seen.max())):
+            start, size = model.find(np.full(3, p))
+            here = p < model.seen
+            assert (start[here] == at[here]).all() and (size[here] > 0).all()
+            mid = model.at_value(np.where(here, start + size - 1, 0))
+            assert (mid[here] == p).all()
+            at += np.where(here, size, 0)
+            place = np.where(here & (model.ids[:, p] == token), p, place)
+        assert (at == model.known).all() and (model.known + model.fresh == model.whole).all()
+        model.learn(token, np.where(place < 0, model.seen, place), place < 0, np.ones(3, bool))
