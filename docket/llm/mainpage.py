@@ -27,7 +27,7 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 STOPS = frozenset("ul ol dl table div section article main body td th li blockquote form nav aside header footer figure".split())
 # Text that is never shown; an element left open runs to the end of the page.
 HIDDEN = "script|style|noscript|template|svg|iframe|object|canvas"
-MARKUP = re.compile(rf"<!--.*?(?:-->|\Z)|<({HIDDEN})\b[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>", re.S | re.I)
+MARKUP = re.compile(rf"<!--.*?(?:-->|\Z)|<({HIDDEN})(?=[\s/>])[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>", re.S | re.I)
 NAMES = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORDS = re.compile(r"[a-z]+")
 
@@ -233,11 +233,14 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[tuple[str, str]]:
             lambda: "<form><label>" + _prose(rng, 1, 4) + '</label><input name="q"><button>' + _prose(rng, 1, 2) + "</button></form>",
             before[3], before[4],
         ]
-        body = "".join(rng.choice(before)() for _ in range(rng.randint(0, 3)))
-        if rng.random() < 0.6:
+        bare = rng.random() < 0.1  # a page that is nothing but its article
+        body = "" if bare else "".join(rng.choice(before)() for _ in range(rng.randint(0, 3)))
+        if not bare and rng.random() < 0.6:
             body = "<nav>" + links(rng.randint(2, 7)) + "</nav>" + body
-        wrap = rng.choice([("<article>", "</article>")] * 4 + [("<main>", "</main>"), ("<main><article>", "</article></main>"), ('<div class="content">', "</div>"), ('<div id="article">', "</div>"), ('<div class="post entry"><section>', "</section></div>"), ('<div class="story body text">', "</div>")])
-        body += wrap[0] + (block("h1", 2, 12, keep=True) if rng.random() < 0.85 else "")
+        opaque = "".join(rng.choice("abcdefghjkmnxyz") for _ in range(rng.randint(1, 3))) + str(rng.randint(0, 99))
+        plain = [(f'<div class="{opaque}">', "</div>"), (f'<div id="{opaque}">', "</div>"), ("<div>", "</div>"), (f'<table><tr><td class="{opaque}">', "</td></tr></table>"), (f'<section><div class="{opaque}">', "</div></section>"), ("", "")]
+        wrap = rng.choice(plain) if rng.random() < 0.3 else rng.choice([("<article>", "</article>")] * 4 + [("<main>", "</main>"), ("<main><article>", "</article></main>"), ('<div class="content">', "</div>"), ('<div id="article">', "</div>"), ('<div class="post entry"><section>', "</section></div>"), ('<div class="story body text">', "</div>")])
+        body += wrap[0] + (block("h1", 2, 12, keep=True) if rng.random() < (0.5 if bare else 0.85) else "")
         for _ in range(rng.randint(0, 9)):
             body += rng.choice([
                 lambda: block("p", 1, 90, keep=True, close=rng.random() < 0.8), lambda: block("p", 1, 90, keep=True), lambda: block("p", 1, 8, keep=True),
@@ -247,8 +250,8 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[tuple[str, str]]:
             ])()
             if rng.random() < 0.06:
                 body += rng.choice([before[3], after[0], lambda: aside("div", "share", "social", "related", "ad")])()
-        body += wrap[1] + "".join(rng.choice(after)() for _ in range(rng.randint(0, 3)))
-        if rng.random() < 0.85:
+        body += wrap[1] + ("" if bare else "".join(rng.choice(after)() for _ in range(rng.randint(0, 3))))
+        if not bare and rng.random() < 0.85:
             body += rng.choice(["<footer>", '<div class="footer">', '<div id="footer">']) + f"&copy; {_prose(rng, 1, 14)} &middot; {_prose(rng, 1, 12)}" + rng.choice(["</footer>", "</div>"])
         head = f"<!DOCTYPE html><html><head><title>{_prose(rng, 2, 10)}</title><style>p{{}}</style></head><body>"
         out.append((head + body + "</body></html>", " ".join(" ".join(x.split()) for x in main)))
@@ -257,12 +260,12 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[tuple[str, str]]:
 
 @lru_cache(1)
 def default_model() -> ChainModel:
-    """Trained on labelled_pages(): a block is main if its text comes next in the page's main text."""
+    """Trained on labelled_pages(): a block is main if its text is what comes next in the page's main text."""
     data = []
     for page, text in labelled_pages():
         blocks, labels, at = leaf_blocks(page), [], 0
         for b in blocks:
-            hit = text.startswith(b.text, at) and bool({"article", "main"} & {*b.path} or b.names & {"content", "article", "post", "story"})
+            hit = text.startswith(b.text, at) and text[at + len(b.text) : at + len(b.text) + 1] in ("", " ")
             labels.append(int(hit))
             at += (len(b.text) + 1) * hit
         data.append(([block_features(blocks, k) for k in range(len(blocks))], labels))
@@ -278,7 +281,7 @@ def main_text(page: str, model: ChainModel) -> str:
 def extract_main(pages: DataFrame, model: ChainModel | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per input row: page_id, url, text (empty if none), n_chars.
 
-    A null page is empty and has empty text; other columns are ignored; repeated rows are extracted each; a
+    A null page is empty and has empty text; other columns are ignored; repeated rows and rows without an id are extracted each; a
     page without tags is one block. Nothing is cut, however long the page.
     """
     model = model or default_model()
