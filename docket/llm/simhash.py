@@ -10,7 +10,8 @@ choice of t_i bits masked; fingerprints that meet are compared in full.
 
 Only distinct fingerprints are searched, so copies cost nothing. A signature's members are never
 written as pairs: they are compared inside a task in strides and only the links of a spanning forest
-leave it; signatures with many members are split into pairs of chunks that go to tasks of their own.
+leave it. The members of a signature with many of them meet under finer signatures, which add an equal part of the other bits; only
+a finer one that still has many members is split into pairs of chunks that go to tasks of their own.
 """
 
 from __future__ import annotations
@@ -195,21 +196,31 @@ def _links(sig: np.ndarray, side: np.ndarray, fp: np.ndarray, distance: int) ->
 def links(fps: DataFrame, distance: int = 3, most_parts: int = 4, chunk: int = CHUNK) -> DataFrame:
     """(a, b): links that join the same fingerprints as all pairs within ``distance`` would."""
     parts = plan(fps, distance, most_parts)
-    signatures = []
+    signatures, free = [], []
     for k, (bits, t) in enumerate(parts):
         for drop in combinations(bits, t):
-            value = part_value(F.col("fp"), [b for b in bits if b not in drop])
-            signatures.append(F.xxhash64(F.lit(k), F.lit(",".join(map(str, drop))), value))
-    rows = fps.select("fp", F.explode(F.array(*signatures)).alias("sig"))
-    load = rows.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1")
+            held = [b for b in bits if b not in drop]
+            signatures.append(F.xxhash64(F.lit(k), F.lit(",".join(map(str, drop))), part_value(F.col("fp"), held)))
+            rest = [b for b in range(BITS) if b not in held]
+            free += [rest[j :: distance + 1] for j in range(distance + 1)]
+    rows = fps.select("fp", F.posexplode(F.array(*signatures)).alias("spec", "sig"))
+    load = written(rows.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1"), "load")
     rows = rows.join(load, "sig")
-    k = F.ceil(F.col("n") / chunk).cast("int")
-    rows = rows.withColumn("k", k).withColumn("c", F.pmod(F.xxhash64("fp"), F.col("k").cast("long")).cast("int"))
-    single = rows.where("k = 1").select("sig", F.lit(0).alias("side"), "fp")
-    split = rows.where("k > 1").select("fp", "sig", "c", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("d")).select(
-        F.xxhash64("sig", F.least("c", "d"), F.greatest("c", "d")).alias("sig"),
-        F.when(F.col("c") == F.col("d"), 0).when(F.col("c") < F.col("d"), 1).otherwise(2).alias("side"), "fp",
-    )
+    meeting = rows.where(F.col("n") <= chunk).select("sig", F.lit(0).alias("side"), "fp")
+    if not load.where(F.col("n") > chunk).isEmpty():
+        # Members of a signature differ in its other bits alone: cut into distance + 1 parts, some part of them is equal.
+        masks = F.array(*(part_value(F.lit(-1).cast("long"), bits) for bits in free))
+        again = F.explode(F.transform(F.sequence(F.lit(0), F.lit(distance)), lambda j: F.xxhash64("sig", j, F.col("fp").bitwiseAND(F.element_at(masks, F.col("spec") * (distance + 1) + j + 1)))))
+        finer = written(rows.where(F.col("n") > chunk).select("fp", again.alias("sig")), "finer")
+        finer = finer.join(finer.groupBy("sig").agg(F.ceil(F.count("*") / chunk).cast("int").alias("k"), F.count("*").alias("n")).where("n > 1"), "sig")
+        meeting = meeting.union(finer.where("k = 1").select("sig", F.lit(0).alias("side"), "fp"))
+        # What is still too large goes in pairs of chunks.
+        split = finer.where("k > 1").withColumn("c", F.pmod(F.xxhash64("fp"), F.col("k").cast("long")).cast("int"))
+        split = split.select("fp", "sig", "c", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("d"))
+        meeting = meeting.union(split.select(
+            F.xxhash64("sig", F.least("c", "d"), F.greatest("c", "d")).alias("sig"),
+            F.when(F.col("c") == F.col("d"), 0).when(F.col("c") < F.col("d"), 1).otherwise(2).alias("side"), "fp",
+        ))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +239,7 @@ def links(fps: DataFrame, distance: int = 3, most_parts: int = 4, chunk: int = C
                 kept = np.array(_forest(a, b), np.uint64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(kept[:, c]).view(np.int64)) for c in (0, 1)], schema=schema)
 
-    return single.union(split).repartition("sig").sortWithinPartitions("sig").mapInArrow(meet, "a long, b long")
+    return meeting.repartition("sig").sortWithinPartitions("sig").mapInArrow(meet, "a long, b long")
 
 
 def _with_end(batches):
