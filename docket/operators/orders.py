@@ -72,21 +72,14 @@ def queue(items: DataFrame, tenant: object | None = None, limit: int | None = No
 
 
 def latest_decision(log: DataFrame, item: str, time: str, tie: str) -> DataFrame:
-    """Status of each item: the latest decision; approvals keep the edits made before, rejections clear them, an edit
-    without edits is an approval."""
-    status = F.when((F.col("action") == "edited") & (F.coalesce(F.col("edits"), F.lit("")) == ""), "approved").otherwise(F.col("action"))
-    x = log.withColumn("status", status)
+    """Status and edits of each item: an approval without edits keeps those before it, every other decision sets them (a rejection
+    to none); an edit without edits is an approval."""
+    none = F.coalesce(F.col("edits"), F.lit("")) == ""
     order = F.struct(F.col(time), F.col(tie))
-    at = F.struct(F.col(time).alias("at"), F.col(tie).alias("tie"))
-    last = x.groupBy(item).agg(
-        F.max_by("status", order).alias("status"),
-        F.max_by("edits", F.when(F.col("status") == "edited", order)).alias("last_edits"),
-        F.max(F.when(F.col("status") == "edited", at)).alias("edited_at"),
-        F.max(F.when(F.col("status") == "rejected", at)).alias("rejected_at"),
-        F.count("*").alias("decisions"),
-    )
-    kept = F.col("edited_at").isNotNull() & (F.col("rejected_at").isNull() | (F.col("edited_at") > F.col("rejected_at")))
-    return last.select(item, "status", F.when(kept, F.col("last_edits")).alias("edits"), "decisions")
+    status = F.when((F.col("action") == "edited") & none, "approved").otherwise(F.col("action"))
+    sets = F.when(~((F.col("action") == "approved") & none), order)
+    last = log.groupBy(item).agg(F.max_by(status, order).alias("status"), F.max_by(F.coalesce(F.col("edits"), F.lit("")), sets).alias("edits"), F.count("*").alias("decisions"))
+    return last.select(item, "status", F.nullif(F.col("edits"), F.lit("")).alias("edits"), "decisions")
 
 
 def amendment_chain(sent: DataFrame, item: str, order_id: str, time: str, tie: str) -> DataFrame:

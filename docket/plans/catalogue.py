@@ -329,8 +329,8 @@ _LOG = "lg as (select *, case event_type when 'error' then 'rejected' when 'purc
 
 
 @query(f"""with {_LOG}, s as (select *, case when action = 'edited' and coalesce(edits, '') = '' then 'approved' else action end status from lg),
- l as (select user_id, arg_max(status, (ts, event_id)) status, arg_max(edits, (ts, event_id)) filter (status = 'edited') le, max((ts, event_id)) filter (status = 'edited') ea, max((ts, event_id)) filter (status = 'rejected') ra, count(*) decisions from s group by 1)
- select user_id, status, case when ea is not null and (ra is null or ea > ra) then le end edits, decisions from l""")
+ l as (select user_id, arg_max(status, (ts, event_id)) status, arg_max(coalesce(edits, ''), (ts, event_id)) filter (not (action = 'approved' and coalesce(edits, '') = '')) e, count(*) decisions from s group by 1)
+ select user_id, status, nullif(e, '') edits, decisions from l""")
 def review_latest_state(spark, sf):
     e = t(spark, sf, "events")
     action = F.when(F.col("event_type") == "error", "rejected").when(F.col("event_type") == "purchase", "approved").otherwise("edited")
