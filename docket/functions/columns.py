@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -17,6 +19,18 @@ def bucket(n: int, *keys: Column) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint"), F.lit(n))
 
 
+@F.pandas_udf(StringType())
+def casefolded(c: pd.Series) -> pd.Series:
+    """Full case folding, as where 'ß' must equal 'SS'; for ASCII texts lower() does the same without Python."""
+    return c.map(lambda v: v.casefold() if v is not None else None)
+
+
+def norm_folded(c: Column) -> Column:
+    """norm_text() with full case folding: only texts with characters beyond ASCII go through Python."""
+    plain = norm_text(c)
+    return F.when(c.rlike(r"^\p{ASCII}*$"), plain).otherwise(casefolded(plain))
+
+
 def norm_text(c: Column) -> Column:
     """Lower case, runs of white space single, trimmed; punctuation stays."""
     return F.lower(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")))

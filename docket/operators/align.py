@@ -5,7 +5,7 @@ from __future__ import annotations
 from itertools import permutations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
@@ -97,25 +97,55 @@ def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([indel_ratio(x or "", y or "") for x, y in zip(a, b)])
 
 
-def resolve(mentions: DataFrame, mention: str, dictionary: DataFrame, term: str, target: str, floor: float = 80.0, alias: str | None = None) -> DataFrame:
-    """Dictionary resolution: exact by normalised term (the last target wins), else the best token-sorted ratio of at least ``floor``.
+def _numbered_grams(c: Column) -> Column:
+    """Pairs of neighbouring characters, the ends marked, each with its number among equal ones."""
+    padded = F.concat(F.lit("\x02"), c, F.lit("\x03"))
+    grams = F.transform(F.sequence(F.lit(1), F.length(c) + 1), lambda i: F.substring(padded, i, F.lit(2)))
+    return F.transform(grams, lambda g, i: F.concat(g, F.size(F.filter(F.slice(grams, F.lit(1), i), lambda x: x == g)).cast("string")))
 
-    Only distinct mentions without an exact match are compared, and only with terms of a length for which the ratio
-    can reach ``floor``: f to 1/f times the mention's, f = floor / (200 - floor). Returns mention, target, score and
-    method: name_exact, alias_exact (the column ``alias`` marks a term as no name), fuzzy or unresolved.
+
+def close_pairs(left: DataFrame, right: DataFrame, floor: float) -> DataFrame:
+    """(a, b): pairs of the texts left.a and right.b among which are all whose ratio is ``floor`` or more.
+
+    Of texts of lengths x and y with an LCS of s / 2 * (x + y), s = floor / 100, at least (1.5 * s - 1) * (x + y) + 1 pairs of neighbours are
+    common. So the rarest pairs of each side, but as many as that less one, must share one: an equi-join on rare keys. For floors
+    under 70, where that says nothing, texts meet by their lengths.
+    """
+    s = floor / 100
+    f = s / (2 - s)
+    a, b = left.select("a").distinct(), right.select("b").distinct()
+    close = (F.length("b") >= F.ceil(F.length("a") * f - 1e-9)) & (F.length("b") <= F.floor(F.length("a") / f + 1e-9))
+    if floor < 70:
+        sized = a.withColumn("size", F.explode(F.sequence(F.ceil(F.length("a") * f - 1e-9).cast("int"), F.floor(F.length("a") / f + 1e-9).cast("int"))))
+        return sized.join(b.withColumn("size", F.length("b")), "size").select("a", "b")
+    common = (1.5 * s - 1) * (1 + f)
+    both = a.select(F.lit("a").alias("side"), F.col("a").alias("text")).union(b.select(F.lit("b"), "b")).withColumn("g", F.explode(_numbered_grams(F.col("text"))))
+    rarity = both.groupBy("g").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("side", "text").orderBy("n", "g"))
+    some = both.join(rarity, "g").withColumn("rank", rank).where(F.col("rank") <= F.length("text") + 1 - F.ceil(F.length("text") * common - 1e-9))
+    met = some.where("side = 'a'").select("g", F.col("text").alias("a")).join(some.where("side = 'b'").select("g", F.col("text").alias("b")), "g")
+    return met.where(close).select("a", "b").distinct()
+
+
+def resolve(mentions: DataFrame, mention: str, dictionary: DataFrame, term: str, target: str, floor: float = 80.0, alias: str | None = None, place: str | None = None) -> DataFrame:
+    """Dictionary resolution: exact by normalised term, else the best token-sorted ratio of at least ``floor``.
+
+    With ``place``, the order of the dictionary, an exact term means its last target and equal ratios the first term; without, the
+    greatest target and the smallest. Targets are of any type. Only distinct mentions without an exact match are compared, and only with
+    terms that close_pairs() finds. Returns mention, target, score and method: name_exact, alias_exact (the column ``alias``
+    marks a term as no name), fuzzy or unresolved.
     """
     is_name = F.lit(True) if alias is None else ~F.coalesce(F.col(alias), F.lit(False))
-    terms = dictionary.select(norm_text(F.col(term)).alias("term"), F.col(target).alias("target"), is_name.alias("is_name")).groupBy("term").agg(F.max("target").alias("target"), F.max_by("is_name", F.struct("target", "is_name")).alias("is_name"))
+    at = F.col(target) if place is None else F.col(place)
+    terms = dictionary.select(norm_text(F.col(term)).alias("term"), F.col(target).alias("target"), is_name.alias("is_name"), at.alias("place"))
+    last = F.max_by(F.struct("target", "is_name"), F.struct("place", "is_name"))
+    terms = terms.groupBy("term").agg(last.alias("last"), F.min("place").alias("first")).select("term", "last.target", "last.is_name", "first")
     wanted = mentions.select(F.col(mention).alias("mention"), norm_text(F.col(mention)).alias("norm")).distinct()
     exact = wanted.join(terms, F.col("norm") == F.col("term"), "left")
     rest = exact.where("target is null").select("mention", token_sort(F.col("mention")).alias("a"))
-    keys = terms.select("target", "term", token_sort(F.col("term")).alias("b"))
-    f = floor / (200.0 - floor)
-    size = lambda c: F.length(c)
-    lengths = keys.withColumn("size", size(F.col("b")))
-    spread = rest.withColumn("size", F.explode(F.sequence(F.ceil(size(F.col("a")) * f - 1e-9).cast("int"), F.floor(size(F.col("a")) / f + 1e-9).cast("int"))))
-    scored = spread.join(lengths, "size").withColumn("score", _ratio("a", "b")).where(F.col("score") >= floor)
-    top = scored.groupBy("mention").agg(F.max_by(F.struct("target", "score"), F.struct(F.col("score"), -F.col("target").cast("double"))).alias("t"))
+    keys = terms.select("target", F.col("target").alias("tie") if place is None else F.col("first").alias("tie"), token_sort(F.col("term")).alias("b"))
+    scored = close_pairs(rest.where("a is not null"), keys, floor).withColumn("score", _ratio("a", "b")).where(F.col("score") >= floor)
+    top = rest.join(scored, "a").join(keys, "b").groupBy("mention").agg(F.min_by(F.struct("target", "score"), F.struct(-F.col("score"), F.col("tie"))).alias("t"))
     fuzzy = top.select("mention", F.col("t.target").alias("target"), F.col("t.score").alias("score"), F.lit("fuzzy").alias("method"))
     hit = exact.where("target is not null").select("mention", "target", F.lit(100.0).alias("score"), F.when(F.col("is_name"), "name_exact").otherwise("alias_exact").alias("method"))
     none = rest.join(fuzzy, "mention", "left_anti").select("mention", F.lit(None).cast(terms.schema["target"].dataType).alias("target"), F.lit(0.0).alias("score"), F.lit("unresolved").alias("method"))

@@ -115,7 +115,7 @@ def due_date(sent: Column, phrase: Column) -> Column:
 
 def rendered_line(quantity: Column, unit: Column, product: Column, cents: Column) -> Column:
     """An order line as a customer writes it: '5 cartons of X @ $1.20', without what is not stated."""
-    return F.concat_ws(" ", quantity.cast("string"), F.concat(unit, F.lit(" of")), product, F.concat(F.lit("@ "), price_text(cents)))
+    return F.concat_ws(" ", quantity.cast("string"), F.concat(unit, F.lit(" of")), product, F.when(cents.isNotNull(), F.concat(F.lit("@ "), price_text(cents))))
 
 
 def gold_surfaces(order: Column) -> Column:

@@ -193,10 +193,13 @@ def expected_calibration_error(bins: DataFrame) -> DataFrame:
 
 def interpolate(x: Column, knots: list[tuple[float, float]]) -> Column:
     """Piecewise-linear map through (x, y) knots, flat beyond the ends."""
-    out = F.when(x <= knots[0][0], F.lit(knots[0][1]))
-    for (x0, y0), (x1, y1) in zip(knots, knots[1:]):
-        out = out.when(x <= x1, F.lit(y0) + (x - x0) * F.lit((y1 - y0) / (x1 - x0)))
-    return F.when(x.isNull(), None).otherwise(out.otherwise(F.lit(knots[-1][1])))
+    n, (xs, ys) = len(knots), zip(*knots)
+    slopes = [(y1 - y0) / (x1 - x0) if x1 > x0 else 0.0 for (x0, y0), (x1, y1) in zip(knots, knots[1:])] + [0.0]
+    xs, ys, slopes = (F.array(*(F.lit(float(v)) for v in values)) for values in (xs, ys, slopes))
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(n.bit_length()))))
+    below = F.aggregate(steps, F.lit(-1), lambda at, by: F.when((at + by < n) & (F.get(xs, at + by) < x), at + by).otherwise(at))  # binary search
+    on = F.transform(F.array(below), lambda i: F.when(i < 0, F.get(ys, F.lit(0))).otherwise(F.get(ys, i) + (x - F.get(xs, i)) * F.get(slopes, i)))
+    return F.when(x.isNotNull(), F.get(on, F.lit(0)))
 
 
 def isotonic_knots(pairs: DataFrame, confidence: str, correct: str) -> list[tuple[float, float]]:

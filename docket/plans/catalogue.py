@@ -242,7 +242,7 @@ def resolve_exact(spark, sf):
 def resolve_fuzzy_top1(spark, sf):
     p = t(spark, sf, "part").select("p_name", "p_partkey")
     h = C.bucket(5, F.lit("typo"), F.col("p_name"))
-    typed = F.when(h == 0, F.col("p_name")).when(h == 1, F.concat(F.substring("p_name", 2, 100), F.lit("s"))).when(h == 2, F.concat_ws(" ", F.reverse(F.split("p_name", " ")))).when(h == 3, F.concat(F.col("p_name"), F.lit(" x"))).otherwise(F.lit("nothing like it at all"))
+    typed = F.when(h == 0, F.col("p_name")).when(h == 1, F.concat(F.col("p_name").substr(F.lit(2), F.length("p_name")), F.lit("s"))).when(h == 2, F.concat_ws(" ", F.reverse(F.split("p_name", " ")))).when(h == 3, F.concat(F.col("p_name"), F.lit(" x"))).otherwise(F.lit("nothing like it at all"))
     return align.resolve(p.select(typed.alias("m")), "m", p, "p_name", "p_partkey")
 
 
@@ -316,7 +316,8 @@ def missing_required(spark, sf):
     return t(spark, sf, "orders").select("o_orderkey", F.size(C.missing_fields(head, items, ["quantity"])).alias("missing"))
 
 
-@query()
+@query("""with l as (select l_orderkey, list_sort(list({'product': l_partkey::VARCHAR, 'quantity': l_quantity::BIGINT::VARCHAR})) x from lineitem group by 1)
+ select l_orderkey, len(x)::INT "before", '[' || array_to_string(list_concat(['{"product":"' || x[1].product || '","quantity":"7"}'], list_transform(x[3:], lambda v: '{"product":"' || v.product || '","quantity":"' || v.quantity || '"}'), case when len(x) > 1 then ['{"product":"added"}'] else [] end), ',') || ']' "after" from l""")
 def apply_edits(spark, sf):
     o = t(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(F.col("l_partkey").cast("string").alias("product"), F.col("l_quantity").cast("long").cast("string").alias("quantity")))).alias("lines"))
     last = F.size("lines").cast("string")

@@ -418,3 +418,16 @@ def resolve_method_counts(spark, sf):
     terms = p.select(k.alias("target"), F.explode(F.array(entry("part ", False), entry("item ", True))).alias("e")).select("e.term", "e.alias", "target")
     said = p.select(F.concat(F.when(k % 2 == 0, "PART  ").otherwise(" Item "), k.cast("string")).alias("m"))
     return align.resolve(said, "m", terms, "term", "target", alias="alias").groupBy("method").agg(F.count("*").alias("n"))
+
+
+@query()
+def resolve_text_targets(spark, sf):
+    p = t(spark, sf, "part").select("p_name", F.concat(F.lit("SKU-"), F.col("p_partkey").cast("string")).alias("sku"), F.col("p_partkey").alias("place"))
+    typed = F.when(F.col("place") % 3 == 0, F.col("p_name")).when(F.col("place") % 3 == 1, F.concat(F.col("p_name"), F.lit("s"))).otherwise(F.concat_ws(" ", F.reverse(F.split("p_name", " "))))
+    return align.resolve(p.select(typed.alias("m")), "m", p, "p_name", "sku", place="place")
+
+
+@query("select doc_id, md5(replace(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), 'ß', 'ss')) folded from documents where not regexp_matches(text, '[^\\x00-\\x7fßäöüéèñçáíóúàêâîôûÄÖÜÉ]')")
+def folded_texts(spark, sf):
+    d = t(spark, sf, "documents").where(~F.col("text").rlike(r"[^\x00-\x7fßäöüéèñçáíóúàêâîôûÄÖÜÉ]"))
+    return d.select("doc_id", F.md5(C.norm_folded(F.col("text"))).alias("folded"))
