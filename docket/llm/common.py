@@ -60,7 +60,10 @@ def digest(text: Column) -> Column:
 
 
 def without(docs: DataFrame, dropped: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of ``docs``, all columns, whose id and text are not in ``dropped`` (doc_id, h). Null ids are compared too."""
+    """The rows of ``docs``, all columns, whose id and text are not in ``dropped`` (doc_id, h). Null ids are compared too.
+
+    What is dropped grows with the corpus, so the plan is a shuffle whatever its size is now.
+    """
     names = [f"dropped_{uuid.uuid4().hex}" for _ in range(2)]  # clash with no column
-    out = written(dropped.select(F.col("doc_id").alias(names[0]), F.col("h").alias(names[1])).distinct(), "dropped")
+    out = dropped.select(F.col("doc_id").alias(names[0]), F.col("h").alias(names[1])).distinct().hint("merge")
     return docs.join(out, F.col(id_col).cast("long").eqNullSafe(F.col(names[0])) & (digest(F.col(text_col)) == F.col(names[1])), "left_anti")

@@ -15,19 +15,21 @@ larger benchmark takes more scans, never a larger broadcast.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import defaultdict
 from collections.abc import Iterator
 from math import floor
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
-from docket.llm.common import texts, without, written
+from docket.llm.common import texts, written
 
 WORD = re.compile(r"\w+")
 ITEMS_PER_SCAN = 20_000
@@ -150,49 +152,61 @@ def contaminated(
     different texts of one item_id, equal rows of an item give one pair. An item whose id is null or no number has a null item_id.
     Other columns are ignored. Items are read in blocks of ``items_per_scan`` items and ``bytes_per_scan`` bytes on average.
     """
-    options = dict(threshold=threshold, shingle=shingle, id_col=id_col, text_col=text_col, item_col=item_col, item_text=item_text, items_per_scan=items_per_scan, bytes_per_scan=bytes_per_scan)
-    return _hits(docs, benchmark, **options).select("doc_id", "item_id", "containment")
-
-
-def _hits(docs: DataFrame, benchmark: DataFrame, threshold: float, shingle: int, id_col: str, text_col: str, item_col: str, item_text: str, items_per_scan: int, bytes_per_scan: int) -> DataFrame:
-    """contaminated() with h, the digest of the document's text."""
-    spark = docs.sparkSession
     rows, out = texts(docs, id_col, text_col), None
-    items = written(benchmark.select(F.col(item_col).try_cast("long").alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t")).distinct(), "items")
-    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("b")).first()
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("containment", pa.float64()), ("h", pa.string())])
-    blocks = max(-(-size.n // items_per_scan), -(-size.b // bytes_per_scan))
-    for k in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k) if blocks > 1 else items
-        index = spark.sparkContext.broadcast([(r.i, r.t) for r in block.orderBy("i", "t").toLocalIterator()])
+    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("containment", pa.float64())])
+    for index in _blocks(benchmark, item_col, item_text, items_per_scan, bytes_per_scan):
 
         def search(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            ids = [i for i, _ in index.value]  # items are numbered, so that neither a null nor a repeated id hides one
-            found = Index([(k, t) for k, (_, t) in enumerate(index.value)], threshold, shingle)
+            ids, found = [i for i, _ in index.value], _indexed(index, threshold, shingle)
             for batch in batches:
-                pairs = []
-                for d, t in zip(batch.column(0), batch.column(1)):
-                    text = t.as_py()
-                    if hits := found.search(text):
-                        h = hashlib.sha256(text.encode()).hexdigest()
-                        pairs += [(d.as_py(), ids[k], c, h) for k, c in hits]
+                pairs = [(d, ids[k], c) for d, t in zip(batch.column(0).to_pylist(), batch.column(1)) for k, c in found.search(t.as_py())]
                 if pairs:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*pairs), schema)], schema=schema)
             HASHES.clear()
 
-        hits = rows.mapInArrow(search, "doc_id long, item_id long, containment double, h string")
+        hits = rows.mapInArrow(search, "doc_id long, item_id long, containment double")
         out = hits if out is None else out.union(hits)
-    return out if out is not None else spark.createDataFrame([], "doc_id long, item_id long, containment double, h string")
+    return out if out is not None else docs.sparkSession.createDataFrame([], "doc_id long, item_id long, containment double")
+
+
+def _blocks(benchmark: DataFrame, item_col: str, item_text: str, items_per_scan: int, bytes_per_scan: int) -> Iterator[Broadcast]:
+    """Broadcast lists of distinct (item id, text), each of a bounded number of items and bytes."""
+    spark = benchmark.sparkSession
+    items = written(benchmark.select(F.col(item_col).try_cast("long").alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t")).distinct(), "items")
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("b")).first()
+    blocks = max(-(-size.n // items_per_scan), -(-size.b // bytes_per_scan))
+    for k in range(blocks):
+        block = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k) if blocks > 1 else items
+        yield spark.sparkContext.broadcast([(r.i, r.t) for r in block.orderBy("i", "t").toLocalIterator()])
+
+
+def _indexed(items: Broadcast, threshold: float, shingle: int) -> Index:
+    """Items are numbered, so that neither a null nor a repeated id hides one."""
+    return Index([(k, t) for k, (_, t) in enumerate(items.value)], threshold, shingle)
 
 
 def drop_contaminated(
     docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text",
     item_col: str = "item_id", item_text: str = "text", items_per_scan: int = ITEMS_PER_SCAN, bytes_per_scan: int = BYTES_PER_SCAN,
 ) -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no test item.
+    """The rows of ``docs``, all columns, that hold no test item. Rows are searched where they lie, without a join.
 
-    A row goes by its id and its text, so of rows that share an id only those that hold an item go; rows without an id
-    are searched like any other. Null and empty texts stay; repeated rows share their fate.
+    Each row is judged by its own text, whatever its id, also where it is null or repeated. Null and empty texts stay; repeated rows
+    share their fate.
     """
-    hits = _hits(docs, benchmark, threshold, shingle, id_col, text_col, item_col, item_text, items_per_scan, bytes_per_scan)
-    return without(docs, hits, id_col, text_col)
+    for items in _blocks(benchmark, item_col, item_text, items_per_scan, bytes_per_scan):
+        docs = docs.where(_clean(items, threshold, shingle)(F.col(text_col)))
+    return docs
+
+
+def _clean(items: Broadcast, threshold: float, shingle: int):
+    """Whether a text holds none of the items."""
+
+    @F.pandas_udf(BooleanType())
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        index = _indexed(items, threshold, shingle)
+        for batch in batches:
+            yield pd.Series([not index.search(t or "") for t in batch], dtype=bool)
+        HASHES.clear()
+
+    return clean

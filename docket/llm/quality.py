@@ -16,11 +16,13 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
-from docket.llm.common import digest, texts, without, written
+from docket.llm.common import slices, texts
 
 FEATURES = (
     "log_chars", "word_length", "long_words", "unique_words", "top_word", "top_pair", "repeated_words", "symbols", "marks",
@@ -64,20 +66,6 @@ def features(text: str) -> list[float]:
     ]
 
 
-def feature_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_digest: bool = False) -> DataFrame:
-    """(doc_id, x): the features of every row; also h, the digest of its text, on request."""
-    rows = texts(docs, id_col, text_col)
-    rows = rows.select("doc_id", "text", digest(F.col("text")).alias("h")) if with_digest else rows
-    schema = pa.schema([("doc_id", pa.int64()), ("x", pa.list_(pa.float64())), *[("h", pa.string())] * with_digest])
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = [features(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, schema.field(1).type), *batch.columns[2:]], schema=schema)
-
-    return rows.mapInArrow(of, "doc_id long, x array<double>" + ", h string" * with_digest)
-
-
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -176,13 +164,25 @@ def held_out(doc_id) -> "F.Column":
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def train(table: DataFrame, labels: DataFrame, most_rows: int = 20_000, label_col: str = "quality") -> AdditiveModel:
-    """Fit on labelled rows that are not held out: at most ``most_rows``, those of the least hashed ids."""
+def train(rows: DataFrame, labels: DataFrame, most_rows: int = 20_000, label_col: str = "quality") -> AdditiveModel:
+    """Fit on labelled rows (doc_id, text) that are not held out: at most ``most_rows``, those of the least hashed ids."""
     known = labels.select("doc_id", F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1)).where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    rows = table.join(F.broadcast(known), "doc_id").select("doc_id", "x", "y").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
-    x = np.array(rows.x.tolist()) if len(rows) else np.zeros((0, len(FEATURES)))
-    return AdditiveModel().fit(x, rows.y.to_numpy(float))
+    labelled = rows.join(F.broadcast(known), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # one text an id
+    schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("x", pa.list_(pa.float64()))])
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = [features(t.as_py()) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, schema.field(2).type)], schema=schema)
+
+    found = labelled.mapInArrow(of, "doc_id long, y int, x array<double>").toPandas().sort_values("doc_id")
+    x = np.array(found.x.tolist()) if len(found) else np.zeros((0, len(FEATURES)))
+    return AdditiveModel().fit(x, found.y.to_numpy(float))
+
+
+def _scores(model: AdditiveModel, found: list[str]) -> np.ndarray:
+    return model.score(np.array([features(t) for t in found], float).reshape(-1, len(FEATURES)))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -190,31 +190,31 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, m
 
     The model is fitted on a bounded sample of labelled rows (``most_rows``), the score covers every whole text. A null
     text is empty and scored like an empty one. Without any usable label, or with one class only, every
-    score is the labelled rate (0.5 if there is none). A null id counts as held out. Repeated rows are scored each.
+    score is the labelled rate (0.5 if there is none). A null id counts as held out. Repeated rows are scored each; other columns are ignored.
     """
-    scored = _scored(written(feature_table(docs, id_col, text_col), "features"), labels, most_rows)
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
-
-
-def _scored(table: DataFrame, labels: DataFrame, most_rows: int) -> DataFrame:
-    """The rows of a feature table with their score in place of the features."""
-    model = train(table, labels, most_rows)
-    digests = "h" in table.columns
-    schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), *[("h", pa.string())] * digests])
+    rows = texts(docs, id_col, text_col)
+    model = train(rows, labels, most_rows)
+    schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x)), *batch.columns[2:]], schema=schema)
+        for some in (s for batch in batches for s in slices(batch)):
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(_scores(model, some.column(1).to_pylist()))], schema=schema)
 
-    return table.mapInArrow(score, "doc_id long, score double" + ", h string" * digests)
+    scored = rows.mapInArrow(score, "doc_id long, score double")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def drop_poor(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that the classifier does not reject.
+    """The rows of ``docs``, all columns, that the classifier does not reject. Rows are judged where they lie, without a join.
 
-    A row goes by its id and its text, so of rows that share an id each is judged by its own text; rows without an id
-    are judged like any other, null and empty texts by the score of an empty text. Repeated rows share their fate.
+    Each row is judged by its own text, whatever its id, also where it is null or repeated; null and empty texts by the score of an
+    empty text. Repeated rows share their fate.
     """
-    table = written(feature_table(docs, id_col, text_col, True), "features")
-    return without(docs, _scored(table, labels, most_rows).where(F.col("score") < threshold), id_col, text_col)
+    model = train(texts(docs, id_col, text_col), labels, most_rows)
+
+    @F.pandas_udf(BooleanType())
+    def good(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series(_scores(model, [t or "" for t in batch]) >= threshold)
+
+    return docs.where(good(F.col(text_col)))

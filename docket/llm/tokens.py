@@ -18,7 +18,7 @@ RUN = re.compile(r"\s\s|<\|")
 PLAIN = re.compile(r" ?\S+").fullmatch
 NEWLINE = 198
 PUNCTUATION = ".,;:!?%*&#$|\"()"
-MOST_PIECES = 1_000_000  # of at most LONGEST characters each: some 250 MB; longer ones are not kept
+MOST_PIECES = 600_000  # of at most LONGEST characters each: some 150 MB; longer ones are not kept
 LONGEST = 64
 
 
