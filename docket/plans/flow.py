@@ -9,7 +9,7 @@ from docket.operators import flow, orders
 from docket.plans.catalogue import _RULE, b, query, rule_lines, t
 from docket.plans.records import _RECORDS, records
 
-_NONE = F.lit(None).cast("string")
+_none = lambda: F.lit(None).cast("string")
 
 
 @query("""with recursive e as (select user_id, event_id, case event_type when 'error' then 'rejected' when 'purchase' then 'approved' else 'edited' end action,
@@ -128,7 +128,7 @@ def migrated_items(spark, sf):
 @query("select o_orderkey, o_orderpriority subject, case when o_orderkey % 3 > 0 then 'ORD-' || o_orderkey end order_id, case when o_orderkey % 3 = 1 then 'submitted' when o_orderkey % 3 = 2 then 'held' end reason from orders")
 def shown_items(spark, sf):
     k = F.col("o_orderkey")
-    x = t(spark, sf, "orders").select(k, F.col("o_orderpriority").alias("subject"), F.lit("secret").alias("org_id"), F.when(k % 3 > 0, F.concat(F.lit("ORD-"), k.cast("string"))).alias("order_id"), F.when(k % 3 == 1, "submitted").when(k % 3 == 2, "held").alias("reason"), _NONE.alias("amends"))
+    x = t(spark, sf, "orders").select(k, F.col("o_orderpriority").alias("subject"), F.lit("secret").alias("org_id"), F.when(k % 3 > 0, F.concat(F.lit("ORD-"), k.cast("string"))).alias("order_id"), F.when(k % 3 == 1, "submitted").when(k % 3 == 2, "held").alias("reason"), _none().alias("amends"))
     return flow.shown(x).select("o_orderkey", "subject", "fulfillment.order_id", "fulfillment.reason")
 
 
@@ -138,7 +138,7 @@ def shown_items(spark, sf):
  array_to_string(list_filter([case when o_orderkey % 3 = 0 then 'late' end, case when o_orderkey % 2 = 0 then 'rush' end], lambda x: x is not null), ',') flags from orders""")
 def row_projections(spark, sf):
     k, c = F.col("o_orderkey"), F.col("o_custkey")
-    sub = flow.subtype(F.when(k % 4 == 1, "add"), F.when(k % 4 == 2, "price"), _NONE)
+    sub = flow.subtype(F.when(k % 4 == 1, "add"), F.when(k % 4 == 2, "price"), _none())
     who = flow.identity(F.when(k % 3 == 0, F.concat(F.lit("user"), c.cast("string"))), F.when(k % 3 == 1, F.concat(F.lit("10.0.0."), (c % 9).cast("string"))))
     line = flow.item_line(F.when(k % 2 == 0, "").otherwise("5"), F.lit("box"), F.lit("tape"), F.lit("plain"), k % 3 == 0, F.when(k % 4 == 0, 2), F.when(k % 5 == 0, "$2").otherwise(""))
     flags = F.create_map(F.lit("rush"), k % 2 == 0, F.lit("late"), k % 3 == 0)
