@@ -7,12 +7,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, NumericType, StructField, StructType
 
 from docket.functions.columns import bucket, norm_text, ratio
 
@@ -23,13 +25,36 @@ def slot_outcomes(df: DataFrame, fields: list[str], keep: list[str] = (), gold:
     """One row per record and field: the kept columns, field, and a 0/1 column for each outcome."""
     slots = [F.struct(F.lit(f).alias("field"), F.col(gold + f).cast("string").alias("g"), F.col(pred + f).cast("string").alias("p")) for f in fields]
     long = df.select(*keep, F.explode(F.array(*slots)).alias("s")).select(*keep, "s.field", "s.g", "s.p")
-    g, p = F.col("g"), F.col("p")
-    same = norm_text(g).eqNullSafe(norm_text(p)) & g.isNotNull()
+    return long.select(*keep, "field", *(c.alias(n) for n, c in _flags(F.col("g"), F.col("p")).items()))
+
+
+def _flags(g: Column, p: Column, free_text: bool = True) -> dict[str, Column]:
+    """0 or 1 for each outcome of a slot; only texts that differ as they are have to be normalised."""
+    strict = F.coalesce(g == p, F.lit(False))
+    same = strict | F.coalesce(norm_text(g) == norm_text(p), F.lit(False)) if free_text else strict
     flags = {
-        "correct": same, "strict_correct": g == p, "wrong": g.isNotNull() & p.isNotNull() & ~same,
+        "correct": same, "strict_correct": strict, "wrong": g.isNotNull() & p.isNotNull() & ~same,
         "hallucination": g.isNull() & p.isNotNull(), "miss": g.isNotNull() & p.isNull(), "null_agree": g.isNull() & p.isNull(),
     }
-    return long.select(*keep, "field", *(F.coalesce(c, F.lit(False)).cast("long").alias(n) for n, c in flags.items()))
+    return {n: flags[n].cast("long") for n in OUTCOMES}
+
+
+def _flags_of(df: DataFrame, field: str, gold: str, pred: str) -> dict[str, Column]:
+    numbers = all(isinstance(df.schema[c + field].dataType, NumericType) for c in (gold, pred))
+    return _flags(F.col(gold + field).cast("string"), F.col(pred + field).cast("string"), not numbers)
+
+
+def slot_totals(df: DataFrame, fields: list[str], by: list[str] = (), gold: str = "gold_", pred: str = "pred_") -> DataFrame:
+    """The outcomes of all fields counted per group: what slot_outcomes() adds up to, without a row for each slot."""
+    each = [_flags_of(df, f, gold, pred) for f in fields]
+    return df.groupBy(*by).agg(*(F.sum(reduce(add, (e[n] for e in each))).alias(n) for n in OUTCOMES))
+
+
+def slot_counts(df: DataFrame, fields: list[str], by: list[str] = (), gold: str = "gold_", pred: str = "pred_") -> DataFrame:
+    """The outcomes counted per group and field; records are aggregated as they lie, and only the counts become a row for each field."""
+    sums = [F.struct(F.lit(f).alias("field"), *(F.sum(c).alias(n) for n, c in _flags_of(df, f, gold, pred).items())) for f in fields]
+    rows = df.groupBy(*by).agg(F.array(*sums).alias("s")).select(*by, F.explode("s").alias("s"))
+    return rows.select(*by, "s.*").where(F.col("correct").isNotNull())  # no records, no counts
 
 
 def prf(tp: Column, fp: Column, fn: Column) -> list[Column]:
@@ -59,15 +84,16 @@ def token_overlap(df: DataFrame, key: str, gold: str, pred: str) -> DataFrame:
 
 
 def item_semantics(gold: DataFrame, pred: DataFrame, record: str, quantity: str, unit: str, position: str, same: str) -> DataFrame:
-    """Items matched by quantity, unit (null equals null) and position within that bucket; items without quantity stay out."""
+    """Items matched by quantity, unit (null equals null) and position within that bucket; items without quantity stay out.
 
-    def placed(df: DataFrame, name: str) -> DataFrame:
-        w = Window.partitionBy(record, quantity, unit).orderBy(position)
-        return df.where(F.col(quantity).isNotNull()).select(record, quantity, unit, F.row_number().over(w).alias("nth"), F.col(same).alias(name))
-
-    g, p = placed(gold, "g").alias("g"), placed(pred, "p").alias("p")
-    on = (F.col(f"g.{record}") == F.col(f"p.{record}")) & (F.col(f"g.{quantity}") == F.col(f"p.{quantity}")) & F.col(f"g.{unit}").eqNullSafe(F.col(f"p.{unit}")) & (F.col("g.nth") == F.col("p.nth"))
-    return g.join(p, on).select(F.col(f"g.{record}").alias(record), F.col(f"g.{quantity}").alias(quantity), F.col(f"g.{unit}").alias(unit), F.col("g.nth").alias("nth"), F.col("g.g").eqNullSafe(F.col("p.p")).alias("product_same"))
+    Both sides go through one shuffle, which serves the numbering and the matching.
+    """
+    side = lambda df, n: df.where(F.col(quantity).isNotNull()).select(record, quantity, unit, F.col(position).alias("at"), F.col(same).alias("item"), F.lit(n).alias("side"))
+    both = side(gold, 0).union(side(pred, 1)).repartition(record, quantity, unit)
+    placed = both.withColumn("nth", F.row_number().over(Window.partitionBy(record, quantity, unit, "side").orderBy("at")))
+    of = lambda n: F.max(F.when(F.col("side") == n, F.col("item")))
+    met = placed.groupBy(record, quantity, unit, "nth").agg(F.count("*").alias("n"), of(0).eqNullSafe(of(1)).alias("product_same"))
+    return met.where("n = 2").drop("n")
 
 
 def confusion(df: DataFrame, gold: str, pred: str, classes: list[str]) -> DataFrame:

@@ -67,6 +67,7 @@ lines as (select l_orderkey, l_linestatus, l_partkey,
   case when hu >= 10 then u end gold_unit, case when hu >= 20 then ' ' || lower(u) when hu >= 5 then 'X' end pred_unit,
   l_partkey gold_product, case when hp >= 12 then l_partkey when hp >= 6 then l_partkey + 1 end pred_product from x)"""
 _SLOT = "select l_orderkey, l_linestatus, '{0}' field, gold_{0}::VARCHAR g, pred_{0}::VARCHAR p from lines"
+SLOT_FIELDS = ["quantity", "unit", "product"]
 SLOTS = LINES + f""",
 slots as ({' union all '.join(_SLOT.format(f) for f in ('quantity', 'unit', 'product'))}),
 o as (select *, (g is not null and p is not null and lower(trim(g)) = lower(trim(p)))::BIGINT correct, coalesce(g = p, false)::BIGINT strict_correct,
@@ -78,28 +79,24 @@ _METRICS = f"""{ratio('correct', 'correct + wrong + hallucination')} "precision"
   {ratio('hallucination', 'hallucination + null_agree')} hallucination_rate"""
 
 
-def outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    return scoring.slot_outcomes(lines(spark, sf), ["quantity", "unit", "product"], ["l_orderkey", "l_linestatus"])
-
-
 @query(f"with {SLOTS}, s as (select {_SUMS} from o) select *, {_METRICS} from s")
 def eval_headline(spark, sf):
-    return scoring.slot_metrics(outcomes(spark, sf))
+    return scoring.slot_metrics(scoring.slot_totals(lines(spark, sf), SLOT_FIELDS))
 
 
 @query(f"with {SLOTS}, s as (select field, {_SUMS} from o group by field) select *, {_METRICS} from s")
 def eval_fields(spark, sf):
-    return scoring.slot_metrics(outcomes(spark, sf), ["field"])
+    return scoring.slot_metrics(scoring.slot_counts(lines(spark, sf), SLOT_FIELDS), ["field"])
 
 
 @query(f"with {SLOTS} select field, sum(correct)::BIGINT correct, sum(wrong)::BIGINT wrong, sum(miss)::BIGINT miss, sum(hallucination)::BIGINT hallucination, {ratio('2 * sum(correct)', '2 * sum(correct) + 2 * sum(wrong) + sum(miss) + sum(hallucination)')} f1 from o group by grouping sets ((field), ())")
 def eval_micro_macro_grouping(spark, sf):
-    return scoring.micro_by_field(outcomes(spark, sf))
+    return scoring.micro_by_field(scoring.slot_counts(lines(spark, sf), SLOT_FIELDS))
 
 
 @query(f"with {SLOTS}, s as (select l_linestatus, field, {_SUMS} from o where field <> 'unit' group by 1, 2) select l_linestatus as slice, field, {ratio('correct', 'correct + wrong + miss')} recall from s")
 def trap_recall(spark, sf):
-    cut = scoring.sliced(outcomes(spark, sf).where("field <> 'unit'"), {"O": F.col("l_linestatus") == "O", "F": F.col("l_linestatus") == "F"})
+    cut = scoring.sliced(scoring.slot_counts(lines(spark, sf), ["quantity", "product"], ["l_linestatus"]), {"O": F.col("l_linestatus") == "O", "F": F.col("l_linestatus") == "F"})
     return scoring.slot_metrics(cut, ["slice", "field"]).select("slice", "field", "recall")
 
 
@@ -132,7 +129,7 @@ def bootstrap_ci(spark, sf):
 
 
 def order_counts(spark, sf):
-    return outcomes(spark, sf).groupBy("l_orderkey").agg(F.sum("correct").alias("tp"), F.sum(F.col("wrong") + F.col("hallucination")).alias("fp"), F.sum(F.col("wrong") + F.col("miss")).alias("fn"))
+    return scoring.slot_totals(lines(spark, sf), SLOT_FIELDS, ["l_orderkey"]).select("l_orderkey", F.col("correct").alias("tp"), (F.col("wrong") + F.col("hallucination")).alias("fp"), (F.col("wrong") + F.col("miss")).alias("fn"))
 
 
 @query()
@@ -471,7 +468,7 @@ def verdict_state(spark, sf):
  c as (select field source, {ratio('2 * sum(correct)', '2 * sum(correct) + 2 * sum(wrong) + sum(miss) + sum(hallucination)')} candidate from o where l_linestatus = 'F' group by 1)
  select source, baseline, candidate, round(candidate - baseline, 9) delta, candidate < baseline - 0.001 regressed from b join c using (source)""")
 def regression_gate(spark, sf):
-    part = lambda s: scoring.slot_metrics(outcomes(spark, sf).where(F.col("l_linestatus") == s), ["field"]).withColumnRenamed("field", "source")
+    part = lambda s: scoring.slot_metrics(scoring.slot_counts(lines(spark, sf).where(F.col("l_linestatus") == s), SLOT_FIELDS), ["field"]).withColumnRenamed("field", "source")
     return scoring.regression_gate(part("O"), part("F"), tolerance=0.001)
 
 

@@ -154,3 +154,25 @@ def test_sampling_and_messages(spark):
     assert [(x.role, x.content) for x in m] == [("system", "sys"), ("user", "Subject: S\n\nB"), ("assistant", "{}")]
     table = scoring.sliced(df, {"even": F.col("doc_id") % 2 == 0, "small": F.col("doc_id") < 10}).groupBy("slice").count().collect()
     assert {r["slice"]: r["count"] for r in table} == {"even": 250, "small": 10}
+
+
+def test_slot_counts_equal_counted_outcomes(spark):
+    rows = [(1, "Box", " box", 5, 5), (1, "box", "box", 5, 6), (2, "a  b", "A b", None, 7), (2, None, None, None, None), (2, "x", None, 1, None), (None, None, "y", 2, 2)]
+    df = spark.createDataFrame(rows, "r long, gold_unit string, pred_unit string, gold_n long, pred_n long")
+    sums = [F.sum(n).alias(n) for n in scoring.OUTCOMES]
+    for some in (df, df.limit(0)):
+        slots, same = scoring.slot_outcomes(some, ["unit", "n"], ["r"]), lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+        assert same(slots.groupBy("r", "field").agg(*sums), scoring.slot_counts(some, ["unit", "n"], ["r"]))
+        assert same(slots.groupBy("field").agg(*sums), scoring.slot_counts(some, ["unit", "n"]))
+        assert same(slots.groupBy("r").agg(*sums), scoring.slot_totals(some, ["unit", "n"], ["r"]))
+        assert same(slots.agg(*sums), scoring.slot_totals(some, ["unit", "n"]))
+    unit = scoring.slot_counts(df, ["unit"]).first()
+    assert (unit.correct, unit.strict_correct, unit.wrong, unit.hallucination, unit.miss, unit.null_agree) == (3, 1, 0, 1, 1, 1)
+
+
+def test_item_semantics_by_hand(spark):
+    schema = "r long, q long, u string, at long, item string"
+    gold = spark.createDataFrame([(1, 5, "box", 1, "a"), (1, 5, "box", 2, "b"), (1, 5, None, 3, "c"), (1, None, "box", 4, "d"), (2, 5, "box", 1, None)], schema)
+    pred = spark.createDataFrame([(1, 5, "box", 1, "b"), (1, 5, None, 2, "c"), (1, None, "box", 4, "d"), (2, 5, "box", 9, None), (3, 5, "box", 1, "a")], schema)
+    got = scoring.item_semantics(gold, pred, "r", "q", "u", "at", "item").collect()
+    assert sorted((x.r, x.q, x.u or "", x.nth, x.product_same) for x in got) == [(1, 5, "", 1, True), (1, 5, "box", 1, False), (2, 5, "box", 1, True)]
