@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docket.llm.clusters import cluster_vectors
 from docket.llm.common import table
 from docket.llm.decontaminate import contaminated
 from docket.llm.exact_dedup import exact_groups
@@ -63,7 +64,30 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_packing, op3_pseudonyms, op4_suffix_dedup, op5_exact_dedup, op6_licences, op7_simhash, op8_token_files, op9_main_text, op10_quality)}
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings"), k=40, rounds=5, size=64, scale=256, salt=2)
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_packing, op3_pseudonyms, op4_suffix_dedup, op5_exact_dedup, op6_licences, op7_simhash, op8_token_files, op9_main_text, op10_quality, op11_clusters)}
+
+def _lloyd_sql(k: int = 40, rounds: int = 5) -> str:
+    """Lloyd's rounds as one chain of common table expressions."""
+    dot = "list_dot_product"
+    near = f"select vec_id, x, c as cluster, d from (select v.vec_id, v.x, c.c, ({dot}(v.x, v.x) - 2 * {dot}(v.x, c.y) + {dot}(c.y, c.y))::BIGINT d from v, C c) qualify row_number() over (partition by vec_id order by d, c) = 1"
+    parts = [
+        "v as materialized (select vec_id, list_transform(embedding, lambda e: floor(256 * e::DOUBLE)) x from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda e: e is not null and isfinite(e))) = 64)",
+        f"c0 as materialized (select row_number() over (order by h) - 1 as c, x as y from (select sha256('2:' || vec_id) h, x from v order by h limit {k}))",
+    ]
+    for r in range(rounds):
+        parts += [
+            f"a{r} as materialized ({near.replace(' C c', f' c{r} c')})",
+            f"m{r} as (select cluster, i, sum(e::BIGINT) s, count(*) n from (select cluster, unnest(x) e, unnest(range(1, 65)) i from a{r}) group by all)",
+            f"n{r} as (select cluster, list(((s - ((s % n) + n) % n) // n)::DOUBLE order by i) y from m{r} group by cluster)",
+            f"c{r + 1} as materialized (select c, coalesce(n.y, c.y) y from c{r} c left join n{r} n on n.cluster = c.c)",
+        ]
+    parts.append(f"a as materialized ({near.replace(' C c', f' c{rounds} c')})")
+    return f"with {', '.join(parts)} select vec_id, cluster::INTEGER as cluster, d as distance, (sum(d) over (partition by cluster))::BIGINT as cluster_inertia, (sum(d) over ())::BIGINT as inertia, sha256(array_to_string(list_transform(y, lambda e: e::BIGINT::VARCHAR), ',')) as centroid_sha256 from a join c{rounds} c on c.c = a.cluster"
+
 
 ORACLE_SQL = {
     "op1_decontamination": r"""
@@ -79,4 +103,5 @@ group by doc_id, s.item_id having count(*)::DOUBLE / any_value(n.n) >= 0.8 - 1e-
 with g as (select coalesce(text, '') t, max(doc_id) keep_id, count(*) group_size from documents group by 1)
 select d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id as kept, sha256(coalesce(d.text, '')) as text_sha256
 from documents d join g on coalesce(d.text, '') = g.t""",
+    "op11_clusters": _lloyd_sql(),
 }
