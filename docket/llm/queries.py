@@ -11,6 +11,7 @@ from docket.llm.decontaminate import contaminated
 from docket.llm.exact_dedup import exact_groups
 from docket.llm.licences import scan_licences
 from docket.llm.mainpage import extract_main
+from docket.llm.negatives import mine_negatives
 from docket.llm.packing import pack
 from docket.llm.pii import pseudonymise
 from docket.llm.quality import quality_scores
@@ -68,7 +69,13 @@ def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_vectors(table(spark, sf_dir, "embeddings"), k=40, rounds=5, size=64, scale=256, salt=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_packing, op3_pseudonyms, op4_suffix_dedup, op5_exact_dedup, op6_licences, op7_simhash, op8_token_files, op9_main_text, op10_quality, op11_clusters)}
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_negatives(rows.select("vec_id", "embedding", moved.alias("label")), positives=5, negatives=10, low=30, high=90, every=100)
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_packing, op3_pseudonyms, op4_suffix_dedup, op5_exact_dedup, op6_licences, op7_simhash, op8_token_files, op9_main_text, op10_quality, op11_clusters, op12_negatives)}
 
 def _lloyd_sql(k: int = 40, rounds: int = 5) -> str:
     """Lloyd's rounds as one chain of common table expressions."""
@@ -104,4 +111,13 @@ with g as (select coalesce(text, '') t, max(doc_id) keep_id, count(*) group_size
 select d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id as kept, sha256(coalesce(d.text, '')) as text_sha256
 from documents d join g on coalesce(d.text, '') = g.t""",
     "op11_clusters": _lloyd_sql(),
+    "op12_negatives": """
+with v as materialized (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda e: floor(256 * e::DOUBLE)) x
+  from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda e: e is not null and isfinite(e))) = len(embedding)),
+s as materialized (select a.vec_id a, b.vec_id b, a.label = b.label as same, list_dot_product(a.x, b.x)::BIGINT s from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+p as (select a, b, s from s where same qualify row_number() over (partition by a order by s desc, b) <= 5)
+select p.a as anchor_id, p.b as positive_id, (row_number() over (partition by p.a, p.b order by n.s desc, n.b))::INTEGER as rank, n.b as negative_id, p.s as positive_score, n.s as negative_score
+from p join s n on n.a = p.a and not n.same and 30 * p.s <= 100 * n.s and 100 * n.s <= 90 * p.s
+qualify rank <= 10""",
 }
