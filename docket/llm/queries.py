@@ -11,6 +11,7 @@ from docket.llm.decontaminate import contaminated
 from docket.llm.exact_dedup import exact_groups
 from docket.llm.licences import scan_licences
 from docket.llm.mainpage import extract_main
+from docket.llm.maxent import language_scores
 from docket.llm.negatives import mine_negatives
 from docket.llm.packing import pack
 from docket.llm.pii import pseudonymise
@@ -75,7 +76,11 @@ def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine_negatives(rows.select("vec_id", "embedding", moved.alias("label")), positives=5, negatives=10, low=30, high=90, every=100)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_packing, op3_pseudonyms, op4_suffix_dedup, op5_exact_dedup, op6_licences, op7_simhash, op8_token_files, op9_main_text, op10_quality, op11_clusters, op12_negatives)}
+def op13_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_scores(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_packing, op3_pseudonyms, op4_suffix_dedup, op5_exact_dedup, op6_licences, op7_simhash, op8_token_files, op9_main_text, op10_quality, op11_clusters, op12_negatives, op13_language_model)}
 
 def _lloyd_sql(k: int = 40, rounds: int = 5) -> str:
     """Lloyd's rounds as one chain of common table expressions."""
