@@ -156,11 +156,11 @@ class Classes:
     """What turns a word's count and topic into its class and its probability within the class."""
 
     def __init__(self, stats: list[tuple[int, int, int, int]], tokens: int, vocabulary: int, once: int, twice: int, thrice: int, ends: int, bands: int):
-        self.tokens, self.vocabulary, self.ends = tokens, vocabulary, ends
+        self.tokens, self.vocabulary = tokens, vocabulary
         self.single, self.double = (2 * twice / once if twice else 1.0) if once else 0.0, (3 * thrice / twice if thrice else 2.0) if twice else 0.0
         self.unknown = max(once, 1)
-        self.mass = [once + 2 * twice, ends]  # class 0: unknown and rare words; class 1: the end
-        self.weight = [self.unknown + once * self.single + twice * self.double, max(ends, 1)]
+        self.mass = [once + 2 * twice, ends][: 1 + (ends > 0)]  # class 0: unknown and rare words; class 1: the end, unknown if no text ended
+        self.weight = [self.unknown + once * self.single + twice * self.double, ends][: len(self.mass)]
         self.table = np.zeros((1 + max((t for t, *_ in stats), default=0), 1 + max((b for _, b, *_ in stats), default=0)), np.int64)
         for topic in sorted({t for t, *_ in stats}):
             rows = sorted((-b, m) for t, b, _, m in stats if t == topic)
@@ -178,9 +178,11 @@ class Classes:
 
     def of(self, n: np.ndarray, topic: np.ndarray, is_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(class, log10 probability within it); n is 0 for unknown words."""
-        cls = np.where(n <= 2, 0, self.table[topic, np.minimum(bins(n), self.table.shape[1] - 1)])
+        inside = np.minimum(topic, len(self.table) - 1), np.minimum(bins(n), self.table.shape[1] - 1)  # rare words may lie outside
+        cls = np.where(n <= 2, 0, self.table[inside])
         weight = np.select([n == 0, n == 1, n == 2], [self.unknown, self.single, self.double], n.astype(float))
-        cls, weight = np.where(is_end, 1, cls), np.where(is_end, np.maximum(n, 1), weight)
+        end = is_end & (n > 0)
+        cls, weight = np.where(end, 1, cls), np.where(end, n, weight)
         return cls, np.log10(weight / np.array(self.weight)[cls])
 
 
