@@ -7,11 +7,11 @@ into topics by which of them occur near each other, every word takes the topic o
 are cut into bands of equal mass by count. Words seen once or twice share one class with the unknown word, with Good-Turing weights; the
 end of a text has a class of its own.
 
-Work is cut into blocks of texts. A block is one row: texts as numbers of the block's own words, and those words. All word statistics are
-group-bys over the words of blocks, cover the whole corpus and meet the blocks again by a join, so no vocabulary is ever
-in one place. Weights are trained in rounds: each task takes gradient steps over its blocks from the common weights,
+Work is cut into blocks of texts. A block is one row: texts as numbers of the block's own words, and those words. Each word of each block
+goes to its word's task once, where sums over the whole corpus are taken, and comes back as a count and a topic, so no vocabulary is ever in one
+place. Weights are trained in rounds: each task takes gradient steps over its blocks from the common weights,
 and the next weights are the old ones plus the mean of the tasks' changes, row by row, weighted by how often a row was used.
-Weights, topics and class tables are of fixed size and go through the driver; nothing else does.
+Weights, topics, the most frequent words and the class table are of fixed size and go through the driver; nothing else does.
 """
 
 from __future__ import annotations
@@ -22,17 +22,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docket.llm.common import removed, slices, written_at
 
 END = b""  # no word is empty
 CHUNK = 256  # weight rows that travel together
-BLOCK = pa.schema([("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int32())), ("tokens", pa.binary()), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int32()))])
-BLOCK_SQL = "ids array<long>, held array<boolean>, lengths array<int>, tokens binary, words array<binary>, counts array<int>"
-CODED = pa.schema([("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int32())), ("known", pa.list_(pa.int32())), ("base", pa.list_(pa.float64())), ("within", pa.list_(pa.float64())), ("classes", pa.binary()), ("hashes", pa.binary())])
-CODED_SQL = "ids array<long>, held array<boolean>, lengths array<int>, known array<int>, base array<double>, within array<double>, classes binary, hashes binary"
+BLOCK = pa.schema([("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int32())), ("tokens", pa.binary()), ("hashes", pa.binary()), ("words", pa.list_(pa.binary())), ("counts", pa.binary())])
+BLOCK_SQL = "ids array<long>, held array<boolean>, lengths array<int>, tokens binary, hashes binary, words array<binary>, counts binary"
 
 
 def held_out(doc_id: "F.Column") -> "F.Column":
@@ -53,8 +52,9 @@ def text_blocks(docs: DataFrame, block_tokens: int, id_col: str, text_col: str)
             lengths = np.array([len(t) for _, _, t in held], np.int32)
             tokens = np.concatenate([t for _, _, t in held])
             trained = np.repeat([not h for _, h, _ in held], lengths)
-            counts = np.bincount(tokens[trained], minlength=len(number)).astype(np.int32)
-            cells = [[i for i, _, _ in held], [h for _, h, _ in held], lengths, tokens.astype("<i4").tobytes(), list(number), counts]
+            counts = np.bincount(tokens[trained], minlength=len(number)).astype("<i4")
+            hashes = np.fromiter(map(zlib.crc32, number), np.uint32, len(number)).astype("<u2")
+            cells = [[i for i, _, _ in held], [h for _, h, _ in held], lengths, tokens.astype("<i4").tobytes(), hashes.tobytes(), list(number), counts.tobytes()]
             out = pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(cells, BLOCK)], schema=BLOCK)
             held.clear()
             number.clear()
@@ -76,33 +76,65 @@ def text_blocks(docs: DataFrame, block_tokens: int, id_col: str, text_col: str)
     return rows.mapInArrow(of, BLOCK_SQL).select(F.monotonically_increasing_id().alias("block"), "*")
 
 
-def _trained(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens, text number) of a block, with -1 as the text of tokens that are not learned from."""
-    tokens = np.frombuffer(row["tokens"], "<i4")
-    lengths = np.asarray(row["lengths"])
-    return tokens, np.repeat(np.where(np.asarray(row["held"], bool), -1, np.arange(len(lengths))), lengths)
+class Block:
+    """One row of blocks, without Python objects for its words."""
+
+    def __init__(self, batch: pa.RecordBatch, at: int):
+        of = lambda name, kind: np.frombuffer(batch.column(name)[at].as_buffer(), kind)
+        self.tokens, self.hashes = of("tokens", "<i4"), of("hashes", "<u2")
+        self.lengths = batch.column("lengths")[at].values.to_numpy().astype(np.int64)
+        self.held = batch.column("held")[at].values.to_numpy(zero_copy_only=False).astype(bool)
+        self.ids = batch.column("ids")[at].values
+        names = batch.schema.names
+        self.words = batch.column("words")[at].values if "words" in names else None
+        self.counts = of("counts", "<i4") if "counts" in names else None
+
+    def text(self) -> np.ndarray:
+        """The number of the text of each token, -1 in texts that are not learned from."""
+        return np.repeat(np.where(self.held, -1, np.arange(len(self.lengths))), self.lengths)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
+    return (Block(b, k) for b in batches for k in range(b.num_rows))
+
+
+def frequent_words(blocks: DataFrame, most: int, share: float) -> list[tuple[bytes, int]]:
+    """The ``most`` most frequent words and their counts, summed where they are at least ``share`` of a block: so few rows leave a block."""
+    schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches):
+            often = pa.array(np.flatnonzero(block.counts >= max(share * block.counts.sum(), 1)))
+            yield pa.RecordBatch.from_arrays([block.words.take(often), pa.array(block.counts, pa.int64()).take(often)], schema=schema)
+
+    found = blocks.mapInArrow(of, "word binary, n long").where(F.length("word") > 0).groupBy("word").agg(F.sum("n").alias("n"))
+    return [(bytes(r.word), r.n) for r in found.orderBy(F.desc("n"), "word").limit(most).collect()]
+
+
+def _places(block: Block, top: list[bytes]) -> np.ndarray:
+    """For each token its word's place in ``top``, or -1."""
+    return pc.index_in(block.words, pa.array(top, pa.binary())).fill_null(-1).to_numpy(zero_copy_only=False)[block.tokens]
 
 
 def near_pairs(blocks: DataFrame, top: list[bytes], window: int) -> np.ndarray:
     """How often each pair of the words ``top`` lies within ``window`` tokens, over all texts learned from."""
-    k, place = len(top), {w: i for i, w in enumerate(top)}
+    k = len(top)
     schema = pa.schema([("pair", pa.int32()), ("n", pa.int64())])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(k * k, np.int64)
-        for row in (r for b in batches for r in b.to_pylist()):
-            tokens, text = _trained(row)
-            t = np.array([place.get(w, -1) for w in row["words"]], np.int64)[tokens]
-            at = np.flatnonzero((t >= 0) & (text >= 0))
-            for o in range(1, window + 1):  # of the frequent words alone, so no more than ``window`` places on
-                a, b = at[:-o], at[o:]
-                good = (b - a <= window) & (text[a] == text[b])
-                sums += np.bincount(t[a[good]] * k + t[b[good]], minlength=k * k)
+        for block in _blocks(batches):
+            t, text = _places(block, top), block.text()
+            at = np.flatnonzero((t >= 0) & (text >= 0))  # the frequent words alone, so no more than ``window`` of them on
+            t, text = t[at], text[at]
+            for o in range(1, window + 1):
+                good = (at[o:] - at[:-o] <= window) & (text[:-o] == text[o:])
+                sums += np.bincount((t[:-o] * k + t[o:])[good], minlength=k * k)
         pair = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(pair, pa.int32()), pa.array(sums[pair])], schema=schema)
 
     out = np.zeros(k * k)
-    for r in blocks.select("held", "lengths", "tokens", "words").mapInArrow(of, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+    for r in blocks.mapInArrow(of, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
         out[r.pair] = r.n
     return out.reshape(k, k) + out.reshape(k, k).T
 
@@ -127,43 +159,79 @@ def topics_of(near: np.ndarray, topics: int) -> np.ndarray:
     return (surplus @ centres.T).argmax(1)
 
 
-def word_statistics(blocks: DataFrame, top: list[bytes], own: np.ndarray, topics: int, window: int) -> DataFrame:
-    """(word, n, c0, c1, ...): how often each word occurs in the texts learned from, and with frequent words of each topic near it."""
-    place = dict(zip(top, own.tolist()))
-    schema = pa.schema([("word", pa.binary()), ("n", pa.int64()), *((f"c{t}", pa.int64()) for t in range(topics))])
+def numbered_blocks(blocks: DataFrame, top: list[tuple[bytes, int]], own: np.ndarray, topics: int, window: int) -> DataFrame:
+    """Blocks whose words have what the whole corpus says of them: told, an array of (pos, n, topic, first) for each word learned.
+
+    n is the word's count in the texts learned from. Its topic is the one whose frequent words are near it most, against their own number; each block has
+    one vote, weighted by the word's count there. ``topics`` stands for no such word near, ``topics`` + 1 for the end. Of a word's blocks one is the first.
+    """
+    names = [w for w, _ in top]
+    size = np.array([sum(n for (_, n), t in zip(top, own) if t == k) for k in range(topics)], float) + 1
+    schema = pa.schema([("word", pa.binary()), ("block", pa.int64()), ("pos", pa.int32()), ("n", pa.int32()), ("vote", pa.int8())])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in (r for b in batches for r in b.to_pylist()):
-            tokens, text = _trained(row)
-            topic = np.array([place.get(w, -1) for w in row["words"]], np.int64)[tokens]
-            topic[text < 0] = -1
-            size = len(row["words"]) * topics
-            sums = np.zeros(size, np.int64)
-            for o in range(1, window + 1):
-                for here, there in ((slice(None, -o), slice(o, None)), (slice(o, None), slice(None, -o))):
-                    good = (topic[there] >= 0) & (text[here] == text[there])
-                    sums += np.bincount(tokens[here][good].astype(np.int64) * topics + topic[there][good], minlength=size)
-            counts = np.asarray(row["counts"])
-            used = np.flatnonzero(counts)
-            sums = sums.reshape(-1, topics)[used]
-            yield pa.RecordBatch.from_arrays([pa.array([row["words"][i] for i in used], pa.binary()), pa.array(counts[used], pa.int64()), *(pa.array(sums[:, t]) for t in range(topics))], schema=schema)
+        for b in batches:
+            for at in range(b.num_rows):
+                block = Block(b, at)
+                topic = np.append(own, -1)[_places(block, names)] if names else np.full(len(block.tokens), -1)
+                text = block.text()
+                topic[text < 0] = -1
+                here = np.flatnonzero(topic >= 0)
+                n = len(block.words)
+                sums = np.zeros(n * topics, np.int64)
+                for o in (*range(-window, 0), *range(1, window + 1)):
+                    some = here[: np.searchsorted(here, len(topic) - o)] if o > 0 else here[np.searchsorted(here, -o) :]
+                    some = some[text[some] == text[some + o]]
+                    sums += np.bincount(block.tokens[some + o].astype(np.int64) * topics + topic[some], minlength=n * topics)
+                sums = sums.reshape(n, topics) / size
+                vote = np.where(sums.max(1) > 0, sums.argmax(1), topics)
+                yield pa.RecordBatch.from_arrays([block.words, pa.array(np.full(n, b.column("block")[at].as_py())), pa.array(np.arange(n), pa.int32()), pa.array(block.counts), pa.array(vote, pa.int8())], schema=schema)
+
+    entries = blocks.mapInArrow(of, "word binary, block long, pos int, n int, vote byte")
+    w = Window.partitionBy("word")
+    votes = [F.sum(F.when(F.col("vote") == t, F.col("n"))).over(w) for t in range(topics)]
+    best = F.greatest(*(F.coalesce(v, F.lit(0)) for v in votes))
+    topic = F.when(F.length("word") == 0, F.lit(topics + 1)).when(best > 0, F.coalesce(*(F.when(v == best, F.lit(t)) for t, v in enumerate(votes)))).otherwise(F.lit(topics))
+    summed = entries.select("block", "pos", F.sum("n").over(w).alias("n"), topic.cast("byte").alias("topic"), (F.col("block") == F.min("block").over(w)).alias("first")).where("n > 0")
+    told = summed.groupBy("block").agg(F.collect_list(F.struct("pos", "n", "topic", "first")).alias("told"))  # as many as the block's words
+    return blocks.drop("words", "counts").hint("merge").join(told, "block", "left")
+
+
+def word_masses(numbered: DataFrame, topics: int) -> list[tuple[int, int, int, int]]:
+    """(topic, bin of counts, words, mass): each word counted once, in the first of its blocks."""
+    schema = pa.schema([("topic", pa.int32()), ("bin", pa.int32()), ("words", pa.int64()), ("mass", pa.int64())])
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            told = b.column(0).flatten()
+            some = told.filter(told.field("first"))
+            n, topic = some.field("n").to_numpy(), some.field("topic").to_numpy().astype(np.int64)
+            code = topic * 256 + bins(n)
+            words, mass = np.bincount(code), np.bincount(code, n)
+            at = np.flatnonzero(words)
+            yield pa.RecordBatch.from_arrays([pa.array(at // 256, pa.int32()), pa.array(at % 256, pa.int32()), pa.array(words[at]), pa.array(mass[at].astype(np.int64))], schema=schema)
 
-    found = blocks.mapInArrow(of, "word binary, n long, " + ", ".join(f"c{t} long" for t in range(topics)))
-    return found.groupBy("word").agg(F.sum("n").alias("n"), *(F.sum(f"c{t}").alias(f"c{t}") for t in range(topics)))
+    found = numbered.select("told").where("told is not null").mapInArrow(of, "topic int, bin int, words long, mass long")
+    return [tuple(r) for r in found.groupBy("topic", "bin").agg(F.sum("words"), F.sum("mass")).collect()]
 
 
 class Classes:
     """What turns a word's count and topic into its class and its probability within the class."""
 
-    def __init__(self, stats: list[tuple[int, int, int, int]], tokens: int, vocabulary: int, once: int, twice: int, thrice: int, ends: int, bands: int):
-        self.tokens, self.vocabulary = tokens, vocabulary
+    def __init__(self, masses: list[tuple[int, int, int, int]], topics: int, bands: int):
+        """``masses`` as word_masses() gives them."""
+        rare = [sum(w for t, b, w, _ in masses if b == bin_ and t <= topics) for bin_ in (int(bins(np.array([k]))[0]) for k in (1, 2, 3))]
+        self.tokens, self.vocabulary, self.end = sum(m for *_, m in masses), sum(w for *_, w, _ in masses), topics + 1
+        ends = sum(m for t, _, _, m in masses if t == self.end)
+        once, twice, thrice = rare
         self.single, self.double = (2 * twice / once if twice else 1.0) if once else 0.0, (3 * thrice / twice if thrice else 2.0) if twice else 0.0
         self.unknown = max(once, 1)
         self.mass = [once + 2 * twice, ends][: 1 + (ends > 0)]  # class 0: unknown and rare words; class 1: the end, unknown if no text ended
         self.weight = [self.unknown + once * self.single + twice * self.double, ends][: len(self.mass)]
-        self.table = np.zeros((1 + max((t for t, *_ in stats), default=0), 1 + max((b for _, b, *_ in stats), default=0)), np.int64)
-        for topic in sorted({t for t, *_ in stats}):
-            rows = sorted((-b, m) for t, b, _, m in stats if t == topic)
+        stats = [(t, b, m) for t, b, _, m in masses if t <= topics and b > int(bins(np.array([2]))[0])]
+        self.table = np.zeros((topics + 2, 1 + max((b for _, b, _ in stats), default=0)), np.int64)
+        for topic in sorted({t for t, _, _ in stats}):
+            rows = sorted((-b, m) for t, b, m in stats if t == topic)
             whole, before, band = sum(m for _, m in rows), 0, -1
             for b, m in rows:
                 if band != (band := min(bands - 1, bands * before // whole)) or before == 0:
@@ -174,14 +242,13 @@ class Classes:
                 self.weight[-1] += m
                 before += m
         self.size = len(self.mass)
-        self.bias = np.log(np.maximum(np.array(self.mass, float), 0.5) / max(tokens, 1)).astype(np.float32)
+        self.bias = np.log(np.maximum(np.array(self.mass, float), 0.5) / max(self.tokens, 1)).astype(np.float32)
 
-    def of(self, n: np.ndarray, topic: np.ndarray, is_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def of(self, n: np.ndarray, topic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(class, log10 probability within it); n is 0 for unknown words."""
-        inside = np.minimum(topic, len(self.table) - 1), np.minimum(bins(n), self.table.shape[1] - 1)  # rare words may lie outside
-        cls = np.where(n <= 2, 0, self.table[inside])
+        cls = np.where(n <= 2, 0, self.table[topic, np.minimum(bins(n), self.table.shape[1] - 1)])  # the bins of rare words may lie outside
         weight = np.select([n == 0, n == 1, n == 2], [self.unknown, self.single, self.double], n.astype(float))
-        end = is_end & (n > 0)
+        end = (topic == self.end) & (n > 0)
         cls, weight = np.where(end, 1, cls), np.where(end, n, weight)
         return cls, np.log10(weight / np.array(self.weight)[cls])
 
@@ -191,85 +258,77 @@ def bins(n: np.ndarray) -> np.ndarray:
     return np.floor(np.log2(np.maximum(n, 1)) * 4 + 1e-9).astype(np.int64)
 
 
-def coded_blocks(blocks: DataFrame, words: DataFrame, classes: Classes) -> DataFrame:
-    """Blocks as classes and hashed words, with each text's base score and what its words have within their classes."""
-    entries = blocks.select("block", F.posexplode("words").alias("pos", "word"))
-    told = entries.join(words.hint("merge"), "word").groupBy("block").agg(F.collect_list(F.struct("pos", "n", "topic")).alias("told"))  # as many as the block's words
+class Coded:
+    """A numbered block as the model reads it: each token's class and hash, each word's count and log10 probability within its class."""
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(b.num_rows):
-                one = b.slice(k, 1)
-                ids, held, lengths, tokens, words_ = (one.column(i)[0].as_py() for i in range(5))
-                tokens, told_ = np.frombuffer(tokens, "<i4"), one.column(5)[0].values  # null where no word is known
-                n, topic = np.zeros(len(words_), np.int64), np.zeros(len(words_), np.int64)
-                if told_ is not None:
-                    pos = told_.field("pos").to_numpy(zero_copy_only=False)
-                    n[pos], topic[pos] = told_.field("n").to_numpy(zero_copy_only=False), told_.field("topic").to_numpy(zero_copy_only=False)
-                cls, within = classes.of(n, topic, np.array([w == END for w in words_]))
-                base = np.log10((n + 1) / (classes.tokens + classes.vocabulary + 1))
-                hashes = np.array([zlib.crc32(w) & 0xFFFF for w in words_], "<u2")
-                starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-                cells = [ids, held, lengths, np.add.reduceat(n[tokens] > 0, starts, dtype=np.int32), np.add.reduceat(base[tokens], starts), np.add.reduceat(within[tokens], starts), cls[tokens].astype("<u2").tobytes(), hashes[tokens].tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(cells, CODED)], schema=CODED)
-
-    return blocks.hint("merge").join(told, "block", "left").select("ids", "held", "lengths", "tokens", "words", "told").mapInArrow(of, CODED_SQL)
+    def __init__(self, batch: pa.RecordBatch, at: int, classes: Classes):
+        self.block = Block(batch, at)
+        n, topic = np.zeros(len(self.block.hashes), np.int64), np.zeros(len(self.block.hashes), np.int64)
+        told = batch.column("told")[at].values  # null where no word is known
+        if told is not None:
+            pos = told.field("pos").to_numpy()
+            n[pos], topic[pos] = told.field("n").to_numpy(), told.field("topic").to_numpy()
+        self.n = n
+        cls, self.within = classes.of(n, topic)
+        self.classes, self.hashes = cls.astype(np.uint16)[self.block.tokens], self.block.hashes[self.block.tokens]
 
 
 def features(classes: np.ndarray, hashes: np.ndarray, lengths: np.ndarray, size: int, rows: int) -> np.ndarray:
-    """Weight rows of each token's features: word before, classes one and two before, word two before, classes three and four before."""
+    """Weight rows of each token's features, one feature after the other: word before, classes one and two before, word two before, classes three and four before."""
+    if rows > 1 << 16:
+        raise ValueError("weight rows are numbered by 16 bits")
     place = np.arange(len(classes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
 
     def back(v: np.ndarray, o: int, start: int) -> np.ndarray:
-        out = np.concatenate([np.full(min(o, len(v)), start, np.uint64), v[:-o].astype(np.uint64)])
+        out = np.full(len(v), start, np.uint32)
+        out[o:] = v[:-o]
         out[place < o] = start
         return out
 
     def row(kind: int, v: np.ndarray) -> np.ndarray:
-        v = (v + np.uint64(kind << 40)) * np.uint64(0x9E3779B97F4A7C15)
-        return ((v >> np.uint64(40)) % np.uint64(rows)).astype(np.int32)
+        v = (v ^ np.uint32(kind * 0x85EBCA6B & 0xFFFFFFFF)) * np.uint32(0x9E3779B1)
+        v ^= v >> np.uint32(15)
+        v *= np.uint32(0x2C1B3C6D)
+        return ((v >> np.uint32(12)) % np.uint32(rows)).astype(np.uint16)
 
-    w = lambda o: back(hashes, o, 1 << 16)
-    c = lambda o: back(classes, o, size)
-    k = np.uint64(size + 1)
-    return np.stack([row(1, w(1)), row(2, c(1) * k + c(2)), row(3, w(2)), row(4, c(3) * k + c(4))], 1)
+    k = np.uint32(size + 1)
+    c = [back(classes, o, size) for o in (1, 2, 3, 4)]
+    return np.stack([row(1, back(hashes, 1, 1 << 16)), row(2, c[0] * k + c[1]), row(3, back(hashes, 2, 1 << 16)), row(4, c[2] * k + c[3])])
 
 
 def _logits(weights: np.ndarray, bias: np.ndarray, f: np.ndarray) -> np.ndarray:
-    z = weights[f[:, 0]]
-    for k in range(1, f.shape[1]):
-        z += weights[f[:, k]]
+    """Of tokens whose features are the columns of f; an offset of a row changes nothing, so each row's largest is 0."""
+    z = weights[f[0]]
+    for own in f[1:]:
+        z += weights[own]
     z += bias
     z -= z.max(1, keepdims=True)
     return z
 
 
-def _arrays(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.frombuffer(row["classes"], "<u2"), np.frombuffer(row["hashes"], "<u2"), np.asarray(row["lengths"], np.int64)
-
-
-def gradient_round(coded: DataFrame, weights: np.ndarray, bias: np.ndarray, rate: float, batch: int) -> np.ndarray:
+def gradient_round(numbered: DataFrame, classes: Classes, weights: np.ndarray, rate: float, batch: int) -> np.ndarray:
     """Weights after one round: every task steps through its blocks, and changes are averaged by row over the tasks that used it."""
     rows, size = weights.shape
-    sent = coded.sparkSession.sparkContext.broadcast((weights, bias))
+    sent = numbered.sparkSession.sparkContext.broadcast((weights, classes))
     schema = pa.schema([("chunk", pa.int32()), ("change", pa.binary()), ("used", pa.binary())])
 
     def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, bias_ = sent.value
+        start, classes_ = sent.value
         now, power, used = start.copy(), np.full(rows, 1e-2, np.float32), np.zeros(rows, np.float32)
-        for row in (r for b in batches for r in b.to_pylist()):
-            cls, hashes, lengths = _arrays(row)
-            f = features(cls, hashes, lengths, size, rows)
-            learn = np.flatnonzero(~np.repeat(np.asarray(row["held"], bool), lengths))
+        for coded in (Coded(b, k, classes_) for b in batches for k in range(b.num_rows)):
+            f = features(coded.classes, coded.hashes, coded.block.lengths, size, rows)
+            learn = np.flatnonzero(~np.repeat(coded.block.held, coded.block.lengths))
+            f, cls = f[:, learn], coded.classes[learn]
             for s in range(0, len(learn), batch):
-                own = learn[s : s + batch]
-                at, n = f[own], len(own)
-                p = np.exp(_logits(now, bias_, at))
+                at = f[:, s : s + batch]
+                n = at.shape[1]
+                p = _logits(now, classes_.bias, at)
+                np.exp(p, out=p)
                 p /= p.sum(1, keepdims=True)
-                p[np.arange(n), cls[own]] -= 1
-                flat = at.T.ravel()
+                p[np.arange(n), cls[s : s + batch]] -= 1
+                flat = at.ravel()
                 order = np.argsort(flat, kind="stable")
-                heads = np.flatnonzero(np.diff(flat[order], prepend=-1))
+                heads = np.flatnonzero(np.diff(flat[order].astype(np.int32), prepend=-1))
                 which, g = flat[order[heads]], np.add.reduceat(p[order % n], heads)
                 power[which] += np.einsum("ij,ij->i", g, g)
                 now[which] -= rate * g / np.sqrt(power[which])[:, None]
@@ -290,35 +349,37 @@ def gradient_round(coded: DataFrame, weights: np.ndarray, bias: np.ndarray, rate
 
     sql = "chunk int, change binary, used binary"
     out = weights.copy()
-    for r in coded.select("held", "lengths", "classes", "hashes").mapInArrow(steps, sql).repartition("chunk").mapInArrow(add, sql).collect():
+    for r in numbered.mapInArrow(steps, sql).repartition("chunk").mapInArrow(add, sql).collect():
         out[r.chunk : r.chunk + CHUNK] += np.frombuffer(bytes(r.change), np.float32).reshape(-1, size)
     sent.unpersist()
     return out
 
 
-def scored(coded: DataFrame, weights: np.ndarray, bias: np.ndarray, tokens: int) -> DataFrame:
-    """One row per text of the coded blocks."""
-    sent = coded.sparkSession.sparkContext.broadcast((weights, bias))
+def scored(numbered: DataFrame, classes: Classes, weights: np.ndarray) -> DataFrame:
+    """One row per text of the blocks."""
+    sent = numbered.sparkSession.sparkContext.broadcast((weights, classes))
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, bias_ = sent.value
-        for row in (r for b in batches for r in b.to_pylist()):
-            cls, hashes, lengths = _arrays(row)
-            f = features(cls, hashes, lengths, w.shape[1], len(w))
+        w, classes_ = sent.value
+        for coded in (Coded(b, k, classes_) for b in batches for k in range(b.num_rows)):
+            block, cls = coded.block, coded.classes
+            f = features(cls, coded.hashes, block.lengths, w.shape[1], len(w))
             logs = np.zeros(len(cls))
             for s in range(0, len(cls), 4096):
-                z = _logits(w, bias_, f[s : s + 4096])
-                logs[s : s + 4096] = (z[np.arange(len(z)), cls[s : s + 4096]] - np.log(np.exp(z).sum(1))) / np.log(10)
-            score = np.add.reduceat(logs, np.cumsum(lengths) - lengths) + np.asarray(row["within"])
-            n = len(lengths)
-            yield pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(lengths), pa.array(row["known"], pa.int64()), pa.array(np.full(n, tokens)), pa.array(row["base"], pa.float64()), pa.array(score)], schema=schema)
+                z = _logits(w, classes_.bias, f[:, s : s + 4096])
+                own = z[np.arange(len(z)), cls[s : s + 4096]]
+                logs[s : s + 4096] = own - np.log(np.exp(z, out=z).sum(1))
+            per_text = lambda v, starts=np.cumsum(block.lengths) - block.lengths: np.add.reduceat(v, starts)
+            base = np.log10((coded.n + 1) / (classes_.tokens + classes_.vocabulary + 1))
+            known, score = per_text((coded.n > 0).astype(np.int64)[block.tokens]), per_text(logs / np.log(10) + coded.within[block.tokens])
+            yield pa.RecordBatch.from_arrays([block.ids, pa.array(block.held), pa.array(block.lengths), pa.array(known), pa.array(np.full(len(known), classes_.tokens)), pa.array(per_text(base[block.tokens])), pa.array(score)], schema=schema)
 
-    return coded.mapInArrow(of, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return numbered.mapInArrow(of, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def language_scores(
-    docs: DataFrame, frequent: int = 256, topics: int = 6, bands: int = 8, window: int = 4, rows: int = 1 << 14, rounds: int = 3, rate: float = 0.5, batch: int = 2048, block_tokens: int = 1 << 18,
+    docs: DataFrame, frequent: int = 256, share: float = 1 / 4096, topics: int = 6, bands: int = 6, window: int = 3, rows: int = 1 << 14, rounds: int = 3, rate: float = 1.0, batch: int = 2048, block_tokens: int = 1 << 18,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
@@ -329,26 +390,15 @@ def language_scores(
     and both scores are 0. ``rounds`` rounds see each text once in all. Other columns are ignored.
     """
     blocks, at_blocks = written_at(text_blocks(docs, block_tokens, id_col, text_col), "blocks")
-    counts = blocks.select(F.inline(F.arrays_zip("words", "counts"))).where("counts > 0").groupBy("words").agg(F.sum("counts").alias("n"))
-    top = [bytes(r.words) for r in counts.where(F.length("words") > 0).orderBy(F.desc("n"), "words").limit(frequent).collect()]
-    own = topics_of(near_pairs(blocks, top, window), topics) if top else np.zeros(0, np.int64)
-    statistics, at_words = written_at(word_statistics(blocks, top, own, topics, window), "words")
-    sums = statistics.agg(F.count("*"), F.sum("n"), *(F.count_if(F.col("n") == k) for k in (1, 2, 3)), F.sum(F.when(F.length("word") == 0, F.col("n"))), *(F.sum(f"c{t}") for t in range(topics))).first()
-    vocabulary, tokens, once, twice, thrice, ends = (int(v or 0) for v in sums[:6])
-    share = [F.col(f"c{t}") / float((sums[6 + t] or 0) + 1) for t in range(topics)]
-    best = F.greatest(*share)
-    topic = F.coalesce(*(F.when((best > 0) & (s == best), F.lit(t)) for t, s in enumerate(share)), F.lit(topics))
-    words = statistics.select("word", "n", topic.alias("topic"))
-    bin_ = F.floor(F.log2(F.col("n")) * 4 + F.lit(1e-9)).cast("int")
-    stats = [tuple(r) for r in words.where("n > 2 and length(word) > 0").groupBy("topic", bin_.alias("bin")).agg(F.count("*"), F.sum("n")).collect()]  # a row for each topic and quarter power of two
-    classes = Classes(stats, tokens, vocabulary, once, twice, thrice, ends, bands)
-    coded, at_coded = written_at(coded_blocks(blocks, words, classes), "coded")
+    top = frequent_words(blocks, frequent, share)
+    own = topics_of(near_pairs(blocks, [w for w, _ in top], window), topics) if top else np.zeros(0, np.int64)
+    numbered, at_numbered = written_at(numbered_blocks(blocks, top, own, topics, window), "numbered")
     spark = docs.sparkSession
     removed(spark, at_blocks)
-    removed(spark, at_words)
+    classes = Classes(word_masses(numbered, topics), topics, bands)
     weights = np.zeros((rows, classes.size), np.float32)
-    for r in range(rounds if tokens else 0):
-        weights = gradient_round(coded.where(F.pmod(F.xxhash64("ids"), F.lit(rounds)) == r), weights, classes.bias, rate, batch)
-    result, _ = written_at(scored(coded, weights, classes.bias, tokens), "scores")
-    removed(spark, at_coded)
+    for r in range(rounds if classes.tokens else 0):
+        weights = gradient_round(numbered.where(F.pmod(F.xxhash64("block"), F.lit(rounds)) == r), classes, weights, rate, batch)
+    result, _ = written_at(scored(numbered, classes, weights), "scores")
+    removed(spark, at_numbered)
     return result
