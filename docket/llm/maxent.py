@@ -7,9 +7,9 @@ into topics by which of them occur near each other, every word takes the topic o
 are cut into bands of equal mass by count. Words seen once or twice share one class with the unknown word, with Good-Turing weights; the
 end of a text has a class of its own.
 
-Work is cut into blocks of texts. A block is one row: texts as numbers of the block's own words, and those words. Each word of each block
-goes to its word's task once, where sums over the whole corpus are taken, and comes back as a count and a topic, so no vocabulary is ever in one
-place. Weights are trained in rounds: each task takes gradient steps over its blocks from the common weights,
+Work is cut into blocks of texts. A block is one row: texts as numbers of the block's own words, and those words. The words are dealt by hash to
+tasks, each of which adds up the counts of its words over all blocks and answers each block with counts and topics, so no vocabulary is ever in one
+place, and few and long rows are moved. Weights are trained in rounds: each task takes gradient steps over its blocks from the common weights,
 and the next weights are the old ones plus the mean of the tasks' changes, row by row, weighted by how often a row was used.
 Weights, topics, the most frequent words and the class table are of fixed size and go through the driver; nothing else does.
 """
@@ -23,15 +23,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docket.llm.common import removed, slices, written_at
 
 END = b""  # no word is empty
 CHUNK = 256  # weight rows that travel together
-BLOCK = pa.schema([("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int32())), ("tokens", pa.binary()), ("hashes", pa.binary()), ("words", pa.list_(pa.binary())), ("counts", pa.binary())])
-BLOCK_SQL = "ids array<long>, held array<boolean>, lengths array<int>, tokens binary, hashes binary, words array<binary>, counts binary"
+BLOCK = pa.schema([("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int32())), ("n_words", pa.int32()), ("tokens", pa.binary()), ("hashes", pa.binary()), ("words", pa.list_(pa.binary())), ("counts", pa.binary())])
+BLOCK_SQL = "ids array<long>, held array<boolean>, lengths array<int>, n_words int, tokens binary, hashes binary, words array<binary>, counts binary"
+
+
+def _pressed(v: np.ndarray) -> bytes:
+    return pa.compress(v.tobytes(), codec="zstd", asbytes=True)
+
+
+def _loose(cell: pa.Scalar, kind: str, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(cell.as_buffer(), n * np.dtype(kind).itemsize, codec="zstd"), kind)
 
 
 def held_out(doc_id: "F.Column") -> "F.Column":
@@ -54,7 +62,7 @@ def text_blocks(docs: DataFrame, block_tokens: int, id_col: str, text_col: str)
             trained = np.repeat([not h for _, h, _ in held], lengths)
             counts = np.bincount(tokens[trained], minlength=len(number)).astype("<i4")
             hashes = np.fromiter(map(zlib.crc32, number), np.uint32, len(number)).astype("<u2")
-            cells = [[i for i, _, _ in held], [h for _, h, _ in held], lengths, tokens.astype("<i4").tobytes(), hashes.tobytes(), list(number), counts.tobytes()]
+            cells = [[i for i, _, _ in held], [h for _, h, _ in held], lengths, len(number), _pressed(tokens.astype("<i4")), _pressed(hashes), list(number), _pressed(counts)]
             out = pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(cells, BLOCK)], schema=BLOCK)
             held.clear()
             number.clear()
@@ -80,14 +88,13 @@ class Block:
     """One row of blocks, without Python objects for its words."""
 
     def __init__(self, batch: pa.RecordBatch, at: int):
-        of = lambda name, kind: np.frombuffer(batch.column(name)[at].as_buffer(), kind)
-        self.tokens, self.hashes = of("tokens", "<i4"), of("hashes", "<u2")
         self.lengths = batch.column("lengths")[at].values.to_numpy().astype(np.int64)
         self.held = batch.column("held")[at].values.to_numpy(zero_copy_only=False).astype(bool)
-        self.ids = batch.column("ids")[at].values
+        self.ids, n = batch.column("ids")[at].values, batch.column("n_words")[at].as_py()
+        self.tokens, self.hashes = _loose(batch.column("tokens")[at], "<i4", int(self.lengths.sum())), _loose(batch.column("hashes")[at], "<u2", n)
         names = batch.schema.names
         self.words = batch.column("words")[at].values if "words" in names else None
-        self.counts = of("counts", "<i4") if "counts" in names else None
+        self.counts = _loose(batch.column("counts")[at], "<i4", n) if "counts" in names else None
 
     def text(self) -> np.ndarray:
         """The number of the text of each token, -1 in texts that are not learned from."""
@@ -159,17 +166,26 @@ def topics_of(near: np.ndarray, topics: int) -> np.ndarray:
     return (surplus @ centres.T).argmax(1)
 
 
-def numbered_blocks(blocks: DataFrame, top: list[tuple[bytes, int]], own: np.ndarray, topics: int, window: int) -> DataFrame:
-    """Blocks whose words have what the whole corpus says of them: told, an array of (pos, n, topic, first) for each word learned.
+def _dealt(hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, ends): the words of a block by the part that their hash deals them to, and where each part ends."""
+    part = hashes % parts
+    return np.argsort(part, kind="stable"), np.cumsum(np.bincount(part, minlength=parts))
 
-    n is the word's count in the texts learned from. Its topic is the one whose frequent words are near it most, against their own number; each block has
-    one vote, weighted by the word's count there. ``topics`` stands for no such word near, ``topics`` + 1 for the end. Of a word's blocks one is the first.
+
+def numbered_blocks(blocks: DataFrame, top: list[tuple[bytes, int]], own: np.ndarray, topics: int, window: int, part_words: int = 400_000) -> DataFrame:
+    """Blocks whose words have what the whole corpus says of them: told, for each part that words are dealt to its words' counts and topics.
+
+    A word's count is that in the texts learned from. Its topic is the one whose frequent words are near it most, against their own number; each block has
+    one vote, weighted by the word's count there. ``topics`` stands for no such word near, ``topics`` + 1 for the end. Of a word's blocks the
+    lowest is marked as its first. A part holds about ``part_words`` words of blocks, so many parts as that takes.
     """
     names = [w for w, _ in top]
     size = np.array([sum(n for (_, n), t in zip(top, own) if t == k) for k in range(topics)], float) + 1
-    schema = pa.schema([("word", pa.binary()), ("block", pa.int64()), ("pos", pa.int32()), ("n", pa.int32()), ("vote", pa.int8())])
+    parts = int(min(1 << 16, max(8, -(-(blocks.agg(F.sum("n_words")).first()[0] or 0) // part_words))))
+    asked = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("words", pa.binary()), ("counts", pa.binary()), ("votes", pa.binary())])
+    answered = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("told", pa.binary())])
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(b.num_rows):
                 block = Block(b, at)
@@ -184,34 +200,72 @@ def numbered_blocks(blocks: DataFrame, top: list[tuple[bytes, int]], own: np.nda
                     some = some[text[some] == text[some + o]]
                     sums += np.bincount(block.tokens[some + o].astype(np.int64) * topics + topic[some], minlength=n * topics)
                 sums = sums.reshape(n, topics) / size
-                vote = np.where(sums.max(1) > 0, sums.argmax(1), topics)
-                yield pa.RecordBatch.from_arrays([block.words, pa.array(np.full(n, b.column("block")[at].as_py())), pa.array(np.arange(n), pa.int32()), pa.array(block.counts), pa.array(vote, pa.int8())], schema=schema)
-
-    entries = blocks.mapInArrow(of, "word binary, block long, pos int, n int, vote byte")
-    w = Window.partitionBy("word")
-    votes = [F.sum(F.when(F.col("vote") == t, F.col("n"))).over(w) for t in range(topics)]
-    best = F.greatest(*(F.coalesce(v, F.lit(0)) for v in votes))
-    topic = F.when(F.length("word") == 0, F.lit(topics + 1)).when(best > 0, F.coalesce(*(F.when(v == best, F.lit(t)) for t, v in enumerate(votes)))).otherwise(F.lit(topics))
-    summed = entries.select("block", "pos", F.sum("n").over(w).alias("n"), topic.cast("byte").alias("topic"), (F.col("block") == F.min("block").over(w)).alias("first")).where("n > 0")
-    told = summed.groupBy("block").agg(F.collect_list(F.struct("pos", "n", "topic", "first")).alias("told"))  # as many as the block's words
-    return blocks.drop("words", "counts").hint("merge").join(told, "block", "left")
-
-
-def word_masses(numbered: DataFrame, topics: int) -> list[tuple[int, int, int, int]]:
+                votes = np.where(sums.max(1) > 0, sums.argmax(1), topics).astype(np.uint8)
+                order, ends = _dealt(block.hashes, parts)
+                words = block.words.take(pa.array(order)).to_pylist()
+                counts, votes, rows, begin = block.counts[order], votes[order], [], 0
+                for part, end in enumerate(ends.tolist()):
+                    if end > begin:
+                        rows.append((part, b" ".join(words[begin:end]), counts[begin:end].tobytes(), votes[begin:end].tobytes()))
+                    begin = end
+                part, joined, counts_, votes_ = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([b.column("block")[at].as_py()] * len(rows)), *(pa.array(v, pa.binary()) for v in (joined, counts_, votes_))], schema=asked)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number: defaultdict[bytes, int] = defaultdict()
+        number.default_factory = number.__len__
+        rows: list[tuple[int, int, np.ndarray]] = []
+        sums, first = np.zeros((1024, topics + 1), np.int64), np.full(1024, np.iinfo(np.int64).max)
+        for b in batches:
+            for part, block, words, counts, votes in zip(*(c.to_pylist() for c in b.columns)):
+                split = words.split(b" ")
+                at = np.fromiter(map(number.__getitem__, split), np.int32, len(split))
+                if len(number) > len(sums):
+                    more = len(number)
+                    sums, first = np.concatenate([sums, np.zeros((more, topics + 1), np.int64)]), np.concatenate([first, np.full(more, np.iinfo(np.int64).max)])
+                sums[at, np.frombuffer(votes, np.uint8)] += np.frombuffer(counts, "<i4")  # a word is in a row once
+                first[at] = np.minimum(first[at], block)
+                rows.append((part, block, at))
+        n, best = sums.sum(1), sums[:, :topics]
+        topic = np.where(best.max(1) > 0, best.argmax(1), topics)
+        if END in number:
+            topic[number[END]] = topics + 1
+        for part, block, at in rows:
+            told = n[at].astype("<i8").tobytes() + (topic[at] * 2 + (first[at] == block)).astype(np.uint8).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block]), pa.array([told], pa.binary())], schema=answered)
+
+    questions = blocks.mapInArrow(ask, "part int, block long, words binary, counts binary, votes binary").repartitionById(parts, "part")
+    answers = questions.mapInArrow(answer, "part int, block long, told binary").groupBy("block").agg(F.collect_list(F.struct("part", "told")).alias("told"))  # a row for each part
+    return blocks.drop("words", "counts").withColumn("parts", F.lit(parts)).hint("merge").join(answers, "block", "left")
+
+
+def _told(batch: pa.RecordBatch, at: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(n, topic, first) of each word of a numbered block."""
+    n, marks = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.uint8)
+    order, ends = _dealt(hashes, batch.column("parts")[at].as_py())
+    for r in batch.column("told")[at].as_py():
+        end = int(ends[r["part"]])
+        k = len(r["told"]) // 9
+        own = order[end - k : end]
+        n[own], marks[own] = np.frombuffer(r["told"], "<i8", k), np.frombuffer(r["told"], np.uint8, k, 8 * k)
+    return n, (marks >> 1).astype(np.int64), (marks & 1).astype(bool)
+
+
+def word_masses(numbered: DataFrame) -> list[tuple[int, int, int, int]]:
     """(topic, bin of counts, words, mass): each word counted once, in the first of its blocks."""
     schema = pa.schema([("topic", pa.int32()), ("bin", pa.int32()), ("words", pa.int64()), ("mass", pa.int64())])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            told = b.column(0).flatten()
-            some = told.filter(told.field("first"))
-            n, topic = some.field("n").to_numpy(), some.field("topic").to_numpy().astype(np.int64)
-            code = topic * 256 + bins(n)
-            words, mass = np.bincount(code), np.bincount(code, n)
-            at = np.flatnonzero(words)
-            yield pa.RecordBatch.from_arrays([pa.array(at // 256, pa.int32()), pa.array(at % 256, pa.int32()), pa.array(words[at]), pa.array(mass[at].astype(np.int64))], schema=schema)
-
-    found = numbered.select("told").where("told is not null").mapInArrow(of, "topic int, bin int, words long, mass long")
+            for at in range(b.num_rows):
+                n, topic, first = _told(b, at, _loose(b.column("hashes")[at], "<u2", b.column("n_words")[at].as_py()))
+                n, topic = n[first & (n > 0)], topic[first & (n > 0)]
+                code = topic * 256 + bins(n)
+                words, mass = np.bincount(code), np.bincount(code, n)
+                at_ = np.flatnonzero(words)
+                yield pa.RecordBatch.from_arrays([pa.array(at_ // 256, pa.int32()), pa.array(at_ % 256, pa.int32()), pa.array(words[at_]), pa.array(mass[at_].astype(np.int64))], schema=schema)
+
+    found = numbered.select("hashes", "n_words", "parts", "told").mapInArrow(of, "topic int, bin int, words long, mass long")
     return [tuple(r) for r in found.groupBy("topic", "bin").agg(F.sum("words"), F.sum("mass")).collect()]
 
 
@@ -263,13 +317,8 @@ class Coded:
 
     def __init__(self, batch: pa.RecordBatch, at: int, classes: Classes):
         self.block = Block(batch, at)
-        n, topic = np.zeros(len(self.block.hashes), np.int64), np.zeros(len(self.block.hashes), np.int64)
-        told = batch.column("told")[at].values  # null where no word is known
-        if told is not None:
-            pos = told.field("pos").to_numpy()
-            n[pos], topic[pos] = told.field("n").to_numpy(), told.field("topic").to_numpy()
-        self.n = n
-        cls, self.within = classes.of(n, topic)
+        self.n, topic, _ = _told(batch, at, self.block.hashes)
+        cls, self.within = classes.of(self.n, topic)
         self.classes, self.hashes = cls.astype(np.uint16)[self.block.tokens], self.block.hashes[self.block.tokens]
 
 
@@ -379,7 +428,7 @@ def scored(numbered: DataFrame, classes: Classes, weights: np.ndarray) -> DataFr
 
 
 def language_scores(
-    docs: DataFrame, frequent: int = 256, share: float = 1 / 4096, topics: int = 6, bands: int = 6, window: int = 3, rows: int = 1 << 14, rounds: int = 3, rate: float = 1.0, batch: int = 2048, block_tokens: int = 1 << 18,
+    docs: DataFrame, frequent: int = 256, share: float = 1 / 4096, topics: int = 6, bands: int = 6, window: int = 3, rows: int = 1 << 14, rounds: int = 3, rate: float = 1.0, batch: int = 2048, block_tokens: int = 1 << 19,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
@@ -395,7 +444,7 @@ def language_scores(
     numbered, at_numbered = written_at(numbered_blocks(blocks, top, own, topics, window), "numbered")
     spark = docs.sparkSession
     removed(spark, at_blocks)
-    classes = Classes(word_masses(numbered, topics), topics, bands)
+    classes = Classes(word_masses(numbered), topics, bands)
     weights = np.zeros((rows, classes.size), np.float32)
     for r in range(rounds if classes.tokens else 0):
         weights = gradient_round(numbered.where(F.pmod(F.xxhash64("block"), F.lit(rounds)) == r), classes, weights, rate, batch)
