@@ -9,8 +9,8 @@ end of a text has a class of its own.
 
 Work is cut into blocks of texts. A block is one row: texts as numbers of the block's own words, and those words. The words are dealt by hash to
 tasks, each of which adds up the counts of its words over all blocks and answers each block with counts and topics, so no vocabulary is ever in one
-place, and few and long rows are moved. Weights are trained in rounds: each task takes gradient steps over its blocks from the common weights,
-and the next weights are the old ones plus the mean of the tasks' changes, row by row, weighted by how often a row was used.
+place, and few and long rows are moved. Weights are trained in rounds: each task takes gradient steps over its blocks from the common weights, of words' features and of classes' features
+in turn, and the next weights are the old ones plus the mean of the tasks' changes, row by row, weighted by how often a row was used.
 Weights, topics, the most frequent words and the class table are of fixed size and go through the driver; nothing else does.
 """
 
@@ -375,7 +375,7 @@ def gradient_round(numbered: DataFrame, classes: Classes, weights: np.ndarray, r
                 np.exp(p, out=p)
                 p /= p.sum(1, keepdims=True)
                 p[np.arange(n), cls[s : s + batch]] -= 1
-                flat = at.ravel()
+                flat = at[s // batch % 2 :: 2].ravel()  # the rows of words and those of classes in turn
                 order = np.argsort(flat, kind="stable")
                 heads = np.flatnonzero(np.diff(flat[order].astype(np.int32), prepend=-1))
                 which, g = flat[order[heads]], np.add.reduceat(p[order % n], heads)
