@@ -27,7 +27,7 @@ def apply_edits(extraction: Column, edits: Column) -> Column:
     given = lambda path: F.try_element_at(edits, path)
     head = [F.when(F.array_contains(keys, f), given(F.lit(f))).otherwise(base[f]).alias(f) for f in (*ORDER_FIELDS, "notes")]
     places = F.filter(keys, lambda k: k.rlike(r"^line_items\.\d+\.") & (given(k) != DELETED))
-    places = F.array_sort(F.array_distinct(F.transform(places, lambda k: F.split(k, r"\.")[1].cast("int"))))
+    places = F.array_sort(F.array_distinct(F.transform(places, lambda k: F.split(k, r"\.")[1].try_cast("int"))))
     n = F.aggregate(places, F.size(lines), lambda n, i: F.when(i == n, n + 1).otherwise(n))
     path = lambda i, f="": F.concat(F.lit("line_items."), i.cast("string"), F.lit(f))
 
@@ -41,7 +41,7 @@ def apply_edits(extraction: Column, edits: Column) -> Column:
     return F.struct(*head, F.transform(kept, lambda i: F.struct(*(value(i, f) for f in LINE_FIELDS))).alias("line_items")).cast(ORDER)
 
 
-def missing_after(order: Column, required: tuple = ("customer_po_text", "delivery_address_text"), line_required: tuple = ("product_text", "quantity")) -> Column:
+def missing_after(order: Column, required: tuple = ORDER_FIELDS, line_required: tuple = ("product_text", "quantity")) -> Column:
     """Required fields of an edited order that are null or empty; an order without lines misses "line_items"."""
     blank = lambda c: F.coalesce(c.cast("string"), F.lit("")) == ""
     head = F.array(*(F.when(blank(order[f]), F.lit(f)) for f in required), F.when(F.size(order["line_items"]) < 1, F.lit("line_items")))

@@ -94,7 +94,7 @@ def apply_line_edits(lines: Column, edits: Column, fields: list[str]) -> Column:
     A path one past the last line appends, and so may the next; a path further out has no effect.
     """
     keys = F.coalesce(F.map_keys(edits), F.array().cast("array<string>"))
-    places = F.array_sort(F.array_distinct(F.transform(F.filter(keys, lambda k: k.rlike(r"^line_items\.\d+\.")), lambda k: F.split(k, r"\.")[1].cast("int"))))
+    places = F.array_sort(F.array_distinct(F.transform(F.filter(keys, lambda k: k.rlike(r"^line_items\.\d+\.")), lambda k: F.split(k, r"\.")[1].try_cast("int"))))
     n = F.aggregate(places, F.size(lines), lambda n, i: F.when(i == n, n + 1).otherwise(n))
 
     def value(i: Column, f: str) -> Column:

@@ -40,7 +40,7 @@ def order_edits(spark, sf):
     )
     x = r.select("id", flow.apply_edits(F.col("gold"), edits).alias("o"))
     lines = F.col("o.line_items")
-    return x.select("id", F.col("o.customer_po_text").alias("po"), F.size(lines).alias("lines"), F.get(lines, F.lit(0))["quantity"].alias("first_quantity"), F.element_at(lines, -1)["product_text"].alias("last_product"), F.size(flow.missing_after(F.col("o"))).alias("missing"))
+    return x.select("id", F.col("o.customer_po_text").alias("po"), F.size(lines).alias("lines"), F.get(lines, F.lit(0))["quantity"].alias("first_quantity"), F.element_at(lines, -1)["product_text"].alias("last_product"), F.size(flow.missing_after(F.col("o"), ("customer_po_text", "delivery_address_text"))).alias("missing"))
 
 
 @query("select o_orderkey, (case when o_orderkey % 2 = 0 then 0 else 1 end + 1)::INT changed, o_orderkey % 5 = 0 as same from orders")
