@@ -95,10 +95,14 @@ def best_fit_rules(counts: dict[int, int], window: int) -> list[tuple]:
 
 
 class Packer:
-    """Packs the pieces of one task, a bounded number of ids at a time; windows that are not nearly full wait for more pieces."""
+    """Packs the pieces of one task, about ``most`` ids at a time; windows that are not nearly full wait for more pieces.
 
-    def __init__(self, window: int, part: int):
-        self.window, self.part = window, part
+    What waits is at most half of ``most``, whatever the lengths are: beyond that the fullest windows go as they are. So each call
+    that ``most`` ids called for places half of them, and packing all takes no more than twice the ids.
+    """
+
+    def __init__(self, window: int, part: int, most: int = CHUNK_IDS):
+        self.window, self.part, self.most = window, part, most
         self.rows: list[tuple] = []  # doc_id, start, length, ids, doc_tokens
         self.held = self.next = 0
 
@@ -110,7 +114,7 @@ class Packer:
             self.held += length
 
     def placed(self, last: bool) -> Iterator[tuple]:
-        """Rows with part, window of the part and offset. What stands in a window less than 99 % full stays for the next call, unless it is the last."""
+        """Rows with part, window of the part and offset. What stands in a window less than 99 % full stays for the next call, unless it is the last or too much stays."""
         by_length: dict[int, list[int]] = {}
         for k, row in enumerate(self.rows):
             by_length.setdefault(row[2], []).append(k)
@@ -118,15 +122,19 @@ class Packer:
         for length, first, past, sequence, per, offset in best_fit_rules({n: len(x) for n, x in by_length.items()}, self.window):
             for r, k in enumerate(by_length[length][first:past]):
                 windows.setdefault(sequence + r // per, []).append((k, offset + r % per * length))
-        waiting = []
-        for pieces in windows.values():
-            if not last and 100 * sum(self.rows[k][2] for k, _ in pieces) < 99 * self.window:
-                waiting += [self.rows[k] for k, _ in pieces]
-                continue
-            for k, offset in pieces:
-                yield (*self.rows[k], self.part, self.next, offset)
-            self.next += 1
-        self.rows, self.held = waiting, sum(r[2] for r in waiting)
+        used = {w: sum(self.rows[k][2] for k, _ in pieces) for w, pieces in windows.items()}
+        loose = {w: n for w, n in used.items() if not last and 100 * n < 99 * self.window}
+        stays = sum(loose.values())
+        for w in sorted(loose, key=lambda w: -used[w]):
+            if 2 * stays <= self.most:
+                break
+            stays -= loose.pop(w)
+        for w, pieces in windows.items():
+            if w not in loose:
+                for k, offset in pieces:
+                    yield (*self.rows[k], self.part, self.next, offset)
+                self.next += 1
+        self.rows, self.held = [self.rows[k] for w in loose for k, _ in windows[w]], stays
 
 
 def pieces_in_place(docs: DataFrame, window: int, vocabulary: str | None, end_id: int, chunk_ids: int) -> DataFrame:
@@ -136,7 +144,7 @@ def pieces_in_place(docs: DataFrame, window: int, vocabulary: str | None, end_id
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("part", pa.int32()), ("turn", pa.int64()), ("offset", pa.int64())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(window, TaskContext.get().partitionId())
+        packer = Packer(window, TaskContext.get().partitionId(), chunk_ids)
 
         def full(last: bool) -> Iterator[pa.RecordBatch]:
             rows = packer.placed(last)
