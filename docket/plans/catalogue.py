@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docket.functions import columns as C
-from docket.operators import align, orders, scoring
+from docket.operators import align, calibrating, orders, ranking, resampling, scoring
 from docket.sources import mail
+from docket.sources.store import written
 from docket.streaming import windows as streams
 
 QUERIES: dict = {}
@@ -215,10 +216,60 @@ def piecewise_calibrate(spark, sf):
     return confidences(spark, sf).groupBy("c", F.round(y, 9).alias("calibrated")).agg(F.count("*").alias("n"))
 
 
-@query()
+# The fit at each x as the greatest over beginnings of the least over ends of the mean between, which is what pooling gives.
+_FIT = """d as (select c x, count(*) w, sum(ok::INT) s from {0} where c is not null group by 1), u as (select x, row_number() over (order by x) i, sum(w) over (order by x) w1, sum(s) over (order by x) s1, sum(w) over (order by x) - w w0, sum(s) over (order by x) - s s0 from d),
+ m as (select a.i, b.i j, min((b.s1 - a.s0)::DOUBLE / (b.w1 - a.w0)) over (partition by a.i order by b.i rows between current row and unbounded following) v from u a join u b on b.i >= a.i),
+ fit as (select u.i, u.x, max(m.v) y from u join m on m.j = u.i and m.i <= u.i group by all),
+ kn as (select x, y from fit qualify y is distinct from lag(y) over (order by i) or y is distinct from lead(y) over (order by i))"""
+
+
+@query(f"with {_CONF}, {_FIT.format('cf')}, q as (select c, count(*) n from cf group by 1), k as (select *, lead(x) over (order by x) x1, lead(y) over (order by x) y1 from kn) select c, n, round(case when k.x is null then (select arg_min(y, x) from kn) when k.x = c or x1 is null then y else y + (c - k.x) * ((y1 - y) / (x1 - k.x)) end, 9) calibrated from q asof left join k on k.x <= c")
 def isotonic_apply(spark, sf):
     x = confidences(spark, sf)
-    return x.groupBy("c").agg(F.count("*").alias("n")).withColumn("calibrated", scoring.interpolate(F.col("c"), scoring.isotonic_knots(x, "c", "ok")))
+    out = calibrating.calibrated(x.groupBy("c").agg(F.count("*").alias("n")), "c", written(calibrating.isotonic_fit(x, "c", "ok"), "knots"))
+    return out.withColumn("calibrated", F.round("calibrated", 9))
+
+
+def scores(spark, sf):
+    """Documents with a confidence of three digits and whether it held."""
+    k = F.col("doc_id")
+    c = C.bucket(1000, F.lit("conf"), k) / F.lit(1000.0)
+    return t(spark, sf, "documents").select(k, F.when(k % 50 > 0, c).alias("c"), (C.bucket(1000, F.lit("held"), k) < c * c * 1000).alias("ok"))
+
+
+_SCORES = f"""cf as (select doc_id, case when doc_id % 50 > 0 then {b(1000, "concat_ws('|', 'conf', doc_id)")} / 1000.0::DOUBLE end c, {b(1000, "concat_ws('|', 'held', doc_id)")} < ({b(1000, "concat_ws('|', 'conf', doc_id)")} / 1000.0::DOUBLE) * ({b(1000, "concat_ws('|', 'conf', doc_id)")} / 1000.0::DOUBLE) * 1000 ok from documents)"""
+
+
+@query(f"with {_SCORES}, {_FIT.format('cf')} select x, y from kn")
+def isotonic_knots(spark, sf):
+    return calibrating.isotonic_fit(scores(spark, sf), "c", "ok")
+
+
+# --- whole orders and exact resamples ----------------------------------------------------------------------------------
+@query("with o as (select doc_id, row_number() over (order by md5(concat_ws('|', 11, doc_id)), doc_id) n from documents) select doc_id, size::INTEGER size from o, (select unnest([500, 1000, 2000, null]) size) where n <= coalesce(size, n)")
+def nested_sets(spark, sf):
+    return ranking.nested_sets(t(spark, sf, "documents"), "doc_id", 11, [500, 1000, 2000])
+
+
+_DRAWN = f"""r as (select *, row_number() over (order by l_orderkey) place from oc), k as (select count(*) n from oc), rd as (select unnest(range(100)) rep), dr as (select rep, unnest(range(1, n + 1)) draw from rd, k),
+ h as (select rep, ('0x' || substr(md5(concat_ws('|', 7, rep, draw)), 1, 8))::BIGINT % n + 1 place, count(*) w from dr, k group by all),
+ f as (select rep, sum(w) n, {ratio('2 * sum(w * tp)', '2 * sum(w * tp) + sum(w * fp) + sum(w * fn)')} f1 from h join r using (place) group by rep)"""
+
+
+@query(f"""with {SLOTS}, oc as (select l_orderkey, sum(correct) tp, sum(wrong + hallucination) fp, sum(wrong + miss) fn from o group by 1), {_DRAWN}
+ select round(quantile_cont(f1, 0.025), 9) low, round(quantile_cont(f1, 0.975), 9) high, count(*) replicates, count(distinct n) sizes from f""")
+def bootstrap_drawn(spark, sf):
+    """100 resamples of exactly as many orders as there are, draw by draw."""
+    drawn = written(resampling.drawn(order_counts(spark, sf), "l_orderkey", 100, 7), "drawn")
+    sizes = drawn.groupBy("rep").agg(F.sum("w").alias("n")).agg(F.count_distinct("n").alias("sizes"))
+    return scoring._f1_interval(drawn, "tp", "fp", "fn").join(sizes)
+
+
+@query()
+def bootstrap_exact_1000(spark, sf):
+    """1000 resamples of exactly as many orders as there are, dealt down a tree of cells."""
+    cells = order_counts(spark, sf).groupBy("tp", "fp", "fn").agg(F.count("*").alias("n"))
+    return scoring._f1_interval(resampling.exact_resamples(cells, ["tp", "fp", "fn"], 1000, 7), "tp", "fp", "fn")
 
 
 @query("select l_orderkey, round(exp(avg(ln(greatest(1 - l_discount, 1e-12)))), 9) confidence from lineitem group by 1")

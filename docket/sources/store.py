@@ -1,8 +1,12 @@
-"""Small files beside tables, in any store that Spark reads: the commit records of keyed tables."""
+"""Small files beside tables, in any store that Spark reads, and tables in the shared folder that end a lineage."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from docket.streaming.windows import shared_dir
 
 
 def _at(spark: SparkSession, path: str):
@@ -35,3 +39,11 @@ def put(spark: SparkSession, path: str, text: str) -> None:
 
 def get(spark: SparkSession, path: str) -> str:
     return spark.read.text(path, wholetext=True).first().value
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: the lineage ends there, and rows stay as they are however often they are read."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
