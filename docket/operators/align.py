@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from itertools import permutations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from docket.functions.columns import norm_text
@@ -58,18 +61,68 @@ def brute_assign(weights: list[list[float]]) -> float:
     return max(sum(weights[i][j] for i, j in enumerate(p)) for p in permutations(range(m), n))
 
 
-@pandas_udf(ArrayType(StructType([StructField("i", IntegerType()), StructField("j", IntegerType())])))
-def aligned(gold: pd.Series, pred: pd.Series) -> pd.Series:
-    """Assignment of two arrays of (product, quantity, unit, price): product counts 3, the others 1 each."""
+def assign_all(weights: np.ndarray) -> np.ndarray:
+    """assign() of many records of one shape (records, n, m), n <= m <= EXHAUSTIVE: the column of each row, -1 where its weight is 0.
 
-    def pair(g, p) -> float:
-        return 3.0 * (g["product"] == p["product"]) + sum(g[f] is not None and g[f] == p[f] for f in ("quantity", "unit", "price"))
+    One table over sets of free columns serves all records: values[i][r, free] is the best total of rows i and on.
+    """
+    records, n, m = weights.shape
+    sets, at = np.arange(1 << m), np.arange(records)
+    values = [np.zeros((records, 1 << m))] * (n + 1)
+    for i in reversed(range(n)):
+        values[i] = np.full((records, 1 << m), -np.inf)
+        for j in range(m):
+            with_j = sets[sets >> j & 1 == 1]
+            values[i][:, with_j] = np.maximum(values[i][:, with_j], weights[:, i, j, None] + values[i + 1][:, with_j ^ 1 << j])
+    free, out = np.full(records, (1 << m) - 1), np.full((records, n), -1)
+    for i in range(n):
+        for j in range(m):
+            rest = free & ~(1 << j)
+            first = (out[:, i] < 0) & (free >> j & 1 == 1) & (np.abs(weights[:, i, j] + values[i + 1][at, rest] - values[i][at, free]) < 1e-9)
+            out[first, i] = j
+        free = free & ~(1 << out[:, i])
+    out[np.take_along_axis(weights, out[:, :, None], 2)[:, :, 0] == 0] = -1
+    return out
 
-    def one(g, p) -> list:
-        g, p = list(g if g is not None else []), list(p if p is not None else [])
-        return [{"i": i, "j": j} for i, j in assign([[pair(a, b) for b in p] for a in g])]
 
-    return pd.Series([one(g, p) for g, p in zip(gold, pred)])
+@arrow_udf(ArrayType(StructType([StructField("i", IntegerType()), StructField("j", IntegerType())])))
+def aligned(gold: pa.Array, pred: pa.Array) -> pa.Array:
+    """Assignment of two arrays of (product, quantity, unit, price): product counts 3, the others 1 each.
+
+    Whole batches: records of the same numbers of items are assigned together; those of over EXHAUSTIVE items one by one, greedily.
+    """
+    sizes = [np.asarray(pc.fill_null(pc.list_value_length(a), 0)).astype(np.int64) for a in (gold, pred)]
+    starts = [np.cumsum(n) - n for n in sizes]
+    items = [a.flatten() for a in (gold, pred)]
+    codes = {}
+    for f in ("product", "quantity", "unit", "price"):
+        both = pa.concat_arrays([pc.struct_field(x, f) for x in items]).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        codes[f] = both[: len(items[0])], both[len(items[0]) :]
+
+    def weights(records: np.ndarray, n: int, m: int) -> np.ndarray:
+        g, p = starts[0][records, None] + np.arange(n), starts[1][records, None] + np.arange(m)
+        equal = lambda f: codes[f][0][g][:, :, None] == codes[f][1][p][:, None, :]
+        return 3.0 * equal("product") + sum(equal(f) & (codes[f][0][g] >= 0)[:, :, None] for f in ("quantity", "unit", "price"))
+
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # record, i, j
+    for n, m in np.unique(np.stack(sizes, 1), axis=0):
+        own = np.flatnonzero((sizes[0] == n) & (sizes[1] == m))
+        for records in np.array_split(own, len(own) // 2000 + 1) if n and m else ():
+            w = weights(records, n, m)
+            if max(n, m) > EXHAUSTIVE:
+                for r, one in zip(records, w):
+                    pairs = np.array(assign(one.tolist()), np.int64).reshape(-1, 2)
+                    found.append((np.full(len(pairs), r), pairs[:, 0], pairs[:, 1]))
+            else:
+                choice = assign_all(w if n <= m else w.transpose(0, 2, 1))
+                r, a = np.nonzero(choice >= 0)
+                b = choice[r, a]
+                found.append((records[r], *((a, b) if n <= m else (b, a))))
+    record, i, j = (np.concatenate(v) for v in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+    order = np.lexsort((i, record))
+    ends = np.concatenate([[0], np.cumsum(np.bincount(record, minlength=len(gold)))])
+    pairs = pa.StructArray.from_arrays([pa.array(i[order], pa.int32()), pa.array(j[order], pa.int32())], names=["i", "j"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
 
 
 def indel_ratio(a: str, b: str) -> float:

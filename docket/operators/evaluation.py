@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docket.functions.columns import norm_text, ratio
+from docket.functions.columns import norm_equal, ratio
 from docket.operators.align import EXHAUSTIVE, aligned
 from docket.operators.orders import route_of
 from docket.operators.scoring import prf
@@ -52,7 +52,7 @@ def with_predictions(records: DataFrame, predictions: DataFrame, missing: str =
 
 
 def _same(g: Column, p: Column) -> Column:
-    return norm_text(g.cast("string")) == norm_text(p.cast("string"))
+    return norm_equal(g.cast("string")) == norm_equal(p.cast("string"))
 
 
 def _slot(field: str, **counts: Column) -> Column:
@@ -60,7 +60,7 @@ def _slot(field: str, **counts: Column) -> Column:
 
 
 def _words(c: Column) -> Column:
-    return F.filter(F.split(norm_text(F.coalesce(c, F.lit(""))), " "), lambda w: w != "")
+    return F.filter(F.split(norm_equal(F.coalesce(c, F.lit(""))), " "), lambda w: w != "")
 
 
 def _overlap(a: Column, b: Column) -> Column:
@@ -76,7 +76,7 @@ def tallies(joined: DataFrame, keep: list[str] = ()) -> DataFrame:
     """
     x = joined.where("gold is not null")
     x = x.select("id", *keep, "gold", F.coalesce("extraction.parsed", empty_order()).alias("pred"), F.col("extraction.parsed").isNotNull().alias("parsed"), F.coalesce("extraction.repair_used", F.lit(False)).alias("repair"))
-    shape = lambda side: F.transform(F.col(f"{side}.line_items"), lambda i: F.struct(*(norm_text(i[f].cast("string")).alias(n) for f, n in zip(ITEM_FIELDS, ("product", "quantity", "unit", "price")))))
+    shape = lambda side: F.transform(F.col(f"{side}.line_items"), lambda i: F.struct(*(norm_equal(i[f].cast("string")).alias(n) for f, n in zip(ITEM_FIELDS, ("product", "quantity", "unit", "price")))))
     x = x.withColumn("pairs", aligned(shape("gold"), shape("pred")))
     gi, pi = F.col("gold.line_items"), F.col("pred.line_items")
     pairs = F.transform("pairs", lambda e: F.struct(F.get(gi, e["i"]).alias("g"), F.get(pi, e["j"]).alias("p")))
@@ -164,7 +164,7 @@ def trap_report(joined: DataFrame, traps: str) -> DataFrame:
     x = joined.where((F.col("email_class") == "new_order") & (F.size(traps) > 0) & F.col("gold").isNotNull())
     pi = F.coalesce("extraction.parsed.line_items", F.array().cast(f"array<{LINE}>"))
     gi = F.col("gold.line_items")
-    shape = lambda items: F.transform(items, lambda i: F.struct(*(norm_text(i[f].cast("string")).alias(n) for f, n in zip(ITEM_FIELDS, ("product", "quantity", "unit", "price")))))
+    shape = lambda items: F.transform(items, lambda i: F.struct(*(norm_equal(i[f].cast("string")).alias(n) for f, n in zip(ITEM_FIELDS, ("product", "quantity", "unit", "price")))))
     x = x.select("id", traps, gi.alias("g"), pi.alias("p"), aligned(shape(gi), shape(pi)).alias("pairs")).withColumn("at", F.explode(traps))
     j = F.get(F.filter("pairs", lambda e: e["i"] == F.col("at")), F.lit(0))["j"]
     x = x.select("id", F.get("g", F.col("at")).alias("g"), F.get("p", j).alias("p"), j.isNotNull().alias("hit"))
@@ -176,7 +176,7 @@ def trap_report(joined: DataFrame, traps: str) -> DataFrame:
 
 def semantics_report(joined: DataFrame) -> DataFrame:
     """Lines matched by quantity, unit and turn, whatever the alignment: totals, rates and the gap between a product held and met exactly."""
-    side = lambda items, name: joined.where("gold is not null").select("id", F.posexplode(items).alias("at", "i")).where("i.quantity is not null").select("id", F.col("i.quantity").alias("q"), norm_text(F.col("i.unit_text")).alias("u"), F.struct("at", norm_text(F.col("i.product_text")).alias("product")).alias("i"), F.lit(name).alias("side"))
+    side = lambda items, name: joined.where("gold is not null").select("id", F.posexplode(items).alias("at", "i")).where("i.quantity is not null").select("id", F.col("i.quantity").alias("q"), norm_equal(F.col("i.unit_text")).alias("u"), F.struct("at", norm_equal(F.col("i.product_text")).alias("product")).alias("i"), F.lit(name).alias("side"))
     both = side(F.col("gold.line_items"), "g").union(side(F.col("extraction.parsed.line_items"), "p"))
     keyed = both.groupBy("id", "q", "u").agg(*(F.array_sort(F.collect_list(F.when(F.col("side") == s, F.col("i")))).alias(s) for s in "gp"))
     met = F.filter(F.arrays_zip("g", "p"), lambda z: z["g"].isNotNull() & z["p"].isNotNull())
@@ -190,6 +190,11 @@ def semantics_report(joined: DataFrame) -> DataFrame:
     return s.select("*", ratio(c("matched"), c("anchorable_gold")).alias("match_rate"), ratio(c("product_exact"), c("matched")).alias("product_exact_rate"), ratio(c("product_contains"), c("matched")).alias("product_contains_rate"), ratio(c("product_contains") - c("product_exact"), c("matched")).alias("span_gap"))
 
 
+def semantics_totals(joined: DataFrame) -> DataFrame:
+    """semantics_report() with the hits of quantity and unit and the rate of the latter. Lines are matched by both, so each matched line hits both."""
+    return semantics_report(joined).select("*", F.col("matched").alias("quantity_hit"), F.col("matched").alias("unit_hit"), ratio(F.col("matched"), F.col("matched")).alias("unit_hit_rate"))
+
+
 def calibration_pairs(joined: DataFrame, confidences: str) -> DataFrame:
     """(field, confidence, correct) of each predicted slot with a confidence in the map ``confidences``; lines pair by place, up to the shorter list.
 

@@ -41,8 +41,8 @@ def apply_edits(extraction: Column, edits: Column) -> Column:
     return F.struct(*head, F.transform(kept, lambda i: F.struct(*(value(i, f) for f in LINE_FIELDS))).alias("line_items")).cast(ORDER)
 
 
-def missing_after(order: Column, required: tuple = ORDER_FIELDS, line_required: tuple = ("product_text", "quantity")) -> Column:
-    """Required fields of an edited order that are null or empty; an order without lines misses "line_items"."""
+def missing_after(order: Column, required: tuple = ("customer_po_text", "delivery_address_text"), line_required: tuple = ("product_text", "quantity")) -> Column:
+    """Required fields of an edited order that are null or empty; an order without lines misses "line_items". An approval asks for all ORDER_FIELDS, see reviewing.py."""
     blank = lambda c: F.coalesce(c.cast("string"), F.lit("")) == ""
     head = F.array(*(F.when(blank(order[f]), F.lit(f)) for f in required), F.when(F.size(order["line_items"]) < 1, F.lit("line_items")))
     per = F.flatten(F.transform(order["line_items"], lambda x, i: F.array(*(F.when(blank(x[f]), F.concat(F.lit("line_items."), i.cast("string"), F.lit(f".{f}"))) for f in line_required))))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docket.functions.columns import norm_text
-from docket.operators.evaluation import ORDER
+from docket.operators.evaluation import ORDER, ORDER_FIELDS
 from docket.operators.flow import apply_edits, missing_after
 from docket.operators.orders import build_orders
 
@@ -40,7 +40,7 @@ def outcomes(log: DataFrame) -> DataFrame:
     x = log.withColumn("origin", F.first(F.when(F.col("action") == "submitted", F.struct("extraction")), ignorenulls=True).over(so_far))
     x = x.where("origin is not null and action <> 'submitted'").withColumn("edits", given).withColumn("some", F.size("edits") > 0)
     x = x.withColumn("fixed", F.col("action") != "approved")
-    incomplete = lambda edits: F.size(missing_after(apply_edits(F.col("origin.extraction"), edits))) > 0
+    incomplete = lambda edits: F.size(missing_after(apply_edits(F.col("origin.extraction"), edits), ORDER_FIELDS)) > 0
     x = x.withColumn("bad", F.when(F.col("fixed") | F.col("some"), incomplete(F.col("edits")))).withColumn("part", F.sum(F.col("fixed").cast("long")).over(so_far))
     before = Window.partitionBy("item", "part").orderBy("at", "seq").rowsBetween(Window.unboundedPreceding, -1)
     at_first = F.when(F.col("part") == 0, incomplete(F.create_map().cast(EDITS)))  # no decision has set edits yet

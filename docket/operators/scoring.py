@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, NumericType, StructField, StructType
 
-from docket.functions.columns import bucket, norm_text, ratio
+from docket.functions.columns import bucket, norm_equal, ratio
 
 OUTCOMES = ("correct", "strict_correct", "wrong", "hallucination", "miss", "null_agree")
 
@@ -31,7 +31,7 @@ def slot_outcomes(df: DataFrame, fields: list[str], keep: list[str] = (), gold:
 def _flags(g: Column, p: Column, free_text: bool = True) -> dict[str, Column]:
     """0 or 1 for each outcome of a slot; only texts that differ as they are have to be normalised."""
     strict = F.coalesce(g == p, F.lit(False))
-    same = strict | F.coalesce(norm_text(g) == norm_text(p), F.lit(False)) if free_text else strict
+    same = strict | F.coalesce(norm_equal(g) == norm_equal(p), F.lit(False)) if free_text else strict
     flags = {
         "correct": same, "strict_correct": strict, "wrong": g.isNotNull() & p.isNotNull() & ~same,
         "hallucination": g.isNull() & p.isNotNull(), "miss": g.isNotNull() & p.isNull(), "null_agree": g.isNull() & p.isNull(),
@@ -78,7 +78,7 @@ def micro_by_field(outcomes: DataFrame) -> DataFrame:
 
 def token_overlap(df: DataFrame, key: str, gold: str, pred: str) -> DataFrame:
     """Per record: size of the multiset intersection of words, and words of either side."""
-    words = lambda c, side: df.select(key, F.explode(F.filter(F.split(norm_text(F.coalesce(F.col(c), F.lit(""))), " "), lambda w: w != "")).alias("w"), F.lit(side).alias("side"))
+    words = lambda c, side: df.select(key, F.explode(F.filter(F.split(norm_equal(F.coalesce(F.col(c), F.lit(""))), " "), lambda w: w != "")).alias("w"), F.lit(side).alias("side"))
     counts = words(gold, 0).union(words(pred, 1)).groupBy(key, "w").agg(F.count_if(F.col("side") == 0).alias("g"), F.count_if(F.col("side") == 1).alias("p"))
     return counts.groupBy(key).agg(F.sum(F.least("g", "p")).alias("overlap"), F.sum("g").alias("gold_tokens"), F.sum("p").alias("pred_tokens"))
 

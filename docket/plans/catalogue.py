@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docket.functions import columns as C
@@ -120,6 +120,34 @@ def item_alignment(spark, sf):
     return both.select("l_orderkey", F.size("g").alias("gold_items"), F.size("p").alias("pred_items"), F.size(align.aligned("g", "p")).alias("aligned"))
 
 
+_TIES = f"""with recursive gi as (select l_orderkey o, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_returnflag) - 1 i, l_partkey % 3 p, l_quantity::BIGINT % 2 q, l_returnflag u from lineitem),
+ few as (select o, max(i) + 1 n from gi group by 1 having max(i) < 4), pi as (select o, row_number() over (partition by o order by i) - 1 j, (p + {b(2, "concat_ws('|', 'tie', o, i)")}) % 3 p, q, case when {b(3, "concat_ws('|', 'tieu', o, i)")} > 0 then u end u from gi where {b(10, "concat_ws('|', 'gone', o, i)")} > 0
+  union all select o, 10 + i, p, q, u from gi where i = 0 and o % 3 = 0),
+ pj as (select o, row_number() over (partition by o order by j) - 1 j, p, q, u from pi), sz as (select few.o, n, count(j) m from few left join pj on pj.o = few.o group by all),
+ w as (select o, n <= m as straight, case when n <= m then i else j end a, case when n <= m then j else i end c, 3 * (g.p = x.p)::INT + (g.q = x.q)::INT + coalesce((g.u = x.u)::INT, 0) v from sz join gi g using (o) join pj x using (o)),
+ t as (select o, straight, 0::BIGINT a, 0::HUGEINT total, []::BIGINT[] path from w group by all union all select t.o, t.straight, t.a + 1, total + v, list_append(path, w.c) from t join w on w.o = t.o and w.a = t.a and not list_contains(path, w.c)),
+ best as (select * from t where a = (select max(w.a) + 1 from w where w.o = t.o) qualify row_number() over (partition by o order by total desc, path) = 1),
+ e as (select b.o, case when b.straight then w.a else w.c end i, case when b.straight then w.c else w.a end j from best b join w on w.o = b.o and w.c = path[w.a + 1] and v > 0)
+ select sz.o as l_orderkey, n::INTEGER gold_items, m::INTEGER pred_items, coalesce(string_agg(i || '-' || j, ',' order by i), '') pairs from sz left join e using (o) group by all"""
+
+
+@query(_TIES)
+def item_alignment_ties(spark, sf):
+    """Orders of up to four lines with many equal ones: of the best assignments the first."""
+    w = Window.partitionBy("o").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag")
+    x = t(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "o").withColumn("i", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(Window.partitionBy("o"))).where("n <= 4")
+    x = x.select("o", "i", (F.col("l_partkey") % 3).alias("p"), (F.col("l_quantity").cast("long") % 2).alias("q"), F.col("l_returnflag").alias("u"))
+    h = lambda n, tag: C.bucket(n, F.lit(tag), F.col("o"), F.col("i"))
+    item = lambda p, u: F.struct(p.cast("string").alias("product"), F.col("q").cast("string").alias("quantity"), u.alias("unit"), F.lit(None).cast("string").alias("price"))
+    gold = F.struct("i", item(F.col("p"), F.col("u")).alias("x"))
+    pred = F.when(h(10, "gone") > 0, F.struct("i", item((F.col("p") + h(2, "tie")) % 3, F.when(h(3, "tieu") > 0, F.col("u"))).alias("x")))
+    extra = F.when((F.col("i") == 0) & (F.col("o") % 3 == 0), F.struct((F.col("i") + 10).alias("i"), item(F.col("p"), F.col("u")).alias("x")))
+    side = lambda *c: F.transform(F.array_sort(F.flatten(F.collect_list(F.array_compact(F.array(*c))))), lambda s: s["x"])
+    both = x.groupBy("o").agg(side(gold).alias("g"), side(pred, extra).alias("h"))
+    pairs = F.array_join(F.transform(align.aligned("g", "h"), lambda e: F.concat_ws("-", e["i"].cast("string"), e["j"].cast("string"))), ",")
+    return both.select(F.col("o").alias("l_orderkey"), F.size("g").alias("gold_items"), F.size("h").alias("pred_items"), pairs.alias("pairs"))
+
+
 @query(f"""with {SLOTS}, r as (select l_orderkey, sum(correct)::BIGINT tp, sum(wrong + hallucination)::BIGINT fp, sum(wrong + miss)::BIGINT fn from o group by 1),
  d as (select rep, tp, fp, fn, {b(1000000, "concat_ws('|', 7, rep, l_orderkey)")} / 1e6 u from r, (select unnest(range(20)) rep)),
  w as (select *, (u >= 0.36787944117144233)::BIGINT + (u >= 0.7357588823428847)::BIGINT + (u >= 0.9196986029286058)::BIGINT + (u >= 0.9810118431238462)::BIGINT + (u >= 0.9963401531726563)::BIGINT + (u >= 0.9994058151824183)::BIGINT n from d),

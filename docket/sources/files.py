@@ -40,13 +40,31 @@ def strict(c: Column, schema: str) -> Column:
 
 
 def checked_predictions(raw: DataFrame, expected: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
-    """(predictions, problems): rows (id, payload); problems lists blank, unparsed, duplicate, unknown and missing ids."""
-    x = raw.withColumn("parsed", strict(F.col("payload"), schema))
-    problem = lambda df, what: df.select(F.col("id"), F.lit(what).alias("problem"))
-    bad = problem(x.where(F.trim("payload") == ""), "blank").union(problem(x.where((F.trim("payload") != "") & F.col("parsed").isNull()), "unparsed"))
-    bad = bad.union(problem(x.groupBy("id").agg(F.count("*").alias("n")).where("n > 1"), "duplicate"))
-    bad = bad.union(problem(x.join(expected, "id", "left_anti"), "unknown")).union(problem(expected.join(x, "id", "left_anti"), "missing"))
-    return x.where(F.col("parsed").isNotNull()).select("id", "parsed"), bad
+    """(predictions, problems): rows (id, payload); problems lists blank, unparsed, duplicate, unknown and missing ids.
+
+    All problems come from one pass and one shuffle by id, which moves counts only. A blank or unparsed row is a problem each, an unknown
+    id one for each of its rows.
+    """
+    parsed = strict(F.col("payload"), schema)
+    blank = F.coalesce(F.trim("payload") == "", F.lit(False))
+    count = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("int"))
+    row = raw.select("id", F.lit(1).alias("row"), blank.alias("blank"), (~blank & F.col("payload").isNotNull() & parsed.isNull()).alias("unparsed"))
+    both = row.unionByName(expected.select("id", F.lit(0).alias("row"), F.lit(False).alias("blank"), F.lit(False).alias("unparsed")))
+    per = both.groupBy("id").agg(F.sum("row").alias("rows"), count(F.col("blank")).alias("blank"), count(F.col("unparsed")).alias("unparsed"), F.count_if(F.col("row") == 0).alias("expected"))
+    times = lambda n, what: F.array_repeat(F.lit(what), n.cast("int"))
+    none = F.array().cast("array<string>")
+    found = F.concat(
+        times(F.col("blank"), "blank"), times(F.col("unparsed"), "unparsed"), F.when(F.col("rows") > 1, F.array(F.lit("duplicate"))).otherwise(none),
+        F.when(F.col("expected") == 0, times(F.col("rows"), "unknown")).otherwise(none), F.when(F.col("rows") == 0, times(F.col("expected"), "missing")).otherwise(none),
+    )
+    return raw.select("id", parsed.alias("parsed")).where("parsed is not null"), per.select("id", F.explode(found).alias("problem"))
+
+
+def pairs_jsonl(spark: SparkSession, path: str) -> DataFrame:
+    """(confidence, correct) of a file of calibration pairs, one JSON object a line; a line that is none, or lacks one of both, ends the job."""
+    read = spark.read.schema("confidence double, correct boolean").option("mode", "FAILFAST").json(path)
+    whole = F.col("confidence").isNotNull() & F.col("correct").isNotNull()
+    return read.where(F.when(whole, True).otherwise(F.raise_error(F.lit(f"{path}: a pair lacks its confidence or its outcome")).cast("boolean")))
 
 
 def canonical_jsonl(df: DataFrame, path: str) -> None:

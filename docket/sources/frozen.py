@@ -40,11 +40,20 @@ def unwrapped_label(reply: Column) -> Column:
 
 
 def file_digest(spark: SparkSession, path: str) -> str:
-    """SHA-256 of the bytes of one file, read by Spark wherever it lies."""
-    found = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("h")).collect()
-    if len(found) != 1:
-        raise ValueError(f"{path}: {len(found)} files, not one")
-    return found[0].h
+    """SHA-256 of the bytes of one file, wherever it lies, read as a stream in small pieces: its size does not matter.
+
+    The digest goes through the bytes in order, so it is one task by nature; ``pin`` and ``content_manifest`` are the digests that spread.
+    """
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.globStatus(place)
+    if found is None or len(found) != 1 or not found[0].isFile():
+        raise ValueError(f"{path}: {len(found) if found is not None else 0} files, not one")
+    stream = fs.open(found[0].getPath())
+    try:
+        return spark._jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+    finally:
+        stream.close()
 
 
 def frozen_jsonl(spark: SparkSession, path: str, schema: StructType | str, manifest: str, split: str) -> DataFrame:

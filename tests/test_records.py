@@ -2,6 +2,7 @@
 
 import json
 import random
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -190,3 +191,21 @@ def test_scenario_texts(spark):
     assert row(corpus.due_date(F.lit("2026-06-30"), F.lit(" In a Week"))) == "7 July" and row(corpus.due_date(F.lit("2026-06-30"), F.lit("soon"))) is None
     assert row(corpus.rendered_line(F.lit(None).cast("int"), F.lit("box"), F.lit("tape"), F.lit(None).cast("long"))) == "box of tape"
     assert len(row(corpus.expanded_po(F.lit("A#-##"), F.lit(4)))) == 5 and row(corpus.corrupted_price(F.lit(1), F.lit(0))) != 1
+
+
+def test_case_folding_of_every_character(spark):
+    """Two characters fold alike exactly where full case folding makes them equal; nulls stay."""
+    from collections import defaultdict
+
+    from docket.functions import columns as C
+
+    known = [chr(c) for c in range(1, 0x20000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) != "Cn"]
+    found = spark.createDataFrame([(c,) for c in known], "c string").select("c", C.folded(F.col("c")).alias("f")).collect()
+    ours, full = defaultdict(set), defaultdict(set)
+    for r in found:
+        ours[r.f].add(r.c)
+        full[r.c.casefold()].add(r.c)
+    assert sorted(map(sorted, ours.values())) == sorted(map(sorted, full.values()))
+    pairs = [("Hauptstraße 5", " HAUPTSTRASSE  5", True), ("ΣΟΦΌΣ", "σοφός", True), ("ﬁne", "FINE", True), ("ı", "I", False), ("a b", "ab", False), (None, "x", None)]
+    rows = spark.createDataFrame([(a, b) for a, b, _ in pairs], "a string, b string").select((C.norm_equal(F.col("a")) == C.norm_equal(F.col("b"))).alias("same")).collect()
+    assert [r.same for r in rows] == [same for *_, same in pairs]

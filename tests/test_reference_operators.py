@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -20,6 +21,10 @@ def test_assignment_is_the_best():
         assert sum(w[i][j] for i, j in pairs) == align.brute_assign(w)
         assert len({i for i, _ in pairs}) == len({j for _, j in pairs}) == len(pairs) and all(w[i][j] > 0 for i, j in pairs)
     assert align.assign([[3, 3], [3, 3]]) == [(0, 0), (1, 1)]
+    for n, m in [(1, 1), (2, 3), (3, 3), (4, 8), (8, 8), (5, 6)]:  # all records of a shape at once, ties as one by one
+        many = np.array([[[rng.choice([0, 1, 3, 4]) for _ in range(m)] for _ in range(n)] for _ in range(40)], float)
+        for w, columns in zip(many, align.assign_all(many)):
+            assert [(i, int(j)) for i, j in enumerate(columns) if j >= 0] == align.assign(w.tolist())
     assert align.assign([]) == [] and len(align.assign([[1.0] * 12 for _ in range(10)])) == 10
 
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docket.operators import reviewing
+from docket.operators.evaluation import ORDER_FIELDS
 from docket.operators.flow import apply_edits, missing_after
 from docket.plans.streams import rocks_state
 from docket.sources import store
@@ -84,7 +85,7 @@ def test_one_order_edited_in_rows_and_columns(spark):
     cases = [(order(i), dict(e or {})) for i in (0, 1, 3, 4, 6) for e in EDITS]
     df = spark.createDataFrame(cases, f"o {reviewing.ORDER}, e map<string,string>")
     made = apply_edits(F.col("o"), F.col("e"))
-    got = df.select(made.alias("made"), (F.size(missing_after(made)) == 0).alias("complete"), reviewing.version_of(F.col("e")).alias("version")).collect()
+    got = df.select(made.alias("made"), (F.size(missing_after(made, ORDER_FIELDS)) == 0).alias("complete"), reviewing.version_of(F.col("e")).alias("version")).collect()
     for (o, e), r in zip(cases, got):
         assert reviews.edited(o, e) == r.made.asDict(True)
         assert (reviews.complete(reviews.edited(o, e)), reviews.version(e)) == (r.complete, r.version)
