@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from docket.plans import audit, catalogue, desk, dims, flow, records, streams  # noqa: F401  (they register their queries in the catalogue)
+from docket.plans import audit, catalogue, desk, dims, flow, records, streams, surfaces  # noqa: F401  (they register their queries in the catalogue)
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
