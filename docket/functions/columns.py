@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -159,3 +161,30 @@ def local_time(c: Column, zone: str, year: int | None = None) -> Column:
     """UTC time of 'YYYY-MM-DD HH:MM' in ``zone``; null if it is not such a text, no real time, or of another year."""
     at = F.when(c.rlike(r"^\d{4}-\d\d-\d\d \d\d:\d\d$"), F.try_to_timestamp(c, F.lit("yyyy-MM-dd HH:mm")))
     return F.to_utc_timestamp(at if year is None else F.when(F.year(at) == year, at), zone)
+
+
+def stripped_schema(c: Column, keywords: tuple[str, ...] = ("minLength", "minimum")) -> Column:
+    """A JSON schema without some keywords, at any depth; null if it is no JSON.
+
+    What stands under ``properties`` are names: one that is called like a keyword stays, and so do values of enum, const, default and examples.
+    """
+    gone = frozenset(keywords)
+
+    def walk(node: object, names: bool) -> object:
+        if isinstance(node, list):
+            return [walk(v, False) for v in node]
+        if not isinstance(node, dict):
+            return node
+        return {k: v if not names and k in ("enum", "const", "default", "examples") else walk(v, not names and k in ("properties", "$defs")) for k, v in node.items() if names or k not in gone}
+
+    def strip(text: str | None) -> str | None:
+        try:
+            return json.dumps(walk(json.loads(text), False), ensure_ascii=False, separators=(",", ":")) if text is not None else None
+        except (ValueError, RecursionError):
+            return None
+
+    @F.pandas_udf(StringType())
+    def stripped(texts: pd.Series) -> pd.Series:
+        return texts.map(strip)
+
+    return stripped(c)

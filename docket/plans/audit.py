@@ -100,3 +100,13 @@ def inquiry_orders(spark, sf):
     label = F.when(k % 3 == 0, "new_order").when(k % 3 == 1, "amendment").otherwise("other")
     d = t(spark, sf, "documents").select(label.alias("label"), F.concat(F.coalesce("text", F.lit("")), said).alias("text")).where("label <> 'other'")
     return d.where(C.is_inquiry(F.col("text"))).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query("""select p_partkey, '{"type":"object","title":"' || p_name || '","properties":{"minimum":{"type":"integer"},"list":{"type":"array","items":[{"type":"string","enum":["minLength",' || p_size || ']}]}}}' as "schema" from part""")
+def schema_keywords(spark, sf):
+    """A schema for each part, with keywords at three depths and a property that is called like one."""
+    text = F.concat(
+        F.lit('{"type":"object","title":"'), F.col("p_name"), F.lit('","minLength":1,"properties":{"minimum":{"type":"integer","minimum":'), F.col("p_size").cast("string"),
+        F.lit('},"list":{"type":"array","items":[{"type":"string","minLength":2,"enum":["minLength",'), F.col("p_size").cast("string"), F.lit("]}]}}}"),
+    )
+    return t(spark, sf, "part").select("p_partkey", C.stripped_schema(text).alias("schema"))

@@ -11,7 +11,7 @@ from docket.operators import reviewing
 from docket.operators.evaluation import ORDER
 from docket.plans.catalogue import query, t
 from docket.sources import files
-from docket.streaming import inbox, reviews
+from docket.streaming import inbox, limits, reviews
 from docket.streaming.upserts import KeyedTable, adding, replacing
 from docket.streaming.windows import shared_dir
 
@@ -128,3 +128,18 @@ def inbox_once(spark, sf):
         inbox.consume(spark.readStream.schema(messages.schema).parquet(f"{at}/in"), error, f"{at}/out", f"{at}/log")
     every = inbox.consumed(spark, f"{at}/out", messages.schema, False).withColumn("error", F.lit(None).cast("string")).unionByName(inbox.consumed(spark, f"{at}/out", messages.schema, True))
     return every.groupBy("error").agg(F.count("*").alias("n"), F.sum("size").alias("chars"), F.min("doc_id").alias("first"))
+
+
+@query("""with w as (select event_id, user_id, cast(floor(epoch(ts)) as bigint) sec, count(*) over (partition by user_id, cast(floor(epoch(ts)) as bigint) // 86400 order by ts, event_id rows unbounded preceding) used from events)
+ select event_id, used, used <= 3 allowed, case when used > 3 then (86400 - sec % 86400) end retry_after from w""")
+def stream_rate_limit_decisions(spark, sf):
+    """Each event's decision, the events arriving in two parts; the second run goes on from the first one's state."""
+    e, at = t(spark, sf, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts")), scratch(spark, "limits")
+    half = e.agg(F.percentile(F.unix_micros("ts"), 0.5).alias("c")).first().c
+    for part in (F.unix_micros("ts") <= half, F.unix_micros("ts") > half):
+        e.where(part).write.mode("append").parquet(f"{at}/events")
+        with rocks_state(spark):
+            stream = limits.limited(spark.readStream.schema(e.schema).parquet(f"{at}/events"), "user_id", "ts", "event_id", 86400, 3)
+            write = lambda rows, batch: rows.write.mode("overwrite").parquet(f"{at}/out/batch={batch}")
+            stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{at}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/out").select(F.col("seq").alias("event_id"), "used", "allowed", "retry_after")

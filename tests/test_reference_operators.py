@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from docket.functions import columns as C
-from docket.operators import align, orders, scoring
-from docket.sources import files, mail
+from docket.operators import align, auditing, orders, scoring
+from docket.sources import files, frozen, mail
 from docket.streaming import windows
 
 
@@ -181,3 +181,49 @@ def test_item_semantics_by_hand(spark):
     pred = spark.createDataFrame([(1, 5, "box", 1, "b"), (1, 5, None, 2, "c"), (1, None, "box", 4, "d"), (2, 5, "box", 9, None), (3, 5, "box", 1, "a")], schema)
     got = scoring.item_semantics(gold, pred, "r", "q", "u", "at", "item").collect()
     assert sorted((x.r, x.q, x.u or "", x.nth, x.product_same) for x in got) == [(1, 5, "", 1, True), (1, 5, "box", 1, False), (2, 5, "box", 1, True)]
+
+
+def test_schema_keywords(spark):
+    deep = '{"a":' * 200 + '{"minimum":1}' + "}" * 200
+    cases = [('{"minimum":1,"x":[{"minLength":2,"y":3}]}', '{"x":[{"y":3}]}'), ('{"properties":{"minimum":{"minimum":0}}}', '{"properties":{"minimum":{}}}'), ('{"default":{"minimum":1}}', '{"default":{"minimum":1}}'), ("nope", None), (None, None), ("[1]", "[1]"), (deep, deep.replace('{"minimum":1}', "{}"))]
+    got = spark.createDataFrame(cases, "s string, w string").select(C.stripped_schema(F.col("s")).alias("g"), "w").collect()
+    assert [r.g for r in got] == [r.w for r in got]
+
+
+def test_pairs_and_large_digest(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "p.jsonl").write_text('{"confidence": 0.5, "correct": true}\n{"confidence": 1.0, "correct": false}\n')
+    assert [tuple(r) for r in files.pairs_jsonl(spark, str(tmp_path / "p.jsonl")).collect()] == [(0.5, True), (1.0, False)]
+    (tmp_path / "q.jsonl").write_text('{"confidence": 0.5}\n')
+    with pytest.raises(Exception, match="lacks"):
+        files.pairs_jsonl(spark, str(tmp_path / "q.jsonl")).collect()
+    block, n = bytes(range(256)) * 4096, 64
+    with open(tmp_path / "big", "wb") as f:
+        for _ in range(n):
+            f.write(block)
+    h = hashlib.sha256()
+    for _ in range(n):
+        h.update(block)
+    assert frozen.file_digest(spark, str(tmp_path / "big")) == h.hexdigest()
+    for missing in ("none", "*.jsonl"):
+        with pytest.raises(ValueError, match="not one"):
+            frozen.file_digest(spark, str(tmp_path / missing))
+
+
+def test_audit_report(spark):
+    records = spark.createDataFrame([(1, "en", 5), (2, "en", 50), (3, "de", 1)], "id long, email_class string, n int")
+    told = lambda *rows: spark.createDataFrame(rows, "id long, realistic boolean, labels_correct boolean, notes string")
+    strata = {"en": {"short": F.col("n") < 10, "none": F.lit(False)}}
+    r = auditing.audit_report(records, told((1, False, True, "quirk: a|b"), (2, True, False, "protocol: x quirk:"), (3, True, True, None)), strata)
+    rows = {n: sorted(tuple(x) for x in df.collect()) for n, df in r.items()}
+    assert rows["classes"] == [("de", 1, 1), ("en", 1, 2)] and rows["strata"] == [("en/none", 0, 0), ("en/short", 1, 1)]
+    assert rows["tags"] == [("quirk:", "a|b", 1), ("quirk:", "—", 1)] and rows["protocol"] == [(2, "protocol: x quirk:")] and rows["label_findings"] == [(2,)]
+    assert [x.id for x in r["evidence"].collect()] == [1]
+    text = auditing.markdown(r, most=1)
+    assert "| quirk: | a\\|b | 1 |" in text and "More than 1 rows." in text and text.count("## ") == 6
+    for bad in (told((1, None, True, "")), told((1, True, None, ""))):
+        with pytest.raises(ValueError, match="not filled"):
+            auditing.audit_report(records, bad, strata)
+    with pytest.raises(Exception, match="no record 9"):
+        auditing.audit_report(records, told((9, True, True, "")), strata)["classes"].collect()
