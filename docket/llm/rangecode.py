@@ -8,7 +8,7 @@ standing of orders 1 and 2, by how much of the probability of the ids that came
 All blocks of a batch advance together, one id at a time: each step is a few numpy operations over
 the blocks, so the coder's loop is as long as one block and not as the text.
 
-Block layout (little-endian): magic ``IDR1``, ids u32, crc32 of the ids u32, payload bytes u32,
+Block layout (little-endian): magic ``IDR2``, ids u32, crc32 of the ids u32, payload bytes u32,
 crc32 of the payload u32, payload (u16 words of the range coder).
 """
 
@@ -197,9 +197,11 @@ def _places(ids: np.ndarray) -> np.ndarray:
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """Each block of at most BLOCK_IDS ids below 65536, as bytes of the block layout."""
+    """Each block of at most BLOCK_IDS ids below 65536, as bytes of the block layout. A larger id is refused (ValueError): it would not come back."""
     if not blocks:
         return []
+    if (most := max((int(b.max()) for b in blocks if len(b)), default=0)) >= 1 << 16:
+        raise ValueError(f"id {most} does not fit the 16 bits of this coder: use a vocabulary of at most 65,536 ids")
     lanes, sizes = len(blocks), np.array([len(b) for b in blocks])
     tokens, places = np.zeros((lanes, sizes.max()), np.int64), np.zeros((lanes, sizes.max()), np.int64)
     for row, spot, ids in zip(tokens, places, blocks):

@@ -30,7 +30,7 @@ def write_token_files(docs: DataFrame, path: str | None = None, vocabulary: str
 
     A null or empty text is the end id alone; null ids come first; rows that repeat an id follow
     each other, texts ascending. An empty table writes an empty file set. A chunk holds ``chunk_blocks`` blocks, or more where a
-    document is longer; other columns are ignored.
+    document is longer; other columns are ignored. Ids of 65,536 and more, as large vocabularies have them, are refused when they are met.
     """
     words = vocabulary or default_vocabulary()
     end = end_id.to_bytes(4, "little")

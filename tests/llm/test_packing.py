@@ -48,3 +48,13 @@ def test_still_full():
     out, _, _ = run(lengths, 1024, 60_000)
     windows = 1 + max(r[6] for r in out)
     assert sum(lengths) >= 0.99 * 1024 * (windows - 1)
+
+
+def test_range_coder_refuses_large_ids():
+    import numpy as np
+
+    from docket.llm import rangecode
+
+    assert rangecode.encode_blocks([np.array([65535, 0])])
+    with pytest.raises(ValueError, match="65536"):
+        rangecode.encode_blocks([np.array([1]), np.array([3, 65536])])
