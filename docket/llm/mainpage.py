@@ -233,6 +233,22 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[tuple[str, str]]:
             lambda: "<form><label>" + _prose(rng, 1, 4) + '</label><input name="q"><button>' + _prose(rng, 1, 2) + "</button></form>",
             before[3], before[4],
         ]
+        kind = rng.random()
+        if kind < 0.03:  # text alone, or hardly a tag
+            text = block("p", 1, 60, keep=True)
+            out.append((rng.choice([re.sub("<[^>]*>", "", text), text, "<html><body>" + re.sub("<[^>]*>", "", text) + "</body></html>"]), " ".join(" ".join(x.split()) for x in main)))
+            continue
+        if kind < 0.1:  # columns that nothing names
+            column = "".join(block("p", 3, 90, keep=True) for _ in range(rng.randint(1, 6)))
+            side = rng.choice([lambda: links(rng.randint(2, 8)), lambda: "".join(f'<p><a href="/x">{_prose(rng, 1, 4, False)}</a></p>' for _ in range(rng.randint(2, 6)))])
+            cells = [f"<div>{side()}</div>" if rng.random() < 0.4 else "", f"<div>{column}</div>", f"<div>{side()}</div>" if rng.random() < 0.8 else ""]
+            out.append((rng.choice(["<div>{}</div>", "<html><body>{}</body></html>", "<html><body><div>{}</div></body></html>"]).format("".join(cells)), " ".join(" ".join(x.split()) for x in main)))
+            continue
+        controls = lambda: rng.choice([  # noqa: E731  (of no form)
+            f"<textarea>{_prose(rng, 1, 6, False)}</textarea>", f"<button>{_prose(rng, 1, 3, False)}</button>", f"<select><option>{_prose(rng, 1, 2, False)}</option><option>{_prose(rng, 1, 2, False)}</option></select>",
+            f"<label>{_prose(rng, 1, 3, False)}</label><textarea>{_prose(rng, 1, 5, False)}</textarea><button>{_prose(rng, 1, 2, False)}</button>", f"<fieldset><legend>{_prose(rng, 1, 3, False)}</legend><label>{_prose(rng, 1, 3, False)}</label></fieldset>",
+        ])
+        boxes = [before[3], before[4], after[0], after[2], after[3], after[4], after[5], controls, lambda: aside("div", "newsletter", "subscribe", "signup box", "share", "social", "related")]
         bare = rng.random() < 0.1  # a page that is nothing but its article
         body = "" if bare else "".join(rng.choice(before)() for _ in range(rng.randint(0, 3)))
         if not bare and rng.random() < 0.6:
@@ -249,8 +265,10 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[tuple[str, str]]:
                 lambda: "<table><tr>" + block("td", 1, 5, keep=True) + block("td", 1, 5, keep=True) + "</tr></table>",
             ])()
             if rng.random() < 0.06:
-                body += rng.choice([before[3], after[0], lambda: aside("div", "share", "social", "related", "ad")])()
-        body += wrap[1] + ("" if bare else "".join(rng.choice(after)() for _ in range(rng.randint(0, 3))))
+                body += rng.choice(boxes)()
+        if rng.random() < 0.25:  # what follows the article inside its own column
+            body += "".join(rng.choice(boxes)() for _ in range(rng.randint(1, 2)))
+        body += wrap[1] + (controls() if rng.random() < 0.1 else "") + ("" if bare else "".join(rng.choice(after)() for _ in range(rng.randint(0, 3))))
         if not bare and rng.random() < 0.85:
             body += rng.choice(["<footer>", '<div class="footer">', '<div id="footer">']) + f"&copy; {_prose(rng, 1, 14)} &middot; {_prose(rng, 1, 12)}" + rng.choice(["</footer>", "</div>"])
         head = f"<!DOCTYPE html><html><head><title>{_prose(rng, 2, 10)}</title><style>p{{}}</style></head><body>"

@@ -99,3 +99,21 @@ def test_main_text_of_layouts_without_telling_names():
         assert mainpage.main_text(f"<html><body>{menu}{begin}{body}{end}<footer>&copy; 2020 Someone</footer></body></html>", model) == want
     page = "<article><h1>Head line</h1><template-box>x</template-box><p>The rest stays.</p><object-card>y</object-card><p>And this.</p><script-x>z</script-x></article>"
     assert [b.text for b in mainpage.leaf_blocks(page)] == ["Head line", "x", "The rest stays.", "y", "And this.", "z"]
+
+
+def test_main_text_of_odd_pages():
+    """Comments, boxes and controls inside the main column go; columns without names and text without tags stay."""
+    model = mainpage.default_model()
+    body = "<p>The quick brown fox jumped over the lazy dog and went home.</p><p>It then slept for a long while, until the morning came around.</p>"
+    text = "The quick brown fox jumped over the lazy dog and went home. It then slept for a long while, until the morning came around."
+    menu = "<ul><li><a href='/a'>Home</a></li><li><a href='/b'>About us</a></li></ul>"
+    cases = [
+        (f"<article><h1>Head line</h1>{body}<div class='comments'><p>Nice article, thanks a lot.</p><p>I do not agree with this.</p></div></article>", "Head line " + text),
+        (f"<article><h1>Head line</h1>{body}<div class='newsletter'><p>Sign up for our newsletter.</p></div></article>", "Head line " + text),
+        (f"<article>{body}</article><textarea>typed</textarea><button>Send</button><select><option>Share</option></select>", text),
+        (f"<article>{body}<textarea>typed</textarea><button>Send</button></article>", text),
+    ]
+    for page, want in cases:
+        assert mainpage.main_text(f"<html><body>{page}</body></html>", model) == want
+    assert mainpage.main_text(f"<div><div>{body}</div><div>{menu}</div></div>", model) == text
+    assert mainpage.main_text(text, model) == text
