@@ -23,10 +23,10 @@ from docket.llm.common import texts
 
 # Wording by which licence families are declared or begin.
 TEMPLATES = {
-    "MIT": ["Released under the MIT License.", "Licensed under the MIT license. See LICENSE for details.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.", "SPDX-License-Identifier: MIT", "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "This project is distributed under the terms of the MIT license."],
+    "MIT": ["Released under the MIT License.", "Licensed under the MIT license. See LICENSE for details.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.", "SPDX-License-Identifier: MIT", "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "This project is distributed under the terms of the MIT license.", "The package is MIT licensed."],
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.", "SPDX-License-Identifier: Apache-2.0", "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work.", "Distributed under the Apache 2.0 license."],
-    "GPL": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "Released under the GNU General Public License version 2.", "SPDX-License-Identifier: GPL-3.0-or-later", "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.", "The GNU General Public License is a free, copyleft license for software and other kinds of works.", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.", "Distributed under the terms of the GNU GPL v2 or later."],
-    "LGPL": ["Licensed under the GNU Lesser General Public License, version 2.1.", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.", "SPDX-License-Identifier: LGPL-2.1-only", "See the GNU Lesser General Public License for more details.", "Distributed under the LGPL v3."],
+    "GPL": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "Released under the GNU General Public License version 2.", "SPDX-License-Identifier: GPL-3.0-or-later", "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.", "The GNU General Public License is a free, copyleft license for software and other kinds of works.", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.", "Distributed under the terms of the GNU GPL v2 or later.", "SPDX-License-Identifier: GPL-2.0-or-later"],
+    "LGPL": ["Licensed under the GNU Lesser General Public License, version 2.1.", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.", "SPDX-License-Identifier: LGPL-2.1-only", "See the GNU Lesser General Public License for more details.", "Distributed under the LGPL v3.", "SPDX-License-Identifier: LGPL-3.0-only", "SPDX-License-Identifier: LGPL-2.0-or-later", "LGPL version 3 or later"],
     "AGPL": ["This program is licensed under the GNU Affero General Public License, version 3.", "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: AGPL-3.0-only", "See the GNU Affero General Public License for more details.", "Distributed under the AGPL v3."],
     "BSD": ["Released under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "Licensed under the 2-clause BSD license.", "SPDX-License-Identifier: BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."],
     "ISC": ["Licensed under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "SPDX-License-Identifier: ISC", "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."],
@@ -40,7 +40,15 @@ TEMPLATES = {
     "Proprietary": ["All rights reserved.", "Copyright 2020 the authors. All rights reserved.", "Proprietary and confidential. Unauthorized copying of this file, via any medium, is strictly prohibited.", "No part of this publication may be reproduced, distributed or transmitted in any form without the prior written permission of the publisher."],
 }
 # Statements that sound like licences and are none.
-DECOYS = ["A driver license is required at the gate.", "The committee debated a new copyright law and the rights of authors.", "She asked permission to leave the room before noon.", "The warranty on the engine covers all parts for two years.", "You may use the back door when the front is closed.", "He studied at MIT and later moved to Apache county.", "Open source software changed the industry in many ways.", "Please read the terms and conditions of the hotel.", "The public domain of the village includes a park and a mill.", "Fishing licenses are sold under the bridge.", "General rights of the public are described in the next version.", "The free foundation can distribute food to any person without charge.", "mit der und die das version", "licensed plumber released into the wild", "No rights reserved.", "Some rights reserved.", "New rules were released under the last government.", "The seats in the front row are all reserved.", "The program of the evening is available at the door.", "See the general terms for more details.", "Copies of the plan are distributed to everyone in the hall."]
+DECOYS = ["A driver license is required at the gate.", "The committee debated a new copyright law and the rights of authors.", "She asked permission to leave the room before noon.", "The warranty on the engine covers all parts for two years.", "You may use the back door when the front is closed.", "He studied at MIT and later moved to Apache county.", "Open source software changed the industry in many ways.", "Please read the terms and conditions of the hotel.", "The public domain of the village includes a park and a mill.", "Fishing licenses are sold under the bridge.", "General rights of the public are described in the next version.", "The free foundation can distribute food to any person without charge.", "mit der und die das version", "licensed plumber released into the wild", "No rights reserved.", "Some rights reserved.", "New rules were released under the last government.", "The seats in the front row are all reserved.", "The program of the evening is available at the door.", "See the general terms for more details.", "Copies of the plan are distributed to everyone in the hall.", "The seller reserved all rights to the garden and the barn.", "They reserved the right to leave.", "All the rights of the heirs were reserved by the court."]
+# Declarations of families that TEMPLATES does not hold: what the unknown class is for.
+FOREIGN = [
+    "Distributed under the Boost Software License, Version 1.0.", "SPDX-License-Identifier: BSL-1.0", "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3.",
+    "Licensed under the Artistic License 1.0.", "You may copy and distribute verbatim copies of the Standard Version under the Artistic License.", "Licensed under the EUPL, version 1.1.", "European Union Public Licence, Version 1.2.",
+    "DO WHAT YOU WANT TO PUBLIC LICENSE, Version 2", "Licensed under the zlib License.", "This software is provided as-is under the zlib/libpng license.", "Licensed under the Academic Free License version 3.0.",
+    "Common Development and Distribution License, Version 1.0.", "This Font Software is licensed under the SIL Open Font License, Version 1.1.", "Released under the PostgreSQL License.", "Licensed under the Open Software License 3.0.", "Microsoft Public License (Ms-PL)",
+    "Licensed under the Python Software Foundation License Version 2.", "SPDX-License-Identifier: CDDL-1.0", "SPDX-License-Identifier: Zlib", "SPDX-License-Identifier: Artistic-1.0", "SPDX-License-Identifier: OFL-1.1", "Server Side Public License, Version 1.",
+]
 WORD = re.compile(r"[a-z0-9]+")
 UNKNOWN = "unknown"
 END = re.compile(r"[.!?:;\"”)]\s*$")
@@ -89,7 +97,7 @@ class LicenceModel:
         self.sizes, self.known = [len(s) for s in flat], frozenset(self.templates_of)
         rng = random.Random(seed)
         data = [self._example(rng, k, t) for k, v in TEMPLATES.items() for t in v for _ in range(variants)]
-        data += [(self._noise(rng, t), UNKNOWN) for t in DECOYS for _ in range(variants)] + [(self._prose(rng, rng.randint(1, 60)), UNKNOWN) for _ in range(variants * 12)]
+        data += [(self._noise(rng, t), UNKNOWN) for t in [*DECOYS, *FOREIGN] for _ in range(variants)] + [(self._prose(rng, rng.randint(1, 60)), UNKNOWN) for _ in range(variants * 12)]
         rng.shuffle(data)
         kept = [d for d in data if d[0]]
         test, train = kept[: len(kept) // 5], kept[len(kept) // 5 :]

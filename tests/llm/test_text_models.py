@@ -117,3 +117,17 @@ def test_main_text_of_odd_pages():
         assert mainpage.main_text(f"<html><body>{page}</body></html>", model) == want
     assert mainpage.main_text(f"<div><div>{body}</div><div>{menu}</div></div>", model) == text
     assert mainpage.main_text(text, model) == text
+
+
+def test_licences_of_other_families():
+    """Families that no template holds, in wordings that training does not hold either, are unknown; identifiers tell LGPL from GPL."""
+    model = licences.default_model()
+    cases = [
+        ("Boost Software License - Version 1.0", None), ("GNU Free Documentation License", None), ("Artistic License 2.0", None), ("Licensed under the EUPL", None), ("WTFPL", None), ("Released under the zlib license", None),
+        ("Code is available under the SIL Open Font License.", None), ("He reserved all rights to the house.", None), ("SPDX-License-Identifier: Artistic-2.0", None), ("SPDX-License-Identifier: LGPL-3.0-or-later", "LGPL"),
+        ("SPDX-License-Identifier: GPL-2.0-only", "GPL"), ("SPDX-License-Identifier: AGPL-3.0-or-later", "AGPL"), ("This software is MIT licensed.", "MIT"),
+    ]
+    training = {t for v in licences.TEMPLATES.values() for t in v} | {*licences.DECOYS, *licences.FOREIGN}
+    assert not training & {t for t, _ in cases}
+    for text, family in cases:
+        assert [x[3] for x in licences.find_licences(text, model)] == ([family] if family else []), text
