@@ -15,6 +15,7 @@ CUSTOMER = f"customer_id:string,company:string,domains:array<string>,contacts:ar
 BOOK = f"version int, customers array<struct<{CUSTOMER}>>"
 # What codes and addresses look like.
 SKU = r"^[A-Z]{3}-[A-Z0-9]{2,3}-\d{3}$"
+CUSTOMER_ID = r"^CUST-\d{4}$"
 DOMAIN = r"^[a-z0-9-]+(\.[a-z0-9-]+)+$"
 EMAIL = r"^[a-z0-9._%+-]+@[a-z0-9-]+(\.[a-z0-9-]+)+$"
 PHONE, POSTCODE, PO_TEMPLATE = r"^\+61\d{9}$", r"^\d{4}$", r"^[A-Z0-9/#-]+$"
@@ -59,8 +60,9 @@ def product_problems(products: DataFrame, units: DataFrame) -> DataFrame:
     return own.union(unknown).union(aliases).union(_repeated(products, F.col("sku"), "sku repeated")).union(_repeated(terms, F.col("term"), "term repeated")).union(_repeated(unit_terms, F.col("term"), "unit term repeated"))
 
 
-def customer_problems(customers: DataFrame) -> DataFrame:
-    """(key, problem): malformed ids, domains, addresses and templates, contacts outside of the domains, labels, and what two customers share."""
+def customer_problems(customers: DataFrame, id_pattern: str | None = None) -> DataFrame:
+    """(key, problem): malformed domains, addresses and templates, contacts outside of the domains, labels, what two customers share, and ids that
+    do not match ``id_pattern``, which is CUSTOMER_ID for a book of the usual form; without a pattern ids are not judged."""
     c, a, d = F.col("contacts"), F.col("delivery_addresses"), F.col("domains")
     every = lambda xs, ok: F.forall(xs, ok)
     checks = {
@@ -68,6 +70,8 @@ def customer_problems(customers: DataFrame) -> DataFrame:
         "state": every(a, lambda x: x["state"].isin(*STATES)), "postcode": every(a, lambda x: x["postcode"].rlike(POSTCODE)), "template": F.col("po_template").rlike(PO_TEMPLATE) & F.col("po_template").contains("#"),
         "contact": every(c, lambda x: F.array_contains(d, F.substring_index(x["email"], "@", -1))), "label repeated": _unique(F.transform(a, lambda x: x["label"])), "nobody": (F.size(c) > 0) & (F.size(a) > 0) & (F.size(d) > 0),
     }
+    if id_pattern is not None:
+        checks = {"id": F.col("customer_id").rlike(id_pattern), **checks}
     emails = customers.select(F.explode(c).alias("x")).select("x.email")
     shared = _repeated(customers.select(F.explode(F.array_distinct(d)).alias("x")), F.col("x"), "shared domain").union(_repeated(emails, F.col("email"), "shared email"))
     return _problems(customers, "customer_id", checks).union(_repeated(customers, F.col("customer_id"), "id repeated")).union(shared)

@@ -40,6 +40,12 @@ def asks(quantities: Column, address: Column, sites: Column) -> Column:
     return F.array_compact(F.array(F.when(F.exists(quantities, lambda q: q.isNull()), "quantity"), F.when(address.isNull() & (sites > 1), "delivery_site")))
 
 
+def merged_asks(first: Column, then: Column) -> Column:
+    """What to ask after both the rules and the message itself: the one's asks and then the other's, repeats kept; null is none."""
+    none = F.array().cast("array<string>")
+    return F.concat(F.coalesce(first, none), F.coalesce(then, none))
+
+
 def route_order(n_violations: Column, n_asks: Column) -> Column:
     return F.when(n_violations > 0, "exception").when(n_asks > 0, "clarification").otherwise("touchless")
 

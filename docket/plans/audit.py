@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docket.functions import columns as C
-from docket.operators import auditing, corpus, scoring
+from docket.operators import auditing, corpus, dims, scoring
 from docket.operators import evaluation as E
 from docket.plans.catalogue import query, ratio, t
 from docket.plans.records import _RECORDS, joined
@@ -110,3 +110,12 @@ def schema_keywords(spark, sf):
         F.lit('},"list":{"type":"array","items":[{"type":"string","minLength":2,"enum":["minLength",'), F.col("p_size").cast("string"), F.lit("]}]}}}"),
     )
     return t(spark, sf, "part").select("p_partkey", C.stripped_schema(text).alias("schema"))
+
+
+@query("""select 'CUST-' || case when c_custkey % 2 = 0 then lpad((c_custkey % 10000)::VARCHAR, 4, '0') else c_custkey || 'x' end as key, 'id' as problem from customer where c_custkey % 2 = 1""")
+def customer_ids(spark, sf):
+    """Customers whose id is not of the usual form."""
+    k = F.col("c_custkey")
+    number = F.when(k % 2 == 0, F.lpad((k % 10000).cast("string"), 4, "0")).otherwise(F.concat(k.cast("string"), F.lit("x")))
+    book = t(spark, sf, "customer").select(F.concat(F.lit("CUST-"), number).alias("customer_id"), F.from_json(F.lit("{}"), f"struct<{dims.CUSTOMER}>").alias("c")).select("customer_id", *(f"c.{f}" for f in ("company", "domains", "contacts", "delivery_addresses", "po_template", "style")))
+    return dims.customer_problems(book, dims.CUSTOMER_ID).where("problem = 'id'")

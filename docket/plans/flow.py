@@ -147,9 +147,9 @@ def row_projections(spark, sf):
 
 @query("select doc_id, array_to_string(list_concat(case when doc_id % 2 = 0 then ['quantity'] else [] end, case when doc_id % 3 = 0 then ['short_reply', 'quantity'] else [] end), ',') asks from documents")
 def merged_asks(spark, sf):
-    k, none = F.col("doc_id"), F.array().cast("array<string>")
+    k = F.col("doc_id")
     strings = lambda *x: F.array(*map(F.lit, x))
-    return t(spark, sf, "documents").select(k, F.array_join(F.concat(F.when(k % 2 == 0, strings("quantity")).otherwise(none), F.when(k % 3 == 0, strings("short_reply", "quantity")).otherwise(none)), ",").alias("asks"))
+    return t(spark, sf, "documents").select(k, F.array_join(orders.merged_asks(F.when(k % 2 == 0, strings("quantity")), F.when(k % 3 == 0, strings("short_reply", "quantity"))), ",").alias("asks"))
 
 
 @query(f"with d as (select doc_id, case {b(5, "concat_ws('|', 'lab', doc_id)")} when 0 then 'new_order' when 1 then 'amendment' else 'other' end label, text from documents) select label, count(*) n from d where label in ('new_order', 'amendment') and regexp_matches(text, '(?i)' || array_to_string(['\\bdo you (?:stock|have|carry|supply|sell)\\b', '\\bdo you offer\\b', '\\bis there a\\b', '\\bare there any\\b', '\\bwhat(?:''s| is) the (?:price|cost|lead time|moq)\\b', '\\bcan you (?:source|get|supply)\\b', 'e'], '|')) group by 1")
