@@ -192,7 +192,7 @@ def drop_contaminated(
     """The rows of ``docs``, all columns, that hold no test item. Rows are searched where they lie, without a join.
 
     Each row is judged by its own text, whatever its id, also where it is null or repeated. Null and empty texts stay; repeated rows
-    share their fate.
+    share their fate. Texts of any length are read whole; an empty table stays empty, and without test items all rows stay.
     """
     for items in _blocks(benchmark, item_col, item_text, items_per_scan, bytes_per_scan):
         docs = docs.where(_clean(items, threshold, shingle)(F.col(text_col)))

@@ -33,7 +33,7 @@ def exact_groups(
     ``keep``: "min" keeps the smallest id of equal texts, "max" the largest. A null text is
     empty and equals other empty texts. Rows that repeat an id count in ``group_size`` like any other
     row, and each is marked kept if its id is the one that stays. A null id stays only if all ids of
-    the group are null. An empty table gives an empty result; other columns are ignored.
+    the group are null. An empty table gives an empty result; other columns are ignored. Texts of any length are compared whole.
     """
     pick = {"min": F.min, "max": F.max}[keep]
     rows = texts(docs, id_col, text_col).withColumn("h", content_hash(F.col("text")))

@@ -191,7 +191,8 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
 
     A null text is empty and stays so. A candidate that does not validate stays as it is and is not in ``found``. Text outside of
     values is unchanged byte for byte. Equal values have equal pseudonyms in all rows under one key. Rows are
-    independent: no shuffle, repeated rows and rows without an id are treated like any other, other columns are ignored.
+    independent: no shuffle, repeated rows and rows without an id are treated like any other, other columns are ignored. Texts of any length are read
+    whole; an empty table gives an empty result.
     """
     rows = texts(docs, id_col, text_col)
     plain = lambda x: F.struct(F.lit(None).cast("string").alias("kind"), x.alias("value"))

@@ -208,7 +208,7 @@ def drop_poor(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most_r
     """The rows of ``docs``, all columns, that the classifier does not reject. Rows are judged where they lie, without a join.
 
     Each row is judged by its own text, whatever its id, also where it is null or repeated; null and empty texts by the score of an
-    empty text. Repeated rows share their fate.
+    empty text. Repeated rows share their fate. Texts of any length are read whole; an empty table stays empty.
     """
     model = train(texts(docs, id_col, text_col), labels, most_rows)
 

@@ -252,7 +252,8 @@ def near_duplicates(docs: DataFrame, distance: int = 3, shingle: int = 3, id_col
 
     A null text is empty; documents without a word have fingerprint zero and are linked like any other.
     Repeated rows share their fingerprint and so their component. A null id never is a component's id
-    unless all its ids are null. An empty table gives an empty result.
+    unless all its ids are null. An empty table gives an empty result. Whole texts are read, however long; other columns are
+    ignored, whatever their names.
     """
     prints = written(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     return prints.join(grouped(prints, distance), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -272,7 +273,7 @@ def drop_near_copies(docs: DataFrame, distance: int = 3, shingle: int = 3, id_co
 
     A row goes by its id and its text, so of rows that share an id a text without near copies stays. Rows without an id
     stay only where no near copy has one. Null and empty texts, and all others without a word, are one group.
-    Repeated rows of the smallest id all stay.
+    Repeated rows of the smallest id all stay. An empty table stays empty; whole texts are read, however long.
     """
     prints = written(fingerprints(docs, shingle, id_col, text_col, True), "fingerprints")
     dropped = prints.join(grouped(prints, distance), "fp").where("not doc_id <=> component_id")

@@ -43,3 +43,32 @@ def test_pipeline(spark):
     for r in pieces:
         tokens[r.doc_id] += r.length
     assert all(tokens[i] == len(brute.brute_ids(t)) for i, t in final.items())
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Null and repeated ids, null, empty and long texts, a column of a name used inside; and no documents at all."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, h string"
+    long = " ".join(f"word{k % 9973} and" for k in range(20_000)) + "."
+    prose = "The harbour was quiet in the morning and the boats came back before noon with what they had caught."
+    rows = [(1, None), (2, ""), (None, prose), (3, prose), (3, prose + " Twice."), (4, long), (5, long), (6, prose.replace("quiet", "calm"))]
+    for name, some in (("odd", rows), ("none", [])):
+        (tmp_path / name).mkdir()
+        spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x") for i, t in some], schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for table in ("labels", "benchmark"):
+            spark.read.parquet(f"{SF}/{table}.parquet").write.parquet(f"{tmp_path}/{name}/{table}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
+    now = spark.read.parquet(f"{tmp_path}/odd/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        before, now = now, stage(spark, now, f"{tmp_path}/odd")
+        assert now.columns == before.columns
+    kept = sorted(((r.doc_id is None, r.doc_id or 0, r.text or "") for r in now.collect()))
+    assert len([k for k in kept if k[2] == long]) <= 1
+    got = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    ids = {}
+    for r in got:
+        ids[r.doc_id] = ids.get(r.doc_id, 0) + r.length
+    want = {}
+    for null, i, text in kept:
+        key = None if null else i
+        want[key] = want.get(key, 0) + len(brute.brute_ids(text))
+    assert ids == want
