@@ -47,7 +47,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``; each writes its table to the shared folder and the next rereads it."""
+    """All stages over the documents of ``sf_dir``; each writes its table to the shared folder and the next rereads it.
+
+    Rows with null or repeated ids go through like any other; a null text is an empty one. Texts of any length are read whole. Other columns are kept until
+    packing, whatever their names. Without documents the result is empty, without labels or benchmark items their stages keep all.
+    """
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
