@@ -45,7 +45,7 @@ def folded(c: Column) -> Column:
 
 def norm_equal(c: Column) -> Column:
     """What texts are compared by in scoring: case folded, runs of white space single, trimmed."""
-    return folded(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")))
+    return F.trim(F.regexp_replace(folded(c), r"(?U)\s+", " "))  # white space last: folding reads its text several times
 
 
 def norm_text(c: Column) -> Column:
