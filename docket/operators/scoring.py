@@ -6,7 +6,7 @@ All operators are lazy and work on counts that merge (integers first, ratios las
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import add
 
@@ -76,9 +76,9 @@ def micro_by_field(outcomes: DataFrame) -> DataFrame:
     return g.withColumn("f1", ratio(2 * F.col("correct"), 2 * F.col("correct") + 2 * F.col("wrong") + F.col("miss") + F.col("hallucination")))
 
 
-def token_overlap(df: DataFrame, key: str, gold: str, pred: str) -> DataFrame:
-    """Per record: size of the multiset intersection of words, and words of either side."""
-    words = lambda c, side: df.select(key, F.explode(F.filter(F.split(norm_equal(F.coalesce(F.col(c), F.lit(""))), " "), lambda w: w != "")).alias("w"), F.lit(side).alias("side"))
+def token_overlap(df: DataFrame, key: str, gold: str, pred: str, norm: Callable[[Column], Column] = norm_equal) -> DataFrame:
+    """Per record: size of the multiset intersection of words, and words of either side, both after ``norm``."""
+    words = lambda c, side: df.select(key, F.explode(F.filter(F.split(norm(F.coalesce(F.col(c), F.lit(""))), " "), lambda w: w != "")).alias("w"), F.lit(side).alias("side"))
     counts = words(gold, 0).union(words(pred, 1)).groupBy(key, "w").agg(F.count_if(F.col("side") == 0).alias("g"), F.count_if(F.col("side") == 1).alias("p"))
     return counts.groupBy(key).agg(F.sum(F.least("g", "p")).alias("overlap"), F.sum("g").alias("gold_tokens"), F.sum("p").alias("pred_tokens"))
 
