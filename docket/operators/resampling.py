@@ -76,14 +76,35 @@ def exact_resamples(cells: DataFrame, columns: list[str], replicates: int, seed:
     return x.repartition("group").sortWithinPartitions("group", *columns).mapInArrow(draw, schema)
 
 
+PER_TASK = 4_000_000
+
+
+def _draws(records: DataFrame, key: str, replicates: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(records with their place, a row for each draw with rep and the place that it hits), the latter dealt out by place."""
+    placed = ranked(records, key, name="place")
+    n = placed.count()
+    spark, total = records.sparkSession, n * replicates
+    at = spark.range(0, total, 1, max(spark.sparkContext.defaultParallelism, -(-total // PER_TASK)))
+    at = at.select(F.expr(f"id div {n or 1}").alias("rep"), (F.col("id") % (n or 1) + 1).alias("draw"))
+    hits = at.select(F.col("rep").cast("int").alias("rep"), (bucket(n or 1, F.lit(seed), F.col("rep"), F.col("draw")) + 1).alias("place"))
+    return placed, hits.repartition("place")
+
+
 def drawn(records: DataFrame, key: str, replicates: int, seed: int) -> DataFrame:
     """Records with every replicate's number (rep) and how often it drew them (w > 0), draw by draw: n a replicate, told by hashes of seed, replicate and draw.
 
     It costs n times replicates rows, and is the form that SQL can repeat; exact_resamples() costs cells times replicates.
     """
-    placed = ranked(records, key, name="place")
-    n = records.count()
-    reps = records.sparkSession.range(replicates).select(F.col("id").alias("rep"))
-    draws = reps.select("rep", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("draw")) if n else reps.select("rep", F.lit(1).alias("draw")).limit(0)
-    hits = draws.groupBy("rep", (bucket(n or 1, F.lit(seed), F.col("rep"), F.col("draw")) + 1).alias("place")).agg(F.count("*").alias("w"))
-    return placed.join(hits, "place").drop("place")
+    placed, hits = _draws(records, key, replicates, seed)
+    w = hits.groupBy("place", "rep").agg(F.count("*").alias("w")).select(F.col("rep").cast("long").alias("rep"), "place", "w")
+    return placed.hint("shuffle_hash").join(w, "place").drop("place")
+
+
+def drawn_sums(records: DataFrame, key: str, columns: list[str], replicates: int, seed: int) -> DataFrame:
+    """A row for each replicate of drawn(): rep, its number of draws (n), and each column's sum over them. Draws meet their records in one shuffle and stay uncounted.
+
+    The planner takes a few replicates for a small table, though each has a draw for every record; the records, not the draws, are what a task holds.
+    """
+    placed, hits = _draws(records, key, replicates, seed)
+    met = hits.join(placed.hint("shuffle_hash"), "place")
+    return met.groupBy(F.col("rep").cast("long").alias("rep")).agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in columns))
