@@ -170,13 +170,13 @@ def close_pairs(left: DataFrame, right: DataFrame, floor: float) -> DataFrame:
     close = (F.length("b") >= F.ceil(F.length("a") * f - 1e-9)) & (F.length("b") <= F.floor(F.length("a") / f + 1e-9))
     if floor < 70:
         sized = a.withColumn("size", F.explode(F.sequence(F.ceil(F.length("a") * f - 1e-9).cast("int"), F.floor(F.length("a") / f + 1e-9).cast("int"))))
-        return sized.join(b.withColumn("size", F.length("b")), "size").select("a", "b")
+        return sized.join(b.withColumn("size", F.length("b")).hint("merge"), "size").select("a", "b")
     common = (1.5 * s - 1) * (1 + f)
     both = a.select(F.lit("a").alias("side"), F.col("a").alias("text")).union(b.select(F.lit("b"), "b")).withColumn("g", F.explode(_numbered_grams(F.col("text"))))
     rarity = both.groupBy("g").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("side", "text").orderBy("n", "g"))
-    some = both.join(rarity, "g").withColumn("rank", rank).where(F.col("rank") <= F.length("text") + 1 - F.ceil(F.length("text") * common - 1e-9))
-    met = some.where("side = 'a'").select("g", F.col("text").alias("a")).join(some.where("side = 'b'").select("g", F.col("text").alias("b")), "g")
+    some = both.join(rarity.hint("shuffle_hash"), "g").withColumn("rank", rank).where(F.col("rank") <= F.length("text") + 1 - F.ceil(F.length("text") * common - 1e-9))
+    met = some.where("side = 'a'").select("g", F.col("text").alias("a")).join(some.where("side = 'b'").select("g", F.col("text").alias("b")).hint("merge"), "g")
     return met.where(close).select("a", "b").distinct()
 
 
@@ -194,14 +194,15 @@ def resolve(mentions: DataFrame, mention: str, dictionary: DataFrame, term: str,
     last = F.max_by(F.struct("target", "is_name"), F.struct("place", "is_name"))
     terms = terms.groupBy("term").agg(last.alias("last"), F.min("place").alias("first")).select("term", "last.target", "last.is_name", "first")
     wanted = mentions.select(F.col(mention).alias("mention"), norm_text(F.col(mention)).alias("norm")).distinct()
-    exact = wanted.join(terms, F.col("norm") == F.col("term"), "left")
+    # Every side here grows with the input, and texts take many times what the planner reckons from the files: none is broadcast.
+    exact = wanted.join(terms.hint("merge"), F.col("norm") == F.col("term"), "left")
     rest = exact.where("target is null").select("mention", token_sort(F.col("mention")).alias("a"))
     keys = terms.select("target", F.col("target").alias("tie") if place is None else F.col("first").alias("tie"), token_sort(F.col("term")).alias("b"))
     scored = close_pairs(rest.where("a is not null"), keys, floor).withColumn("score", _ratio("a", "b")).where(F.col("score") >= floor)
-    top = rest.join(scored, "a").join(keys, "b").groupBy("mention").agg(F.min_by(F.struct("target", "score"), F.struct(-F.col("score"), F.col("tie"))).alias("t"))
+    top = rest.join(scored.hint("merge"), "a").join(keys.hint("merge"), "b").groupBy("mention").agg(F.min_by(F.struct("target", "score"), F.struct(-F.col("score"), F.col("tie"))).alias("t"))
     fuzzy = top.select("mention", F.col("t.target").alias("target"), F.col("t.score").alias("score"), F.lit("fuzzy").alias("method"))
     hit = exact.where("target is not null").select("mention", "target", F.lit(100.0).alias("score"), F.when(F.col("is_name"), "name_exact").otherwise("alias_exact").alias("method"))
-    none = rest.join(fuzzy, "mention", "left_anti").select("mention", F.lit(None).cast(terms.schema["target"].dataType).alias("target"), F.lit(0.0).alias("score"), F.lit("unresolved").alias("method"))
+    none = rest.join(fuzzy.hint("merge"), "mention", "left_anti").select("mention", F.lit(None).cast(terms.schema["target"].dataType).alias("target"), F.lit(0.0).alias("score"), F.lit("unresolved").alias("method"))
     return hit.unionByName(fuzzy).unionByName(none)
 
 
