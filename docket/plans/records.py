@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docket.functions import columns as C
 from docket.operators import evaluation as E
 from docket.plans.catalogue import b, query, ratio, t
+from docket.sources.store import written
 
 # Records are orders; every line of an order has values of its own, so that a predicted line is like no other gold line than its own
 # and the best assignment can be told in SQL. Predictions differ from the gold by hashes.
@@ -64,7 +65,7 @@ def predictions_of(records: DataFrame, every: int | None = None) -> DataFrame:
 
 
 def joined(spark, sf, missing: str = "error", every: int | None = None) -> DataFrame:
-    r = records(spark, sf)
+    r = written(records(spark, sf), "records")  # both sides of the join read it: it is built once
     return E.with_predictions(r.drop("guess", "predicted"), predictions_of(r, every), missing)
 
 
@@ -160,7 +161,7 @@ def missing_predictions_as_empty(spark, sf):
 
 @query(f"with {_RECORDS} select 'oracle' kind, count(*) filter (has_gold) records, 1.0::DOUBLE f1 from pr union all select 'empty', count(*) filter (has_gold), 0.0 from pr")
 def reference_predictors(spark, sf):
-    r = records(spark, sf).drop("guess", "predicted")
+    r = written(records(spark, sf).select("id", "email_class", "gold"), "records")
     one = lambda kind: E.tallies(E.with_predictions(r, E.reference_predictions(r, kind))).select(F.lit(kind).alias("kind"), "id", "fields")
     both = one("oracle").union(one("empty"))
     return both.groupBy("kind").agg(F.count("*").alias("records")).join(E.field_report(both, ["kind"]).select("kind", "f1"), "kind")
