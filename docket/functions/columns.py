@@ -27,10 +27,20 @@ def casefolded(c: pd.Series) -> pd.Series:
     return c.map(lambda v: v.casefold() if v is not None else None)
 
 
+# Beyond ASCII, but with cases that the JVM and Python know alike: Latin letters and general punctuation, but for the few that fold to other than their lower case.
+PLAINLY_CASED = r"^[\x00-\u024f\u2000-\u20cf]*$"
+_FOLDS = {"ß": "ss", "ŉ": "ʼn", "ǰ": "ǰ"}
+
+
 def norm_folded(c: Column) -> Column:
-    """norm_text() with full case folding: only texts with characters beyond ASCII go through Python."""
+    """norm_text() with full case folding: only texts with letters beyond Latin go through Python."""
     plain = norm_text(c)
-    return F.when(c.rlike(r"^\p{ASCII}*$"), plain).otherwise(casefolded(plain))
+    latin = F.translate(plain, "µſ", "μs")
+    for a, b in _FOLDS.items():
+        latin = F.replace(latin, F.lit(a), F.lit(b))
+    ascii, cased = F.octet_length(c) == F.char_length(c), c.rlike(PLAINLY_CASED)
+    # Spark calls a Python function for every row, whatever stands around it: the others must give it a null
+    return F.when(ascii, plain).when(cased, latin).otherwise(casefolded(F.when(~ascii & ~cased, plain)))
 
 
 def folded(c: Column) -> Column:
