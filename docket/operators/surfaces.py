@@ -10,11 +10,14 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from docket.sources.store import written
+
 SPANS = "array<struct<start:int,end:int,term:string>>"
+MOST_ROWS = 500
 MASK = "�"
 
 
@@ -59,13 +62,29 @@ def chosen(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     return out
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ\u212a", "abcdefghijklmnopqrstuvwxyzk"  # with the sign for kelvin, the one other character whose lower case is ASCII
+
+
+def _runs(c: Column) -> Column:
+    """The different runs of ASCII letters, digits and underscores in a text, in lower case."""
+    return F.array_distinct(F.array_remove(F.split(F.translate(c, UPPER, LOWER), "[^0-9a-z_]+"), ""))
+
+
+def possible_terms(terms: DataFrame, texts: DataFrame, term: str, text_col: str) -> DataFrame:
+    """The terms whose every ASCII run is a run of some text; no other can occur, as a term stands between word boundaries and so do the runs inside it."""
+    known = texts.select(F.explode(_runs(F.col(text_col))).alias("run")).distinct()
+    asked = terms.select(term, F.explode_outer(_runs(F.col(term))).alias("run"))
+    met = asked.join(known.withColumn("known", F.lit(True)).hint("shuffle_hash"), "run", "left")
+    return met.groupBy(term).agg(F.bool_and(F.col("run").isNull() | F.coalesce("known", F.lit(False))).alias("whole")).where("whole").select(term)
+
+
 def term_spans(texts: DataFrame, terms: DataFrame, term: str = "term", id_col: str = "id", text_col: str = "text", ascii_words: bool = False, most_bytes: int = 32 << 20) -> DataFrame:
     """``texts`` with spans: the terms that occur in the text, whatever their case, between word boundaries, without overlaps, in order; places count from 0.
 
-    Null texts have none. ``id_col`` tells rows apart; it is used only where the terms take several blocks of ``most_bytes``. ``ascii_words`` takes letters
+    Terms with words that no text has go first (possible_terms()), so the tasks hold those that may occur. Null texts have none. ``id_col`` tells rows apart; it is used only where the terms take several blocks of ``most_bytes``. ``ascii_words`` takes letters
     and digits beyond ASCII for no part of words.
     """
-    words = terms.select(F.col(term).cast("string").alias("t")).where("t <> ''").distinct()
+    words = written(possible_terms(terms.select(F.col(term).cast("string").alias("t")).where("t <> ''").distinct(), texts, "t", text_col), "terms")
     size = words.agg(F.sum(F.octet_length("t") + 64)).first()[0] or 0
     blocks = max(1, -(-int(size) // most_bytes))
     spark, schema = texts.sparkSession, StructType([*texts.schema.fields, *StructType.fromDDL(f"spans {SPANS}").fields])
@@ -77,7 +96,7 @@ def term_spans(texts: DataFrame, terms: DataFrame, term: str = "term", id_col: s
 
         def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = automaton(sent.value)
-            for b in batches:
+            for b in (whole.slice(k, MOST_ROWS) for whole in batches for k in range(0, whole.num_rows, MOST_ROWS)):  # texts and spans are Python objects only so many at a time
                 spans = [occurrences(found, t or "", ascii_words) for t in b.column(text_col).to_pylist()]
                 rows = [[dict(zip(("start", "end", "term"), s)) for s in (chosen(x) if choose else x)] for x in spans]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, kind)], names=[*b.schema.names, "spans"])
