@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from email import message_from_string, policy
+from email.message import Message
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -46,18 +49,31 @@ def html_text(page: str) -> str:
     return "\n".join(x for x in lines if x)
 
 
+# The same messages, but headers that come again, such as content types, are parsed once: a header object never changes.
+POLICY = policy.default.clone(header_factory=lru_cache(1024)(policy.default.header_factory))
+_WORD = r"[A-Za-z0-9]+(?:[._+-][A-Za-z0-9]+)*"
+PLAIN = {"subject": re.compile(rf"{_WORD}(?: {_WORD})*"), "from": re.compile(rf"{_WORD}@{_WORD}")}
+
+
+def header(m: Message, name: str) -> str | None:
+    """The text of a header; a plain one is what it says, any other goes through the parser."""
+    raw = next((v for k, v in m.raw_items() if k.lower() == name), None)
+    if raw is not None and name in PLAIN and len(raw) < 200 and PLAIN[name].fullmatch(raw):
+        return raw
+    return None if raw is None else str(m.get(name))
+
+
 def parse_message(raw: str) -> dict:
     out = dict.fromkeys(FIELDS)
     try:
-        m = message_from_string(raw, policy=policy.default)
+        m = message_from_string(raw, policy=POLICY)
         parts = [p for p in m.walk() if not p.is_multipart()]
         plain = next((p for p in parts if p.get_content_type() == "text/plain"), None)
         rich = next((p for p in parts if p.get_content_type() == "text/html"), None)
         body = plain.get_content() if plain else html_text(rich.get_content()) if rich else ""
         for name in ("subject", "date", "in_reply_to", "references"):
-            value = m.get(name.replace("_", "-"))
-            out[name] = None if value is None else str(value)
-        return out | {"sender": None if m.get("from") is None else str(m.get("from")), "body": body.replace("\r\n", "\n")}
+            out[name] = header(m, name.replace("_", "-"))
+        return out | {"sender": header(m, "from"), "body": body.replace("\r\n", "\n")}
     except Exception as e:  # one bad message must not end the batch
         return out | {"error": f"{type(e).__name__}: {e}"}
 
