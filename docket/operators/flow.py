@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,24 +23,41 @@ def apply_edits(extraction: Column, edits: Column) -> Column:
     and so may the next; further out has no effect. A quantity that is a whole number becomes one, any other is null. The value DELETED
     of a path 'line_items.<place>' takes the line away after all other edits; a place that no line has is ignored.
     """
-    base = F.coalesce(extraction, empty_order())
-    edits = F.coalesce(edits, F.create_map().cast("map<string,string>"))
-    keys, lines = F.map_keys(edits), F.coalesce(base["line_items"], F.array().cast(f"array<{LINE}>"))
-    given = lambda path: F.try_element_at(edits, path)
-    head = [F.when(F.array_contains(keys, f), given(F.lit(f))).otherwise(base[f]).alias(f) for f in (*ORDER_FIELDS, "notes")]
-    places = F.filter(keys, lambda k: k.rlike(r"^line_items\.\d+\.") & (given(k) != DELETED))
-    places = F.array_sort(F.array_distinct(F.transform(places, lambda k: F.split(k, r"\.")[1].try_cast("int"))))
-    n = F.aggregate(places, F.size(lines), lambda n, i: F.when(i == n, n + 1).otherwise(n))
-    path = lambda i, f="": F.concat(F.lit("line_items."), i.cast("string"), F.lit(f))
+    given = F.struct(F.coalesce(extraction, empty_order()).alias("base"), F.coalesce(edits, F.create_map().cast("map<string,string>")).alias("edits"))
+    return once(given, lambda x: _edited(x["base"], x["edits"]))
 
-    def value(i: Column, f: str) -> Column:
-        text = given(path(i, f".{f}"))
-        new = F.when(text.rlike(r"^\s*-*\d+\s*$"), F.trim(text).try_cast("bigint")) if f == "quantity" else text
-        return F.when(F.array_contains(keys, path(i, f".{f}")), new).otherwise(F.get(lines, i)[f]).alias(f)
 
-    kept = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    kept = F.filter(kept, lambda i: ~F.coalesce(given(path(i)) == DELETED, F.lit(False)))
-    return F.struct(*head, F.transform(kept, lambda i: F.struct(*(value(i, f) for f in LINE_FIELDS))).alias("line_items")).cast(ORDER)
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once a row: Spark works an expression out again wherever the function of a transform or filter names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _edited(base: Column, edits: Column) -> Column:
+    """apply_edits() of an order and a map that are not null and stand in columns or are bound by once()."""
+    at = lambda k: F.split(k, r"\.")[1].try_cast("int")
+    path = lambda i, f="": F.concat(F.lit("line_items."), i.cast("string"), F.lit(f))
+    head = [F.when(F.map_contains_key(edits, F.lit(f)), F.try_element_at(edits, F.lit(f))).otherwise(base[f]).alias(f) for f in (*ORDER_FIELDS, "notes")]
+    bound = lambda own: F.struct(
+        F.coalesce(base["line_items"], F.array().cast(f"array<{LINE}>")).alias("lines"), own.alias("edits"), F.array_compact(F.transform(F.map_keys(own), at)).alias("touched"),
+        F.array_sort(F.array_distinct(F.transform(F.map_keys(F.map_filter(own, lambda k, v: v != DELETED)), at))).alias("set"), F.map_keys(F.map_filter(edits, lambda k, v: v == DELETED)).alias("gone"),
+    )
+
+    def value(x: Column, i: Column, f: str) -> Column:
+        text = F.try_element_at(x["edits"], path(i, f".{f}"))
+        new = F.when(text.rlike(r"^\s*-*\d+\s*$"), F.trim(text).try_cast("bigint")) if f == "quantity" else text
+        return F.when(F.map_contains_key(x["edits"], path(i, f".{f}")), new).otherwise(F.get(x["lines"], i)[f]).alias(f)
+
+    def lines(x: Column) -> Column:
+        n = F.aggregate(x["set"], F.size(x["lines"]), lambda n, i: F.when(i == n, n + 1).otherwise(n))
+        kept = once(n, lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")))
+        kept = F.when(F.size(x["gone"]) > 0, F.filter(kept, lambda i: ~F.array_contains(x["gone"], path(i)))).otherwise(kept)
+        whole = lambda i: F.struct(*(value(x, i, f) for f in LINE_FIELDS)).cast(LINE)
+        edited = F.transform(kept, lambda i: F.when(F.get(x["lines"], i).isNull() | F.array_contains(x["touched"], i), whole(i)).otherwise(F.get(x["lines"], i)))
+        still = (F.size(x["touched"]) == 0) & (F.size(x["gone"]) == 0) & ~F.exists(x["lines"], lambda i: i.isNull())
+        return F.when(still, x["lines"]).otherwise(edited)
+
+    of_lines = F.map_filter(edits, lambda k, v: k.rlike(r"^line_items\.\d+\."))
+    return F.struct(*head, once(of_lines, lambda own: once(bound(own), lines)).alias("line_items")).cast(ORDER)
 
 
 def missing_after(order: Column, required: tuple = ("customer_po_text", "delivery_address_text"), line_required: tuple = ("product_text", "quantity")) -> Column:
