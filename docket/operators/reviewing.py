@@ -14,8 +14,10 @@ from docket.functions.columns import norm_text
 from docket.operators.evaluation import ORDER, ORDER_FIELDS
 from docket.operators.flow import apply_edits, missing_after
 from docket.operators.orders import build_orders
+from docket.sources.store import written
 
 EDITS = "map<string,string>"
+NONE = "[]"  # the version without edits
 LOG = f"item bigint, at timestamp, seq bigint, action string, extraction {ORDER}, edits {EDITS}"
 OUTCOME = f"item bigint, at timestamp, seq bigint, refused boolean, accepted boolean, status string, version string, made {ORDER}"
 STATE = "item bigint, status string, version string, decisions bigint, refused bigint, sent bigint, held bigint, submitted boolean, order_id string, amends string, for_edits string"
@@ -26,6 +28,40 @@ def version_of(edits: Column) -> Column:
     return F.to_json(F.coalesce(F.array_sort(F.map_entries(edits)), F.array().cast("array<struct<key:string,value:string>>")))
 
 
+def given_edits() -> Column:
+    """The edits of a row of a log; a submission has none, whatever stands there."""
+    return F.coalesce(F.when(F.col("action") != "submitted", F.col("edits")), F.create_map().cast(EDITS))
+
+
+def orders_of(log: DataFrame) -> DataFrame:
+    """(item, version, made, bad) of every order that a submitted item may come to: its submission under each of its decisions' edits and under none,
+    and whether that misses required fields. An order is made once, however many decisions have its edits."""
+    first = log.where("action = 'submitted'").groupBy("item").agg(F.min_by(F.struct("extraction"), F.struct("at", "seq")).alias("origin"))
+    edits = log.select("item", given_edits().alias("edits")).withColumn("version", version_of(F.col("edits")))
+    edits = edits.groupBy("item", "version").agg(F.any_value("edits").alias("edits"))
+    made = written(edits.join(first.hint("merge"), "item").select("item", "version", apply_edits(F.col("origin.extraction"), F.col("edits")).alias("made")), "orders")
+    return made.withColumn("bad", F.size(missing_after(F.col("made"), ORDER_FIELDS)) > 0)
+
+
+def decided(log: DataFrame, orders: DataFrame) -> DataFrame:
+    """outcomes() without the orders made; ``orders`` is orders_of() the log."""
+    item = Window.partitionBy("item").orderBy("at", "seq")
+    so_far = item.rowsBetween(Window.unboundedPreceding, 0)
+    x = log.select("item", "at", "seq", "action", version_of(given_edits()).alias("given"))
+    x = x.join(orders.select("item", F.col("version").alias("given"), "bad").hint("merge"), ["item", "given"])  # an item that was never submitted has no orders
+    x = x.withColumn("bad_first", F.max(F.when(F.col("action") == "submitted", F.col("bad"))).over(so_far)).where("bad_first is not null and action <> 'submitted'")
+    x = x.withColumn("some", F.col("given") != NONE).withColumn("fixed", F.col("action") != "approved")
+    x = x.withColumn("bad", F.when(F.col("fixed") | F.col("some"), F.col("bad"))).withColumn("part", F.sum(F.col("fixed").cast("long")).over(so_far))
+    before = Window.partitionBy("item", "part").orderBy("at", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    at_first = (F.col("part") == 0) & F.col("bad_first")  # no decision has set edits yet
+    x = x.withColumn("refused", ~F.col("fixed") & (F.coalesce(F.max("bad").over(before), F.lit(False)) | at_first))
+    sets = F.when(F.col("fixed") | (F.col("some") & ~F.col("refused")), F.col("given"))
+    turn = F.when(F.col("fixed"), F.when((F.col("action") == "edited") & ~F.col("some"), "approved").otherwise(F.col("action"))).when(~F.col("refused"), "approved")
+    last = lambda c: F.last(c, ignorenulls=True).over(so_far)
+    x = x.withColumn("version", F.coalesce(last(sets), F.lit(NONE))).withColumn("status", F.coalesce(last(turn), F.lit("pending")))
+    return x.select("item", "at", "seq", "refused", (~F.col("fixed") & ~F.col("refused")).alias("accepted"), "status", "version")
+
+
 def outcomes(log: DataFrame) -> DataFrame:
     """What each decision does (OUTCOME): whether it is refused or accepted (an approval that stands), and the item's status, edits
     (as version) and, of an accepted one, order after it. Decisions before an item's submission are left out, like those of an unknown item.
@@ -34,24 +70,9 @@ def outcomes(log: DataFrame) -> DataFrame:
     are refused, and a refused one changes nothing, that is decided between one edit or rejection and the next: the first order that
     misses a field refuses all approvals after it.
     """
-    item = Window.partitionBy("item").orderBy("at", "seq")
-    so_far = item.rowsBetween(Window.unboundedPreceding, 0)
-    given = F.coalesce("edits", F.create_map().cast(EDITS))
-    x = log.withColumn("origin", F.first(F.when(F.col("action") == "submitted", F.struct("extraction")), ignorenulls=True).over(so_far))
-    x = x.where("origin is not null and action <> 'submitted'").withColumn("edits", given).withColumn("some", F.size("edits") > 0)
-    x = x.withColumn("fixed", F.col("action") != "approved")
-    incomplete = lambda edits: F.size(missing_after(apply_edits(F.col("origin.extraction"), edits), ORDER_FIELDS)) > 0
-    x = x.withColumn("bad", F.when(F.col("fixed") | F.col("some"), incomplete(F.col("edits")))).withColumn("part", F.sum(F.col("fixed").cast("long")).over(so_far))
-    before = Window.partitionBy("item", "part").orderBy("at", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    at_first = F.when(F.col("part") == 0, incomplete(F.create_map().cast(EDITS)))  # no decision has set edits yet
-    x = x.withColumn("refused", ~F.col("fixed") & (F.coalesce(F.max("bad").over(before), F.lit(False)) | F.coalesce(at_first, F.lit(False))))
-    sets = F.when(F.col("fixed") | (F.col("some") & ~F.col("refused")), F.col("edits"))
-    turn = F.when(F.col("fixed"), F.when((F.col("action") == "edited") & ~F.col("some"), "approved").otherwise(F.col("action"))).when(~F.col("refused"), "approved")
-    last = lambda c: F.last(c, ignorenulls=True).over(so_far)
-    x = x.withColumn("now", F.coalesce(last(sets), F.create_map().cast(EDITS))).withColumn("status", F.coalesce(last(turn), F.lit("pending")))
-    x = x.withColumn("accepted", ~F.col("fixed") & ~F.col("refused"))
-    made = F.when(F.col("accepted"), apply_edits(F.col("origin.extraction"), F.col("now")))
-    return x.select("item", "at", "seq", "refused", "accepted", "status", version_of(F.col("now")).alias("version"), made.alias("made"))
+    orders = orders_of(log)
+    made = F.when(F.col("accepted"), F.col("made")).alias("made")
+    return decided(log, orders).join(orders.drop("bad").hint("merge"), ["item", "version"]).select("item", "at", "seq", "refused", "accepted", "status", "version", made)
 
 
 def fitting(versions: DataFrame, terms: DataFrame, products: DataFrame) -> DataFrame:
@@ -69,15 +90,18 @@ def receipt(item: Column, version: Column) -> Column:
     return F.concat(F.lit("ORD-"), F.upper(F.substring(F.sha2(F.concat_ws("|", item.cast("string"), version), 256), 1, 8)))
 
 
-def settled(before: DataFrame, told: DataFrame, terms: DataFrame, products: DataFrame) -> DataFrame:
+def settled(before: DataFrame, told: DataFrame, terms: DataFrame, products: DataFrame, orders: DataFrame | None = None) -> DataFrame:
     """States (STATE) of all items of ``before`` (STATE, one row an item) and ``told`` (OUTCOME) after these outcomes.
 
     An accepted approval is sent unless what was sent last has the same edits. One that does not fit is held: it does not erase the receipt of what
-    was sent before. What is sent after that amends it. for_edits tells what the record of sending covers.
+    was sent before. What is sent after that amends it. for_edits tells what the record of sending covers. Orders made are taken from ``orders`` (item, version, made) where that is given, and ``told`` needs none.
     """
     tried = told.where("accepted")
-    versions = tried.groupBy("item", "version").agg(F.any_value("made").alias("made"))
-    tried = tried.drop("made").join(fitting(versions, terms, products), ["item", "version"]).select("item", F.lit(1).alias("turn"), "at", "seq", "version", "fits", receipt(F.col("item"), F.col("version")).alias("order_id"), F.lit(None).cast("string").alias("amends"))
+    if orders is None:
+        versions = tried.groupBy("item", "version").agg(F.any_value("made").alias("made"))
+    else:
+        versions = orders.join(tried.select("item", "version").hint("merge"), ["item", "version"], "left_semi").select("item", "version", "made")
+    tried = tried.join(fitting(versions, terms, products), ["item", "version"]).select("item", F.lit(1).alias("turn"), "at", "seq", "version", "fits", receipt(F.col("item"), F.col("version")).alias("order_id"), F.lit(None).cast("string").alias("amends"))
     prior = before.where("submitted").select("item", F.lit(0), F.lit(None).cast("timestamp"), F.lit(None).cast("bigint"), "for_edits", F.lit(True), "order_id", "amends")
     order = Window.partitionBy("item").orderBy("turn", "at", "seq")
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
@@ -98,7 +122,7 @@ def settled(before: DataFrame, told: DataFrame, terms: DataFrame, products: Data
     recorded = lambda c: F.coalesce(f"n.last.{c}", f"b.{c}").alias(c) if c == "order_id" else F.when(F.col("n.last").isNotNull(), F.col(f"n.last.{c}")).otherwise(F.col(f"b.{c}")).alias(c)
     for_edits = F.coalesce("n.last.for_edits", F.when(F.coalesce("b.submitted", F.lit(False)), F.col("b.for_edits")).otherwise(F.coalesce("n.tried", "b.for_edits")))
     return both.select(
-        "item", either("status", "pending"), either("version", "[]"), total("decisions"), total("refused"), total("sent"), total("held"),
+        "item", either("status", "pending"), either("version", NONE), total("decisions"), total("refused"), total("sent"), total("held"),
         (F.coalesce("b.submitted", F.lit(False)) | F.col("n.last").isNotNull()).alias("submitted"), recorded("order_id"), recorded("amends"), for_edits.alias("for_edits"),
     )
 
@@ -106,7 +130,8 @@ def settled(before: DataFrame, told: DataFrame, terms: DataFrame, products: Data
 def review(log: DataFrame, terms: DataFrame, products: DataFrame) -> DataFrame:
     """Where every submitted item stands (STATE) after the whole log."""
     spark = log.sparkSession
-    states = settled(spark.createDataFrame([], STATE), outcomes(log), terms, products)
+    orders = orders_of(log)
+    states = settled(spark.createDataFrame([], STATE), written(decided(log, orders), "decided"), terms, products, orders)
     items = log.where("action = 'submitted'").select("item").distinct()
-    quiet = items.join(states, "item", "left_anti").select("item", F.lit("pending"), F.lit("[]"), *(F.lit(0).cast("bigint"),) * 4, F.lit(False), *(F.lit(None).cast("string"),) * 3)
+    quiet = items.join(states, "item", "left_anti").select("item", F.lit("pending"), F.lit(NONE), *(F.lit(0).cast("bigint"),) * 4, F.lit(False), *(F.lit(None).cast("string"),) * 3)
     return states.union(quiet)
