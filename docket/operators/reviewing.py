@@ -18,6 +18,7 @@ from docket.sources.store import written
 
 EDITS = "map<string,string>"
 NONE = "[]"  # the version without edits
+RESUMED = "was:"
 LOG = f"item bigint, at timestamp, seq bigint, action string, extraction {ORDER}, edits {EDITS}"
 OUTCOME = f"item bigint, at timestamp, seq bigint, refused boolean, accepted boolean, status string, version string, made {ORDER}"
 STATE = "item bigint, status string, version string, decisions bigint, refused bigint, sent bigint, held bigint, submitted boolean, order_id string, amends string, for_edits string"
@@ -44,22 +45,41 @@ def orders_of(log: DataFrame) -> DataFrame:
 
 
 def decided(log: DataFrame, orders: DataFrame) -> DataFrame:
-    """outcomes() without the orders made; ``orders`` is orders_of() the log."""
-    item = Window.partitionBy("item").orderBy("at", "seq")
+    """outcomes() without the orders made; ``orders`` is orders_of() the log. Rows with ``turn`` 0, if the log has that column, tell where items stood before
+    it: submissions, and one row with the status as action after RESUMED. They come first and have no outcome."""
+    if "turn" not in log.columns:
+        log = log.withColumn("turn", F.lit(1))
+    item = Window.partitionBy("item").orderBy("turn", "at", "seq")
     so_far = item.rowsBetween(Window.unboundedPreceding, 0)
-    x = log.select("item", "at", "seq", "action", version_of(given_edits()).alias("given"))
+    x = log.select("item", "turn", "at", "seq", "action", version_of(given_edits()).alias("given"))
     x = x.join(orders.select("item", F.col("version").alias("given"), "bad").hint("merge"), ["item", "given"])  # an item that was never submitted has no orders
     x = x.withColumn("bad_first", F.max(F.when(F.col("action") == "submitted", F.col("bad"))).over(so_far)).where("bad_first is not null and action <> 'submitted'")
     x = x.withColumn("some", F.col("given") != NONE).withColumn("fixed", F.col("action") != "approved")
     x = x.withColumn("bad", F.when(F.col("fixed") | F.col("some"), F.col("bad"))).withColumn("part", F.sum(F.col("fixed").cast("long")).over(so_far))
-    before = Window.partitionBy("item", "part").orderBy("at", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("item", "part").orderBy("turn", "at", "seq").rowsBetween(Window.unboundedPreceding, -1)
     at_first = (F.col("part") == 0) & F.col("bad_first")  # no decision has set edits yet
     x = x.withColumn("refused", ~F.col("fixed") & (F.coalesce(F.max("bad").over(before), F.lit(False)) | at_first))
     sets = F.when(F.col("fixed") | (F.col("some") & ~F.col("refused")), F.col("given"))
-    turn = F.when(F.col("fixed"), F.when((F.col("action") == "edited") & ~F.col("some"), "approved").otherwise(F.col("action"))).when(~F.col("refused"), "approved")
+    turn = F.when(F.col("fixed"), F.when((F.col("action") == "edited") & ~F.col("some"), "approved").otherwise(F.regexp_replace("action", f"^{RESUMED}", ""))).when(~F.col("refused"), "approved")
     last = lambda c: F.last(c, ignorenulls=True).over(so_far)
     x = x.withColumn("version", F.coalesce(last(sets), F.lit(NONE))).withColumn("status", F.coalesce(last(turn), F.lit("pending")))
-    return x.select("item", "at", "seq", "refused", (~F.col("fixed") & ~F.col("refused")).alias("accepted"), "status", "version")
+    return x.where("turn > 0").select("item", "at", "seq", "refused", (~F.col("fixed") & ~F.col("refused")).alias("accepted"), "status", "version")
+
+
+def edits_of(version: Column) -> Column:
+    """The edits that version_of() tells."""
+    return F.map_from_entries(F.from_json(version, "array<struct<key:string,value:string>>"))
+
+
+def resumed(before: DataFrame, submitted: DataFrame, decisions: DataFrame, batch: int) -> DataFrame:
+    """A log for decided() of one batch of decisions (LOG) on items that stand as ``before`` (STATE) tells. ``submitted`` has item, batch, at, seq and
+    extraction of each first submission; one of an earlier batch comes before all decisions of this one."""
+    old = F.col("batch") < batch
+    touched = decisions.select("item").distinct().hint("merge")
+    none = F.lit(None).cast(EDITS).alias("edits")
+    first = submitted.join(touched, "item", "left_semi").select("item", F.when(old, 0).otherwise(1).alias("turn"), F.when(~old, F.col("at")).alias("at"), F.when(~old, F.col("seq")).otherwise(0).alias("seq"), F.lit("submitted").alias("action"), "extraction", none)
+    stood = before.join(touched, "item", "left_semi").select("item", F.lit(0), F.lit(None).cast("timestamp"), F.lit(1).cast("bigint"), F.concat(F.lit(RESUMED), "status"), F.lit(None).cast(ORDER), edits_of(F.col("version")))
+    return first.union(stood).union(decisions.select("item", F.lit(1), "at", "seq", "action", F.lit(None).cast(ORDER), "edits"))
 
 
 def outcomes(log: DataFrame) -> DataFrame:
