@@ -88,8 +88,7 @@ def review_states_stream(spark, sf):
     part = F.when(F.unix_micros("at") <= cuts[0], 0).when(F.unix_micros("at") <= cuts[1], 1).otherwise(2)
     for k in range(3):
         log.where(part == k).write.mode("append").parquet(f"{at}/log")
-        with rocks_state(spark):
-            reviews.review_stream(spark.readStream.schema(log.schema).parquet(f"{at}/log"), table, terms, products, f"{at}/checkpoint")
+        reviews.review_stream(spark.readStream.schema(log.schema).parquet(f"{at}/log"), table, terms, products, f"{at}/checkpoint")
     return table.read()
 
 
@@ -136,10 +135,8 @@ def stream_rate_limit_decisions(spark, sf):
     """Each event's decision, the events arriving in two parts; the second run goes on from the first one's state."""
     e, at = t(spark, sf, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts")), scratch(spark, "limits")
     half = e.agg(F.percentile(F.unix_micros("ts"), 0.5).alias("c")).first().c
+    table = KeyedTable(spark, f"{at}/table", limits.OPEN, ["identity"])
     for part in (F.unix_micros("ts") <= half, F.unix_micros("ts") > half):
         e.where(part).write.mode("append").parquet(f"{at}/events")
-        with rocks_state(spark):
-            stream = limits.limited(spark.readStream.schema(e.schema).parquet(f"{at}/events"), "user_id", "ts", "event_id", 86400, 3)
-            write = lambda rows, batch: rows.write.mode("overwrite").parquet(f"{at}/out/batch={batch}")
-            stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{at}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{at}/out").select(F.col("seq").alias("event_id"), "used", "allowed", "retry_after")
+        out = limits.limit_stream(spark.readStream.schema(e.schema).parquet(f"{at}/events"), "user_id", "ts", "event_id", 86400, 3, table, f"{at}/out", f"{at}/checkpoint")
+    return out.select(F.col("seq").alias("event_id"), "used", "allowed", "retry_after")
