@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from itertools import permutations
 
 import numpy as np
@@ -11,11 +12,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf, pandas_udf
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from docket.functions.columns import norm_text
 
 EXHAUSTIVE = 8
+WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")  # what columns.norm_equal takes for white space
+COUNTS = ("correct", "strict_correct", "wrong", "hallucination", "miss", "null_agree")
 
 
 def assign(weights: list[list[float]]) -> list[tuple[int, int]]:
@@ -85,24 +88,35 @@ def assign_all(weights: np.ndarray) -> np.ndarray:
     return out
 
 
-@arrow_udf(ArrayType(StructType([StructField("i", IntegerType()), StructField("j", IntegerType())])))
-def aligned(gold: pa.Array, pred: pa.Array) -> pa.Array:
-    """Assignment of two arrays of (product, quantity, unit, price): product counts 3, the others 1 each.
+def comparable(texts: pa.Array) -> pa.Array:
+    """columns.norm_equal() of whole columns: Arrow does plain ASCII, Python the others."""
+    if not pa.types.is_string(texts.type):
+        return texts
+    plain = pc.and_(pc.string_is_ascii(texts), pc.invert(pc.match_substring_regex(texts, "[\t-\r]|  ")))
+    out = pc.ascii_trim(pc.ascii_lower(texts), " ")
+    if not pc.all(plain, min_count=0).as_py():
+        rest = pc.filter(texts, pc.invert(plain))
+        out = pc.replace_with_mask(out, pc.fill_null(pc.invert(plain), False), pa.array([WHITE.sub(" ", x.casefold()).strip(" ") for x in rest.to_pylist()], texts.type))
+    return out
+
+
+def _codes(parts: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the items' values, the same for equal values, -1 for none."""
+    numbers = pa.concat_arrays(parts).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    return numbers[: len(parts[0])], numbers[len(parts[0]) :]
 
-    Whole batches: records of the same numbers of items are assigned together; those of over EXHAUSTIVE items one by one, greedily.
+
+def _assigned(sizes: list[np.ndarray], codes: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(record, i, j) of the pairs, in order. ``sizes``: numbers of items a record; ``codes``: of product, quantity, unit and price, items of all records in a row.
+
+    Records of the same numbers of items are assigned together; those of over EXHAUSTIVE items one by one, greedily.
     """
-    sizes = [np.asarray(pc.fill_null(pc.list_value_length(a), 0)).astype(np.int64) for a in (gold, pred)]
     starts = [np.cumsum(n) - n for n in sizes]
-    items = [a.flatten() for a in (gold, pred)]
-    codes = {}
-    for f in ("product", "quantity", "unit", "price"):
-        both = pa.concat_arrays([pc.struct_field(x, f) for x in items]).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
-        codes[f] = both[: len(items[0])], both[len(items[0]) :]
 
     def weights(records: np.ndarray, n: int, m: int) -> np.ndarray:
         g, p = starts[0][records, None] + np.arange(n), starts[1][records, None] + np.arange(m)
-        equal = lambda f: codes[f][0][g][:, :, None] == codes[f][1][p][:, None, :]
-        return 3.0 * equal("product") + sum(equal(f) & (codes[f][0][g] >= 0)[:, :, None] for f in ("quantity", "unit", "price"))
+        equal = lambda c: c[0][g][:, :, None] == c[1][p][:, None, :]
+        return 3.0 * equal(codes[0]) + sum(equal(c) & (c[0][g] >= 0)[:, :, None] for c in codes[1:])
 
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # record, i, j
     for n, m in np.unique(np.stack(sizes, 1), axis=0):
@@ -120,9 +134,71 @@ def aligned(gold: pa.Array, pred: pa.Array) -> pa.Array:
                 found.append((records[r], *((a, b) if n <= m else (b, a))))
     record, i, j = (np.concatenate(v) for v in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
     order = np.lexsort((i, record))
-    ends = np.concatenate([[0], np.cumsum(np.bincount(record, minlength=len(gold)))])
-    pairs = pa.StructArray.from_arrays([pa.array(i[order], pa.int32()), pa.array(j[order], pa.int32())], names=["i", "j"])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+    return record[order], i[order], j[order]
+
+
+def _pairs(records: int, record: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum(np.bincount(record, minlength=records))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32())], names=["i", "j"]))
+
+
+def _sizes(lists: pa.Array) -> np.ndarray:
+    return np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
+
+
+PAIRS = ArrayType(StructType([StructField("i", IntegerType()), StructField("j", IntegerType())]))
+SLOTS = ArrayType(StructType([StructField("field", StringType()), *(StructField(c, LongType()) for c in COUNTS)]))
+
+
+@arrow_udf(PAIRS)
+def aligned(gold: pa.Array, pred: pa.Array) -> pa.Array:
+    """Assignment of two arrays of (product, quantity, unit, price): product counts 3, the others 1 each. Whole batches at a time."""
+    items = [a.flatten() for a in (gold, pred)]
+    codes = [_codes([pc.struct_field(x, f) for x in items]) for f in ("product", "quantity", "unit", "price")]
+    return _pairs(len(gold), *_assigned([_sizes(gold), _sizes(pred)], codes))
+
+
+def _read(gold: pa.Array, pred: pa.Array) -> tuple:
+    """Sizes of the lists, per field its values on both sides and their codes by comparable(), and the assignment."""
+    items, sizes = [a.flatten() for a in (gold, pred)], [_sizes(gold), _sizes(pred)]
+    raw = {f.name: [pc.struct_field(x, f.name) for x in items] for f in list(gold.type.value_type)[:4]}
+    codes = [_codes([comparable(x) for x in parts]) for parts in raw.values()]
+    return sizes, raw, codes, _assigned(sizes, codes)
+
+
+@arrow_udf(PAIRS)
+def paired(gold: pa.Array, pred: pa.Array) -> pa.Array:
+    """aligned() of line items whose first four fields are product, quantity, unit and price, by their comparable() values."""
+    return _pairs(len(gold), *_read(gold, pred)[-1])
+
+
+@arrow_udf(StructType([StructField("pairs", PAIRS), StructField("fields", SLOTS)]))
+def compared(gold: pa.Array, pred: pa.Array, gold_head: pa.Array, pred_head: pa.Array) -> pa.Array:
+    """paired() line items, and COUNTS of each field of the heads (structs of texts) and of the lines.
+
+    Slots of an unpaired gold item are misses, of an unpaired predicted one hallucinations.
+    """
+    sizes, raw, codes, (record, i, j) = _read(gold, pred)
+    n, heads = len(gold), [f.name for f in gold_head.type]
+    g, p = ((np.cumsum(s) - s)[record] + at for s, at in zip(sizes, (i, j)))
+    owners = [np.repeat(np.arange(n), s) for s in sizes]
+    over = lambda test: np.bincount(record[test], minlength=n)
+    tally = np.zeros((n, len(heads) + len(raw), len(COUNTS)), np.int64)
+    for k, f in enumerate(heads):
+        parts = [pc.struct_field(x, f) for x in (gold_head, pred_head)]
+        (a, b), (x, y) = _codes([comparable(c) for c in parts]), _codes(parts)
+        two = (a >= 0) & (b >= 0)
+        tally[:, k] = np.stack([two & (a == b), two & (x == y), two & (a != b), (a < 0) & (b >= 0), (a >= 0) & (b < 0), (a < 0) & (b < 0)], 1)
+    for k, (own, parts) in enumerate(zip(codes, raw.values()), len(heads)):
+        strict = _codes(parts)
+        has_g, has_p = own[0][g] >= 0, own[1][p] >= 0
+        two, right = over(has_g & has_p), over(has_g & (own[0][g] == own[1][p]))
+        held = [np.bincount(o[c >= 0], minlength=n) for o, c in zip(owners, own)]
+        tally[:, k] = np.stack([right, over(has_g & (strict[0][g] == strict[1][p])), two - right, held[1] - two, held[0] - two, over(~has_g & ~has_p)], 1)
+    names = [*heads, *raw]
+    slots = pa.StructArray.from_arrays([pa.array(names * n, pa.string()), *(pa.array(c) for c in tally.reshape(-1, len(COUNTS)).T)], names=["field", *COUNTS])
+    fields = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * len(names), pa.int32()), slots)
+    return pa.StructArray.from_arrays([_pairs(n, record, i, j), fields], names=["pairs", "fields"])
 
 
 def indel_ratio(a: str, b: str) -> float:

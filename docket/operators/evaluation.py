@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docket.functions.columns import norm_equal, ratio
-from docket.operators.align import EXHAUSTIVE, aligned
+from docket.operators.align import COUNTS, EXHAUSTIVE, compared, paired
 from docket.operators.orders import route_of
 from docket.operators.scoring import prf
 
@@ -20,7 +20,6 @@ ITEM_FIELDS = ("product_text", "quantity", "unit_text", "unit_price_text")
 LINE = "struct<product_text:string,quantity:bigint,unit_text:string,unit_price_text:string,item_notes:string>"
 ORDER = f"struct<{','.join(f'{f}:string' for f in ORDER_FIELDS)},notes:string,line_items:array<{LINE}>>"
 PREDICTION = f"struct<parsed:{ORDER},repair_used:boolean>"
-COUNTS = ("correct", "strict_correct", "wrong", "hallucination", "miss", "null_agree")
 CLASSES = ("new_order", "amendment", "cancellation", "inquiry", "other")
 # What records are sliced by.
 FLAGS = ("missing_po", "missing_quantity", "ambiguous_site", "discontinued_item", "qty_below_moq", "qty_above_max", "pack_size_trap", "mention_typo", "unsigned", "prices_stated", "price_mismatch")
@@ -55,10 +54,6 @@ def _same(g: Column, p: Column) -> Column:
     return norm_equal(g.cast("string")) == norm_equal(p.cast("string"))
 
 
-def _slot(field: str, **counts: Column) -> Column:
-    return F.struct(F.lit(field).alias("field"), *(F.coalesce(counts[c].cast("long"), F.lit(0).cast("long")).alias(c) for c in COUNTS))
-
-
 def _words(c: Column) -> Column:
     return F.filter(F.split(norm_equal(F.coalesce(c, F.lit(""))), " "), lambda w: w != "")
 
@@ -75,35 +70,26 @@ def tallies(joined: DataFrame, keep: list[str] = ()) -> DataFrame:
     Items pair by the greatest total similarity; slots of an unpaired gold item are misses, of an unpaired predicted one hallucinations.
     """
     x = joined.where("gold is not null")
-    x = x.select("id", *keep, "gold", F.coalesce("extraction.parsed", empty_order()).alias("pred"), F.col("extraction.parsed").isNotNull().alias("parsed"), F.coalesce("extraction.repair_used", F.lit(False)).alias("repair"))
-    shape = lambda side: F.transform(F.col(f"{side}.line_items"), lambda i: F.struct(*(norm_equal(i[f].cast("string")).alias(n) for f, n in zip(ITEM_FIELDS, ("product", "quantity", "unit", "price")))))
-    x = x.withColumn("pairs", aligned(shape("gold"), shape("pred")))
-    gi, pi = F.col("gold.line_items"), F.col("pred.line_items")
+    order, parsed = F.col("extraction.parsed"), F.col("extraction.parsed").isNotNull()
+    # Fields one by one: code that carries whole orders from row to row is too long for the JVM to compile.
+    flat = [F.col(f"{side}.{f}").alias(f"{name}_{f}") for side, name in (("gold", "g"), ("extraction.parsed", "p")) for f in (*ORDER_FIELDS, "notes")]
+    lines = F.when(parsed, order["line_items"]).otherwise(F.array().cast(f"array<{LINE}>"))
+    x = x.select("id", *keep, *flat, F.col("gold.line_items").alias("gi"), lines.alias("pi"), parsed.alias("parsed"), F.coalesce("extraction.repair_used", F.lit(False)).alias("repair"))
+    gi, pi = F.col("gi"), F.col("pi")
+    head = lambda side: F.struct(*(F.col(f"{side}_{f}").alias(f) for f in ORDER_FIELDS))
+    x = x.withColumn("slots", compared(gi, pi, head("g"), head("p"))).withColumn("pairs", F.col("slots.pairs"))
     pairs = F.transform("pairs", lambda e: F.struct(F.get(gi, e["i"]).alias("g"), F.get(pi, e["j"]).alias("p")))
     x = x.withColumn("both", pairs)
-    slots = []
-    for f in ORDER_FIELDS:
-        g, p = F.col(f"gold.{f}"), F.col(f"pred.{f}")
-        two = g.isNotNull() & p.isNotNull()
-        slots.append(_slot(f, correct=two & _same(g, p), strict_correct=two & (g == p), wrong=two & ~_same(g, p), hallucination=g.isNull() & p.isNotNull(), miss=g.isNotNull() & p.isNull(), null_agree=g.isNull() & p.isNull()))
-    count = lambda items, test: F.size(F.filter(items, test))
-    for f in ITEM_FIELDS:
-        two = count(F.col("both"), lambda e: e["g"][f].isNotNull() & e["p"][f].isNotNull())
-        right = count(F.col("both"), lambda e: _same(e["g"][f], e["p"][f]))
-        slots.append(_slot(
-            f, correct=right, strict_correct=count(F.col("both"), lambda e: e["g"][f] == e["p"][f]), wrong=two - right, hallucination=count(pi, lambda i: i[f].isNotNull()) - two,
-            miss=count(gi, lambda i: i[f].isNotNull()) - two, null_agree=count(F.col("both"), lambda e: e["g"][f].isNull() & e["p"][f].isNull()),
-        ))
-    g, p = _words(F.col("gold.notes")), _words(F.col("pred.notes"))
+    g, p = _words(F.col("g_notes")), _words(F.col("p_notes"))
     item_words = lambda items: F.aggregate(F.transform(items, lambda i: F.size(_words(i["item_notes"]))), F.lit(0), lambda a, n: a + n)
     item_overlap = F.aggregate(F.transform("both", lambda e: _overlap(_words(e["g"]["item_notes"]), _words(e["p"]["item_notes"]))), F.lit(0), lambda a, n: a + n)
     greedy = (F.size(gi) > 0) & (F.size(pi) > 0) & ((F.size(gi) > EXHAUSTIVE) | (F.size(pi) > EXHAUSTIVE))
     numbers = {
         "parsed": F.col("parsed"), "repair_used": F.col("repair"), "gold_items": F.size(gi), "pred_items": F.size(pi), "matched": F.size("pairs"), "greedy_runs": greedy,
-        "product_correct": count(F.col("both"), lambda e: _same(e["g"]["product_text"], e["p"]["product_text"])),
+        "product_correct": F.get("slots.fields", F.lit(len(ORDER_FIELDS)))["correct"],
         "notes_overlap": _overlap(g, p), "notes_gold": F.size(g), "notes_pred": F.size(p), "item_notes_overlap": item_overlap, "item_notes_gold": item_words(gi), "item_notes_pred": item_words(pi),
     }
-    return x.select("id", *keep, F.array(*slots).alias("fields"), *(c.cast("long").alias(n) for n, c in numbers.items()))
+    return x.select("id", *keep, F.col("slots.fields"), *(c.cast("long").alias(n) for n, c in numbers.items()))
 
 
 def field_report(tally: DataFrame, by: list[str] = ("field",)) -> DataFrame:
@@ -164,8 +150,7 @@ def trap_report(joined: DataFrame, traps: str) -> DataFrame:
     x = joined.where((F.col("email_class") == "new_order") & (F.size(traps) > 0) & F.col("gold").isNotNull())
     pi = F.coalesce("extraction.parsed.line_items", F.array().cast(f"array<{LINE}>"))
     gi = F.col("gold.line_items")
-    shape = lambda items: F.transform(items, lambda i: F.struct(*(norm_equal(i[f].cast("string")).alias(n) for f, n in zip(ITEM_FIELDS, ("product", "quantity", "unit", "price")))))
-    x = x.select("id", traps, gi.alias("g"), pi.alias("p"), aligned(shape(gi), shape(pi)).alias("pairs")).withColumn("at", F.explode(traps))
+    x = x.select("id", traps, gi.alias("g"), pi.alias("p"), paired(gi, pi).alias("pairs")).withColumn("at", F.explode(traps))
     j = F.get(F.filter("pairs", lambda e: e["i"] == F.col("at")), F.lit(0))["j"]
     x = x.select("id", F.get("g", F.col("at")).alias("g"), F.get("p", j).alias("p"), j.isNotNull().alias("hit"))
     fields = ("product_text", "quantity", "unit_text")

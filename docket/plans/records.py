@@ -33,15 +33,16 @@ def records(spark, sf: str) -> DataFrame:
     h = lambda tag: C.bucket(100, F.lit(tag), F.col("k"), F.col("at"))
     at, text, none = F.col("at"), lambda *c: F.concat(*(x.cast("string") if not isinstance(x, str) else F.lit(x) for x in c)), F.lit(None)
     line = lambda *v: F.struct(*(c.cast(ty).alias(n) for c, (n, ty) in zip(v, (("product_text", "string"), ("quantity", "long"), ("unit_text", "string"), ("unit_price_text", "string"), ("item_notes", "string")))))
-    x = x.select("k", "at", text("Part ", F.col("part"), "-", at).alias("p"), F.when(h("gq") >= 8, at * 1000 + F.col("q")).alias("q"), F.when(h("gu") >= 20, text("u", at)).alias("u"), F.when(h("gp") < 30, text("$", at, ".50")).alias("c"))
-    p, q, u = F.col("p"), F.col("q"), F.col("u")
-    product = F.when(h("pp") < 6, none).when(h("pp") < 14, text(p, " x")).when(h("pp") < 30, F.upper(p)).otherwise(p)
-    quantity = F.when(h("pq") < 5, none).when(h("pq") < 10, F.coalesce(q, at * 1000) + 500).otherwise(q)
-    unit = F.when(h("pu") < 8, none).when(h("pu") < 12, text("w", at)).otherwise(u)
-    places = lambda item: F.struct(at.alias("at"), item.alias("i"))
-    x = x.select("k", places(line(p, q, u, F.col("c"), none)).alias("g"), F.when(h("drop") >= 5, places(line(product, quantity, unit, F.col("c"), none))).alias("r"), F.when(h("more") < 4, places(line(text("extra ", at), none, none, none, none))).alias("e"))
-    of = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda s: s["i"])
-    x = x.groupBy("k").agg(of("g").alias("g"), F.concat(of("r"), of("e")).alias("r"))
+    once = [h(tag).alias(f"h_{tag}") for tag in ("pp", "pq", "pu")]  # a chain of cases would make its hash again for each
+    x = x.select("k", "at", text("Part ", F.col("part"), "-", at).alias("p"), F.when(h("gq") >= 8, at * 1000 + F.col("q")).alias("q"), F.when(h("gu") >= 20, text("u", at)).alias("u"), F.when(h("gp") < 30, text("$", at, ".50")).alias("c"), *once)
+    p, q, u, pp, pq, pu = (F.col(c) for c in ("p", "q", "u", "h_pp", "h_pq", "h_pu"))
+    product = F.when(pp < 6, none).when(pp < 14, text(p, " x")).when(pp < 30, F.upper(p)).otherwise(p)
+    quantity = F.when(pq < 5, none).when(pq < 10, F.coalesce(q, at * 1000) + 500).otherwise(q)
+    unit = F.when(pu < 8, none).when(pu < 12, text("w", at)).otherwise(u)
+    x = x.select("k", "at", line(p, q, u, F.col("c"), none).alias("g"), F.when(h("drop") >= 5, line(product, quantity, unit, F.col("c"), none)).alias("r"), F.when(h("more") < 4, line(text("extra ", at), none, none, none, none)).alias("e"))
+    x = x.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("at", "g", "r", "e"))).alias("all"))  # sort_array compares in the JVM, array_sort by a lambda
+    of = lambda c: F.array_compact(F.transform("all", lambda s: s[c]))
+    x = x.select("k", of("g").alias("g"), F.concat(of("r"), of("e")).alias("r"))
     o, k = t(spark, sf, "orders").join(x, F.col("o_orderkey") == F.col("k"), "left"), F.col("o_orderkey")
     m, empty = k % 10, F.array().cast(f"array<{E.LINE}>")
     label = F.when(m < 6, "new_order").when(m == 6, "amendment").when(m == 7, "cancellation").when(m == 8, "inquiry").otherwise("other")
