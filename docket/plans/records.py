@@ -28,8 +28,9 @@ pr as (select *, case when {b(100, "concat_ws('|', 'class', o_orderkey)").replac
 
 def records(spark, sf: str) -> DataFrame:
     """Records with their predictions in columns ``guess`` and ``predicted`` (E.PREDICTION)."""
-    w = Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice")
-    x = t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.row_number().over(w).cast("long").alias("at"), F.col("l_quantity").cast("long").alias("q"), F.col("l_partkey").alias("part"))
+    w = Window.partitionBy("k").orderBy("l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    x = t(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "k")  # before the window, so that grouping by k finds its rows together
+    x = x.select("k", F.row_number().over(w).cast("long").alias("at"), F.col("l_quantity").cast("long").alias("q"), F.col("l_partkey").alias("part"))
     h = lambda tag: C.bucket(100, F.lit(tag), F.col("k"), F.col("at"))
     at, text, none = F.col("at"), lambda *c: F.concat(*(x.cast("string") if not isinstance(x, str) else F.lit(x) for x in c)), F.lit(None)
     line = lambda *v: F.struct(*(c.cast(ty).alias(n) for c, (n, ty) in zip(v, (("product_text", "string"), ("quantity", "long"), ("unit_text", "string"), ("unit_price_text", "string"), ("item_notes", "string")))))
