@@ -152,8 +152,8 @@ def pieces_in_place(docs: DataFrame, window: int, vocabulary: str | None, end_id
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some), schema)], schema=schema)
 
         for batch in batches:
-            for some in slices(batch):
-                for doc_id, ids in zip(some.column(0).to_pylist(), encoder(path).encode(some.column(1).to_pylist())):
+            for some in slices(batch, 5000):
+                for doc_id, ids in zip(some.column(0).to_pylist(), encoder(path).encode(some.column(1))):
                     packer.add(doc_id, ids + end)
                 if packer.held >= chunk_ids:
                     yield from full(False)

@@ -44,8 +44,8 @@ def write_token_files(docs: DataFrame, path: str | None = None, vocabulary: str
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((part, chunk, doc_ids, sizes, blocks), CHUNK)], schema=CHUNK)
 
         for batch in batches:
-            for some in slices(batch):
-                for doc_id, ids in zip(some.column(0).to_pylist(), encoder(words).encode(some.column(1).to_pylist())):
+            for some in slices(batch, 5000):
+                for doc_id, ids in zip(some.column(0).to_pylist(), encoder(words).encode(some.column(1))):
                     doc_ids.append(doc_id)
                     sizes.append(len(ids) // 4 + 1)
                     data.append(ids + end)
