@@ -3,13 +3,13 @@
 A block is coded from nothing: its model starts empty and its bytes depend on no other block. Three models give each
 a probability to every id seen in the block so far: counts of the block (order 0), of what followed the same id
 (order 1) and of what followed the same two ids (order 2). Order 0 also has a share for an id not seen yet, whose 16 bits
-follow plain. The three are mixed into one distribution, by which the id is coded in one step. The weights adapt, apart for each
-standing of orders 1 and 2, by how much of the probability of the ids that came was due to each model.
-All blocks of a batch advance together, one id at a time: each step is a few numpy operations over
-the blocks, so the coder's loop is as long as one block and not as the text.
+stand plain behind the coded words. The three are mixed into one distribution, by which the id is coded in one step. The weights adapt, apart for each
+standing of orders 1 and 2, by how often each model had named the id that came. Counts and weights take in a stretch of ids at a time (STRETCHES),
+so within a stretch the distributions are plain tables: the encoder mixes those of many ids at once, the decoder looks an id up by its value.
+All blocks of a batch advance together: each step is a few numpy operations over the blocks.
 
-Block layout (little-endian): magic ``IDR2``, ids u32, crc32 of the ids u32, payload bytes u32,
-crc32 of the payload u32, payload (u16 words of the range coder).
+Block layout (little-endian): magic ``IDR3``, ids u32, crc32 of the ids u32, payload bytes u32,
+crc32 of the payload u32, payload (u32 number of words, u16 words of the range coder, u16 ids where the block meets them first).
 """
 
 from __future__ import annotations
@@ -19,174 +19,184 @@ import zlib
 
 import numpy as np
 
-U = np.uint64
-MAGIC = b"IDR2"
+MAGIC = b"IDR3"
 HEAD = struct.Struct("<4sIIII")
 BLOCK_IDS = 4096
-TOP, BOTTOM = U(1 << 48), U(1 << 32)
-GROUPS = 64  # ids of a block in groups of 64, for two-level counts
-HASH1, SLOTS1 = 12, 3  # contexts of order 1, and how many ids each remembers
-HASH2, SLOTS2 = 13, 2
-SCALE = 1 << 24  # of the mixed distribution
-GAIN = 15  # counts of order 0 add up to 4096 * 15, less than a 16-bit number holds
-EMPTY = -1
+STRETCHES = (16, 32, 64, 128, 256, *range(512, BLOCK_IDS, 512))  # where stretches end
+AT_ONCE = 16  # steps whose distributions the encoder mixes at once
+HASH1, HASH2 = 11, 12  # bits of the contexts of orders 1 and 2
+SETS = 16
+BITS = 20
+SCALE = 1 << BITS  # of the mixed distribution
+LEAST = 16  # share of any id, so that each step moves one word at most
+MOST = 0.93  # of the distribution for orders 1 and 2: SCALE * (1 - MOST) > LEAST * BLOCK_IDS
+LOW = 1 << 32
+UP = np.array([1, 2, 3, 3])  # standing of a named id after it came again
 
 
 class Model:
-    """The mixed model of every block in a batch: lane i is block i. Ids go by their place in order of first use."""
+    """The mixed model of every block in a batch: lane i is block i. Ids go by their place in order of first use. Arrays are one step of all lanes, or rows of such steps."""
 
     def __init__(self, lanes: int):
-        self.n = np.arange(lanes)
-        self.last1, self.last2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.follow = [(np.full((lanes, 1 << bits, slots), EMPTY, np.int16), np.zeros((lanes, 1 << bits, slots), np.uint8)) for bits, slots in ((HASH1, SLOTS1), (HASH2, SLOTS2))]
-        self.weights = np.tile(np.array([0.7, 0.15, 0.15]), (lanes, 16, 1))
-        self.new = np.full(lanes, 0.9)
-        self.ids = np.zeros((lanes, GROUPS * 64), np.uint16)
-        self.count = np.zeros((lanes, GROUPS * 64), np.uint16)
-        self.group = np.zeros((lanes, GROUPS), np.int64)
-        self.total = np.zeros(lanes, np.int64)
-        self.seen = np.zeros(lanes, np.int64)
-
-    def mix(self) -> None:
-        """The distribution of the next id, in whole numbers: order 0's multiplier, the orders' slots with theirs, the share of new ids."""
-        n = self.n
-        at = ((self.last1 * 0x9E3B & 0xFFFFF) >> (20 - HASH1), ((self.last1 * 0x1F35 + self.last2 * 0xA2D5) & 0xFFFFFF) >> (24 - HASH2))
-        self.at = at
-        self.place = np.concatenate([p[n, a] for (p, _), a in zip(self.follow, at)], 1).astype(np.int64)
-        counts = np.concatenate([c[n, a] for (_, c), a in zip(self.follow, at)], 1).astype(np.int64)
-        self.sums = np.stack([counts[:, :SLOTS1].sum(1), counts[:, SLOTS1:].sum(1)], 1)
-        self.set = np.minimum(self.sums[:, 1] // 3, 3) * 4 + np.minimum(self.sums[:, 0] // 3, 3)
-        w = self.weights[n, self.set]
-        w[:, 1:] *= self.sums > 0
-        self.w = w = w / w.sum(1, keepdims=True)
-        scale = np.where(self.sums > 0, w[:, 1:] * SCALE / np.maximum(self.sums, 1), 0).astype(np.int64)
-        self.slots = counts * np.repeat(scale, (SLOTS1, SLOTS2), 1)
-        self.base = np.maximum((w[:, 0] * (1 - self.new) * SCALE / np.maximum(self.total, 1)).astype(np.int64), 1)
-        self.fresh = np.maximum((w[:, 0] * self.new * SCALE).astype(np.int64), 1)
-        self.known = self.base * self.total + self.slots.sum(1)
-        self.whole = self.known + self.fresh
+        self.lanes = lanes
+        self.token, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.rows1, self.rows2, self.sets, self.rows = (np.arange(lanes) * n for n in (1 << HASH1, 1 << HASH2, SETS, BLOCK_IDS))
+        self.follow = [np.zeros(lanes << bits, np.uint16) for bits in (HASH1, HASH2)]  # place * 4 + standing, 0 for none
+        self.tried = np.zeros((lanes * SETS, 4))  # steps by what named the id that came: order 0 alone, order 1, order 2, none as it was not seen
+        self.weight = np.zeros(lanes * SETS, np.int64)  # share of order 1's id, of order 2's << 20, and of each count of order 0 << 40
+        self.ids = np.zeros((lanes, BLOCK_IDS), np.uint16)
+        self.count = np.zeros((lanes, 1), np.int64)
+        self.total, self.seen = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.whole = np.full(lanes, SCALE)
+        self.recent: list[tuple] = []
+        self.steps = 0
+        self._tables()
+
+    def _tables(self) -> None:
+        """What order 0 looks up: how many ids stand below a place, and the place of the k-th of the sorted ids."""
+        width = self.count.shape[1]
+        below = np.zeros((self.lanes, width + 1), np.int64)
+        np.cumsum(self.count, 1, out=below[:, 1:])
+        self.below, self.below_rows = below.ravel(), np.arange(self.lanes) * (width + 1)
+        self.sorted = np.append(np.repeat(np.tile(np.arange(width, dtype=np.uint16), self.lanes), self.count.ravel()), np.uint16(0))
+        self.first, self.last = np.cumsum(self.total) - self.total, np.maximum(self.total - 1, 0)
+
+    def mix(self, token=None, before=None) -> None:
+        """The distributions after two ids, in whole numbers: orders 1 and 2 each name a place and have a share, each count of order 0 has ``base``, new ids have the rest."""
+        token, before = (self.token, self.before) if token is None else (token, before)
+        mixed = token * 0x9E3B
+        self.at1 = (mixed >> 8 & (1 << HASH1) - 1) + self.rows1
+        self.at2 = (mixed + before * 0xA2D5 >> 9 & (1 << HASH2) - 1) + self.rows2
+        one, two = self.follow[0].take(self.at1).astype(np.int64), self.follow[1].take(self.at2).astype(np.int64)
+        self.set = ((two & 3) << 2) + (one & 3) + self.sets
+        self.one, self.two = one >> 2, two >> 2
+        weight = self.weight.take(self.set)
+        self.share1, self.share2, self.base = weight & SCALE - 1, weight >> BITS & SCALE - 1, weight >> 2 * BITS
+        self.known = self.base * self.total + self.share1 + self.share2
+        self.fresh = SCALE - self.known
 
     def find(self, place):
         """Where the share of ``place`` starts, and its size."""
-        group, n = place >> 6, self.n
-        below = np.where(np.arange(GROUPS) < group[:, None], self.group, 0).sum(1)
-        counts = self.count.reshape(-1, GROUPS, 64)[n, group].astype(np.int64)
-        below += np.where(np.arange(64) < (place & 63)[:, None], counts, 0).sum(1)
-        valid = self.place != EMPTY
-        start = below * self.base + np.where(valid & (self.place < place[:, None]), self.slots, 0).sum(1)
-        return start, counts[n, place & 63] * self.base + np.where(self.place == place[:, None], self.slots, 0).sum(1)
+        at = self.below_rows + place
+        below = self.below.take(at)
+        start = below * self.base + self.share1 * (self.one < place) + self.share2 * (self.two < place)
+        return start, (self.below.take(at + 1) - below) * self.base + self.share1 * (self.one == place) + self.share2 * (self.two == place)
 
     def at_value(self, value):
-        """The place whose share covers ``value``."""
-        n = self.n
-        shares = self.group * self.base[:, None]
-        for p, share in zip(self.place.T, self.slots.T):
-            shares[n, np.maximum(p, 0) >> 6] += share  # an empty slot has no share
-        sums = shares.cumsum(1)
-        group = np.minimum((sums <= value[:, None]).sum(1), GROUPS - 1)
-        rest = value - sums[n, group] + shares[n, group]
-        own = self.count.reshape(-1, GROUPS, 64)[n, group].astype(np.int64) * self.base[:, None]
-        for p, share in zip(self.place.T, self.slots.T):
-            own[n, np.maximum(p, 0) & 63] += np.where(p >> 6 == group, share, 0)
-        return (group << 6) + np.minimum((own.cumsum(1) <= rest[:, None]).sum(1), 63)
-
-    def learn(self, token, place, new, live):
-        """Take in the id that came."""
-        n, hit = self.n, (self.place == place[:, None]) & ~new[:, None]
-        due = np.zeros((len(n), 3))
-        due[:, 0] = np.where(new, self.fresh, self.base * self.count[n, place])
-        due[:, 1] = np.where(hit[:, :SLOTS1], self.slots[:, :SLOTS1], 0).sum(1)
-        due[:, 2] = np.where(hit[:, SLOTS1:], self.slots[:, SLOTS1:], 0).sum(1)
-        due /= np.maximum(due.sum(1, keepdims=True), 1)
-        old = self.weights[n, self.set]
-        tried = live[:, None] & np.concatenate([np.ones((len(n), 1), bool), self.sums > 0], 1)
-        self.weights[n, self.set] = np.where(tried, np.clip(old + 0.06 * (due - old), 0.004, 1), old)
-        self.new += np.where(live, (np.clip(new, 0.002, 0.98) - self.new) * 0.02, 0)
-        for (places, counts), at, own in zip(self.follow, self.at, (hit[:, :SLOTS1], hit[:, SLOTS1:])):
-            c, had = counts[n, at], own.any(1)
-            slot = np.where(had, own.argmax(1), c.argmin(1))
-            now = c[n, slot].astype(np.int64)
-            take = ~had & (now <= 2)
-            value = np.where(had, np.minimum(now + 3, 255), np.where(take, 3, now - 2))
-            counts[n, at, slot] = np.where(live, value, now)
-            places[n, at, slot] = np.where(live & take, place, places[n, at, slot])
-        self.ids[n, place] = np.where(live & new, token, self.ids[n, place])
-        self.seen += live & new
-        self.count[n, place] += (live * GAIN).astype(np.uint16)
-        self.group[n, place >> 6] += live * GAIN
-        self.total += live * GAIN
-        self.last2 = np.where(live, self.last1, self.last2)
-        self.last1 = np.where(live, token, self.last1)
-
-
-class Coder:
-    """Carryless range coder of 64 bits, modulo 2^64, that moves 16-bit words."""
+        """The place whose share covers ``value``: a named id's share stands behind its counts, so without those shares the value tells the count."""
+        row = self.below_rows + 1
+        end1, end2 = self.below.take(row + self.one) * self.base, self.below.take(row + self.two) * self.base
+        value = np.minimum(value, np.maximum(end1 + self.share2 * (end2 < end1) - 1, value - self.share1))
+        value = np.minimum(value, np.maximum(end2 - 1, value - self.share2))
+        k = (value / np.maximum(self.base, 1)).astype(np.int64)  # both are below 2^20, so the quotient's whole part is exact
+        return self.sorted.take(self.first + np.minimum(np.maximum(k, 0), self.last)).astype(np.int64)
+
+    def named(self):
+        return self.at1, self.at2, self.set, self.one, self.two
+
+    def learn(self, token, place, new, live) -> None:
+        """Take in the id that came; at the end of a stretch, all of it."""
+        self.recent.append((token, place, new, live, *self.named()))
+        self.before, self.token = self.token, token
+        self.steps += 1
+        if self.steps in STRETCHES:
+            token, place, new, live, *named = (np.array(x) for x in zip(*self.recent))
+            self.recent = []
+            step, lane = np.nonzero(new & live)
+            keys, first, inverse = np.unique(lane << 16 | token[step, lane], return_index=True, return_inverse=True)
+            order, number = np.lexsort((first, keys >> 16)), np.empty(len(keys), np.int64)
+            number[order] = np.arange(len(keys)) - np.searchsorted(keys >> 16, keys >> 16)  # lanes ascend in keys, so both orders part them alike
+            place[step, lane] = self.seen[lane] + number[inverse]
+            self.take_in(token, place, new, live, *named)
+
+    def take_in(self, token, place, new, live, at1, at2, sets, one, two) -> None:
+        """A stretch, step after step, with the places of its new ids and what ``named`` told of each step."""
+        step, lane = np.nonzero(new & live)
+        self.ids[lane, place[step, lane]] = token[step, lane]
+        width = max(self.count.shape[1], int(place.max(where=live, initial=0)) + 1)
+        counted = place + np.arange(self.lanes) * width
+        if not live.all():
+            place, new, at1, at2, sets, one, two, counted = (x[live] for x in (place, new, at1, at2, sets, one, two, counted))
+        right1, right2 = (one == place) & (sets & 3 > 0), (two == place) & (sets & 12 > 0)
+        outcome = (sets << 2) + right1
+        outcome[right2] = (sets[right2] << 2) + 2
+        outcome[new] |= 3
+        self.tried = self.tried * 0.5 + np.bincount(outcome.ravel(), minlength=4 * len(self.tried)).reshape(-1, 4)
+        for follow, at, old, right, standing in zip(self.follow, (at1, at2), (one, two), (right1, right2), (sets & 3, sets >> 2 & 3)):
+            place4 = place << 2
+            value = np.where(right, place4 + UP.take(standing), np.where(standing > 1, (old << 2) + standing - 1, place4 + 1))
+            follow[at.ravel()] = value.astype(np.uint16).ravel()  # the last of a context's ids stays
+        count = np.bincount(counted.ravel(), minlength=self.lanes * width).reshape(-1, width)
+        count[:, : self.count.shape[1]] += self.count
+        self.count = count
+        self.total, self.seen = count.sum(1), np.count_nonzero(count, 1)
+        self._tables()
+        self._weights()
+
+    def _weights(self) -> None:
+        by_two, by_one = np.divmod(np.tile(np.arange(SETS), self.lanes), 4)
+        alone, right1, right2, new = self.tried.T
+        each = MOST * SCALE / (self.tried.sum(1) + 1.6)
+        share1, share2 = (each * (right1 + 0.4) * (by_one > 0)).astype(np.int64), (each * (right2 + 0.4) * (by_two > 0)).astype(np.int64)
+        all_alone, all_new = (x.reshape(-1, SETS).sum(1).repeat(SETS) for x in (alone, new))
+        share = (new + 4 * (all_new + 0.2) / (all_alone + all_new + 1)) / (alone + new + 4.8)
+        total = self.total.repeat(SETS)
+        base = np.where(total > 0, np.maximum((SCALE - share1 - share2) * (1 - share) / np.maximum(total, 1), LEAST), 0).astype(np.int64)
+        self.weight = share1 | share2 << BITS | base << 2 * BITS
+
+
+class Encoder:
+    """Range coder of 48 bits that moves 16-bit words; a carry stays in the word that it comes with until all are out."""
 
-    def __init__(self, lanes: int):
-        self.low, self.range, self.n = np.zeros(lanes, U), np.full(lanes, ~U(0)), np.arange(lanes)
-
-    def settle(self, live, move):
-        while True:
-            settled = (self.low ^ (self.low + self.range)) < TOP
-            small = live & ~settled & (self.range < BOTTOM)
-            go = live & (settled | small)
-            if not go.any():
-                return
-            self.range = np.where(small, (U(0) - self.low) & (BOTTOM - U(1)), self.range)
-            move(go)
-            self.low = np.where(go, self.low << U(16), self.low)
-            self.range = np.where(go, self.range << U(16), self.range)
-
-    def narrow(self, start, size, total, live):
-        part = self.range // total.astype(U)
-        self.low = np.where(live, self.low + part * start.astype(U), self.low)
-        self.range = np.where(live, part * size.astype(U), self.range)
-
-
-class Encoder(Coder):
     def __init__(self, lanes: int, words: int):
-        super().__init__(lanes)
-        self.out, self.used = np.zeros((lanes, words), np.uint16), np.zeros(lanes, np.int64)
+        self.low, self.range, self.n = np.zeros(lanes, np.int64), np.full(lanes, 1 << 48), np.arange(lanes) * words
+        self.out, self.used, self.words = np.zeros(lanes * words, np.int32), np.zeros(lanes, np.int64), words
 
-    def _move(self, go):
-        if self.used.max() + 4 >= self.out.shape[1]:
-            self.out = np.concatenate([self.out, np.zeros_like(self.out)], 1)
-        self.out[self.n, self.used] = (self.low >> U(48)).astype(np.uint16)
+    def _move(self, go) -> None:
+        self.out[self.n + self.used] = self.low >> 32
         self.used += go
+        self.low = np.where(go, (self.low & LOW - 1) << 16, self.low)
 
-    def put(self, start, size, total, live):
-        self.narrow(start, size, total, live)
-        self.settle(live, self._move)
+    def put(self, start, size) -> None:
+        part = self.range >> BITS
+        self.low += part * start
+        self.range = part * size
+        go = self.range < LOW
+        self._move(go)
+        self.range <<= go * 16
 
     def finish(self) -> list[bytes]:
-        for _ in range(4):
+        for _ in range(3):
             self._move(np.ones(len(self.n), bool))
-            self.low = self.low << U(16)
-        return [row[:n].astype("<u2").tobytes() for row, n in zip(self.out, self.used)]
+        out, carry = self.out.reshape(-1, self.words), 0
+        for k in range(self.used.max() - 1, -1, -1):
+            word = out[:, k] + carry
+            word[k >= self.used] = 0
+            out[:, k], carry = word & 0xFFFF, word >> 16
+        return [row[:n].astype("<u2").tobytes() for row, n in zip(out, self.used)]
 
 
-class Decoder(Coder):
+class Decoder:
     def __init__(self, payloads: list[bytes]):
-        super().__init__(len(payloads))
-        width = max(map(len, payloads)) // 2 + 8
-        self.words = np.zeros((len(payloads), width), U)
-        for row, data in zip(self.words, payloads):
+        width = max(map(len, payloads)) // 2 + 4
+        words = np.zeros((len(payloads), width), np.int64)
+        for row, data in zip(words, payloads):
             row[: len(data) // 2] = np.frombuffer(data, "<u2")
-        self.code = (self.words[:, 0] << U(48)) | (self.words[:, 1] << U(32)) | (self.words[:, 2] << U(16)) | self.words[:, 3]
-        self.at = np.full(len(payloads), 4)
-
-    def _move(self, go):
-        self.code = np.where(go, (self.code << U(16)) | self.words[self.n, np.minimum(self.at, self.words.shape[1] - 1)], self.code)
+        self.above, self.range = words[:, 0] << 32 | words[:, 1] << 16 | words[:, 2], np.full(len(payloads), 1 << 48)
+        self.words, self.at, self.last = words.ravel(), np.arange(len(payloads)) * width + 3, np.arange(1, len(payloads) + 1) * width - 1
+
+    def value(self):
+        self.part = self.range >> BITS
+        return np.minimum((self.above / self.part).astype(np.int64), SCALE - 1)  # below 2^48 by 2^28: the quotient's whole part is exact
+
+    def get(self, start, size) -> None:
+        self.above -= self.part * start
+        self.range = self.part * size
+        go = self.range < LOW
+        self.above = np.where(go, self.above << 16 | self.words.take(np.minimum(self.at, self.last)), self.above)
+        self.range <<= go * 16
         self.at += go
 
-    def value(self, total):
-        part = self.range // total.astype(U)
-        return np.minimum((self.code - self.low) // part, total.astype(U) - U(1)).astype(np.int64)
-
-    def get(self, start, size, total, live):
-        self.narrow(start, size, total, live)
-        self.settle(live, self._move)
-
 
 def _places(ids: np.ndarray) -> np.ndarray:
     """For each id of a block, its number in order of first use."""
@@ -203,24 +213,37 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     if (most := max((int(b.max()) for b in blocks if len(b)), default=0)) >= 1 << 16:
         raise ValueError(f"id {most} does not fit the 16 bits of this coder: use a vocabulary of at most 65,536 ids")
     lanes, sizes = len(blocks), np.array([len(b) for b in blocks])
-    tokens, places = np.zeros((lanes, sizes.max()), np.int64), np.zeros((lanes, sizes.max()), np.int64)
+    steps = int(sizes.max())
+    tokens, places = np.zeros((lanes, steps + 2), np.uint16), np.zeros((lanes, steps), np.uint16)
     for row, spot, ids in zip(tokens, places, blocks):
-        row[: len(ids)] = ids
-        spot[: len(ids)] = _places(ids)
-    model, coder, plain = Model(lanes), Encoder(lanes, sizes.max() + 16), np.full(lanes, 65536)
-    for step in range(sizes.max()):
-        live, token = step < sizes, tokens[:, step]
-        new = places[:, step] >= model.seen
-        place = np.where(new, np.minimum(model.seen, GROUPS * 64 - 1), places[:, step])
-        model.mix()
-        start, size = model.find(place)
-        coder.put(np.where(new, model.known, start), np.where(new, model.fresh, size), model.whole, live)
-        if (plainly := live & new).any():
-            coder.put(token, np.ones_like(token), plain, plainly)
-        model.learn(token, place, new, live)
+        row[2 : 2 + len(ids)] = ids
+        spot[: len(ids)] = _places(ids.astype(np.uint16))
+    tokens, places = np.ascontiguousarray(tokens.T), np.ascontiguousarray(places.T)
+    model, coder, met = Model(lanes), Encoder(lanes, steps + 4), np.zeros((steps, lanes), bool)
+    for begin, end in zip((0, *STRETCHES), (*STRETCHES, BLOCK_IDS)):
+        end = min(end, steps)
+        if begin >= end:
+            break
+        live = np.arange(begin, end)[:, None] < sizes
+        new = met[begin:end] = live & (places[begin:end] >= model.seen)
+        named = []
+        for k in range(begin, end, AT_ONCE):
+            some = slice(k, min(k + AT_ONCE, end))
+            model.mix(*(tokens[k + j : some.stop + j].astype(np.int64) for j in (1, 0)))
+            named.append(model.named())
+            fresh, on = new[k - begin : some.stop - begin], live[k - begin : some.stop - begin]
+            start, size = model.find(np.where(fresh, 0, places[some].astype(np.int64)))
+            start, size = np.where(fresh, model.known, start), np.where(fresh, model.fresh, size)
+            if not on.all():
+                start, size = np.where(on, start, 0), np.where(on, size, SCALE)
+            for a, b in zip(start, size):
+                coder.put(a, b)
+        if end in STRETCHES:
+            model.take_in(tokens[begin + 2 : end + 2], places[begin:end].astype(np.int64), new, live, *(np.concatenate(x) for x in zip(*named)))
     packed = []
-    for ids, data in zip(blocks, coder.finish()):
+    for k, (ids, data) in enumerate(zip(blocks, coder.finish())):
         raw = np.asarray(ids, "<u4").tobytes()
+        data = struct.pack("<I", len(data) // 2) + data + np.asarray(ids)[met[: len(ids), k]].astype("<u2").tobytes()
         packed.append(HEAD.pack(MAGIC, len(ids), zlib.crc32(raw), len(data), zlib.crc32(data)) + data)
     return packed
 
@@ -229,7 +252,7 @@ def decode_blocks(packed: list[bytes]) -> list[np.ndarray]:
     """The ids of each block; a ValueError names the first block that fails a checksum."""
     if not packed:
         return []
-    heads, payloads = [], []
+    heads, coded, plain = [], [], []
     for k, block in enumerate(packed):
         if len(block) < HEAD.size or block[:4] != MAGIC:
             raise ValueError(f"block {k}: no block header")
@@ -238,27 +261,34 @@ def decode_blocks(packed: list[bytes]) -> list[np.ndarray]:
         if len(data) != head[3] or zlib.crc32(data) != head[4]:
             raise ValueError(f"block {k}: payload is damaged")
         heads.append(head)
-        payloads.append(data)
+        past = 4 + 2 * struct.unpack_from("<I", data)[0]
+        coded.append(data[4:past])
+        plain.append(np.frombuffer(data[past:], "<u2"))
     lanes, sizes = len(packed), np.array([h[1] for h in heads])
-    model, coder, plain = Model(lanes), Decoder(payloads), np.full(lanes, 65536)
-    tokens = np.zeros((lanes, max(sizes.max(), 1)), np.int64)
-    for step in range(sizes.max()):
+    steps = int(sizes.max())
+    model, coder = Model(lanes), Decoder(coded)
+    met = np.append(np.concatenate(plain).astype(np.int64), 0)
+    next_met = np.cumsum([len(p) for p in plain]) - [len(p) for p in plain]
+    tokens, shortest = np.zeros((max(steps, 1), lanes), np.uint16), int(sizes.min())
+    ids = model.ids.ravel()
+    for step in range(steps):
         live = step < sizes
         model.mix()
-        value = coder.value(model.whole)
+        value = coder.value()
         new = value >= model.known
-        place = np.where(new, np.minimum(model.seen, GROUPS * 64 - 1), model.at_value(np.where(new, 0, value)))
+        place = model.at_value(value)
         start, size = model.find(place)
-        coder.get(np.where(new, model.known, start), np.where(new, model.fresh, size), model.whole, live)
-        token = model.ids[model.n, place].astype(np.int64)
-        if (plainly := live & new).any():
-            read = coder.value(plain)
-            coder.get(read, np.ones_like(read), plain, plainly)
-            token = np.where(plainly, read, token)
-        tokens[:, step] = token
+        start, size = np.where(new, model.known, start), np.where(new, model.fresh, size)
+        if step >= shortest:
+            new &= live
+            start, size = np.where(live, start, 0), np.where(live, size, SCALE)
+        coder.get(start, size)
+        token = np.where(new, met.take(np.minimum(next_met, len(met) - 1)), ids.take(model.rows + place))
+        next_met += new
+        tokens[step] = token
         model.learn(token, place, new, live)
-    out = [row[:n].astype(np.uint32) for row, n in zip(tokens, sizes)]
-    for k, (ids, head) in enumerate(zip(out, heads)):
-        if zlib.crc32(ids.astype("<u4").tobytes()) != head[2]:
+    out = [row[:n].astype(np.uint32) for row, n in zip(tokens.T, sizes)]
+    for k, (found, head) in enumerate(zip(out, heads)):
+        if zlib.crc32(found.astype("<u4").tobytes()) != head[2]:
             raise ValueError(f"block {k}: ids are damaged")
     return out

@@ -74,17 +74,17 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     parts = parts.select("part", F.coalesce(F.sum("size").over(first), F.lit(0)).alias("part_start"))
     within = Window.partitionBy("part").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = chunks.select("part", "chunk", F.coalesce(F.sum("size").over(within), F.lit(0)).alias("chunk_start")).join(parts, "part")
-    schema = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("doc_id", pa.int64()), ("inner_start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, chunk, doc_ids, sizes, blocks in zip(*(c.to_pylist() for c in batch.columns)):
+            for start, doc_ids, sizes, blocks in zip(*(c.to_pylist() for c in batch.columns)):
                 data = np.concatenate(decode_blocks(blocks)).astype("<u4").tobytes()
                 ends = np.cumsum(sizes)
                 begin = ends - sizes
-                cols = ([part] * len(sizes), [chunk] * len(sizes), doc_ids, begin, sizes, [data[4 * a : 4 * b] for a, b in zip(begin, ends)])
+                cols = (doc_ids, begin + start, sizes, [data[4 * a : 4 * b] for a, b in zip(begin, ends)])
                 for at in range(0, len(sizes), 2000):
                     yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 2000], f.type) for c, f in zip(cols, schema)], schema=schema)
 
-    out = stored.select("part", "chunk", "doc_ids", "n_tokens", "blocks").mapInArrow(documents, "part int, chunk int, doc_id long, inner_start long, n_tokens long, ids binary")
-    return out.join(starts, ["part", "chunk"]).select("doc_id", (F.col("part_start") + F.col("chunk_start") + F.col("inner_start")).alias("start"), "n_tokens", "ids")
+    placed = stored.join(starts, ["part", "chunk"]).select((F.col("part_start") + F.col("chunk_start")).alias("start"), "doc_ids", "n_tokens", "blocks")  # what is coded is joined, not what comes of it
+    return placed.mapInArrow(documents, "doc_id long, start long, n_tokens long, ids binary")
