@@ -30,6 +30,8 @@ from docket.llm.common import removed, slices, written_at
 
 END = b""  # no word is empty
 CHUNK = 256  # weight rows that travel together
+GROUP = 4  # blocks that a task writes or reads at once
+TOKEN_BYTES = 16  # a block has at most so many bytes of text for each of its tokens, on average
 BLOCK = pa.schema([("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int32())), ("n_words", pa.int32()), ("tokens", pa.binary()), ("hashes", pa.binary()), ("words", pa.list_(pa.binary())), ("counts", pa.binary())])
 BLOCK_SQL = "ids array<long>, held array<boolean>, lengths array<int>, n_words int, tokens binary, hashes binary, words array<binary>, counts binary"
 
@@ -48,7 +50,7 @@ def held_out(doc_id: "F.Column") -> "F.Column":
 
 
 def text_blocks(docs: DataFrame, block_tokens: int, id_col: str, text_col: str) -> DataFrame:
-    """Rows of about ``block_tokens`` tokens, of whole texts; a longer text is a block of its own."""
+    """Rows of about ``block_tokens`` tokens, of whole texts, fewer where words are long; a longer text is a block of its own."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col).cast("long")).alias("held"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,16 +70,16 @@ def text_blocks(docs: DataFrame, block_tokens: int, id_col: str, text_col: str)
             number.clear()
             return out
 
-        size = 0
+        size = weight = 0
         for some in (s for batch in batches for s in slices(batch)):
             for doc_id, out_, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), some.column(2).to_pylist()):
                 words = text.lower().split()  # of bytes: A-Z alone are lowered, and ASCII white space alone divides
                 words.append(END)
                 held.append((doc_id, out_, np.fromiter(map(number.__getitem__, words), np.int32, len(words))))
-                size += len(words)
-                if size >= block_tokens:
+                size, weight = size + len(words), weight + len(text)
+                if size >= block_tokens or weight >= TOKEN_BYTES * block_tokens:
                     yield block()
-                    size = 0
+                    size = weight = 0
         if held:
             yield block()
 
@@ -438,10 +440,10 @@ def language_scores(
     has the end alone; a null id is held out. Texts of one id are rows of their own. Without a text to learn from, every token is unknown
     and both scores are 0. ``rounds`` rounds see each text once in all. Other columns are ignored.
     """
-    blocks, at_blocks = written_at(text_blocks(docs, block_tokens, id_col, text_col), "blocks")
+    blocks, at_blocks = written_at(text_blocks(docs, block_tokens, id_col, text_col), "blocks", GROUP)
     top = frequent_words(blocks, frequent, share)
     own = topics_of(near_pairs(blocks, [w for w, _ in top], window), topics) if top else np.zeros(0, np.int64)
-    numbered, at_numbered = written_at(numbered_blocks(blocks, top, own, topics, window), "numbered")
+    numbered, at_numbered = written_at(numbered_blocks(blocks, top, own, topics, window), "numbered", GROUP)
     spark = docs.sparkSession
     removed(spark, at_blocks)
     classes = Classes(word_masses(numbered), topics, bands)

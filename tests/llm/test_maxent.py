@@ -3,8 +3,10 @@
 import math
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from docket.llm import maxent
@@ -107,3 +109,34 @@ def test_pairs_near_each_other(spark):
                     want[i, j] += 1
                     want[j, i] += 1
     assert (got == want).all()
+
+
+def test_blocks_lie_in_small_row_groups(spark, monkeypatch):
+    """A reader holds the rows of a row group at once, so a task's memory would grow with the blocks in its files."""
+    rows, at, write = [(i, f"a b{i} c{i % 7}") for i in range(40)], {}, maxent.written_at
+
+    def kept(df, name, *more):
+        table, at[name] = write(df, name, *more)
+        return table, at[name]
+
+    monkeypatch.setattr(maxent, "written_at", kept)
+    monkeypatch.setattr(maxent, "removed", lambda *_: None)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = maxent.language_scores(frame(spark, rows).coalesce(1), block_tokens=1).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    same([tuple(r)[:6] for r in got], brute_base(rows))
+    for name in ("blocks", "numbered"):
+        files = [pq.ParquetFile(f).metadata for f in Path(at[name].removeprefix("file:")).glob("*.parquet")]
+        groups = [m.row_group(k).num_rows for m in files for k in range(m.num_row_groups)]
+        assert sum(groups) == len(rows)
+        assert max(groups) <= 4, name
+
+
+def test_blocks_of_long_words_have_fewer_tokens(spark):
+    """So that a block's bytes are bounded as its tokens are."""
+    rows = [(i, f"{i}".rjust(1000, "x")) for i in range(20)]
+    assert maxent.text_blocks(frame(spark, rows).coalesce(1), 50, "doc_id", "text").count() == len(rows)
+    same([tuple(r)[:6] for r in maxent.language_scores(frame(spark, rows), block_tokens=50).collect()], brute_base(rows))
